@@ -278,3 +278,18 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     placed = ids.join(sets.select("key", "size"), "key").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     return placed.join(names, "component").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id", F.col("key").alias("row_key"))
+
+
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``documents`` with one row of each component, that of the smallest id; rows with an empty set all stay.
+
+    Where ids repeat or are null, rows are numbered by id and text first, so that one row stays even of repeated ones.
+    """
+    ids = documents.select(F.col(f"`{id_col}`").alias("id"))
+    if not ids.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():
+        kept = join(documents, id_col, text_col, n, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept"))
+        return documents.join(kept, F.col(f"`{id_col}`") == F.col("__kept"), "left_semi")
+    order = [F.col(f"`{id_col}`").asc_nulls_last(), F.col(f"`{text_col}`")]
+    numbered = stash(documents.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    kept = join(numbered, "__row", text_col, n, percent).filter("__row = component_id").select(F.col("__row").alias("__kept"))
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

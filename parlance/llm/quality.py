@@ -203,6 +203,8 @@ def score(documents: DataFrame, model: np.ndarray | None, id_col: str = "doc_id"
     kept_fields = ", ".join(f"carry_{i} {rows.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(inner)))
     schema = f"`{id_col}` long, {BASE_SCHEMA}, base_failed boolean, kept boolean, p_good double" + (f", {kept_fields}" if inner else "")
 
+    more = len(inner)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value.astype(np.float64) if sent is not None else None
         for batch in batches:
@@ -222,7 +224,7 @@ def score(documents: DataFrame, model: np.ndarray | None, id_col: str = "doc_id"
             kept = ~failed if good is None else ~failed & (good >= keep_at)
             columns = [batch.column(id_col), *map(pa.array, five), pa.array(failed), pa.array(kept), pa.array(good) if good is not None else pa.nulls(batch.num_rows, pa.float64())]
             names = [id_col, *(f.split()[0] for f in BASE_SCHEMA.split(", ")), "base_failed", "kept", "p_good"]
-            for i in range(len(inner)):
+            for i in range(more):
                 columns.append(batch.column(f"carry_{i}"))
                 names.append(f"carry_{i}")
             yield pa.record_batch(columns, names=names)
