@@ -19,8 +19,10 @@ def isolation_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) ->
         stack = [(chosen, np.arange(n), 0)]
         while stack:
             inside, going, level = stack.pop()
-            low, high = x[inside].min(0), x[inside].max(0)
+            low, high = (x[inside].min(0), x[inside].max(0)) if len(inside) else (x[0], x[0])
             wide = np.flatnonzero(high > low)
+            if not len(going):
+                continue
             if len(inside) <= 1 or level >= np.ceil(np.log2(max(sub, 2))) or not len(wide):
                 depth[going] += level + harmonic(len(inside))
                 continue
@@ -31,7 +33,7 @@ def isolation_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) ->
     return 2.0 ** (-depth / trees / max(harmonic(sub), 1e-9))
 
 
-def isolation_anomalies(features: DataFrame, by: list[str], trees: int = 200, contamination: float | None = 0.3, seed: int = 42) -> DataFrame:
+def isolation_anomalies(features: DataFrame, by: list[str], trees: int = 100, contamination: float | None = 0.3, seed: int = 42) -> DataFrame:
     """``score`` and ``is_anomaly`` per series (a few hundred periods each; series are spread over the cluster).
 
     An anomaly is among the highest scores of its series and above its baseline. Without ``contamination`` 15 periods of
