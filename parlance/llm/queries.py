@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import html, jaccard, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
+from parlance.llm import audio, html, jaccard, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents played as notes; all recordings against those whose id is divisible by 100."""
+    return audio.search(audio.recordings(table(spark, sf_dir, "documents")), "id % 100 = 0")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.encode(table(spark, sf_dir, "documents"), tokens.model_path())
 
