@@ -68,7 +68,7 @@ def forum(df: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract_all("thread_text", F.lit(FORUM_BLOCK), F.lit(k))
     zipped = F.arrays_zip(part(1).alias("kind"), part(2).alias("author"), part(3).alias("date"), part(4).alias("tag"), part(5).alias("text"))
     block = lambda x, i: F.struct(
-        F.when(x["kind"] == "POST", F.lit("POST")).otherwise(F.concat(F.lit("COMMENT_"), i.cast("string"))).alias("label"), x["author"].alias("author"), relative_date(x["date"], F.col("scrape_date")).alias("date"), F.trim(x["tag"]).alias("tag"), F.trim(x["text"]).alias("text")
+        F.when(x["kind"] == "POST", F.lit("POST")).otherwise(F.concat(F.lit("COMMENT_"), i.cast("string"))).alias("label"), x["author"].alias("author"), relative_date(x["date"], F.col("scrape_date")).alias("date"), F.trim(x["tag"]).alias("tag"), F.regexp_replace(x["text"], r"^\s+|\s+$", "").alias("text")
     )
     out = df.withColumn("replies", filled_list(F.transform(zipped, block)))
     first = F.element_at("replies", 1)
