@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SHARE, TIMES, WEIGHTS, SEED = 1.5, 2, (5, 2, 1), 17
 #: Words that dynamic programming fits; counts of lengths beyond it are filled from the longest down.
 WINDOW = 20_000
+#: Documents of a length that are given back before the last fit.
+ROOM = 64
 SALTS = 64
 
 WORDS = r"cast(regexp_count(__text, r'[^\x20\x09-\x0D]+') as bigint)"
@@ -57,11 +59,10 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         if sizes[i] and rest > WINDOW:
             more = min(counts[i] - take[i], (rest - WINDOW) // sizes[i])
             take[i], rest = take[i] + more, rest - more * sizes[i]
-    # one document of each length less gives the dynamic programme room to choose from
-    if rest < WINDOW:
-        for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
-            if take[i] and sizes[i] and rest + sizes[i] <= WINDOW:
-                take[i], rest = take[i] - 1, rest + sizes[i]
+    for i in reversed(order):  # some documents of each length, short ones first, go back for the dynamic programme to choose from
+        if sizes[i] and rest < WINDOW:
+            back = min(take[i], ROOM, (WINDOW - rest) // sizes[i])
+            take[i], rest = take[i] - back, rest + back * sizes[i]
     left = [(sizes[i], counts[i] - take[i]) for i in order if 0 < sizes[i] <= rest and counts[i] > take[i]]
     number = {s: i for i, s in enumerate(sizes)}
     for length, more in subset_sum(left, rest).items():
