@@ -27,12 +27,45 @@ from pyspark.sql import functions as F
 from parlance.llm.textnum import strings
 
 #: Stretches and pairs that a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Weight of a character that falls back to bytes, above any piece's.
 FALLBACK = 1e6
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+class Remembered(dict):
+    """A dictionary of bounded size: when it is full it starts afresh, and what the one before it knows moves over when asked for."""
+
+    def __init__(self, most: int = REMEMBERED):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+    def make(self, key):
+        raise NotImplementedError
+
+
+class Paths(Remembered):
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.make = machine.path
+
+
+class Parts(Remembered):
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.make = machine.shortest
+
+
 class Transducer:
     """The compiled machines; ``paths`` maps a stretch to the ids of its shortest path, as int32 bytes."""
 
@@ -58,8 +91,7 @@ class Transducer:
         if any(p[1] == "▁" != p[0] for p in self.inner):
             raise ValueError("a piece holds a space inside: stretches can't be cut before spaces")
         self.stretch = re.compile("▁*[^▁]+|▁+")
-        self.paths: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.paths, self.parts = Paths(self), Parts(self)
         self.stands: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -86,6 +118,8 @@ class Transducer:
     def shortest(self, text: str) -> list[int]:
         """Ids of the shortest path over one stretch."""
         n = len(text)
+        if text in self.id:  # one arc from start to end
+            return [self.id[text]]
         cost, last = [0.0] + [inf] * n, [""] * (n + 1)
         weight, prefixes, can_stand = self.weight, self.prefixes, self.can_stand
         for start in range(n):
@@ -116,23 +150,14 @@ class Transducer:
         ids, since, parts = [], 0, self.parts
         for i in range(1, len(text) + 1):
             if i == len(text) or text[i - 1 : i + 1] not in self.inner:
-                part = text[since:i]
-                if part not in parts:
-                    if len(parts) > REMEMBERED:
-                        parts.clear()
-                    parts[part] = self.shortest(part)
-                ids += parts[part]
+                ids += parts[text[since:i]]
                 since = i
-        if len(self.paths) > REMEMBERED:
-            self.paths.clear()
-        out = self.paths[text] = np.array(ids, np.int32).tobytes()
-        return out
+        return np.array(ids, np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        get, path = self.paths.get, self.path
-        return np.frombuffer(b"".join([get(s) or path(s) for s in self.stretch.findall("▁" + text.replace(" ", "▁"))]), np.int32)
+        return np.frombuffer(b"".join(map(self.paths.__getitem__, self.stretch.findall("▁" + text.replace(" ", "▁")))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
