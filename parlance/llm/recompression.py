@@ -7,8 +7,9 @@ without a dictionary passing through the cluster, and equal word sequences get e
 their ends. Beside its words a symbol carries its surroundings: the words that must be seen to know that
 it was formed. The words themselves are the symbols of level 0.
 
-A window of ``window`` words names as its anchor a symbol of the highest level whose surroundings lie inside it (of
-these the one with the smallest print), so equal windows name equal symbols. A Spark round then brings together all
+A window of ``window`` words names as its anchor a symbol of the highest level that starts in its first half and whose
+surroundings lie inside it (of these the one with the smallest print), so equal windows name equal symbols. Together
+with the half window of words from its start, which lies inside too, a symbol is rarely met by chance. A Spark round then brings together all
 occurrences of the symbols so named (``anchors``); contexts that are equal around one symbol repeat as a whole, and where a
 symbol stands in several contexts, their windows are compared word by word, by digest of the very words.
 """
@@ -21,14 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from parlance.llm import anchors as A
 from parlance.llm.rows import keyed
 from parlance.llm.scratch import stash
 from parlance.llm.textnum import BYTES2, U64, mix, slabs, strings, word_prints, words
 
-WINDOW, ROUNDS = 20, 4
+WINDOW, ROUNDS = 20, 3
 PLACE_BITS = 26
 
 
@@ -114,6 +114,8 @@ def named_anchors(prints: np.ndarray, doc: np.ndarray, window: int, rounds: int)
         return empty, empty, empty, empty, empty
     open_ = np.flatnonzero(doc[:n] == doc[window - 1 :])
     every = open_
+    told = window // 2  # words from the symbol on that its print as an anchor also covers
+    after = BYTES2.grams(BYTES2.prefix(prints), told)
     symbol = np.zeros(n, np.int64)  # level << 40 | number of the symbol
     h, place = np.zeros(n, U64), np.zeros(n, np.int64)
     stack = levels(prints, doc, rounds)
@@ -125,7 +127,7 @@ def named_anchors(prints: np.ndarray, doc: np.ndarray, window: int, rounds: int)
         cs, ce = np.maximum.accumulate(x.cs[known]), x.ce[known]
         key = (mix(x.name[known] + U64(level)) >> U64(PLACE_BITS) << U64(PLACE_BITS)) | np.arange(len(known), dtype=U64)
         a = np.searchsorted(cs, open_, "left")
-        b = np.searchsorted(np.maximum.accumulate(ce), open_ + window, "right")
+        b = np.minimum(np.searchsorted(np.maximum.accumulate(ce), open_ + window, "right"), np.searchsorted(x.lo[known], open_ + window - told, "right"))
         best = np.full(len(open_), ~U64(0), U64)
         todo = np.flatnonzero(a < b)
         step = 0
@@ -137,7 +139,7 @@ def named_anchors(prints: np.ndarray, doc: np.ndarray, window: int, rounds: int)
         chosen = known[(best[got] & U64((1 << PLACE_BITS) - 1)).astype(np.int64)]
         at = open_[got]
         symbol[at] = (level << 40) | chosen
-        h[at] = mix(x.name[chosen] + U64(1 + level))
+        h[at] = mix(mix(x.name[chosen] + U64(1 + level)) + after[x.lo[chosen]])
         place[at] = x.lo[chosen]
         open_ = open_[a >= b]
     new = np.ones(len(every), bool)
@@ -168,12 +170,40 @@ def _cut(data: bytes, first: np.ndarray, size: np.ndarray) -> list[bytes]:
 
 
 def compared(requests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Stretches of windows that start earlier in another context, met by the digest of their words."""
-    parts = f"transform(sequence(0, cast(shiftright(shape, 8) as int) - 1), i -> sha2(array_join(slice(w, i + 1, {window}), ' '), 256))"
-    each = requests.withColumn("w", F.expr("split(cast(context as string), ' ')")).select("key", "first", F.posexplode(F.expr(parts)).alias("i", "w"))
-    each = each.select("key", (F.col("first") + F.col("i")).alias("at"), "w")
-    earliest = each.groupBy("w").agg(F.min(F.struct("key", "at")).alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return each.join(earliest, "w").filter("e.key <> key or e.at <> at").select("key", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
+    """Stretches of windows that start earlier in another context, met by a 128-bit digest of their very words.
+
+    Windows are sorted by digest, row and place in one shuffle; the pass over them remembers one row.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, row, place = [], [], []
+            first = batch.column("first").to_numpy()
+            for i, context in enumerate(batch.column("context").to_pylist()):
+                parts = context.split(b" ")
+                n = len(parts) - window + 1
+                raw += [hashlib.blake2b(b" ".join(parts[k : k + window]), digest_size=16).digest() for k in range(n)]
+                row.append(np.full(n, i))
+                place.append(first[i] + np.arange(n))
+            if raw:
+                two = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+                yield pa.record_batch([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(batch.column("key").to_numpy()[np.concatenate(row)]), pa.array(np.concatenate(place))], names=["w1", "w2", "key", "at"])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            one, two, key, at = (batch.column(k).to_numpy() for k in range(4))
+            if not len(one):
+                continue
+            same = np.zeros(len(one), bool)
+            same[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            same[0] = last == (one[0], two[0])
+            last = (one[-1], two[-1])
+            hit = np.flatnonzero(same)
+            yield pa.record_batch([pa.array(key[hit]), pa.array(at[hit]), pa.array(at[hit] + window)], names=["key", "lo", "hi"])
+
+    each = requests.select("key", "first", "context").mapInArrow(digests, "w1 long, w2 long, key long, at long")
+    return each.repartition("w1").sortWithinPartitions("w1", "w2", "key", "at").mapInArrow(later, A.COVERED)
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, keep_text: bool = False) -> DataFrame:
