@@ -11,7 +11,6 @@ two; where an offset has enough votes the bits of the stretch between its first
 
 from __future__ import annotations
 
-import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.textnum import strings, word_prints, words
+from parlance.llm.textnum import slabs, strings, word_prints, words
 
 RATE, NOTE = 4000, 16
 FRAME, HOP = 128, 16
@@ -116,12 +115,10 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.uint32)
     for kind, y, h, w in FILTERS:
         whole = area(0, w, y, y + h)
-        if kind == 0:  # the first half of the frames
+        if kind in (0, 2):  # the first half of the frames, of all classes and of a band
             a = area(0, w // 2, y, y + h)
         elif kind == 1:  # the lower half of the classes
             a = area(0, w, y, y + h // 2)
-        elif kind == 2:  # the first half of the frames, narrower band
-            a = area(0, w // 2, y, y + h)
         elif kind == 3:  # opposite corners
             a = area(0, w // 2, y, y + h // 2) + area(w // 2, w, y + h // 2, y + h)
         elif kind == 4:  # the middle classes
@@ -141,8 +138,6 @@ def recordings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     notes = np.stack([(128 + 100 * np.sin(2 * np.pi * 440 * 2 ** (k / 12) * time)).astype(np.uint8) for k in range(24)])
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from parlance.llm.textnum import slabs
-
         for batch in batches:
             key = batch.column(id_col)
             for lo, hi, data, offsets in slabs(strings(batch.column("__text"))):
