@@ -34,7 +34,10 @@ def top_terms(counts: DataFrame, by: list[str], n: int) -> DataFrame:
 
 def top_by_language(counts: DataFrame, by: list[str], lang: str, n: int) -> DataFrame:
     """Top terms per language, added up over languages, and the top of the sums."""
-    return top_terms(top_terms(counts, [*by, lang], n).groupBy(*by, "term").agg(F.sum("n").alias("n")), by, n) if by else top_terms(top_terms(counts, [lang], n).groupBy("term").agg(F.sum("n").alias("n")).withColumn("__all", F.lit(1)), ["__all"], n).drop("__all")
+    summed = top_terms(counts, [*by, lang], n).groupBy(*by, "term").agg(F.sum("n").alias("n"))
+    if by:
+        return top_terms(summed, by, n)
+    return top_terms(summed.withColumn("__all", F.lit(1)), ["__all"], n).drop("__all")
 
 
 def repeated_terms(counts: DataFrame) -> DataFrame:
@@ -72,3 +75,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str = "text", most: int = 8000,
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, piece_id long, piece string")
+
+
+def peak_texts(indexed: DataFrame, texts: DataFrame, peaks: DataFrame, id_col: str, date: str, lang: str, english: str = "en") -> DataFrame:
+    """Texts of each peak with ``route``: English or the country's own set; blank texts go. Peaks are few and broadcast."""
+    inside = indexed.select(id_col, date).join(F.broadcast(peaks.select("peak_id", "from_date", "to_date")), F.col(date).between(F.col("from_date"), F.col("to_date"))).select("peak_id", id_col)
+    met = inside.join(texts.select(id_col, lang, "text"), id_col).filter(F.length(F.trim("text")) > 0)
+    return met.select("peak_id", id_col, F.when(F.col(lang) == english, "english").otherwise("default").alias("route"), "text")

@@ -95,3 +95,13 @@ def nearest_neighbour(points: DataFrame, id_col: str) -> DataFrame:
     other = F.broadcast(unit.toDF("other", "ou", "ow"))
     met = unit.join(other, F.col(id_col) != F.col("other")).withColumn("d", F.sqrt((F.col("u") - F.col("ou")) ** 2 + (F.col("w") - F.col("ow")) ** 2))
     return met.groupBy(id_col).agg(F.min("d").alias("distance"))
+
+
+def of_days(points: DataFrame, chunks: DataFrame, keys: list[str], date: str, start: str, end: str) -> DataFrame:
+    """Points whose chunk, by text and number, lies in the inclusive range of days."""
+    return points.join(chunks.filter(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(*keys), keys, "left_semi")
+
+
+def with_parameters(df: DataFrame, parameters: DataFrame, by: list[str]) -> DataFrame:
+    """Rows beside the settings of their country and theme, a small table."""
+    return df.join(F.broadcast(parameters), by, "left")

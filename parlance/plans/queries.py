@@ -588,3 +588,105 @@ def theme_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: monthly matched texts per actor for one theme, over the whole calendar."""
     indexed = keywords.index(matched(spark, sf_dir), "doc_id", ["source", "day"])
     return text_dates(timeseries.period_counts(indexed, "day", ["source"], "2015-01-01", "2025-12-31"))
+
+
+@query(TOP + """ select '{' || string_agg('"' || peak_id || '":["' || strftime(from_date, '%Y-%m-%d') || '","' || strftime(to_date, '%Y-%m-%d') || '"]', ',' order by cast(peak_id as varchar)) || '}' as peaks from ranked""")
+def peak_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.peak_list(top(spark, sf_dir))
+
+
+@query(TOP + " select actors, string_agg(cast(peak_id as varchar), ',' order by peak_id) as peak_ids from ranked where year(to_date) = 1997 group by actors")
+def peaks_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = peaks.ending_in(top(spark, sf_dir).withColumn("actors", F.array_join("actors", ",")), 1997, ["actors"])
+    return found.withColumn("peak_ids", F.array_join(F.col("peak_ids").cast("array<string>"), ","))
+
+
+@query(TOP + " select cast(peak_id as int) as old_id, cast(row_number() over (order by from_date) as int) as peak_id from ranked where peak_id % 2 = 1 and from_date >= date '1996-01-01' and to_date < date '2001-01-01'")
+def approved_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = peaks.review_sheet(top(spark, sf_dir)).withColumn("include_in_visualization", F.when(F.col("peak_id") % 2 == 1, " YES ").otherwise("no"))
+    return peaks.approved(sheet, "1996-01-01", "2001-01-01")[0].select("old_id", "peak_id")
+
+
+@query(TOP + " select 'Denmark' as country, 'orders' as theme, cast(peak_id as int) as peak_id, count, n_texts_total, cast(actors_engaged as int) as actors_engaged from ranked")
+def deliverable_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = top(spark, sf_dir).withColumn("country", F.lit("DK")).withColumn("theme", F.lit("orders"))
+    return peaks.deliverable(named, {"DK": "Denmark"}, {"lgb": "LGB"}).drop("from_date", "to_date")
+
+
+@query(f"with {TOK}, c as (select quality, term, count(*) as n from content join labels using (doc_id) where term not in {STOP} group by all) select quality, term, n, cast(row_number() over (partition by quality order by n desc, term) as int) as rank from c qualify row_number() over (partition by quality order by n desc, term) <= 25")
+def top_terms_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = tokenised(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return terms.top_terms(terms.term_counts(labelled, ["quality"], STOP_WORDS), ["quality"], 25)
+
+
+@query(f"with {TOK} select lang, term, count(*) as n from content where regexp_matches(term, 'tion$|^th') group by all")
+def excluded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.excluded_counts(tokenised(spark, sf_dir), ["lang"], ["tion$", "^th"])
+
+
+@query(f"with {TOK}, c as (select lang, term, count(*) as n from content where term not in {STOP} group by all), t as (select * from c qualify row_number() over (partition by lang order by n desc, term) <= 30), s as (select term, cast(sum(n) as bigint) as n from t group by term) select term, n, cast(row_number() over (order by n desc, term) as int) as rank from s qualify row_number() over (order by n desc, term) <= 30")
+def top_terms_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.top_by_language(terms.term_counts(tokenised(spark, sf_dir), ["lang"], STOP_WORDS), [], "lang", 30)
+
+
+@query(TOP + ", d as (select *, date '2015-01-01' + cast(doc_id % 3865 as int) - interval 20 year as day from documents) select cast(peak_id as int) as peak_id, doc_id, case when lang = 'en' then 'english' else 'default' end as route from d join ranked on day between from_date and to_date where length(trim(text)) > 0")
+def peak_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).withColumn("day", F.add_months("day", -240))
+    return terms.peak_texts(rows, rows, top(spark, sf_dir), "doc_id", "day", "lang").drop("text")
+
+
+@query("select doc_id, array_to_string(list_concat(case when regexp_matches(text, '(?i)\\sthe(\\s|\\.|,)') then ['the'] else [] end, case when regexp_matches(text, '(?i)\\sund(\\s|\\.|,)') then ['und'] else [] end), ',') as matched_keywords from documents where regexp_matches(text, '(?i)\\s(the|und)(\\s|\\.|,)')")
+def annotation_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(keywords.annotation_match(docs(spark, sf_dir).select("doc_id", "text"), ["und", "the"]).drop("text"))
+
+
+@query("with m as (select doc_id, regexp_matches(text, '(?i)\\sthe(\\s|\\.|,)') as a, regexp_matches(text, '(?i)\\sund(\\s|\\.|,)') as b, regexp_matches(text, '(?i)\\sle(\\s|\\.|,)') as c from documents) select doc_id, array_to_string(list_concat(case when c then ['le'] else [] end, case when a and b then ['the', 'und'] else [] end), ',') as pairs from m where a or b or c")
+def paired_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keywords.annotation_match(docs(spark, sf_dir).select("doc_id", "text"), ["und", "the", "le"])
+    return found.select("doc_id", F.array_join(keywords.keyword_pairs(F.col("matched_keywords"), [("the", "und")]), ",").alias("pairs"))
+
+
+@query("select doc_id, coalesce(d.lang, '') as lang, x.name as super_label from documents d left join (values ('en', 'Germanic'), ('de', 'Germanic'), ('fr', 'Romance')) x(l, name) on d.lang = x.l")
+def super_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = spark.createDataFrame([("en", "Germanic"), ("de", "Germanic"), ("fr", "Romance")], "label string, super_label string")
+    return annotation.super_labels(docs(spark, sf_dir).select("doc_id", F.col("lang").alias("label")), mapping).select("doc_id", F.coalesce("label", F.lit("")).alias("lang"), "super_label")
+
+
+@query("with {DOCS} select doc_id from docs where day is null or day between date '2015-06-01' and date '2016-06-01'")
+def dates_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.between_or_null(docs(spark, sf_dir), "day", "2015-06-01", "2016-06-01").select("doc_id")
+
+
+@query("with p as (select o_orderpriority as source, strftime(o_orderdate, '%d/%m/%Y') as raw, strftime(o_orderdate, '%Y-%m-%d') as parsed from orders group by all), r as (select *, cast(row_number() over (partition by source order by raw, parsed) as int) as rank from p) select * from r where rank <= 5")
+def date_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.functions.dates import parsed_date
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("raw"))
+    return profiling.date_examples(rows.withColumn("parsed", F.date_format(parsed_date(F.col("raw"), F.lit(True)), "yyyy-MM-dd")), ["source"], "raw", "parsed")
+
+
+@query("select distinct lang, source from documents")
+def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiling.source_list(docs(spark, sf_dir), ["lang", "source"], "source")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderdate < timestamp '1995-04-01')")
+def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders without a processed file, on keys of the given tables."""
+    from parlance.sources.files import unprocessed_folders
+
+    folders = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("dir"))
+    done = table(spark, sf_dir, "orders").filter("o_orderdate < timestamp'1995-04-01'").select(F.col("o_custkey").cast("string").alias("dir"))
+    return unprocessed_folders(folders, done).select(F.col("dir").cast("long").alias("c_custkey"))
+
+
+@query("with n as (select case when label < 5 then 'low' else cast(label as varchar) end as name, avg(cast(embedding[1] as double)) as x, avg(cast(embedding[2] as double)) as y from embeddings where label <> 7 group by all) select name, round(x, 6) as x, round(y, 6) as y from n")
+def merged_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(str(k), "low") for k in range(5)], "actor string, name string")
+    out = vectors.merged_actors(prefix_columns(table(spark, sf_dir, "embeddings")), names, ["7"])
+    return out.select("name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def isolation_with_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.with_floor(isolation_peaks(spark, sf_dir), ["actor"], 1.5)
