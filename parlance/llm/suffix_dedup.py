@@ -27,7 +27,7 @@ from parlance.llm.suffixes import deep_shallow
 from parlance.llm.textnum import BYTES, BYTES2, U64, mix, slabs, strings
 
 WINDOW, GRAM = 100, 32
-MOST = 2000
+MOST = 50_000
 #: Contexts that are sorted together in one go.
 TOGETHER = 20_000
 #: Longest piece of a text handled at once; pieces overlap by a window less one byte.
