@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.rows import bitmap, components, in_bitmap, keyed
@@ -30,6 +30,10 @@ N, PERCENT = 5, 75
 #: Counters of the sketch of n-gram frequencies.
 SKETCH = 1 << 19
 SKETCH_BLOCKS = 16
+#: Rows of a column up to which its pairs are formed directly; rows that the most frequent column has in a block beyond.
+FEW, BLOCK_ROWS = 512, 256
+#: Entries of a block's product that wait before they are added up.
+PENDING = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +245,110 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return met.mapInArrow(product, "a long, b long")
 
 
+def _size(v: str) -> str:
+    return f"(shiftright({v}, 26) & 67108863)"
+
+
+def _rest(n: str, percent: int) -> str:
+    """Columns after the first block."""
+    return f"(({n} * {percent} + 99) div 100 - 1)"
+
+
+def _wanted(n: str, m: str, percent: int) -> str:
+    """Overlap that two sizes ask for."""
+    return f"((({n} + {m}) * {percent} + {99 + percent}) div {100 + percent})"
+
+
+def stars(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes: rows with the first row of a column, where they meet in a quarter or more of the columns that equal sizes ask for.
+
+    Pairs that are left out here meet again in ``open_pairs`` unless other links join them.
+    """
+    met = postings.filter("key <> hub").groupBy("key", "hub").agg(F.count("*").alias("n"), F.max(F.expr(_size("v"))).alias("size"))
+    met = met.filter(F.expr(f"4 * n >= {_wanted('size', 'size', percent)} - {_rest('size', percent)}")).select("key", "hub")
+    named = met.join(members.withColumnRenamed("rep", "x"), "key").join(members.select(F.col("key").alias("hub"), F.col("rep").alias("y")), "hub")
+    return named.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def open_pairs(postings: DataFrame, members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components whose overlap in the first block can still grow to what their sizes ask for.
+
+    Columns with few rows give their pairs directly; those with many are multiplied by blocks of rows, whose overlaps add
+    up in one place before any pair is given out. Each part drops a pair that could not reach its bound even if the
+    other part had all the columns that both rows have there.
+    """
+    classes = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("a"), F.coalesce("component", "rep").alias("c"))
+    placed = postings.select("g", "key", F.expr(_size("v")).alias("n")).join(classes, "key").select("g", "a", "c", "n")
+    column = Window.partitionBy("g")
+    mixed = placed.repartition("g").withColumn("low", F.min("c").over(column)).withColumn("high", F.max("c").over(column)).withColumn("rows", F.count("*").over(column)).filter("low < high")
+    mixed = stash(mixed.groupBy("g", "a", "c", "n").agg((F.max("rows") > FEW).alias("many")), "mixed")
+    info = mixed.groupBy("a").agg(F.count_if("many").alias("in_many"), F.count_if(~F.col("many")).alias("in_few"))
+    rows = stash(mixed.join(info, "a"), "open")
+    # columns with few rows
+    few = rows.filter("not many").drop("many")
+    x, y = few.toDF("a", "g", "c_a", "n_a", "many_a", "few_a"), few.toDF("b", "g", "c_b", "n_b", "many_b", "few_b")
+    fits = f"a < b and c_a <> c_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    bound = f"greatest({_rest('n_a', percent)}, {_rest('n_b', percent)})"
+    light = x.join(y, "g").filter(F.expr(fits)).groupBy("a", "b").agg(F.count("*").alias("overlap"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "many_a", "many_b")])
+    light = light.filter(F.expr(f"overlap + least(many_a, many_b) + {bound} >= {_wanted('n_a', 'n_b', percent)}")).select("a", "b", "overlap", "n_a", "n_b")
+    # columns with many rows
+    heavy = rows.filter("many")
+    most = heavy.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(8, -(-most // BLOCK_ROWS))
+    entry = F.struct("a", "c", F.col("n").cast("long").alias("n"), "in_few")
+    lists = heavy.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")).repartition("g").groupBy("g", "block").agg(F.collect_list(entry).alias("rows"))
+    one, two = lists.toDF("g", "i", "rows_i"), lists.toDF("g", "j", "rows_j")
+    met = one.join(two, "g").filter("i <= j").select("i", "j", "rows_i", "rows_j").repartition("i", "j").sortWithinPartitions("i", "j")
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, info = None, [], []  # place of the block, (a, b, overlap) so far, what is known of the rows
+
+        def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            low, high, overlap = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            rows = np.unique(np.concatenate((low, high)))
+            code, where = np.unique(np.searchsorted(rows, low) * len(rows) + np.searchsorted(rows, high), return_inverse=True)
+            return rows[code // max(len(rows), 1)], rows[code % max(len(rows), 1)], np.bincount(where, overlap, len(code)).astype(np.int64)
+
+        def done() -> pa.RecordBatch:
+            low, high, overlap = added()
+            known = np.concatenate(info)
+            known = known[np.unique(known[:, 0], return_index=True)[1]]
+            a, b = known[np.searchsorted(known[:, 0], low)], known[np.searchsorted(known[:, 0], high)]
+            rest = np.maximum(a[:, 2] * percent + 99, b[:, 2] * percent + 99) // 100 - 1
+            wanted = ((a[:, 2] + b[:, 2]) * percent + 99 + percent) // (100 + percent)
+            keep = (overlap + np.minimum(a[:, 3], b[:, 3]) + rest >= wanted) & (100 * np.minimum(a[:, 2], b[:, 2]) >= percent * np.maximum(a[:, 2], b[:, 2]))
+            a, b, overlap = a[keep], b[keep], overlap[keep]
+            return pa.record_batch([pa.array(a[:, 0]), pa.array(b[:, 0]), pa.array(overlap), pa.array(a[:, 2]), pa.array(b[:, 2])], names=["a", "b", "overlap", "n_a", "n_b"])
+
+        def matrix(lists: pa.Array) -> np.ndarray:
+            values = lists.flatten()
+            return np.stack([values.field(k).to_numpy() for k in ("a", "c", "n", "in_few")], 1)
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                place = (batch.column("i")[r].as_py(), batch.column("j")[r].as_py())
+                if place != at and parts:
+                    yield done()
+                    parts, info = [], []
+                at = place
+                u, v = matrix(batch.column("rows_i").slice(r, 1)), matrix(batch.column("rows_j").slice(r, 1))
+                k, m = (u[:, None, 1] != v[None, :, 1]).nonzero()
+                low, high = np.minimum(u[k, 0], v[m, 0]), np.maximum(u[k, 0], v[m, 0])
+                if place[0] == place[1]:  # a block with itself has every pair twice
+                    once = u[k, 0] < v[m, 0]
+                    low, high = low[once], high[once]
+                parts.append((low, high, np.ones(len(low), np.int64)))
+                info += [u, v]
+                if sum(len(p[0]) for p in parts) > PENDING:
+                    parts, info = [added()], [np.unique(np.concatenate(info), axis=0)]
+        if parts:
+            yield done()
+
+    heavy_pairs = met.mapInArrow(product, "a long, b long, overlap long, n_a long, n_b long")
+    both = light.select(*[F.col(c).cast("long").alias(c) for c in ("a", "b", "overlap", "n_a", "n_b")]).union(heavy_pairs).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return both.filter(F.expr(f"overlap + {bound} >= {_wanted('n_a', 'n_b', percent)}")).select("a", "b")
+
+
 def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """``n_shingles`` and ``component_id`` of every row.
 
@@ -254,24 +362,9 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     reps = stash(sets.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("key").alias("rep")), "reps")
     members = stash(sets.filter("size > 0").join(reps, ["s1", "s2", "size"]).select("key", "rep"), "members")
     postings = stash(shared(prefixes(docs, sketch, n, percent)), "shared")
-    as_class = postings.join(members, "key").select("g", "v", "hub", F.col("rep").alias("a"))
-    hubs = members.select(F.col("key").alias("hub"), F.col("rep").alias("b"))
-    stars = as_class.select("hub", "a").distinct().join(hubs, "hub").filter("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-    stars = stash(stars, "stars")
-    links = stash(verified(docs, stars, n, percent), "links")
+    links = stash(verified(docs, stash(stars(postings, members, percent), "stars"), n, percent), "links")
     first = components(links)
-    # the rest of the block's product: pairs of different components
-    labelled = as_class.join(first.withColumnRenamed("node", "a"), "a", "left").select("g", "v", "a", F.coalesce("component", "a").alias("c")).distinct()
-    mixed = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("g")
-    open_ = stash(labelled.join(mixed, "g"), "open")
-    x = open_.select("g", F.col("v").alias("v_a"), F.col("a").alias("a"), F.col("c").alias("c_a"))
-    y = open_.select("g", F.col("v").alias("v_b"), F.col("a").alias("b"), F.col("c").alias("c_b"))
-    size = lambda v: f"(shiftright({v}, 26) & 67108863)"
-    rest = lambda v: f"({size(v)} * {percent} + 99) div 100 - 1"  # noqa: E731  columns after the first block
-    wanted = f"(({size('v_a')} + {size('v_b')}) * {percent} + {99 + percent}) div {100 + percent}"
-    met = x.join(y, "g").filter(F.expr("a < b and c_a <> c_b")).filter(F.expr(f"100 * least({size('v_a')}, {size('v_b')}) >= {percent} * greatest({size('v_a')}, {size('v_b')})"))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.max(F.expr(f"greatest({rest('v_a')}, {rest('v_b')})")).alias("rest"), F.max(F.expr(wanted)).alias("wanted"))
-    pairs = stash(pairs.filter("overlap + rest >= wanted").select("a", "b"), "pairs")
+    pairs = stash(open_pairs(postings, members, first, percent), "pairs")
     more = stash(verified(docs, pairs, n, percent), "links")
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.limit(1).count() else first
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
