@@ -43,8 +43,10 @@ def filters() -> list[tuple[int, int, int, int]]:
 
 
 FILTERS = filters()
-EDGES = np.array([-0.12, 0.0, 0.12], np.float32)
+#: Edges of the four answers, as ratios.
+LEVELS = [math.exp(x) for x in (-0.12, 0.0, 0.12)]
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+SHIFTS = np.arange(30, -2, -2, dtype=np.uint32)[:, None]
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -106,29 +108,35 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     n = len(image) - SPAN + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    sums = np.zeros((len(image) + 1, 13), np.float64)
-    sums[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
+    sums = np.zeros((13, len(image) + 1), np.float64)  # classes by frames
+    np.cumsum(image.T, 1, np.float64, sums[1:, 1:])
+    np.cumsum(sums, 0, out=sums)
+    bands: dict[tuple[int, int], np.ndarray] = {}
 
     def area(t0: int, t1: int, y0: int, y1: int) -> np.ndarray:
-        return sums[t1 : t1 + n, y1] - sums[t0 : t0 + n, y1] - sums[t1 : t1 + n, y0] + sums[t0 : t0 + n, y0]
-
-    out = np.zeros(n, np.uint32)
-    for kind, y, h, w in FILTERS:
-        whole = area(0, w, y, y + h)
+        if (y0, y1) not in bands:
+            bands[y0, y1] = sums[y1] - sums[y0]
+        band = bands[y0, y1]
+        return band[t1 : t1 + n] - band[t0 : t0 + n]
+
+    part, whole = np.empty((16, n)), np.empty((16, n))
+    for k, (kind, y, h, w) in enumerate(FILTERS):
+        whole[k] = area(0, w, y, y + h)
         if kind in (0, 2):  # the first half of the frames, of all classes and of a band
-            a = area(0, w // 2, y, y + h)
+            part[k] = area(0, w // 2, y, y + h)
         elif kind == 1:  # the lower half of the classes
-            a = area(0, w, y, y + h // 2)
+            part[k] = area(0, w, y, y + h // 2)
         elif kind == 3:  # opposite corners
-            a = area(0, w // 2, y, y + h // 2) + area(w // 2, w, y + h // 2, y + h)
+            part[k] = area(0, w // 2, y, y + h // 2) + area(w // 2, w, y + h // 2, y + h)
         elif kind == 4:  # the middle classes
-            a = area(0, w, y + h // 3, y + h - h // 3) * 1.5
+            part[k] = area(0, w, y + h // 3, y + h - h // 3) * 1.5
         else:  # the middle frames
-            a = area(w // 4, w - w // 4, y, y + h)
-        b = whole - a
-        answer = np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
-        out = (out << np.uint32(2)) | GRAY[np.searchsorted(EDGES, answer)]
-    return out
+            part[k] = area(w // 4, w - w // 4, y, y + h)
+    # log((1 + part) / (1 + rest)) against the edges
+    rest = 1 + whole - part
+    part += 1
+    passed = (part > rest * LEVELS[0]).view(np.uint8) + (part > rest * LEVELS[1]).view(np.uint8) + (part > rest * LEVELS[2]).view(np.uint8)
+    return np.bitwise_or.reduce(GRAY[passed] << SHIFTS, axis=0)
 
 
 def recordings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
