@@ -61,5 +61,28 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+ORACLE = {
+    "op4_ngram_jaccard": f"""
+with recursive w as (select doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+g as (select distinct doc_id, array_to_string(ws[p : p + 4], ' ') as s from w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) u(p) where len(ws) > 0),
+n as (select doc_id, count(*) as n from g group by doc_id),
+o as (select x.doc_id as a, y.doc_id as b, count(*) as k from g x join g y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+links as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select r.a as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id from reach r left join n on n.doc_id = r.a group by r.a""",
+    "op9_substring_dedup": f"""
+with w as (select doc_id, {WORDS.format(text="coalesce(text, '')")} as ws from documents),
+win as (select doc_id, p, array_to_string(ws[p : p + 19], ' ') as s from w, unnest(range(1, len(ws) - 18)) u(p)),
+dup as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as k from win) where k > 1),
+gone as (select distinct doc_id, p + j as i from dup, unnest(range(0, 20)) u(j)),
+each as (select doc_id, ws[i] as t, i from w, unnest(range(1, len(ws) + 1)) u(i)),
+kept as (select e.doc_id, string_agg(t, ' ' order by e.i) as t, count(*) as n from each e left join gone g on g.doc_id = e.doc_id and g.i = e.i where g.i is null group by e.doc_id)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those queries whose rows SQL can give in time (byte windows take it over a minute); the others are tested against brute force."""
+    return dict(ORACLE)
