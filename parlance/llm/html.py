@@ -160,8 +160,8 @@ def in_order(page: str, template: dict[int, int]) -> frozenset[int]:
     return frozenset(kept)
 
 
-def main_text(page: str, template: dict[int, int]) -> str:
-    """The strings of the page's own slots, as blocks; ``template`` maps tokens to their rank."""
+def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
+    """The strings of the page's own slots, as blocks with ``between`` between them; ``template`` maps tokens to their rank."""
     fixed = in_order(page, template) if template else frozenset()
     blocks: list[tuple[bool, str]] = []  # inside the main element, text
     parts: list[str] = []
@@ -191,7 +191,7 @@ def main_text(page: str, template: dict[int, int]) -> str:
     flush()
     if any(inside for inside, _ in blocks):
         blocks = [b for b in blocks if b[0]]
-    return "\n".join(text for _, text in blocks)
+    return between.join(text for _, text in blocks)
 
 
 def host(url: str = "url") -> str:
@@ -231,7 +231,7 @@ def templates(pages: DataFrame) -> DataFrame:
     return added.filter("token is not null").join(valid, ["host", "vector"]).groupBy("host").agg(F.expr("transform(array_sort(collect_list(struct(place, token))), x -> x.token)").alias("tokens"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", between: str = "\n") -> DataFrame:
     """``text`` and ``n_chars`` (code points) of every page, beside its id and url.
 
     A null or empty page has the empty text; a null url makes pages of one nameless host. Repeated pages are extracted
@@ -254,7 +254,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for i, (h, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
                 if h not in known:
                     known[h] = {t: k for k, t in enumerate(batch.column("tokens")[i].as_py() or ())}
-                texts.append(main_text(page or "", known[h]))
+                texts.append(main_text(page or "", known[h], between))
             yield pa.record_batch([batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
 
     kind = rows.schema["__id"].dataType.simpleString()

@@ -41,7 +41,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    """Blocks of a page are joined by two line breaks."""
+    return html.extract(table(spark, sf_dir, "pages"), between="\n\n")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
