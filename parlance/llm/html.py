@@ -4,10 +4,12 @@ Tokens are tags and the strings between them, each told apart by the path of tag
 token has an occurrence vector: how often it stands on each page. Tokens with the same vector form an equivalence class;
 large and frequent classes are the template that the host fills in. Vectors are compared by a sum of prints of
 (page, count), which Spark adds up on the map side first, so a host with a third of all pages is no heavier than its
-number of different tokens. Classes are nested by the paths and the mean places of their tokens, opening and closing tags
-among them; on each page those count that stand in the template's order. What stands between template tokens are slots. Slots inside menus, footers, adverts and
-the like (by the tags and class names on their path) are dropped, strings that belong to the template are dropped, and
-what is left is the page's own text.
+number of different tokens. A host may have many classes, each on some of its pages: layouts, notices, sections. All tokens of
+a class stand on the same pages, so their mean places give its order; tags and strings carry their path, so opening and closing
+tags of one element fall into one class and enclose what is nested in it. On each page every class that the page holds is
+put in order by itself, and those of its tokens count that stand in it. What stands between template tokens are slots. Slots
+inside menus, footers, adverts and the like (by the tags and class names on their path) are dropped, strings that belong to
+the template are dropped, and what is left is the page's own text.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 
 from parlance.llm.scratch import stash
 
-#: Pages that a class must stand on, tokens that it must have, and different pages that a host needs for a template.
-LEAST_PAGES, LEAST_TOKENS, LEAST_DIFFERENT = 3, 2, 8
+#: Different pages that a class must stand on, tokens that it must have, share of the host's pages with tokens that must hold it.
+LEAST_PAGES, LEAST_TOKENS, LEAST_SUPPORT = 3, 2, 0.1
+#: A class may be any share of its pages' text if it stands on ``SURE_SUPPORT`` of a host of ``LEAST_DIFFERENT`` different pages;
+#: else ``MOST_SHARE`` of the text outside furniture, or a few near copies would take their text for a template.
+LEAST_DIFFERENT, SURE_SUPPORT, MOST_SHARE = 8, 0.5, 0.8
 #: Templates up to this size in all are broadcast; beyond, pages and templates meet in a salted join.
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
@@ -131,20 +136,22 @@ def _token(kind: str, element: Element | None, value: str) -> int | None:
     return _print(kind, element.path if element else "", value)
 
 
-def page_tokens(page: str) -> dict[int, tuple[int, int]]:
-    """Each token of a page with its count and the place where it first stands."""
-    counts: dict[int, tuple[int, int]] = {}
-    for place, event in enumerate(events(page)):
-        token = _token(*event)
+def page_tokens(page: str) -> tuple[dict[int, tuple[int, int, int]], int]:
+    """Each token of a page with its count, the place where it first stands and its characters of text outside furniture; all such characters."""
+    counts: dict[int, tuple[int, int, int]] = {}
+    whole = 0
+    for place, (kind, element, value) in enumerate(events(page)):
+        token = _token(kind, element, value)
         if token is not None:
-            count, first = counts.get(token, (0, place))
-            counts[token] = (count + 1, first)
-    return counts
+            count, first, size = counts.get(token, (0, place, 0))
+            own = len(value.strip()) if kind == "text" and not (element and element.furniture) else 0
+            counts[token] = (count + 1, first, size + own)
+            whole += own
+    return counts, whole
 
 
-def in_order(page: str, template: dict[int, int]) -> frozenset[int]:
-    """Tokens of the template that stand on this page in the template's order (a longest such sequence)."""
-    found = [t for t in (_token(*event) for event in events(page)) if t in template]
+def in_order(found: list[int], template: dict[int, int]) -> frozenset[int]:
+    """Tokens of one class that stand in its order (a longest such sequence)."""
     tops: list[int] = []  # least last rank of an ordered sequence, by its length
     where: list[tuple[int, int]] = []
     for t in found:
@@ -160,9 +167,20 @@ def in_order(page: str, template: dict[int, int]) -> frozenset[int]:
     return frozenset(kept)
 
 
+def template_tokens(tokens: list[int | None], template: dict[int, int]) -> set[int]:
+    """Tokens of all classes that a page holds, each class in its own order; ``template`` maps tokens to class << 32 | rank."""
+    found: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in template:
+            found.setdefault(template[t] >> 32, []).append(t)
+    return {t for held in found.values() for t in in_order(held, template)}
+
+
 def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
-    """The strings of the page's own slots, as blocks with ``between`` between them; ``template`` maps tokens to their rank."""
-    fixed = in_order(page, template) if template else frozenset()
+    """The strings of the page's own slots, as blocks with ``between`` between them; ``template`` maps tokens to class << 32 | rank."""
+    read = list(events(page))
+    named = [_token(*event) for event in read] if template else [None] * len(read)
+    fixed = template_tokens(named, template)
     blocks: list[tuple[bool, str]] = []  # inside the main element, text
     parts: list[str] = []
     state = [False]
@@ -173,11 +191,11 @@ def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
             blocks.append((state[0], text))
         parts.clear()
 
-    for kind, element, value in events(page):
+    for (kind, element, value), token in zip(read, named, strict=True):
         if kind == "text":
             if element is not None and (element.furniture or element.name == "html"):
                 continue
-            if fixed and _token(kind, element, value) in fixed:
+            if token in fixed:
                 continue
             inside = bool(element and element.main)
             if inside != state[0]:
@@ -198,37 +216,61 @@ def host(url: str = "url") -> str:
     return f"lower(regexp_extract(coalesce({url}, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
+def _marks(page: str) -> int:
+    """One bit in each quarter of 64, so that the bits of several pages tell how many differ."""
+    x = _print(page)
+    return sum(1 << (16 * k + (x >> 4 * k & 15)) for k in range(4))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, tokens``: tags and strings of the host's template, in their mean order on its pages.
+    """``host, tokens, classes``: tags and strings of the host's classes, each class in the mean order of its tokens on its pages.
 
-    A class is kept if it stands on every page of its host once or more, has enough tokens, and the host has enough
-    pages that differ in other tokens; else a host of a few copies would take their text for its template.
+    A class is kept if it stands on enough different pages of its host and on enough of those that have tokens, has enough
+    tokens, and leaves its pages text of their own; else a host of a few copies would take their text for its template.
     """
+    names = ["host", "token", "pages", "vector", "place", "own", "around", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
-            whole: dict[str, list[int]] = {}
+            sums: dict[tuple, list[int]] = {}  # by host and token; by host, no token and page
             for h, number, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for token, (count, first) in page_tokens(page or "").items():
-                    got = sums.setdefault((h, token), [0, 0, 0])
+                tokens, whole = page_tokens(page or "")
+                marks = _marks(page or "")
+                for token, (count, first, own) in tokens.items():
+                    got = sums.setdefault((h, token), [0, 0, 0, 0, 0, 0])
                     got[0] += 1
                     got[1] = (got[1] + _print(str(number), str(count))) & (2**62 - 1)
                     got[2] += first
-                whole.setdefault(h, []).append(_print(page or ""))
-            keys = list(sums)
-            yield pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1] for k in keys], pa.int64()), pa.array([sums[k][2] for k in keys], pa.int64())], names=["host", "token", "pages", "vector", "place"])
-            rows = [(h, x) for h, xs in whole.items() for x in xs]
-            yield pa.record_batch([pa.array([h for h, _ in rows]), pa.nulls(len(rows), pa.int64()), pa.array([1] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.int64()), pa.array([0] * len(rows), pa.int64())], names=["host", "token", "pages", "vector", "place"])
-
-    tokens = pages.mapInArrow(run, "host string, token long, pages long, vector long, place long")
+                    got[3] += own
+                    got[4] += whole
+                    got[5] |= marks
+                if tokens:
+                    alike = sums.setdefault((h, None, _print(page)), [0, _print(page), 0, 0, 0, 0])
+                    alike[0] += 1
+            values = [pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(5)]
+            marks = pa.array([v[5] - (v[5] >> 63 << 64) for v in sums.values()], pa.int64())
+            yield pa.record_batch([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *values, marks], names=names)
+
+    tokens = pages.mapInArrow(run, ", ".join(["host string", *[f"{c} long" for c in names[1:]]]))
     modulus = F.lit(2**62)
-    added = tokens.groupBy("host", "token", F.when(F.col("token").isNull(), F.col("vector")).alias("page")).agg(F.sum("pages").alias("pages"), (F.sum("place") / F.sum("pages")).alias("place"), F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), modulus.cast("decimal(38,0)")).cast("long").alias("vector"))
+    added = tokens.groupBy("host", "token", F.when(F.col("token").isNull(), F.col("vector")).alias("page")).agg(
+        F.sum("pages").alias("pages"), (F.sum("place") / F.sum("pages")).alias("place"), F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), modulus.cast("decimal(38,0)")).cast("long").alias("vector"), F.sum("own").alias("own"), F.sum("around").alias("around"), F.bit_or("marks").alias("marks")
+    )
     added = stash(added.filter(f"token is null or pages >= {LEAST_PAGES}"), "tokens")
-    hosts = added.filter("token is null").groupBy("host").agg(F.sum("pages").alias("all"), F.count("*").alias("different")).filter(f"different >= {LEAST_DIFFERENT}")
-    classes = added.filter("token is not null").join(hosts, "host").filter("pages = all").groupBy("host", "vector").agg(F.count("*").alias("n"))
-    valid = classes.filter(f"n >= {LEAST_TOKENS}").select("host", "vector")
-    return added.filter("token is not null").join(valid, ["host", "vector"]).groupBy("host").agg(F.expr("transform(array_sort(collect_list(struct(place, token))), x -> x.token)").alias("tokens"))
+    hosts = added.filter("token is null").groupBy("host").agg(F.sum("pages").alias("all"), F.count("*").alias("different"))
+    frequent = added.filter("token is not null").join(hosts, "host").filter(f"pages >= {LEAST_SUPPORT} * all")
+    classes = frequent.groupBy("host", "vector", "pages", "around", "all", "different").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.bit_or("marks").alias("marks"))
+    differ = F.greatest(*[F.bit_count(F.shiftrightunsigned("marks", 16 * k).bitwiseAND(F.lit(65535))) for k in range(4)])
+    valid = classes.filter(f"n >= {LEAST_TOKENS}").filter(differ >= LEAST_PAGES).filter(f"different >= {LEAST_DIFFERENT} and pages >= {SURE_SUPPORT} * all or own <= {MOST_SHARE} * around").select("host", "vector")
+    ranked = F.array_sort(F.collect_list(F.struct("vector", "place", "token")))
+    met = frequent.join(valid, ["host", "vector"]).groupBy("host").agg(ranked.alias("ranked"))
+    return met.select("host", F.expr("transform(ranked, x -> x.token)").alias("tokens"), F.expr("transform(ranked, x -> x.vector)").alias("classes"))
+
+
+def numbered(tokens: list[int] | None, classes: list[int] | None) -> dict[int, int]:
+    """Tokens by class << 32 | rank; those of one class stand together, in their order."""
+    number: dict[int, int] = {}
+    return {t: number.setdefault(c, len(number)) << 32 | k for k, (t, c) in enumerate(zip(tokens or (), classes or (), strict=True))}
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", between: str = "\n") -> DataFrame:
@@ -240,7 +282,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").cast("string").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     rows = rows.withColumn("host", F.expr(host("__url")))
     found = stash(templates(rows.select("host", F.xxhash64("__id", "__url", "html").alias("page"), "html")), "templates")
-    size = found.agg(F.coalesce(F.sum(F.size("tokens") * 8 + F.length("host")), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("tokens") * 16 + F.length("host")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         met = rows.join(F.broadcast(found), "host", "left")
     else:
@@ -253,10 +295,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = []
             for i, (h, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
                 if h not in known:
-                    known[h] = {t: k for k, t in enumerate(batch.column("tokens")[i].as_py() or ())}
+                    known[h] = numbered(batch.column("tokens")[i].as_py(), batch.column("classes")[i].as_py())
                 texts.append(main_text(page or "", known[h], between))
             yield pa.record_batch([batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
 
     kind = rows.schema["__id"].dataType.simpleString()
-    out = met.select("__id", "__url", "html", "host", "tokens").mapInArrow(run, f"__id {kind}, __url string, text string, n_chars long")
+    out = met.select("__id", "__url", "html", "host", "tokens", "classes").mapInArrow(run, f"__id {kind}, __url string, text string, n_chars long")
     return out.withColumnRenamed("__id", id_col).withColumnRenamed("__url", url_col)

@@ -9,3 +9,31 @@ def test_query_joins_blocks_by_two_line_breaks(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.example/", "<h1>T</h1><p>a<br>b<p>c")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     row = queries.op7_html_extraction(spark, str(tmp_path)).first()
     assert row.text == "T\n\na b\n\nc" and row.n_chars == 9
+
+
+LAYOUT = "<html><body><div class=top>Welcome to our paper</div>{1}<div>{0} has its own story</div><div>All rights reserved</div></body></html>"
+SECOND = "<html><body><section>From our readers<b>Letters of the week</b></section><p>letter {0} of a reader</p><section>Write to us</section></body></html>"
+NOTICE = "<div class=info><b>Now at a lower price</b><i>Only this month</i></div>"
+
+
+def extracted(spark, pages, url="http://a.example/"):
+    rows = [(k, url, page) for k, page in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_blank_and_odd_pages_leave_the_template(spark):
+    pages = [LAYOUT.format(f"page {k}", "") for k in range(12)]
+    assert extracted(spark, [*pages, None, "", "<p>an odd page"]) == [f"page {k} has its own story" for k in range(12)] + ["", "", "an odd page"]
+
+
+def test_each_class_counts_on_the_pages_that_hold_it(spark):
+    pages = [LAYOUT.format(f"page {k}", NOTICE if k % 2 else "") for k in range(10)] + [SECOND.format(k) for k in range(5)]
+    assert extracted(spark, pages) == [f"page {k} has its own story" for k in range(10)] + [f"letter {k} of a reader" for k in range(5)]
+
+
+def test_small_hosts_have_templates_and_copies_keep_their_text(spark):
+    assert extracted(spark, [LAYOUT.format(f"page {k}", "") for k in range(4)]) == [f"page {k} has its own story" for k in range(4)]
+    story = "<p>It was a long day by the sea.</p><p>Nobody had seen the boats come in, and the wind was cold.</p><p>{}</p>"
+    near = [story.format(k) for k in range(4)]
+    assert [t.count("\n") for t in extracted(spark, [*near, *[LAYOUT.format(f"page {k}", "") for k in range(9)]])[:4]] == [2] * 4
+    assert [t.count("\n") for t in extracted(spark, [story.format("x")] * 9)] == [2] * 9
