@@ -36,7 +36,13 @@ BROADCAST_BYTES, SALTS = 32 << 20, 32
 
 # Elements by their role in HTML, and class or id words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select button datalist canvas audio video title head".split())
+#: Elements whose inside isn't parsed: it runs to their end tag.
+RAW = frozenset("script style textarea title".split())
+#: Elements that hold no text of the page; without an end tag of their own they hold nothing, and some can't stand in each other.
+HIDDEN = frozenset("noscript template iframe svg object select button datalist canvas audio video".split())
+NESTED = frozenset("template svg object".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav footer aside form dialog menu fieldset label".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -50,6 +56,7 @@ MAIN_WORDS = frozenset("article-body article-content article__body entry-content
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(>|\Z)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+HIDDEN_NEXT = {name: re.compile(rf"<{'/' if name in NESTED else '(/?)'}{name}(?=[\s/>])", re.I) for name in HIDDEN}
 
 
 def _print(*parts: str) -> int:
@@ -61,25 +68,37 @@ class Element:
 
     def __init__(self, name: str, attributes: str, above: Element | None):
         self.name = name
-        words: set[str] = set()
-        whole: set[str] = set()
+        words: set[str] = set()  # of class names, roles and ids, cut at hyphens
+        classes: set[str] = set()  # whole class names and roles
+        whole: set[str] = set()  # those, and ids
         label = name
+        inside = bool(above and above.main)
         if attributes and "=" in attributes:
             for key, value in NAMES.findall(attributes):
-                value = value.strip("\"'").lower()
-                label += f"[{key.lower()}={value}]" if key.lower() != "id" else ""
-                whole |= set(value.split())
-                words |= set(re.split(r"[\s_-]+", value))
+                value, key = value.strip("\"'").lower(), key.lower()
+                each = set(value.split())
+                whole |= each
+                if key != "id":
+                    label += f"[{key}={value}]"
+                    classes |= each
+                if key != "id" or name not in HEADINGS and name != "section":
+                    words |= set(re.split(r"[\s_-]+", value))
         self.path = (above.path + "/" if above else "") + label
-        self.main = bool(above and above.main) or name in ("article", "main") or "main" in whole or bool(whole & MAIN_WORDS)
-        inside = above and above.main
-        self.furniture = bool(above and above.furniture) or name in FURNITURE or bool(words & FURNITURE_WORDS and name not in ("html", "body", "article", "main")) or (not inside and (name == "header" or "header" in words and name not in ("html", "body")))
+        self.main = inside or name in ("article", "main") or "main" in whole or bool(whole & MAIN_WORDS)
+        # names tell furniture: in the main element and on headings whole class names only, on sections outside whole ids too
+        if inside or name in HEADINGS:
+            found = classes
+        else:
+            found = words | whole
+        named = name not in ("html", "body", "article", "main")
+        self.furniture = bool(above and above.furniture) or name in FURNITURE or name in HIDDEN or name == "head" or bool(named and found & FURNITURE_WORDS) or (not inside and (name == "header" or named and name not in HEADINGS and "header" in found))
 
 
 def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
     """("open" | "close", element, name) and ("text", element above, string) in page order."""
     stack: list[Element] = []
     at, n = 0, len(page)
+    ends: dict[str, re.Match | None] = {}  # where hidden elements next end, or none do
 
     def pop_to(k: int):
         while len(stack) > k:
@@ -88,11 +107,13 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
 
     while at < n:
         m = TOKEN.search(page, at)
+        between = page[at : m.start() if m else n]
+        if between:
+            if stack and stack[-1].name == "head" and not between.isspace():
+                yield from pop_to(len(stack) - 1)
+            yield "text", stack[-1] if stack else None, between
         if m is None:
-            yield "text", stack[-1] if stack else None, page[at:]
             break
-        if m.start() > at:
-            yield "text", stack[-1] if stack else None, page[at : m.start()]
         at = m.end()
         name = m[2]
         if name is None or not m[4]:  # a comment, a declaration, or a tag that the page's end cuts off
@@ -104,6 +125,11 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
                     yield from pop_to(k)
                     break
             continue
+        if stack and (stack[-1].name == "head" and name not in HEAD or name == "body"):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name == "head":
+                    yield from pop_to(k)
+                    break
         if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             closes = {"p"} if name in CLOSES_P else set()
             closes |= {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(name, set())
@@ -117,6 +143,12 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             yield "void", element, name
             continue
+        if name in HIDDEN:
+            end = ends[name] if name in ends and (ends[name] is None or ends[name].start() >= at) else HIDDEN_NEXT[name].search(page, at)
+            ends[name] = end
+            if end is None or name not in NESTED and not end[1]:
+                yield "void", element, name
+                continue
         if name in RAW:
             end = RAW_END[name].search(page, at)
             yield "open", element, name
@@ -181,35 +213,26 @@ def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
     read = list(events(page))
     named = [_token(*event) for event in read] if template else [None] * len(read)
     fixed = template_tokens(named, template)
-    blocks: list[tuple[bool, str]] = []  # inside the main element, text
+    blocks: list[str] = []
     parts: list[str] = []
-    state = [False]
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            blocks.append((state[0], text))
+            blocks.append(text)
         parts.clear()
 
     for (kind, element, value), token in zip(read, named, strict=True):
         if kind == "text":
-            if element is not None and (element.furniture or element.name == "html"):
-                continue
-            if token in fixed:
+            if element is not None and element.furniture or token in fixed:
                 continue
-            inside = bool(element and element.main)
-            if inside != state[0]:
-                flush()
-                state[0] = inside
             parts.append(value)
         elif value == "br":
             parts.append(" ")
-        elif value in BLOCK or value in RAW:
+        elif value in BLOCK or value in RAW or value in HIDDEN:
             flush()
     flush()
-    if any(inside for inside, _ in blocks):
-        blocks = [b for b in blocks if b[0]]
-    return between.join(text for _, text in blocks)
+    return between.join(blocks)
 
 
 def host(url: str = "url") -> str:

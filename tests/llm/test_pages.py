@@ -37,3 +37,17 @@ def test_small_hosts_have_templates_and_copies_keep_their_text(spark):
     near = [story.format(k) for k in range(4)]
     assert [t.count("\n") for t in extracted(spark, [*near, *[LAYOUT.format(f"page {k}", "") for k in range(9)]])[:4]] == [2] * 4
     assert [t.count("\n") for t in extracted(spark, [story.format("x")] * 9)] == [2] * 9
+
+
+def test_text_that_has_to_stay():
+    read = lambda page: html.main_text(page, {})
+    assert read("<html><head><title>no</title><meta charset=utf-8><body><p>a") == read("<html><head><title>no</title><p>a") == read("<head>a") == "a"
+    assert read("<html>a<p>b</p></html>") == "a\nb" and read("<html><body><p>a</p></body>b</html>") == "a\nb"
+    assert read("<p>a<button>b<p>c<svg><p>d<select><p>e") == "a\nb\nc\nd\ne"
+    assert read("<p>a<p><button>b</button><svg><text>c</text></svg><select><option>d</select><p>e") == "a\ne"
+    assert read("<button>" * 3 + "a</button><p>b") == "b"
+    assert read('<h1 class="header">a</h1><svg><g></svg>b<svg></svg>c') == "a\nb\nc"
+    main = '<article><h2 id="market-share">a</h2><section id="related-work"><p class="social-order">b</p></section><div class="share">c</div><p>d</article>'
+    assert read(main) == "a\nb\nd" and read('<h2 id="market-share">a</h2><section id="related-work">b</section><section id=comments>c</section>') == "a\nb"
+    assert read("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be") == "let x=1 be"
+    assert read("<h1>a</h1><article><p>b</article><p>c") == "a\nb\nc"
