@@ -6,11 +6,13 @@ areas; each answer is quantised to two bits in Gray code, and 32 bits are packed
 
 Recordings are aligned with a stated set of queries in blocks: the integers of a block of queries, which has a size bound, are
 sent to all tasks, and every recording is looked up against it where it is read. Equal integers vote for the offset between the
-two; where an offset has enough votes the bits of the stretch between its first and last vote are compared.
+two, each run of one integer once; where an offset has enough votes for what changes in both, the bits from the first run to the
+last that votes are compared. Recordings of fewer integers than votes are held against every place; equal whole fingerprints meet as such; recordings too short for one integer if their samples are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ FRAME, HOP = 128, 16
 LOWEST, HIGHEST = 400.0, 2000.0
 #: Frames that one integer looks at.
 SPAN = 16
-#: Votes for an offset, share of the shorter recording that it must span, bits that may differ there.
+#: Votes for an offset (all, where a recording has fewer changes), share of the shorter recording that it must span, bits that may differ there.
 LEAST_VOTES, LEAST_SPAN, MOST_ERROR = 4, 0.5, 0.15
 #: Integers in a block of queries (32 MB with their places).
 BLOCK_ITEMS = 2 << 20
@@ -158,34 +160,80 @@ def recordings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio") -> DataFrame:
-    """``items`` (packed 32-bit integers, little-endian) of every recording; null and broken audio has none."""
+    """``items`` (packed 32-bit integers, little-endian) of every recording; null and broken audio has none.
+
+    ``short`` is the SHA-256 of the samples of a recording that has sound but no integer.
+    """
     rows = media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{audio_col}`").alias("audio"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [fingerprint(pcm(a.as_buffer().to_pybytes() if a.is_valid else None)).astype("<u4").tobytes() for a in batch.column("audio")]
-            yield pa.record_batch([batch.column("id"), pa.array(out, pa.binary())], names=["id", "items"])
+            out, short = [], []
+            for a in batch.column("audio"):
+                samples = pcm(a.as_buffer().to_pybytes() if a.is_valid else None)
+                items = fingerprint(samples).astype("<u4").tobytes()
+                out.append(items)
+                short.append(hashlib.sha256(samples.tobytes()).digest() if len(samples) and not items else None)
+            yield pa.record_batch([batch.column("id"), pa.array(out, pa.binary()), pa.array(short, pa.binary())], names=["id", "items", "short"])
 
-    return rows.mapInArrow(run, "id long, items binary")
+    return rows.mapInArrow(run, "id long, items binary, short binary")
 
 
 class Block:
     """Queries of one block: their integers sorted, with query number and place."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray]):
+    def __init__(self, ids: list[int], items: list[np.ndarray], short: list[bytes | None]):
         self.ids, self.items = np.array(ids, np.int64), items
-        parts = [(x[s], np.full(len(s), q), s) for q, x in enumerate(items) for s in (changes(x),)]
+        self.changes = [changes(x) for x in items]
+        self.needed = np.array([min(LEAST_VOTES, len(s)) for s in self.changes], np.int64)
+        self.whole: dict[bytes, list[int]] = {}
+        for q, x in enumerate(items):
+            key = _whole(x, short[q])
+            if key is not None:
+                self.whole.setdefault(key, []).append(q)
+        self.tiny = self._flat([q for q, x in enumerate(items) if len(x) < LEAST_VOTES])
+        self.all = self._flat(range(len(items)))
+        parts = [(x[s], np.full(len(s), q), s) for q, (x, s) in enumerate(zip(items, self.changes, strict=True))]
         value, query, place = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(value, kind="stable")
         self.value, self.query, self.place = value[order], query[order], place[order]
 
-    def matches(self, own: int, x: np.ndarray) -> list[tuple[int, int, int, float]]:
+    def _flat(self, chosen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Integers, query and place of whole queries, one after the other."""
+        chosen = [q for q in chosen if len(self.items[q])]
+        sizes = [len(self.items[q]) for q in chosen]
+        joined = np.concatenate([self.items[q] for q in chosen]) if chosen else np.zeros(0, np.uint32)
+        return joined, np.repeat(np.array(chosen, np.int32), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if chosen else np.zeros(0, np.int32)
+
+    def _everywhere(self, own: int, x: np.ndarray, best: dict[int, tuple[int, int, int, float]]) -> None:
+        """All offsets of pairs of which one has few integers: where the bits of all agree, those of one integer do."""
+        value, query, place = self.all if len(x) < LEAST_VOTES else self.tiny
+        if not len(x) or not len(value):
+            return
+        near = int(MOST_ERROR * 32)
+        few = x if len(x) <= len(value) else value
+        many = value if few is x else x
+        hits = [(j, np.flatnonzero(np.bitwise_count(many ^ v) <= near)) for j, v in enumerate(few)]
+        pairs = {(int(query[k]), int(place[k]) - j) for j, ks in hits for k in ks} if few is x else {(int(query[k]), int(place[k]) - int(j)) for k, js in hits for j in js}
+        for q, shift in sorted(pairs):
+            y = self.items[q]
+            first, last = max(0, -shift), min(len(x), len(y) - shift)
+            if self.ids[q] == own or last - first < LEAST_SPAN * min(len(x), len(y)):
+                continue
+            error = int(np.bitwise_count(x[first:last] ^ y[first + shift : last + shift]).sum()) / (32 * (last - first))
+            if error <= MOST_ERROR and (q not in best or (best[q][2], -best[q][3]) < (last - first, -round(error, 6))):
+                best[q] = (int(self.ids[q]), shift, last - first, round(error, 6))
+
+    def matches(self, own: int, x: np.ndarray, short: bytes | None = None) -> list[tuple[int, int, int, float]]:
         """Query id, offset (place in the query less place here), integers compared, share of bits that differ."""
+        best: dict[int, tuple[int, int, int, float]] = {q: (int(self.ids[q]), 0, len(x), 0.0) for q in self.whole.get(_whole(x, short), ()) if self.ids[q] != own}
+        self._everywhere(own, x, best)
+        done = frozenset(best)
         at = changes(x)
         low, high = np.searchsorted(self.value, x[at], "left"), np.searchsorted(self.value, x[at], "right")
         count = high - low
         if not count.sum():
-            return []
+            return list(best.values())
         hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         here = np.repeat(at, count)
         query, offset = self.query[hit], self.place[hit] - here
@@ -194,13 +242,17 @@ class Block:
         code, here = code[order], here[order]
         start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         stop = np.append(start[1:], len(code))
-        enough = stop - start >= LEAST_VOTES
-        best: dict[int, tuple[int, int, int, float]] = {}
+        enough = stop - start >= np.minimum(self.needed[code[start] >> 32], len(at))
         for a, b in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
             q, shift = int(code[a] >> 32), int(code[a] & 0xFFFFFFFF) - (1 << 31)
-            first, last = int(here[a:b].min()), int(here[a:b].max()) + 1
+            if self.ids[q] == own or q in done:
+                continue
             y = self.items[q]
-            if self.ids[q] == own or last - first < LEAST_SPAN * min(len(x), len(y)):
+            first, last = int(here[a:b].min()), int(here[a:b].max())
+            last += min(_rest(at, last, len(x)), _rest(self.changes[q], last + shift, len(y)))
+            if first and first + shift and x[first - 1] == y[first + shift - 1]:  # the run before, of which one has more
+                first -= min(_before(at, first), _before(self.changes[q], first + shift))
+            if last - first < LEAST_SPAN * min(len(x), len(y)):
                 continue
             wrong = int(np.bitwise_count(x[first:last] ^ y[first + shift : last + shift]).sum())
             error = wrong / (32 * (last - first))
@@ -214,10 +266,26 @@ def changes(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
+def _rest(at: np.ndarray, place: int, n: int) -> int:
+    """Places from this one to the end of its run."""
+    k = int(np.searchsorted(at, place, "right"))
+    return (int(at[k]) if k < len(at) else n) - place
+
+
+def _before(at: np.ndarray, place: int) -> int:
+    """Places of the run before this one, up to this one."""
+    return place - int(at[int(np.searchsorted(at, place, "left")) - 1])
+
+
+def _whole(x: np.ndarray, short: bytes | None) -> bytes | None:
+    """What equal whole recordings share: all integers, or the samples where there are none."""
+    return hashlib.sha256(x.tobytes()).digest() if len(x) else short
+
+
 def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """``id, n_items, sha256`` of every recording with ``query_id, offset, n_compared, bit_error`` for each query it aligns with.
 
-    ``queries`` are rows (id, items). Recordings that align with none have one row with nulls; a recording isn't held
+    ``queries`` are rows (id, items, short), as ``prints`` are. Recordings that align with none have one row with nulls; a recording isn't held
     against a query of its own id.
     """
     spark = prints.sparkSession
@@ -229,20 +297,20 @@ def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
     fields = "query_id:bigint,offset:bigint,n_compared:bigint,bit_error:double"
     for k in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about BLOCK_ITEMS integers
-        sent = spark.sparkContext.broadcast(([r["id"] for r in part], [bytes(r["items"]) for r in part]))
+        sent = spark.sparkContext.broadcast(([r["id"] for r in part], [bytes(r["items"]) for r in part], [bytes(r["short"]) if r["short"] is not None else None for r in part]))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, raw = sent.value
-            block = Block(ids, [np.frombuffer(x, "<u4") for x in raw])
+            ids, raw, alone = sent.value
+            block = Block(ids, [np.frombuffer(x, "<u4") for x in raw], alone)
             for batch in batches:
                 out = []
-                for own, items, found in zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("found").to_pylist(), strict=True):
+                for own, items, short, found in zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("short").to_pylist(), batch.column("found").to_pylist(), strict=True):
                     names = ("query_id", "offset", "n_compared", "bit_error")
-                    out.append(found + [dict(zip(names, m, strict=True)) for m in block.matches(own, np.frombuffer(items.as_buffer() or b"", "<u4"))])
+                    out.append(found + [dict(zip(names, m, strict=True)) for m in block.matches(own, np.frombuffer(items.as_buffer() or b"", "<u4"), short)])
                 kind = pa.list_(pa.struct([("query_id", pa.int64()), ("offset", pa.int64()), ("n_compared", pa.int64()), ("bit_error", pa.float64())]))
-                yield pa.record_batch([batch.column("id"), batch.column("items"), pa.array(out, kind)], names=["id", "items", "found"])
+                yield pa.record_batch([batch.column("id"), batch.column("items"), batch.column("short"), pa.array(out, kind)], names=["id", "items", "short", "found"])
 
-        rows = rows.mapInArrow(look, f"id long, items binary, found array<struct<{fields}>>")
+        rows = rows.mapInArrow(look, f"id long, items binary, short binary, found array<struct<{fields}>>")
     each = rows.select("id", (F.length("items") / 4).cast("long").alias("n_items"), F.sha2("items", 256).alias("sha256"), F.explode_outer("found").alias("m"))
     return each.select("id", "n_items", "sha256", "m.query_id", "m.offset", "m.n_compared", "m.bit_error")
 
