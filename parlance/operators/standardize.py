@@ -36,8 +36,8 @@ def _joined(df: DataFrame, name: str, separator: str) -> Column:
     return F.array_join(meaningful(c), separator) if dict(df.dtypes)[name].startswith("array") else c.cast("string")
 
 
-def web(df: DataFrame) -> DataFrame:
-    """Website rows in their fixed columns, missing ones null, others dropped."""
+def web(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Website rows in their fixed columns, missing ones null, others dropped but for those of ``keep``, which pass as they are."""
     out = df
     for c in ("article_title", "article_sub_title", "author", "article_text", "publication_date", "source"):
         if c not in out.columns:
@@ -54,7 +54,7 @@ def web(df: DataFrame) -> DataFrame:
     kept = F.col("other_items") if "other_items" in df.columns else F.lit(None).cast("map<string,array<string>>")
     out = out.withColumn("__other", F.coalesce(F.when(references.isNotNull(), F.create_map(F.lit("references_text"), references)), kept)).withColumn("__images", filled_list(of("image_links")))
     renamed = {"article_categories": "__categories", "links_in_text": "__links", "embedded_media_links": "__media", "other_items": "__other", "image_links": "__images"}
-    return out.select(*[(F.col(renamed[c]) if c in renamed else F.col(c) if c in out.columns else F.lit(None).cast("string")).alias(c) for c in WEB_COLUMNS])
+    return out.select(*keep, *[(F.col(renamed[c]) if c in renamed else F.col(c) if c in out.columns else F.lit(None).cast("string")).alias(c) for c in WEB_COLUMNS])
 
 
 FORUM_BLOCK = r"(?s)---\s*(POST|COMMENT):\s*(\S+)\s+(\d{4}-\d{2}-\d{2}(?:[ ,]+\d{2}:\d{2})?|(?i:idag|igår)[ ,]*\d{2}:\d{2})\s*([^\n]*?)---\s*(.*?)(?=---\s*(?:POST|COMMENT):|\z)"

@@ -435,10 +435,7 @@ def web_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("source"), F.col("url").alias("article_link"), F.array(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("article_title"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("external_links")
     )
-    out = standardize.web(raw.drop("page_id")).select("article_title", "source", "links_in_text", "article_link")
-    keyed = raw.select("page_id", F.col("article_link").alias("link"))
-    met = out.join(keyed, F.col("article_link") == F.col("link"))
-    return met.select("page_id", "article_title", F.coalesce(F.array_join("links_in_text", " "), F.lit("")).alias("links"), F.coalesce(F.size("links_in_text"), F.lit(0)).cast("long").alias("n_links"), "source")
+    return standardize.web(raw, keep=("page_id",)).select("page_id", "article_title", F.coalesce(F.array_join("links_in_text", " "), F.lit("")).alias("links"), F.coalesce(F.size("links_in_text"), F.lit(0)).cast("long").alias("n_links"), "source")
 
 
 @query(
