@@ -1,8 +1,9 @@
 """Numpy views of Arrow text columns: slabs, words and rolling fingerprints.
 
-Fingerprints are polynomial, modulo 2**64: a prefix sum of ``byte * m**i`` gives the fingerprint of every
-span of a slab as a difference times ``m**-start``, so that all spans come from one pass over the bytes.
-They depend on the bytes of the span alone, never on where the span stands.
+A fingerprint joins two polynomials modulo the prime 2**31 - 1, each at a base of its own: a prefix sum of ``byte * base**i``
+gives the fingerprint of every span of a slab as a difference times ``base**-start``, so that all spans come from one pass
+over the bytes. It depends on the bytes of the span alone, never on where the span stands. Two given strings of n bytes
+agree in one polynomial at n bases of 2**31 at most, however they are built, so in both with a chance of n**2 / 2**62.
 """
 
 from __future__ import annotations
@@ -27,41 +28,98 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Roller:
-    """Fingerprints of spans for one odd multiplier; the powers grow with the longest slab seen."""
+PRIME, HALF = U64((1 << 31) - 1), U64(31)
+#: Values worked on at a time, so that they stay in the cache.
+STRIDE = 1 << 15
+
+
+def _fold(x: np.ndarray, high: np.ndarray) -> None:
+    """Half of a reduction modulo the prime, in place: below 2**62 it leaves less than 2**32, below 2**33 at most 2**31 + 3."""
+    np.right_shift(x, HALF, out=high)
+    x &= PRIME
+    x += high
+
 
-    def __init__(self, multiplier: int):
-        self.m, self.inv = multiplier | 1, pow(multiplier | 1, -1, 1 << 64)
+class Polynomial:
+    """Fingerprints of spans of equal length for one base modulo the prime; the powers grow with the longest slab seen."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, int(PRIME))
         self.up = self.down = np.ones(1, U64)
 
     def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            self.up, self.down = np.full(n, self.m, U64), np.full(n, self.inv, U64)
-            self.up[0] = self.down[0] = 1
-            np.cumprod(self.up, out=self.up)
-            np.cumprod(self.down, out=self.down)
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate((self.up, self.up * U64(pow(self.base, k, int(PRIME))) % PRIME))
+            self.down = np.concatenate((self.down, self.down * U64(pow(self.inverse, k, int(PRIME))) % PRIME))
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
+        """Sums before each place, of values below 2**31; they are below 2**32, not always the least residue."""
         n = len(values)
         self._grow(n + 1)
-        out = np.zeros(n + 1, U64)
-        scaled = values.astype(U64)
-        scaled += U64(1)
-        scaled *= self.up[:n]
-        np.cumsum(scaled, out=out[1:])
+        out, high = np.zeros(n + 1, U64), np.empty(STRIDE, U64)
+        carry = U64(0)
+        for lo in range(0, n, STRIDE):
+            x = values[lo : lo + STRIDE].astype(U64)
+            h = high[: len(x)]
+            x *= self.up[lo : lo + len(x)]
+            _fold(x, h)
+            x[0] += carry
+            at = out[lo + 1 : lo + 1 + len(x)]
+            np.cumsum(x, out=at)
+            _fold(at, h)
+            carry = at[-1]
+        return out
+
+    def spans(self, prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, out: np.ndarray, shift: int) -> None:
+        """Adds the fingerprints, shifted to the left, to ``out``; ``start`` and ``end`` are places or slices of them."""
+        n, high = len(out), np.empty(STRIDE, U64)
+        for lo in range(0, n, STRIDE):
+            hi = min(n, lo + STRIDE)
+            if isinstance(start, slice):
+                from_, to = slice(start.start + lo, start.start + hi), slice(end.start + lo, end.start + hi)
+            else:
+                from_, to = start[lo:hi], end[lo:hi]
+            x, h = prefix[to] + U64(int(PRIME) << 2), high[: hi - lo]
+            x -= prefix[from_]
+            _fold(x, h)
+            x *= self.down[from_]
+            _fold(x, h)
+            _fold(x, h)
+            np.subtract(x, PRIME, out=x, where=x >= PRIME)
+            x <<= U64(shift)
+            out[lo:hi] |= x
+
+
+class Roller:
+    """64-bit fingerprints of spans: two polynomials side by side. Spans of different lengths are told apart by their callers."""
+
+    def __init__(self, one: int, two: int):
+        self.parts = Polynomial(one), Polynomial(two)
+
+    def prefix(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of bytes; of 64-bit values the high and the low half count, each in one polynomial."""
+        if values.dtype == U64:
+            return self.parts[0].prefix(values >> U64(34)), self.parts[1].prefix(values & U64((1 << 30) - 1))
+        return self.parts[0].prefix(values), self.parts[1].prefix(values)
+
+    def _spans(self, prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray | slice, end: np.ndarray | slice, n: int) -> np.ndarray:
+        out = np.zeros(n, U64)
+        for part, sums, shift in zip(self.parts, prefix, (32, 0), strict=True):
+            part.spans(sums, start, end, out, shift)
         return out
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self.down[start]
+    def spans(self, prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._spans(prefix, start, end, len(start))
 
-    def grams(self, prefix: np.ndarray, k: int) -> np.ndarray:
+    def grams(self, prefix: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
         """The fingerprint of the k values from each position on."""
-        n = len(prefix) - k
-        return (prefix[k:] - prefix[:n]) * self.down[:n] if n > 0 else np.zeros(0, U64)
+        n = max(0, len(prefix[0]) - k)
+        return self._spans(prefix, slice(0, n), slice(k, k + n), n)
 
 
-BYTES, BYTES2 = Roller(0x9E3779B97F4A7C15), Roller(0xC2B2AE3D27D4EB4F)
+#: Bases drawn at random once, so that no text was made to fit them.
+BYTES, BYTES2 = Roller(1307674391, 586241737), Roller(1986090259, 943311703)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -101,7 +159,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_prints(data: np.ndarray, start: np.ndarray, end: np.ndarray, roller: Roller = BYTES) -> np.ndarray:
-    """A 64-bit print of each word's bytes."""
+    """A 64-bit print of each word's bytes and length."""
     return mix(roller.spans(roller.prefix(data), start, end) + (end - start).astype(U64) * U64(0x165667B19E3779F9))
 
 
