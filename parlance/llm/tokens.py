@@ -66,8 +66,8 @@ class PieceCounter:
             wide, found = overlap, None
             while found is None and high < n:
                 from_ = snap(high - wide)
-                if from_ <= since:  # nothing stable since the last splice: take more text into this chunk
-                    high, wide = snap(high + chunk), overlap
+                if from_ <= since:  # nothing stable since the last splice: double this chunk, so that all its encodings together stay linear
+                    high, wide = snap(2 * high - low), overlap
                     starts = [low + x for x in self.starts(data[low:high])]
                     continue
                 to = snap(from_ + wide + chunk)
