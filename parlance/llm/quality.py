@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram logistic regression beside fixed base rules.
 
-Words and character trigrams are hashed into a fixed number of weights; a document's features are the
-relative frequencies of its words and of its trigrams. The weights are trained on labelled rows (at most
-``max_rows`` of them, a documented bound) in four fifths of which the regression is fitted and in one fifth
+Words, pairs of neighbouring words and character trigrams are hashed into a fixed number of weights; a document's
+features are the relative frequencies of its words and pairs and of its trigrams. The weights are trained on labelled rows (at most
+``max_rows`` of them with ``max_bytes`` of text, documented bounds) in four fifths of which the regression is fitted and in one fifth
 of which Platt's method turns its margins into probabilities. Every document is then scored in Arrow
 batches against one fixed probability.
 """
@@ -13,17 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.scratch import text_rows
+from parlance.llm.scratch import stash, text_rows
 from parlance.llm.textnum import BYTES, U64, char_offsets, code_points, mix, slabs, strings, word_prints, words
 
 #: Most labelled rows that the classifier is fitted on (chosen by hash of the id, so evenly).
 MAX_ROWS = 4000
+#: Most bytes of text among them; rows beyond, in the same order, are left out.
+MAX_BYTES = 128 << 20
 #: Documents below this calibrated probability of good quality are rejected.
 KEEP_AT = 0.5
-#: Hashed weights: the first half for words, the second for character trigrams.
+#: Hashed weights: the first half for words and pairs of words, the second for character trigrams.
 WEIGHTS = 1 << 18
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOL = np.zeros(256, bool)
@@ -79,8 +81,11 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: n
 
 
 def features(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and weight number of each word, then of each character trigram inside a text."""
+    """Text number and weight number of each word and pair of words, then of each character trigram inside a text."""
     half = U64(WEIGHTS // 2 - 1)
+    pair = np.flatnonzero(doc[1:] == doc[:-1])
+    both = mix(mix(prints[pair]) + prints[pair + 1])
+    doc, prints = np.concatenate((doc, doc[pair])), np.concatenate((prints, both))
     points = code_points(data).astype(np.uint32)
     at = char_offsets(data, offsets)
     if len(points) < 3:
@@ -96,7 +101,7 @@ def features(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, prints: np.
 
 
 def margins(weights: np.ndarray, n: int, parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Mean weight of the words plus mean weight of the trigrams."""
+    """Mean weight of the words and pairs plus mean weight of the trigrams."""
     out = np.zeros(n)
     for owner, at in ((parts[0], parts[1]), (parts[2], parts[3])):
         count = np.bincount(owner, minlength=n)
@@ -167,16 +172,21 @@ def fit_rows(texts: pa.Array, y: np.ndarray) -> np.ndarray | None:
     return np.concatenate((w, [slope, shift, b]))
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> np.ndarray | None:
-    """Fit on at most ``max_rows`` labelled rows, chosen and ordered by hash of the id.
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> np.ndarray | None:
+    """Fit on at most ``max_rows`` labelled rows of ``max_bytes`` together, chosen and ordered by hash of the id.
 
-    Null labels and labels other than 0 and 1 are left out, null texts count as empty. None without both classes.
+    Null labels and labels other than 0 and 1 are left out, null texts count as empty. An id with several labels has the least, one with several
+    texts the first of them in order. None without both classes.
     """
     marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marked = marked.filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     chosen = marked.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_rows)  # bounded before any text is read
-    rows = text_rows(documents, id_col, text_col).join(F.broadcast(chosen), "id")
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id", F.lit(1)), "id", "text")
+    rows = text_rows(documents, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = stash(rows, "labelled")
+    order = [F.xxhash64("id", F.lit(1)), F.col("id")]
+    sized = rows.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))  # max_rows of them
+    within = sized.withColumn("n", F.sum("n").over(Window.orderBy(*order))).filter(F.col("n") <= max_bytes).select("id")
+    one = rows.join(F.broadcast(within), "id").repartition(1).sortWithinPartitions(*order)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
