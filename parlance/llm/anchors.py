@@ -7,7 +7,8 @@ stretch that they cover is the anchor's context. An operator emits one row per a
 ``h`` print of the anchor, ``s`` print of the context, ``key`` row of the text, ``first`` place of the first window,
 ``shape`` = windows << 8 | place of the anchor inside the context.
 
-Rows are sorted by ``(h, s, key, first)``. Of rows with equal ``h`` and ``s`` all but the first repeat whole contexts. Where
+A row that repeats another of its batch is told where it is found (``told``): it only passes through the sort, in whatever part, so an anchor that occurs
+everywhere has few rows to sort. Rows are sorted by ``(h, s, key, first)``. Of rows with equal ``h`` and ``s`` all but the first repeat whole contexts. Where
 an anchor has several contexts, the first row of each is a request: its text is fetched and compared unit by unit.
 """
 
@@ -22,12 +23,22 @@ from pyspark.sql import functions as F
 
 from parlance.llm.rows import bitmap, in_bitmap
 from parlance.llm.scratch import stash
+from parlance.llm.textnum import U64, mix
 
 ANCHORS = "h long, s long, key long, first long, shape long"
 NAMES = ["h", "s", "key", "first", "shape"]
 COVERED = "key long, lo long, hi long"
 
 
+def told(h: np.ndarray, s: np.ndarray, key: np.ndarray, first: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of a batch; of those with equal h and s all but the first in order of key and place have a negative shape and some h of their own."""
+    order = np.lexsort((first, key, s, h))
+    again = np.zeros(len(h), bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (s[order[1:]] == s[order[:-1]])
+    spread = mix((key.astype(U64) << U64(24)) + first.astype(U64)).view(np.int64)
+    return np.where(again, spread, h), s, key, first, np.where(again, -shape, shape)
+
+
 def scanned(anchors: DataFrame, window: int) -> DataFrame:
     """``kind, h, key, first, shape``: kind 0 repeats its whole context, kind 1 is a request.
 
@@ -39,6 +50,10 @@ def scanned(anchors: DataFrame, window: int) -> DataFrame:
         last = None  # the last first row of a context: h, s, key, first, shape, and whether it has been asked for
         for batch in batches:
             h, s, key, first, shape = (batch.column(i).to_numpy() for i in range(5))
+            known = shape < 0
+            if known.any():
+                yield pa.record_batch([pa.array(np.zeros(int(known.sum()), np.int32)), pa.array(h[known]), pa.array(key[known]), pa.array(first[known]), pa.array(-shape[known])], names=["kind", "h", "key", "first", "shape"])
+                h, s, key, first, shape = (x[~known] for x in (h, s, key, first, shape))
             if not len(h):
                 continue
             asked = np.zeros(len(h), bool)

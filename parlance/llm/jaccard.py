@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.rows import bitmap, components, in_bitmap, keyed
+from parlance.llm.rows import attached, bitmap, components, in_bitmap, keyed
 from parlance.llm.scratch import stash
 from parlance.llm.textnum import U64, mix, slabs, strings, word_prints, words
 
@@ -277,7 +277,8 @@ def open_pairs(postings: DataFrame, members: DataFrame, found: DataFrame, percen
     up in one place before any pair is given out. Each part drops a pair that could not reach its bound even if the
     other part had all the columns that both rows have there.
     """
-    classes = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("a"), F.coalesce("component", "rep").alias("c"))
+    posted = members.join(postings.select("key").distinct(), "key", "left_semi")  # of equal sets few have postings
+    classes = posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("a"), F.coalesce("component", "rep").alias("c"))
     placed = postings.select("g", "key", F.expr(_size("v")).alias("n")).join(classes, "key").select("g", "a", "c", "n")
     column = Window.partitionBy("g")
     mixed = placed.repartition("g").withColumn("low", F.min("c").over(column)).withColumn("high", F.max("c").over(column)).withColumn("rows", F.count("*").over(column)).filter("low < high")
@@ -356,21 +357,25 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     Repeated rows link with each other (unless empty). A component is named by its smallest id; a null id names one
     only if there is no other. ``row_key`` tells repeated ids apart.
     """
-    docs = keyed(documents, id_col, text_col)
+    docs, own = keyed(documents, id_col, text_col)
     ids = docs.select("key", "id")
     sets, sketch = describe(docs, n)
     reps = stash(sets.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("key").alias("rep")), "reps")
-    members = stash(sets.filter("size > 0").join(reps, ["s1", "s2", "size"]).select("key", "rep"), "members")
+    members = stash(attached(sets.filter("size > 0"), reps, ["s1", "s2", "size"]).select("key", "rep"), "members")
     postings = stash(shared(prefixes(docs, sketch, n, percent)), "shared")
     links = stash(verified(docs, stash(stars(postings, members, percent), "stars"), n, percent), "links")
     first = components(links)
     pairs = stash(open_pairs(postings, members, first, percent), "pairs")
     more = stash(verified(docs, pairs, n, percent), "links")
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.limit(1).count() else first
-    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    # keys follow the order of the ids, so a component's least key is that of its least id
+    named = attached(members, stash(found.withColumnRenamed("node", "rep"), "components"), ["rep"], "left").select("key", F.coalesce("component", "rep").alias("component"))
     placed = ids.join(sets.select("key", "size"), "key").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    return placed.join(names, "component").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id", F.col("key").alias("row_key"))
+    if own:
+        placed = placed.withColumn("component_id", F.col("component"))
+    else:
+        placed = attached(stash(placed, "placed"), ids.select(F.col("key").alias("component"), F.col("id").alias("component_id")), ["component"])
+    return placed.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id", F.col("key").alias("row_key"))
 
 
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -159,7 +159,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 start, end, doc = words(data, offsets)
                 before = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=hi - lo))))
                 h, s, of, first, shape = named_anchors(word_prints(data, start, end), doc, window, rounds)
-                yield pa.record_batch([pa.array(h), pa.array(s), pa.array(key[lo + of]), pa.array(first - before[of]), pa.array(shape)], names=A.NAMES)
+                yield pa.record_batch(list(map(pa.array, A.told(h, s, key[lo + of], first - before[of], shape))), names=A.NAMES)
 
     return docs.select("key", "text").mapInArrow(run, A.ANCHORS)
 
@@ -212,7 +212,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts have no words; texts of fewer words than the window lose none. Rows stand in the order of their ids (null
     last); rows of equal id are rows of their own, in the order of their texts.
     """
-    docs = keyed(documents, id_col, text_col)
+    docs, _ = keyed(documents, id_col, text_col)
     found = stash(A.scanned(anchors(docs, window, rounds), window), "anchors")
     requests = A.contexts(docs, found, _cut, window)
     covered = A.covered_whole(found, window).union(compared(stash(requests, "contexts"), window))

@@ -11,8 +11,8 @@ from parlance.llm.scratch import stash, text_rows
 from parlance.llm.textnum import mix
 
 
-def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``key, id, text`` with one key per row, in the order of the ids (null last).
+def keyed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``key, id, text`` with one key per row, in the order of the ids (null last), and whether the key is the id.
 
     Where ids are unique and not null the key is the id. Else rows are numbered in the order of id and text, so
     that repeated rows are rows of their own.
@@ -20,10 +20,28 @@ def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = text_rows(documents, id_col, text_col)
     repeated = rows.groupBy("id").count().filter("count > 1 or id is null").limit(1).count()
     if not repeated:
-        return rows.select(F.col("id").alias("key"), "id", "text")
+        return rows.select(F.col("id").alias("key"), "id", "text"), True
     order = [F.col("id").asc_nulls_last(), F.col("text")]
     numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id())
-    return stash(numbered.select("key", "id", "text"), "keyed")
+    return stash(numbered.select("key", "id", "text"), "keyed"), False
+
+
+#: A key is hot if it has more rows than this and than a thousandth of all; so a thousand are hot at most.
+HOT_ROWS, HOT_KEYS = 10_000, 1000
+
+
+def attached(rows: DataFrame, named: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``named``, which has one row for each key; rows of hot keys stay where they are, the others are shuffled.
+
+    Both should be tables: they are read twice.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = stash(counts.filter(F.col("__n") > least).select(*on), "hot")  # HOT_KEYS rows at most
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(named.hint("merge"), on, how)
+    if not hot.limit(1).count():
+        return rest
+    return rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(named.join(F.broadcast(hot), on, "left_semi")), on, how).unionByName(rest)
 
 
 #: Bits of a bitmap of keys: between 2**20 and 2**27 (16 MB), eight for each key where that suffices.

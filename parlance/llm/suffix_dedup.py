@@ -76,7 +76,7 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for from_ in range(0, max(1, len(data) - window + 1), step) if hi - lo == 1 else (0,):
                     part = data[from_ : from_ + PIECE] if hi - lo == 1 else data
                     h, s, doc, first, shape = _piece_anchors(part, offsets if len(part) == len(data) else np.array([0, len(part)]), window)
-                    yield pa.record_batch([pa.array(h), pa.array(s), pa.array(key[lo + doc]), pa.array(first + from_), pa.array(shape)], names=A.NAMES)
+                    yield pa.record_batch(list(map(pa.array, A.told(h, s, key[lo + doc], first + from_, shape))), names=A.NAMES)
 
     return docs.select("key", "text").mapInArrow(run, A.ANCHORS)
 
@@ -168,7 +168,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last); rows of equal id are rows of their own, in the order of their texts, so the second of two equal rows loses
     all of its bytes if it has a window.
     """
-    docs = keyed(documents, id_col, text_col)
+    docs, _ = keyed(documents, id_col, text_col)
     found = stash(A.scanned(anchors(docs, window), window), "anchors")
     requests = stash(A.contexts(docs, found, _cut, window), "contexts")
     covered = A.covered_whole(found, window).union(compared(requests, window))
