@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +14,6 @@ def existing(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def first_present(df: DataFrame, names: list[str]) -> Column:
-    """First non-null of those columns that exist; an empty string counts as a value."""
-    found = existing(df, names)
-    return F.coalesce(*[F.col(f"`{n}`") for n in found]) if found else F.lit(None)
-
-
 def nullif_blank(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -70,7 +62,3 @@ def meaningful(c: Column) -> Column:
 def share(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part`` of ``whole`` as a percentage, ``0.00%`` where there is nothing."""
     return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit("0.00%")).otherwise(F.format_string(f"%.{digits}f%%", F.lit(100.0) * part / whole))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -19,41 +19,49 @@ def hits(text: str, keyword: str, edges: str = "sentence") -> str:
     return f"regexp_extract_all({text}, {sql_quote(wildcard_regex(keyword, edges))}, 0)"
 
 
-def match(df: DataFrame, keywords: list[str], false_positives: list[str] = (), text_col: str = "sentence") -> DataFrame:
-    """``matched_keywords`` (null if none), ``matched_words`` and ``matched`` for one dictionary.
+def usable(df: DataFrame, date_col: str, text_col: str = "sentence") -> DataFrame:
+    """Fragments with a date whose text is not the word for a missing value."""
+    return df.filter(F.col(date_col).isNotNull() & (F.col(text_col) != "nan"))
 
-    A hit that is a false positive does not count. A cheap alternation of all patterns guards the extraction, so that
-    sentences without any hit are scanned once.
-    """
+
+def _found(keywords: list[str], false_positives: list[str], text_col: str) -> str:
+    """SQL for the keywords that are hit, with their hits."""
     fp = ", ".join(sql_quote(w.strip().lower()) for w in false_positives if w.strip())
     stays = f"not array_contains(array({fp}), lower(trim(x)))" if fp else "true"
     structs = ", ".join(f"named_struct('k', {sql_quote(k)}, 'h', filter({hits(text_col, k)}, x -> {stays}))" for k in keywords)
     guard = sql_quote("|".join(f"(?:{wildcard_regex(k)})" for k in keywords)) if keywords else None
     empty = "cast(array() as array<struct<k:string,h:array<string>>>)"
-    found = F.expr(f"case when {text_col} rlike {guard} then filter(array({structs}), s -> size(s.h) > 0) else {empty} end" if keywords else empty)
+    return f"case when {text_col} rlike {guard} then filter(array({structs}), s -> size(s.h) > 0) else {empty} end" if keywords else empty
+
+
+def _named(df: DataFrame, found: str) -> DataFrame:
     ordered = lambda c: F.transform(F.array_sort(F.transform(c, lambda w: F.struct(F.lower(w).alias("l"), w.alias("w")))), lambda s: s["w"])
-    out = df.withColumn("__found", found)
+    out = df.withColumn("__found", F.expr(found))
     names = ordered(F.array_distinct(F.expr("transform(__found, s -> s.k)")))
     return out.select(*df.columns, F.when(F.size("__found") > 0, names).alias("matched_keywords"), ordered(F.array_distinct(F.flatten(F.expr("transform(__found, s -> s.h)")))).alias("matched_words"), (F.size("__found") > 0).cast("int").alias("matched"))
 
 
+def match(df: DataFrame, keywords: list[str], false_positives: list[str] = (), text_col: str = "sentence") -> DataFrame:
+    """``matched_keywords`` (null if none), ``matched_words`` and ``matched`` for one dictionary.
+
+    A hit that is a false positive does not count. A cheap alternation of all patterns guards the extraction, so that
+    sentences without any hit are scanned once.
+    """
+    return _named(df, _found(keywords, false_positives, text_col))
+
+
 def match_routed(df: DataFrame, dictionaries: dict[str, tuple[list[str], list[str]]], route: Column, text_col: str = "sentence") -> DataFrame:
-    """Each row is matched by the dictionary that ``route`` names; rows of unknown routes match nothing."""
-    tagged = df.withColumn("__route", route)
-    parts = [match(tagged.filter(F.col("__route") == name), keywords, wrong, text_col) for name, (keywords, wrong) in dictionaries.items()]
-    parts.append(match(tagged.filter(~F.coalesce(F.col("__route").isin(*dictionaries), F.lit(False))), [], [], text_col))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("__route")
-
-
-def index(matched: DataFrame, id_col: str, first: list[str] = ()) -> DataFrame:
-    """One row per text with a match: first non-null of ``first`` columns, keywords and words in order of discovery."""
+    """Each row is matched by the dictionary that ``route`` names, in one pass; rows of unknown routes match nothing."""
+    cases = " ".join(f"when {sql_quote(name)} then {_found(keywords, wrong, text_col)}" for name, (keywords, wrong) in dictionaries.items())
+    return _named(df.withColumn("__route", route), f"case __route {cases} else {_found([], [], text_col)} end").drop("__route")
+
+
+def index(matched: DataFrame, id_col: str, first: list[str] = (), count: str | None = None) -> DataFrame:
+    """One row per text with a match: first non-null of ``first`` columns, keywords and words in order of discovery, the matched sentences as ``count``."""
     rows = matched.filter("matched = 1")
     ordered = lambda c: F.array_sort(F.collect_list(F.struct("sentence_id", c)))
     union = lambda c: F.array_distinct(F.flatten(F.transform(ordered(c), lambda s: s[c]))).alias(c)
-    return rows.groupBy(id_col).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("sentence_id"))).alias(c) for c in first], union("matched_keywords"), union("matched_words"))
+    return rows.groupBy(id_col).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("sentence_id"))).alias(c) for c in first], union("matched_keywords"), union("matched_words"), *([F.count("*").alias(count)] if count else []))
 
 
 def distinct_words(indexed: DataFrame, by: list[str]) -> DataFrame:
@@ -87,6 +95,12 @@ def keyword_pairs(words: Column, pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
+def post_blocks(text: Column) -> Column:
+    """What stands behind ``Post_text`` and ``Comment_text`` up to the next ``---``, line by line; the whole text if there is nothing."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(?:Post_text|Comment_text)(.*?)(?=---)"), F.lit(1))
+    return F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(text)
+
+
 def annotation_match(df: DataFrame, keywords: list[str], text_col: str = "text") -> DataFrame:
     """Keywords found between spaces, sorted; rows without any go if there are keywords at all."""
     if not keywords:

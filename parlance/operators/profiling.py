@@ -18,9 +18,7 @@ def type_label(variant: str) -> str:
 def json_types(df: DataFrame, json: str, keep: list[str] = ()) -> DataFrame:
     """One row per row and key with its type; what is no object is skipped."""
     parsed = df.select(*keep, F.expr(f"try_parse_json({json})").alias("v")).filter("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    parsed.createOrReplaceTempView("__json_rows")
-    names = "".join(f"{k}, " for k in keep)
-    return df.sparkSession.sql(f"select {names}e.key as key, {type_label('e.value')} as type from __json_rows, lateral variant_explode(v) e")
+    return parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*keep, "key", F.expr(type_label("value")).alias("type"))
 
 
 def type_profile(types: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -35,9 +33,23 @@ def type_deviations(profile: DataFrame, expected: DataFrame) -> tuple[DataFrame,
 
 
 def mismatch_context(rows: DataFrame, cap: int = 10) -> DataFrame:
-    """Platforms and actors behind each wrong (key, type), shortened to a report's length."""
-    some = lambda c: F.slice(F.sort_array(F.collect_set(c)), 1, cap).alias(f"{c}s")
-    return rows.groupBy("key", "type").agg(F.count("*").alias("n"), some("platform"), some("actor"))
+    """Platforms, actors and pairs of them behind each wrong (key, type), shortened to a report's length.
+
+    Each list has its own small groups, so that no group gathers more names than there are.
+    """
+    out = rows.groupBy("key", "type").agg(F.count("*").alias("n"))
+    pair = F.concat_ws("/", "platform", "actor")
+    for name, c in (("platforms", F.col("platform")), ("actors", F.col("actor")), ("pairs", pair)):
+        each = rows.select("key", "type", c.alias("x")).filter("x is not null").distinct()
+        rank = F.row_number().over(Window.partitionBy("key", "type").orderBy("x"))
+        some = each.withColumn("__r", rank).filter(F.col("__r") <= cap).groupBy("key", "type").agg(F.sort_array(F.collect_list("x")).alias(name))
+        out = out.join(some, ["key", "type"], "left")
+    return out
+
+
+def examples(rows: DataFrame, by: list[str], order: str, n: int = 2) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("__r") <= n).drop("__r")
 
 
 def key_sets(df: DataFrame, json: str) -> DataFrame:
@@ -46,10 +58,10 @@ def key_sets(df: DataFrame, json: str) -> DataFrame:
     return df.select(F.array_join(keys, ",").alias("keys")).filter("keys is not null").groupBy("keys").agg(F.count("*").alias("n"))
 
 
-def type_mixes(profile: DataFrame, allowed: list[set[str]] | None = None) -> DataFrame:
-    """Keys with more than one type, unless the mix is allowed."""
+def type_mixes(profile: DataFrame, allowed: list[set[str]] | None = None, by: list[str] = ()) -> DataFrame:
+    """Keys with more than one type, unless the mix is allowed, inside each group (without ``by`` across all)."""
     allowed = allowed or [{"str", "NA"}, {"list", "NA"}, {"dict", "NA"}, {"int", "NA"}]
-    mixes = profile.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")).filter(F.col("types").contains(","))
+    mixes = profile.groupBy(*by, "key").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")).filter(F.col("types").contains(","))
     return mixes.filter(~F.col("types").isin(*[",".join(sorted(a)) for a in allowed]))
 
 
@@ -77,6 +89,19 @@ def sidecar(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.agg(F.array(*aggs).alias("f")).select(F.explode("f").alias("f")).select("f.*")
 
 
+def dataset_card(df: DataFrame, scraped: str, published: str, platform: str = "platform") -> DataFrame:
+    """One row for the data set: records, last day of scraping, first and last year of publication, and what kinds of platforms it holds."""
+    kinds = F.array_join(F.sort_array(F.collect_set(platform)), "+")
+    year = F.year(F.col(published))
+    return df.agg(F.count("*").alias("records"), F.max(scraped).alias("last_scraped"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), kinds.alias("type_label"))
+
+
+def field_types(df: DataFrame, order: str, fields: list[str]) -> DataFrame:
+    """Type of each field and its first value that is not null, in the order of ``order``."""
+    first = [F.struct(F.lit(c).alias("field"), F.lit(dict(df.dtypes)[c]).alias("type"), F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(order))).alias("first_value")) for c in fields]
+    return df.agg(F.array(*first).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
 def composition(df: DataFrame, by: str) -> DataFrame:
     """Rows and percent of each value."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))
@@ -123,6 +148,20 @@ def mapping_check(data: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("problem", F.lit("not mapped")).union(b.distinct().join(a, key, "left_anti").withColumn("problem", F.lit("not in data"))).union(b.groupBy(key).count().filter("count > 1").select(key, F.lit("duplicate")))
 
 
+def flagged_check(data: DataFrame, mapping: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
+    """Flagged keys that the data or the mapping lacks."""
+    names = flagged.select(key).dropna().distinct()
+    missing = lambda other, problem: names.join(other.select(key).dropna().distinct(), key, "left_anti").withColumn("problem", F.lit(problem))
+    return missing(data, "flagged, not in data").union(missing(mapping, "flagged, not mapped"))
+
+
+def in_days(df: DataFrame, date: str, start: str, end: str, source: str, dropped: str = "flashback") -> DataFrame:
+    """Rows of an inclusive range of days without the dropped source."""
+    from parlance.operators.timeseries import without_source
+
+    return without_source(df.filter(F.to_date(date).between(F.lit(start).cast("date"), F.lit(end).cast("date"))), F.col(source), dropped)
+
+
 def date_examples(df: DataFrame, by: list[str], raw: str, parsed: str, n: int = 5) -> DataFrame:
     """The first different raw dates of each group with what became of them."""
     pairs = df.select(*by, raw, parsed).distinct()

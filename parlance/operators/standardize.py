@@ -37,7 +37,10 @@ def _joined(df: DataFrame, name: str, separator: str) -> Column:
 
 
 def web(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Website rows in their fixed columns, missing ones null, others dropped but for those of ``keep``, which pass as they are."""
+    """Website rows in their fixed columns, missing ones null, others dropped but for those of ``keep``, which pass as they are.
+
+    Categories and themes are one list, in this order, repeats included.
+    """
     out = df
     for c in ("article_title", "article_sub_title", "author", "article_text", "publication_date", "source"):
         if c not in out.columns:
@@ -48,7 +51,7 @@ def web(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     lists = {c: as_list(out, c) for c in existing(out, ["categories", "themes_text", "external_links", "youtube_links", "links_in_text", "embedded_media_links", "article_categories", "image_links", "references_text"])}
     empty = F.expr("cast(array() as array<string>)")
     of = lambda c: lists.get(c, empty)
-    out = out.withColumn("__categories", F.coalesce(filled_list(F.array_distinct(F.concat(of("categories"), of("themes_text")))), filled_list(of("article_categories"))))
+    out = out.withColumn("__categories", F.coalesce(filled_list(F.concat(of("categories"), of("themes_text"))), filled_list(of("article_categories"))))
     out = out.withColumn("__links", F.coalesce(filled_list(of("external_links")), filled_list(of("links_in_text")))).withColumn("__media", F.coalesce(filled_list(of("youtube_links")), filled_list(of("embedded_media_links"))))
     references = filled_list(meaningful(of("references_text")))
     kept = F.col("other_items") if "other_items" in df.columns else F.lit(None).cast("map<string,array<string>>")
@@ -57,38 +60,45 @@ def web(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out.select(*keep, *[(F.col(renamed[c]) if c in renamed else F.col(c) if c in out.columns else F.lit(None).cast("string")).alias(c) for c in WEB_COLUMNS])
 
 
-FORUM_BLOCK = r"(?s)---\s*(POST|COMMENT):\s*(\S+)\s+(\d{4}-\d{2}-\d{2}(?:[ ,]+\d{2}:\d{2})?|(?i:idag|igår)[ ,]*\d{2}:\d{2})\s*([^\n]*?)---\s*(.*?)(?=---\s*(?:POST|COMMENT):|\z)"
+FORUM_BLOCK = r"(?s)---\s*(POST|COMMENT):\s*(\S+)\s+(\d{4}-\d{2}-\d{2}(?:[ ,]+\d{2}:\d{2})?|(?iu:idag|igår)[ ,]*\d{2}:\d{2})\s*([^\n]*?)---\s*(.*?)(?=---\s*(?:POST|COMMENT):|\z)"
 
 
 def forum(df: DataFrame) -> DataFrame:
     """Forum threads whose text is a row of blocks: ``replies`` (label, author, date, tag, text) and the joined ``thread_text``.
 
-    Rows that don't parse pass unchanged with null replies; a missing date or author is taken from the first block.
+    Rows that already have ``replies`` keep them and their text; rows that don't parse pass unchanged with null replies.
+    A missing date or author is taken from the first block. Dates relative to the day of scraping are made whole.
     """
     part = lambda k: F.regexp_extract_all("thread_text", F.lit(FORUM_BLOCK), F.lit(k))
     zipped = F.arrays_zip(part(1).alias("kind"), part(2).alias("author"), part(3).alias("date"), part(4).alias("tag"), part(5).alias("text"))
     block = lambda x, i: F.struct(
         F.when(x["kind"] == "POST", F.lit("POST")).otherwise(F.concat(F.lit("COMMENT_"), i.cast("string"))).alias("label"), x["author"].alias("author"), relative_date(x["date"], F.col("scrape_date")).alias("date"), F.trim(x["tag"]).alias("tag"), F.regexp_replace(x["text"], r"^\s+|\s+$", "").alias("text")
     )
-    out = df.withColumn("replies", filled_list(F.transform(zipped, block)))
-    first = F.element_at("replies", 1)
-    out = out.withColumn("thread_text", F.when(F.col("replies").isNull(), F.col("thread_text")).otherwise(F.array_join(F.transform("replies", lambda r: r["text"]), "\n---\n\n")))
+    parsed = filled_list(F.transform(zipped, block))
+    known = filled_list(F.col("replies")) if "replies" in df.columns else None
+    out = df.withColumn("__known", known.isNotNull() if known is not None else F.lit(False))
+    out = out.withColumn("replies", F.coalesce(known, parsed) if known is not None else parsed)
+    first = F.try_element_at("replies", F.lit(1))
+    joined = F.array_join(F.transform("replies", lambda r: r["text"]), "\n---\n\n")
+    out = out.withColumn("thread_text", F.when(F.col("__known") | F.col("replies").isNull(), F.col("thread_text")).otherwise(joined)).drop("__known")
     for c, field in (("publication_date", "date"), ("post_author", "author")):
-        out = out.withColumn(c, F.coalesce(F.col(c), first[field]) if c in df.columns else first[field])
+        out = out.withColumn(c, F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), first[field]) if c in df.columns else first[field])
     return out.withColumn("publication_date", relative_date(F.col("publication_date"), F.col("scrape_date")))
 
 
 def threads(posts: DataFrame, replies: DataFrame | None = None, group: list[str] = ()) -> DataFrame:
-    """Chat threads: each topmost post with what replies to it, depth first.
+    """Chat threads: each root post with what replies to it, depth first.
 
     ``posts`` (message_id, parent_id, text), ``replies`` (parent_id, reply_id, text); ``group`` columns keep channels
     apart. Under each post its archived replies come first (by reply_id), then the posts that reply to it (by
-    message_id), each followed by its own. Posts without a known parent are roots. Paths to the root grow by doubling, so a
-    thread of depth d takes log2(d) joins.
+    message_id), each followed by its own. Posts without a known parent are roots, and so is a post that came before all posts above it (its
+    parent was written later): it has a thread of its own and stands in that of its parent too. In a circle of replies the post of the smallest
+    id counts as one without a parent. Paths to the top grow by doubling, so a thread of depth d takes log2(d) joins.
     """
     g = list(group)
     known = posts.select(*g, F.col("message_id").alias("parent_id")).distinct()
     parents = posts.join(known, [*g, "parent_id"], "left_semi").filter("parent_id <> message_id").select(*g, "message_id", "parent_id")
+    parents = _uncircled(parents, g)
     nodes = posts.select(*g, "message_id").join(parents, [*g, "message_id"], "left")
     paths = nodes.select(*g, "message_id", F.col("parent_id").alias("top"), F.array("message_id").alias("path"))
     while True:
@@ -99,6 +109,10 @@ def threads(posts: DataFrame, replies: DataFrame | None = None, group: list[str]
         paths = paths.join(above, [*g, "top"], "left").select(*g, "message_id", F.col("next").alias("top"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"))
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("long").alias("id"))
     order = F.transform("path", lambda m: key(1, m))
+    # a thread begins at the top and at each post on the path that is smaller than all above it
+    begins = """aggregate(path, struct(cast(null as bigint) as low, 0 as i, cast(array() as array<int>) as at),
+        (a, x) -> struct(least(a.low, cast(x as bigint)) as low, a.i + 1 as i, case when a.low is null or x < a.low then concat(a.at, array(a.i + 1)) else a.at end as at), a -> a.at)"""
+    paths = paths.select(*g, "message_id", F.col("path").alias("whole"), F.explode(F.expr(begins)).alias("at")).select(*g, "message_id", F.expr("slice(whole, at, size(whole))").alias("path"))
     rows = posts.join(paths.select(*g, "message_id", "path"), [*g, "message_id"]).select(*g, F.element_at("path", 1).alias("root"), order.alias("key"), "text", F.lit(False).alias("archived"), "message_id")
     if replies is not None:
         below = replies.select(*g, F.col("parent_id").alias("message_id"), "reply_id", "text").join(paths.select(*g, "message_id", "path"), [*g, "message_id"])
@@ -111,6 +125,27 @@ def threads(posts: DataFrame, replies: DataFrame | None = None, group: list[str]
     return out.select(*g, "root", F.when(F.size("__all") > 1, F.concat(first, F.lit(POST_END), F.array_join(texts, ""))).otherwise(first).alias("thread_text"), filled_list(nested).alias("replies"))
 
 
+def _uncircled(parents: DataFrame, g: list[str]) -> DataFrame:
+    """``parents`` without the link above the smallest post of each circle. Only links to later posts can close one.
+
+    Every post walks upwards in doubling steps; after as many steps as there are links, those still walking stand on a circle.
+    """
+    if not parents.filter("parent_id > message_id").limit(1).count():
+        return parents
+    walk, step, most = parents.select(*g, "message_id", F.col("parent_id").alias("at"), F.least("message_id", "parent_id").alias("low")), 1, parents.count()
+    while step <= most:
+        walk = _written(walk)
+        if not walk.filter("at is not null").limit(1).count():
+            return parents
+        above = walk.select(*g, F.col("message_id").alias("at"), F.col("at").alias("next"), F.col("low").alias("lower"))
+        walk = walk.join(above, [*g, "at"], "left").select(*g, "message_id", F.col("next").alias("at"), F.least("low", "lower").alias("low"))
+        step *= 2
+    walk = _written(walk)
+    on = walk.filter("at is not null").select(*g, F.col("at").alias("message_id")).distinct()
+    cut = walk.join(on, [*g, "message_id"], "left_semi").filter("low = message_id").select(*g, "message_id")
+    return parents.join(cut, [*g, "message_id"], "left_anti")
+
+
 def _written(df: DataFrame) -> DataFrame:
     """A table in the shared folder, where the session names one; else (tests) the plan is cut by ``checkpoint``."""
     context = df.sparkSession.sparkContext
@@ -123,10 +158,17 @@ def _written(df: DataFrame) -> DataFrame:
 
 def source_name(path: Column, to: Column | None = None) -> Column:
     """The file's stem in front of ``_YYYY_MM_DD``."""
-    stem = F.regexp_extract(path, r"([^/]+?)(?:_\d{4}_\d{2}_\d{2}[^/]*)?(?:\.[A-Za-z]+)?$", 1)
+    stem = F.regexp_extract(path, r"([^/]*?)(?:_?\d{4}_\d{2}_\d{2}[^/]*)?(?:\.[A-Za-z]+)?$", 1)
     return F.coalesce(F.nullif(stem, F.lit("")), to) if to is not None else stem
 
 
+def channel(df: DataFrame, path: str, to: str = "to") -> DataFrame:
+    """``source``: the file's stem; where a file has none, the most frequent ``to`` of its rows (ties: the first in order)."""
+    counts = df.filter(F.col(to).isNotNull()).groupBy(path, to).count()
+    often = counts.groupBy(path).agg(F.min_by(to, F.struct(-F.col("count"), F.col(to))).alias("__often"))
+    return df.join(often, path, "left").withColumn("source", source_name(F.col(path), F.col("__often"))).drop("__often")
+
+
 def mapped_actor(df: DataFrame, mapping: DataFrame, source: str = "source") -> DataFrame:
     """``actor`` by exact source; sources that the mapping doesn't know stay as they are."""
     small = mapping.select(F.col("source").alias("__source"), F.col("actor").alias("__actor"))
@@ -159,4 +201,19 @@ def chat_columns(df: DataFrame) -> DataFrame:
 
 
 def cleaned_categories(c: Column) -> Column:
+    """Strings that mean something; null if there are none."""
     return filled_list(F.filter(meaningful(c), lambda x: ~F.lower(x).isin("none", "null", "nothing else")))
+
+
+#: Old and new names of forum columns, and columns that never hold anything.
+FORUM_NAMES = {"categories": "post_categories", "external_links": "links_in_text"}
+FORUM_DEAD = ("embedded_media_links", "image_links", "other_items", "post_HTML")
+
+
+def forum_columns(df: DataFrame) -> DataFrame:
+    """Forum rows under their new names (an old column goes where the new one is there), categories as a list, without dead columns."""
+    out = df.drop(*FORUM_DEAD)
+    for old, new in FORUM_NAMES.items():
+        if old in out.columns:
+            out = out.drop(old) if new in out.columns else out.withColumnRenamed(old, new)
+    return out.withColumn("post_categories", cleaned_categories(as_list(out, "post_categories")) if "post_categories" in out.columns else F.lit(None).cast("array<string>"))

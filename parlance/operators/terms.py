@@ -58,17 +58,19 @@ def pieces(df: DataFrame, id_col: str, text_col: str = "text", most: int = 8000,
         for pdf in batches:
             rows = []
             for id_, text in zip(pdf[id_col], pdf[text_col], strict=True):
-                rest, k = text or "", 0
-                while rest:
-                    end = len(rest)
-                    if end > most:
-                        end = max(rest.rfind("\n", 0, most), -1)
-                        end = end if end > least else rest.rfind(" ", 0, most)
-                        end = end if end > least else most
-                    piece, rest = rest[:end].strip(), rest[end:].lstrip() if end < len(rest) else ""
+                text, at, k = text or "", 0, 0
+                while at < len(text):
+                    end = len(text)
+                    if end - at > most:
+                        cuts = text.rfind("\n", at, at + most) - at, text.rfind(" ", at, at + most) - at
+                        end = at + next((c for c in cuts if c > least), most)
+                    piece = text[at:end].strip()
                     if piece:
                         k += 1
                         rows.append((id_, k, piece))
+                    at = end
+                    while at < len(text) and text[at].isspace():  # the next piece begins with a word
+                        at += 1
             import pandas as pd
 
             yield pd.DataFrame(rows, columns=[id_col, "piece_id", "piece"])

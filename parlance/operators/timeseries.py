@@ -41,7 +41,7 @@ def in_ranges(df: DataFrame, date: str, ranges: list[tuple[str | None, str | Non
     return df.filter(kept)
 
 
-def without_source(df: DataFrame, source: str, part: str) -> DataFrame:
+def without_source(df: DataFrame, source: str | Column, part: str) -> DataFrame:
     return df.filter(~F.coalesce(F.lower(source).contains(part.lower()), F.lit(False)))
 
 
@@ -131,6 +131,12 @@ def layers(series: DataFrame, actor: str, weight: str = "weight") -> DataFrame:
     return joined.withColumn("lower", -total / 2 + below).withColumn("upper", F.col("lower") + F.col(weight)).withColumn("peak_y", total / 2)
 
 
+def by_weight(series: DataFrame, actor: str, weight: str = "weight") -> list[str]:
+    """Actors, heaviest first (of equals by name): the order of their columns. Actors are few."""
+    totals = series.groupBy(actor).agg(F.sum(weight).alias("w")).orderBy(F.desc("w"), actor)
+    return [r[0] for r in totals.collect()]
+
+
 def wide(series: DataFrame, row: str, column: str, values: list, value: str) -> DataFrame:
     """One column per value, zero where there is nothing."""
     return series.groupBy(row).pivot(column, values).agg(F.sum(value)).fillna(0, [str(v) for v in values])

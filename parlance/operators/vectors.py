@@ -88,6 +88,12 @@ def extent(points: DataFrame, margin: float = 0.1) -> DataFrame:
     return box.select(*[(F.col(a) + s * margin * (F.col(b) - F.col(c))).alias(n) for n, a, s, b, c in (("x_low", "x0", -1, "x1", "x0"), ("x_high", "x1", 1, "x1", "x0"), ("y_low", "y0", -1, "y1", "y0"), ("y_high", "y1", 1, "y1", "y0"))])
 
 
+def map_export(points: DataFrame, actors: DataFrame, id_cols: list[str], actor: str = "actor") -> DataFrame:
+    """Coordinates of chunks and actors in one table: ``kind``, the keys of chunks (null for actors), actor, place."""
+    chunks = points.select(F.lit("chunk").alias("kind"), *id_cols, actor, "umap_1", "umap_2")
+    return chunks.unionByName(actors.select(F.lit("actor").alias("kind"), actor, "umap_1", "umap_2"), allowMissingColumns=True)
+
+
 def nearest_neighbour(points: DataFrame, id_col: str) -> DataFrame:
     """Distance of each actor to the nearest other in the map scaled to the unit square; actors are few, so one side is broadcast."""
     box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -127,9 +127,7 @@ def keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, any_value(source) as source, any_value(kws) as matched_keywords, count(*) as n_sentences from matched join (select doc_id, string_agg(kw, ',' order by f) as kws from k group by doc_id) using (doc_id) where len(ks) > 0 group by doc_id"""
 )
 def theme_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matched(spark, sf_dir)
-    counts = rows.filter("matched = 1").groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
-    return listed(keywords.index(rows, "doc_id", ["source"]).drop("matched_words").join(counts, "doc_id"))
+    return listed(keywords.index(matched(spark, sf_dir), "doc_id", ["source"], "n_sentences").drop("matched_words"))
 
 
 @query(
@@ -252,9 +250,10 @@ def peak_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with s as (select event_type as actor, cast(ts as date) as date, count(*) as n from events group by all), v as (select *, n / sum(n) over (partition by actor) as v, row_number() over (partition by actor order by date) as i from s),
-    m as (select *, lag(v) over w as a, lead(v) over w as b from v window w as (partition by actor order by date)), t as (select * from m where a < v and b < v),
-    l as (select t.actor, t.i, t.v, t.date, (select max(x.i) from v x where x.actor = t.actor and x.i < t.i and x.v > t.v) as li, (select min(x.i) from v x where x.actor = t.actor and x.i > t.i and x.v > t.v) as ri from t),
-    p as (select actor, date, v, v - greatest((select min(x.v) from v x where x.actor = l.actor and x.i <= l.i and x.i > coalesce(l.li, 0)), (select min(x.v) from v x where x.actor = l.actor and x.i >= l.i and x.i < coalesce(l.ri, 1000000))) as prominence from l)
+    c as (select *, coalesce(cast(n <> lag(n) over (partition by actor order by date) as int), 1) as new from v), f as (select *, sum(new) over (partition by actor order by date) as run from c), m as (select actor, run, any_value(v) as v, (min(i) + max(i)) // 2 as i from f group by actor, run),
+    t as (select * from (select *, lag(v) over w as a, lead(v) over w as b from m window w as (partition by actor order by run)) where a < v and b < v),
+    l as (select t.actor, t.i, t.v, (select max(x.i) from v x where x.actor = t.actor and x.i < t.i and x.v > t.v) as li, (select min(x.i) from v x where x.actor = t.actor and x.i > t.i and x.v > t.v) as ri from t),
+    p as (select l.actor, v.date, l.v, l.v - greatest((select min(x.v) from v x where x.actor = l.actor and x.i <= l.i and x.i > coalesce(l.li, 0)), (select min(x.v) from v x where x.actor = l.actor and x.i >= l.i and x.i < coalesce(l.ri, 1000000))) as prominence from l join v on v.actor = l.actor and v.i = l.i)
     select actor, strftime(date, '%Y-%m-%d') as date, round(v, 6) as share, round(prominence, 6) as prominence from p where prominence >= 0.005"""
 )
 def prominence_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,28 @@ def read_all(readers: dict[str, callable]) -> tuple[dict[str, DataFrame], list[t
     return good, failed
 
 
+def read_logged(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of all sources with ``source_name``, and per source the lines that don't parse: how many, and the first of them.
+
+    Nothing is read before an action, so failures are a table of their own and stop no other source.
+    """
+    lines = None
+    for name, path in paths.items():
+        one = spark.read.text(path).filter("trim(value) <> ''").withColumn("source_name", F.lit(name))
+        lines = one if lines is None else lines.unionByName(one)
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = lines.withColumn("r", F.from_json("value", whole, {"mode": "PERMISSIVE"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    failed = parsed.filter(bad).groupBy("source_name").agg(F.count("*").alias("n_lines"), F.min("value").alias("example"))
+    return parsed.filter(~bad).select("source_name", *[F.col(f"r.`{f.name}`") for f in schema.fields]), failed
+
+
+def routed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths of chats and paths of all other platforms, which are loaded apart."""
+    chat = F.coalesce(platform_of(F.col("path")) == "Telegram", F.lit(False))
+    return files.filter(chat), files.filter(~chat)
+
+
 def path_metadata(path: Column, methods: dict[str, str]) -> dict[str, Column]:
     """Country (third folder from the end) and platform (by the method's code in the second) of a file."""
     parts = F.split(path, "/")
