@@ -1,13 +1,15 @@
 """Chroma fingerprints of audio columns, and alignment of recordings.
 
-A recording (WAV bytes, PCM of 8 or 16 bits) is cut into overlapping frames; each frame's power spectrum is folded
-into twelve pitch classes. On the integral image of these frames 16 rectangular filters compare sums of neighbouring
-areas; each answer is quantised to two bits in Gray code, and 32 bits are packed into one integer per place.
-
-Recordings are aligned with a stated set of queries in blocks: the integers of a block of queries, which has a size bound, are
-sent to all tasks, and every recording is looked up against it where it is read. Equal integers vote for the offset between the
-two, each run of one integer once; where an offset has enough votes for what changes in both, the bits from the first run to the
-last that votes are compared. Recordings of fewer integers than votes are held against every place; equal whole fingerprints meet as such; recordings too short for one integer if their samples are equal.
+A recording (WAV bytes, PCM of 8 or 16 bits, brought to one rate) is cut into overlapping frames; each frame's power spectrum
+is folded into twelve pitch classes. On the integral image of these frames 16 rectangular filters compare sums of
+neighbouring areas; each answer is quantised to two bits in Gray code, and 32 bits are packed into one integer per place.
+
+Every recording has an integer at each frame; queries have them at every ``STRIDE``-th part of a frame's step (a hop) too, so
+that a recording which starts between two frames of a query finds equal frames all the same. Recordings are aligned with a
+stated set of queries in blocks of bounded size, each sent to all tasks in turn, and every recording is looked up where
+it is read. Equal integers vote for the offset between the two, each run of one integer once. At each offset that has enough votes
+the bits are compared: the two align if in a stretch as long as half of the shorter one, of ``LEAST_COMPARED`` integers at
+least, no more than ``MOST_ERROR`` of them differ. Equal recordings align even if they are too short for that.
 """
 
 from __future__ import annotations
@@ -22,17 +24,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.scratch import arrow_rows, stash
 from parlance.llm.textnum import slabs, strings, word_prints, words
 
-RATE, NOTE = 4000, 16
-FRAME, HOP = 128, 16
-LOWEST, HIGHEST = 400.0, 2000.0
+#: Samples a second and in a frame (7.8 Hz are told apart); samples from one hop to the next, and hops from one frame to the next.
+RATE, FRAME, HOP, STRIDE = 2000, 256, 32, 4
+#: Pitch classes from G below middle C to B, two octaves of which every semitone has bins of its own.
+LOWEST, HIGHEST = 195.0, 990.0
+#: Samples of a word's note where texts are played.
+NOTE = 32
 #: Frames that one integer looks at.
-SPAN = 16
-#: Votes for an offset (all, where a recording has fewer changes), share of the shorter recording that it must span, bits that may differ there.
-LEAST_VOTES, LEAST_SPAN, MOST_ERROR = 4, 0.5, 0.15
+SPAN = 8
+#: Integers that must be compared at least, share of the shorter recording that a stretch must have, share of its bits that may differ.
+LEAST_COMPARED, LEAST_SPAN, MOST_ERROR = 8, 0.5, 0.1
+#: Recordings of fewer integers are held against every place where so few may align at all.
+FEW = 4
+#: Votes that an offset needs (all, where a recording has fewer changes); what has fewer is missed.
+LEAST_VOTES = 2
 #: Integers in a block of queries (32 MB with their places).
 BLOCK_ITEMS = 2 << 20
+#: Steps of a pitch class between nothing and all of a frame's sound, so that sums are exact whatever stands before.
+STEPS = 1 << 14
+#: Frames, and samples of recordings, that are worked on together; recordings in a batch.
+TOGETHER, SAMPLES, ROWS = 1024, 1 << 20, 1000
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -57,61 +71,63 @@ def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + n) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data" + struct.pack("<I", n) + samples.tobytes()
 
 
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at ``RATE``: each is the mean of the sound that falls into its time."""
+    if rate == RATE or not len(samples):
+        return samples
+    n = len(samples) * RATE // rate
+    so_far = np.concatenate(([0.0], np.cumsum(samples, dtype=np.float64)))
+    edges = np.minimum(np.arange(n + 1) * (rate / RATE), len(samples))
+    return (np.diff(np.interp(edges, np.arange(len(so_far)), so_far)) * (RATE / rate)).astype(np.float32)
+
+
 def pcm(data: bytes | None) -> np.ndarray:
-    """Samples between -1 and 1, channels averaged; what is not PCM of 8 or 16 bits has none."""
+    """Samples between -1 and 1 at ``RATE``, channels averaged; what is not PCM of 8 or 16 bits has none."""
     if not data or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return np.zeros(0, np.float32)
-    at, channels, bits = 12, 1, 8
+    at, channels, bits, rate = 12, 1, 8, RATE
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if name == b"fmt " and size >= 16:
-            kind, channels, _, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
-            if kind != 1 or bits not in (8, 16) or not channels:
+        if name == b"fmt " and size >= 16 and at + 24 <= len(data):
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            if kind != 1 or bits not in (8, 16) or not channels or not rate:
                 break
         elif name == b"data":
             raw = data[at + 8 : at + 8 + size]
             wide = bits // 8 * channels
             raw = raw[: len(raw) // wide * wide]
             x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128 if bits == 8 else np.frombuffer(raw, "<i2").astype(np.float32) / 32768
-            return x.reshape(-1, channels).mean(1) if channels > 1 else x
+            return resampled(x.reshape(-1, channels).mean(1) if channels > 1 else x, rate)
         at += 8 + size + size % 2
     return np.zeros(0, np.float32)
 
 
-def _folding() -> np.ndarray:
-    """Bins of the spectrum to pitch classes."""
-    freq = np.arange(FRAME // 2 + 1) * RATE / FRAME
-    out = np.zeros((len(freq), 12), np.float32)
-    for i, f in enumerate(freq):
-        if LOWEST <= f <= HIGHEST:
-            out[i, round(12 * math.log2(f / 440)) % 12] = 1
-    return out
+def _bins() -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the spectrum in the order of their pitch class, and where each class begins."""
+    freq = np.arange(1, FRAME // 2 + 1) * RATE / FRAME
+    each = np.array([round(12 * math.log2(f / 440)) % 12 for f in freq])
+    kept = np.flatnonzero((freq >= LOWEST) & (freq <= HIGHEST))
+    order = kept[np.argsort(each[kept], kind="stable")]
+    return order + 1, np.searchsorted(each[order], np.arange(12))
 
 
-FOLDING, HANN = _folding(), np.hanning(FRAME).astype(np.float32)
+BINS, CLASSES = _bins()
+HANN = np.hanning(FRAME).astype(np.float32)
 
 
-def chroma(samples: np.ndarray) -> np.ndarray:
-    """Frames by twelve classes, each frame of length 1 (silence: zero)."""
-    if len(samples) < FRAME:
-        return np.zeros((0, 12), np.float32)
-    view = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    out = np.empty((len(view), 12), np.float32)
-    for lo in range(0, len(view), 4096):
-        spectrum = np.fft.rfft(view[lo : lo + 4096] * HANN)
-        out[lo : lo + 4096] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ FOLDING
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-6)
+def chroma(frames: np.ndarray) -> np.ndarray:
+    """Frames of samples to frames of twelve classes in whole steps, each of length ``STEPS`` (silence: zero)."""
+    spectrum = np.fft.rfft(frames * HANN)[:, BINS]
+    folded = np.add.reduceat(spectrum.real**2 + spectrum.imag**2, CLASSES, axis=1)
+    norm = np.sqrt((folded * folded).sum(1, keepdims=True))
+    return np.rint(np.divide(folded, norm, out=np.zeros_like(folded), where=norm > 1e-6) * STEPS).astype(np.int64)
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Packed integers, one for each place with ``SPAN`` frames ahead."""
-    image = chroma(samples)
+def packed(image: np.ndarray) -> np.ndarray:
+    """One integer for each frame with ``SPAN`` frames from it on."""
     n = len(image) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
-    sums = np.zeros((13, len(image) + 1), np.float64)  # classes by frames
-    np.cumsum(image.T, 1, np.float64, sums[1:, 1:])
+    sums = np.zeros((13, len(image) + 1), np.int64)  # classes by frames
+    np.cumsum(image.T, 1, out=sums[1:, 1:])
     np.cumsum(sums, 0, out=sums)
     bands: dict[tuple[int, int], np.ndarray] = {}
 
@@ -135,17 +151,43 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         else:  # the middle frames
             part[k] = area(w // 4, w - w // 4, y, y + h)
     # log((1 + part) / (1 + rest)) against the edges
-    rest = 1 + whole - part
-    part += 1
+    rest = STEPS + whole - part
+    part += STEPS
     passed = (part > rest * LEVELS[0]).view(np.uint8) + (part > rest * LEVELS[1]).view(np.uint8) + (part > rest * LEVELS[2]).view(np.uint8)
     return np.bitwise_or.reduce(GRAY[passed] << SHIFTS, axis=0)
 
 
+def fingerprint_all(sounds: list[np.ndarray]) -> list[np.ndarray]:
+    """The integers of each of some recordings; their frames are worked on together, ``TOGETHER`` at a time, however long each is."""
+    frames = [max(0, (len(x) - FRAME) // (HOP * STRIDE) + 1) for x in sounds]
+    none = np.zeros(0, np.uint32)
+    if not sum(frames):
+        return [none] * len(sounds)
+    joined = np.concatenate(sounds)
+    view = np.lib.stride_tricks.sliding_window_view(joined, FRAME)
+    begin = np.cumsum([0, *map(len, sounds)])
+    start = np.concatenate([b + HOP * STRIDE * np.arange(n) for b, n in zip(begin, frames)])
+    parts = [packed(chroma(view[start[lo : lo + TOGETHER + SPAN - 1]])) for lo in range(0, len(start) - SPAN + 1, TOGETHER)]
+    whole = np.concatenate([none, *parts])
+    edge = np.cumsum([0, *frames])
+    return [whole[a : a + n - SPAN + 1] if n >= SPAN else none for a, n in zip(edge, frames)]
+
+
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    """Packed integers, one for each frame with ``SPAN`` frames from it on."""
+    return fingerprint_all([samples])[0]
+
+
+def dense(samples: np.ndarray) -> list[np.ndarray]:
+    """Integers from each hop of the first frame's step on: those of hop h are number ``h // STRIDE`` of list ``h % STRIDE``."""
+    return [fingerprint(samples[HOP * r :]) for r in range(STRIDE)]
+
+
 def recordings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``audio``: each word of a text as a short note whose pitch follows from the word; null texts are silent."""
     rows = documents.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("__text"))
     time = np.arange(NOTE) / RATE
-    notes = np.stack([(128 + 100 * np.sin(2 * np.pi * 440 * 2 ** (k / 12) * time)).astype(np.uint8) for k in range(24)])
+    notes = np.stack([(128 + 100 * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * time)).astype(np.uint8) for k in range(24)])
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,164 +201,150 @@ def recordings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(play, f"`{id_col}` long, audio binary")
 
 
-def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio") -> DataFrame:
+def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio", is_query: str = "false") -> DataFrame:
     """``items`` (packed 32-bit integers, little-endian) of every recording; null and broken audio has none.
 
-    ``short`` is the SHA-256 of the samples of a recording that has sound but no integer.
+    ``same`` is what equal recordings share: the SHA-256 of their integers, or of the samples where those are too few for one. ``hops`` are, of those for which ``is_query`` (SQL over
+    the columns of ``media``) holds, the integers of each hop.
     """
-    rows = media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{audio_col}`").alias("audio"))
+    rows = media.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{audio_col}`").alias("audio"), F.coalesce(F.expr(is_query), F.lit(False)).alias("asked"))
+
+    def some(ids: pa.Array, sounds: list[np.ndarray], asked: list[bool]) -> pa.RecordBatch:
+        items = fingerprint_all(sounds)
+        same = [_whole(i, x) for x, i in zip(sounds, items, strict=True)]
+        hops = [[h.astype("<u4").tobytes() for h in dense(x)] if a else None for x, a in zip(sounds, asked, strict=True)]
+        return pa.record_batch([ids, pa.array([i.astype("<u4").tobytes() for i in items], pa.binary()), pa.array(same, pa.binary()), pa.array(hops, pa.list_(pa.binary()))], names=["id", "items", "same", "hops"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, short = [], []
-            for a in batch.column("audio"):
-                samples = pcm(a.as_buffer().to_pybytes() if a.is_valid else None)
-                items = fingerprint(samples).astype("<u4").tobytes()
-                out.append(items)
-                short.append(hashlib.sha256(samples.tobytes()).digest() if len(samples) and not items else None)
-            yield pa.record_batch([batch.column("id"), pa.array(out, pa.binary()), pa.array(short, pa.binary())], names=["id", "items", "short"])
+            asked, sounds, lo = batch.column("asked").to_pylist(), [], 0
+            for i, a in enumerate(batch.column("audio")):
+                sounds.append(pcm(a.as_buffer().to_pybytes() if a.is_valid and a.as_buffer() else None))
+                if sum(map(len, sounds)) > SAMPLES or len(sounds) == 256 or i + 1 == batch.num_rows:
+                    yield some(batch.column("id").slice(lo, len(sounds)), sounds, asked[lo : i + 1])
+                    sounds, lo = [], i + 1
+
+    return rows.mapInArrow(run, "id long, items binary, same binary, hops array<binary>")
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Places whose integer differs from the one before."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
 
-    return rows.mapInArrow(run, "id long, items binary, short binary")
+def stretch(x: np.ndarray, y: np.ndarray, shift: int, least: int) -> tuple[int, float] | None:
+    """The best stretch of ``least`` integers of ``x`` against those of ``y`` that stand ``shift`` later: places compared and share of bits that differ."""
+    first, last = max(0, -shift), min(len(x), len(y) - shift)
+    if last - first < least or least < 1:
+        return None
+    wrong = np.concatenate(([0], np.cumsum(np.bitwise_count(x[first:last] ^ y[first + shift : last + shift]), dtype=np.int64)))
+    return last - first, int((wrong[least:] - wrong[:-least]).min()) / (32 * least)
 
 
 class Block:
-    """Queries of one block: their integers sorted, with query number and place."""
-
-    def __init__(self, ids: list[int], items: list[np.ndarray], short: list[bytes | None]):
-        self.ids, self.items = np.array(ids, np.int64), items
-        self.changes = [changes(x) for x in items]
-        self.needed = np.array([min(LEAST_VOTES, len(s)) for s in self.changes], np.int64)
-        self.whole: dict[bytes, list[int]] = {}
-        for q, x in enumerate(items):
-            key = _whole(x, short[q])
-            if key is not None:
-                self.whole.setdefault(key, []).append(q)
-        self.tiny = self._flat([q for q, x in enumerate(items) if len(x) < LEAST_VOTES])
-        self.all = self._flat(range(len(items)))
-        parts = [(x[s], np.full(len(s), q), s) for q, (x, s) in enumerate(zip(items, self.changes, strict=True))]
-        value, query, place = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+    """Queries of one block: the integers of all their hops sorted, with query number and hop.
+
+    ``items`` has for each query the integers of its hops (``dense``), or one array, whose places are then the hops.
+    """
+
+    def __init__(self, ids: list[int], items: list, same: list[bytes | None], least: int = 1, most_error: float = MOST_ERROR):
+        self.ids, self.least, self.most_error = np.array(ids, np.int64), least, most_error
+        self.items = [x if isinstance(x, list) else [x] for x in items]
+        self.stride = len(self.items[0]) if items else 1
+        self.whole = {key: q for q, key in enumerate(same) if key is not None}
+        parts = [(x[s], np.full(len(s), q), s * self.stride + r) for q, phases in enumerate(self.items) for r, x in enumerate(phases) for s in [changes(x)]]
+        value, query, hop = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+        self.needed = np.array([min(LEAST_VOTES, *(len(changes(x)) for x in phases), LEAST_VOTES) for phases in self.items], np.int64)
         order = np.argsort(value, kind="stable")
-        self.value, self.query, self.place = value[order], query[order], place[order]
-
-    def _flat(self, chosen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Integers, query and place of whole queries, one after the other."""
-        chosen = [q for q in chosen if len(self.items[q])]
-        sizes = [len(self.items[q]) for q in chosen]
-        joined = np.concatenate([self.items[q] for q in chosen]) if chosen else np.zeros(0, np.uint32)
-        return joined, np.repeat(np.array(chosen, np.int32), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if chosen else np.zeros(0, np.int32)
-
-    def _everywhere(self, own: int, x: np.ndarray, best: dict[int, tuple[int, int, int, float]]) -> None:
-        """All offsets of pairs of which one has few integers: where the bits of all agree, those of one integer do."""
-        value, query, place = self.all if len(x) < LEAST_VOTES else self.tiny
-        if not len(x) or not len(value):
-            return
-        near = int(MOST_ERROR * 32)
-        few = x if len(x) <= len(value) else value
-        many = value if few is x else x
-        hits = [(j, np.flatnonzero(np.bitwise_count(many ^ v) <= near)) for j, v in enumerate(few)]
-        pairs = {(int(query[k]), int(place[k]) - j) for j, ks in hits for k in ks} if few is x else {(int(query[k]), int(place[k]) - int(j)) for k, js in hits for j in js}
-        for q, shift in sorted(pairs):
-            y = self.items[q]
-            first, last = max(0, -shift), min(len(x), len(y) - shift)
-            if self.ids[q] == own or last - first < LEAST_SPAN * min(len(x), len(y)):
-                continue
-            error = int(np.bitwise_count(x[first:last] ^ y[first + shift : last + shift]).sum()) / (32 * (last - first))
-            if error <= MOST_ERROR and (q not in best or (best[q][2], -best[q][3]) < (last - first, -round(error, 6))):
-                best[q] = (int(self.ids[q]), shift, last - first, round(error, 6))
-
-    def matches(self, own: int, x: np.ndarray, short: bytes | None = None) -> list[tuple[int, int, int, float]]:
-        """Query id, offset (place in the query less place here), integers compared, share of bits that differ."""
-        best: dict[int, tuple[int, int, int, float]] = {q: (int(self.ids[q]), 0, len(x), 0.0) for q in self.whole.get(_whole(x, short), ()) if self.ids[q] != own}
-        self._everywhere(own, x, best)
-        done = frozenset(best)
+        self.value, self.query, self.hop = value[order], query[order].astype(np.int64), hop[order]
+
+    def _offsets(self, x: np.ndarray) -> dict[int, set[int]]:
+        """For each query the offsets (hops) that have votes."""
         at = changes(x)
         low, high = np.searchsorted(self.value, x[at], "left"), np.searchsorted(self.value, x[at], "right")
         count = high - low
-        if not count.sum():
-            return list(best.values())
-        hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        here = np.repeat(at, count)
-        query, offset = self.query[hit], self.place[hit] - here
-        code = (query.astype(np.int64) << 32) + (offset + (1 << 31))
-        order = np.argsort(code, kind="stable")
-        code, here = code[order], here[order]
-        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        stop = np.append(start[1:], len(code))
-        enough = stop - start >= np.minimum(self.needed[code[start] >> 32], len(at))
-        for a, b in zip(start[enough].tolist(), stop[enough].tolist(), strict=True):
-            q, shift = int(code[a] >> 32), int(code[a] & 0xFFFFFFFF) - (1 << 31)
-            if self.ids[q] == own or q in done:
-                continue
-            y = self.items[q]
-            first, last = int(here[a:b].min()), int(here[a:b].max())
-            last += min(_rest(at, last, len(x)), _rest(self.changes[q], last + shift, len(y)))
-            if first and first + shift and x[first - 1] == y[first + shift - 1]:  # the run before, of which one has more
-                first -= min(_before(at, first), _before(self.changes[q], first + shift))
-            if last - first < LEAST_SPAN * min(len(x), len(y)):
+        total = int(count.sum())
+        if not total:
+            return {}
+        hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
+        code = (self.query[hit] << 32) + (self.hop[hit] - self.stride * np.repeat(at, count) + (1 << 31))
+        code, votes = np.unique(code, return_counts=True)
+        found: dict[int, set[int]] = {}
+        for c in code[votes >= np.minimum(self.needed[code >> 32], len(at))].tolist():
+            found.setdefault(c >> 32, set()).add((c & 0xFFFFFFFF) - (1 << 31))
+        return found
+
+    def matches(self, own: int, x: np.ndarray, same: bytes | None = None) -> list[tuple[int, int, int, float]]:
+        """Query id, offset (hop in the query less hop here), integers compared, share of bits that differ in the best stretch."""
+        equal = self.whole.get(same)
+        best: dict[int, tuple[int, int, int, float]] = {} if equal is None or self.ids[equal] == own else {equal: (int(self.ids[equal]), 0, len(x), 0.0)}
+        offsets = self._offsets(x)
+        if self.least < FEW:  # so few integers that none may be equal: all offsets
+            few = [q for q, p in enumerate(self.items) if min(len(x), len(p[0])) < FEW]
+            offsets |= {q: {self.stride * k + r for r, y in enumerate(self.items[q]) for k in range(-len(x), len(y))} for q in few}
+        done = frozenset(best)
+        for q, shifts in offsets.items():
+            if q in done or self.ids[q] == own:
                 continue
-            wrong = int(np.bitwise_count(x[first:last] ^ y[first + shift : last + shift]).sum())
-            error = wrong / (32 * (last - first))
-            if error <= MOST_ERROR and (q not in best or best[q][2] < last - first):
-                best[q] = (int(self.ids[q]), shift, last - first, round(error, 6))
+            for shift in sorted(shifts):
+                y = self.items[q][shift % self.stride]
+                got = stretch(x, y, shift // self.stride, max(self.least, math.ceil(LEAST_SPAN * min(len(x), len(y)))))
+                if got and got[1] <= self.most_error and (q not in best or (best[q][3], -best[q][2]) > (round(got[1], 6), -got[0])):
+                    best[q] = (int(self.ids[q]), shift, got[0], round(got[1], 6))
         return list(best.values())
 
 
-def changes(x: np.ndarray) -> np.ndarray:
-    """Places whose integer differs from the one before."""
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-
-
-def _rest(at: np.ndarray, place: int, n: int) -> int:
-    """Places from this one to the end of its run."""
-    k = int(np.searchsorted(at, place, "right"))
-    return (int(at[k]) if k < len(at) else n) - place
-
+def _whole(items: np.ndarray, samples: np.ndarray) -> bytes | None:
+    """What equal whole recordings share: all integers, or the samples where there are none; silence without samples is like nothing."""
+    return hashlib.sha256((items if len(items) else samples).tobytes()).digest() if len(samples) else None
 
-def _before(at: np.ndarray, place: int) -> int:
-    """Places of the run before this one, up to this one."""
-    return place - int(at[int(np.searchsorted(at, place, "left")) - 1])
 
+FOUND = "query_id long, offset long, n_compared long, bit_error double"
 
-def _whole(x: np.ndarray, short: bytes | None) -> bytes | None:
-    """What equal whole recordings share: all integers, or the samples where there are none."""
-    return hashlib.sha256(x.tobytes()).digest() if len(x) else short
 
+def align(prints: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``id, n_items, sha256`` of every row of ``prints`` with ``query_id, offset, n_compared, bit_error`` for each class of queries it aligns with.
 
-def align(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """``id, n_items, sha256`` of every recording with ``query_id, offset, n_compared, bit_error`` for each query it aligns with.
-
-    ``queries`` are rows (id, items, short), as ``prints`` are. Recordings that align with none have one row with nulls; a recording isn't held
-    against a query of its own id.
+    Queries are the rows that have ``hops``; equal ones are one class, named by its smallest id, whose members share their ``sha256``. ``row`` tells all rows apart. Recordings that align with none have one row with nulls; a
+    recording isn't held against a query of its own id. The matches of each block are a table in the shared folder before the next is sent.
     """
-    spark = prints.sparkSession
-    sizes = queries.select("id", (F.length("items") / 4).cast("long").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_ITEMS))
-    empty = F.expr("cast(array() as array<struct<query_id:bigint,offset:bigint,n_compared:bigint,bit_error:double>>)")
-    rows = prints.withColumn("found", empty)
-    fields = "query_id:bigint,offset:bigint,n_compared:bigint,bit_error:double"
+    context = prints.sparkSession.sparkContext
+    asked = prints.filter("hops is not null and id is not null and same is not null")
+    queries = asked.groupBy("same").agg(F.min("id").alias("id"), F.min_by("hops", "id").alias("hops")).withColumn("n", F.expr("aggregate(hops, 0L, (n, x) -> n + length(x) div 4)"))
+    queries = stash(queries, "queries")
+    total = queries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_items))
+    found: DataFrame | None = None
     for k in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about BLOCK_ITEMS integers
-        sent = spark.sparkContext.broadcast(([r["id"] for r in part], [bytes(r["items"]) for r in part], [bytes(r["short"]) if r["short"] is not None else None for r in part]))
+        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # about block_items integers
+        sent = context.broadcast(([r["id"] for r in part], [[bytes(x) for x in r["hops"]] for r in part], [bytes(r["same"]) for r in part]))
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, raw, alone = sent.value
-            block = Block(ids, [np.frombuffer(x, "<u4") for x in raw], alone)
+            ids, raw, same = sent.value
+            block = Block(ids, [[np.frombuffer(x, "<u4") for x in phases] for phases in raw], same, LEAST_COMPARED)
             for batch in batches:
-                out = []
-                for own, items, short, found in zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("short").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                    names = ("query_id", "offset", "n_compared", "bit_error")
-                    out.append(found + [dict(zip(names, m, strict=True)) for m in block.matches(own, np.frombuffer(items.as_buffer() or b"", "<u4"), short)])
-                kind = pa.list_(pa.struct([("query_id", pa.int64()), ("offset", pa.int64()), ("n_compared", pa.int64()), ("bit_error", pa.float64())]))
-                yield pa.record_batch([batch.column("id"), batch.column("items"), batch.column("short"), pa.array(out, kind)], names=["id", "items", "short", "found"])
-
-        rows = rows.mapInArrow(look, f"id long, items binary, short binary, found array<struct<{fields}>>")
-    each = rows.select("id", (F.length("items") / 4).cast("long").alias("n_items"), F.sha2("items", 256).alias("sha256"), F.explode_outer("found").alias("m"))
-    return each.select("id", "n_items", "sha256", "m.query_id", "m.offset", "m.n_compared", "m.bit_error")
+                rows, got = [], []
+                for i, (own, items, equal) in enumerate(zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("same").to_pylist(), strict=True)):
+                    here = block.matches(own, np.frombuffer(items.as_buffer() or b"", "<u4"), equal)
+                    rows += [i] * len(here)
+                    got += here
+                if got:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+                    yield pa.record_batch([batch.column("row").take(pa.array(rows)), *columns], names=["row", *[f.split()[0] for f in FOUND.split(", ")]])
+
+        matched = stash(prints.select("row", "id", "items", "same").mapInArrow(look, f"row long, {FOUND}"), "matches")
+        sent.destroy()
+        found = matched if found is None else found.union(matched)
+    each = prints.select("row", "id", (F.length("items") / 4).cast("long").alias("n_items"), F.coalesce(F.lower(F.hex("same")), F.sha2(F.lit(""), 256)).alias("sha256"))
+    return each.join(found, "row", "left").drop("row")
 
 
 def search(media: DataFrame, is_query: str, id_col: str = "doc_id", audio_col: str = "audio") -> DataFrame:
-    """Fingerprints of all recordings, aligned with those that ``is_query`` (SQL over ``id``) names."""
-    prints = fingerprints(media, id_col, audio_col)
-    asked = fingerprints(media.filter(F.expr(is_query.replace("id", f"`{id_col}`", 1))), id_col, audio_col)
-    return align(prints, asked).withColumnRenamed("id", id_col)
+    """Fingerprints of all recordings, aligned with those for which ``is_query`` (SQL over the columns of ``media``) holds.
+
+    Null, broken and silent recordings have no integers; equal ones among them that have samples still meet. Repeated rows are rows of their own.
+    """
+    prints = fingerprints(media, id_col, audio_col, is_query).withColumn("row", F.monotonically_increasing_id())
+    with arrow_rows(media.sparkSession, ROWS):
+        known = stash(prints, "fingerprints")
+    return align(known).withColumnRenamed("id", id_col)

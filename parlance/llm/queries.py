@@ -33,7 +33,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents played as notes; all recordings against those whose id is divisible by 100."""
-    return audio.search(audio.recordings(table(spark, sf_dir, "documents")), "id % 100 = 0")
+    return audio.search(audio.recordings(table(spark, sf_dir, "documents")), "doc_id % 100 = 0")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
