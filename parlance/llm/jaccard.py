@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.rows import attached, bitmap, components, in_bitmap, keyed
-from parlance.llm.scratch import stash
+from parlance.llm.scratch import discard, stash
 from parlance.llm.textnum import U64, mix, slabs, strings, word_prints, words
 
 N, PERCENT = 5, 75
@@ -363,10 +363,14 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     reps = stash(sets.filter("size > 0").groupBy("s1", "s2", "size").agg(F.min("key").alias("rep")), "reps")
     members = stash(attached(sets.filter("size > 0"), reps, ["s1", "s2", "size"]).select("key", "rep"), "members")
     postings = stash(shared(prefixes(docs, sketch, n, percent)), "shared")
-    links = stash(verified(docs, stash(stars(postings, members, percent), "stars"), n, percent), "links")
+    met = stash(stars(postings, members, percent), "stars")
+    links = stash(verified(docs, met, n, percent), "links")
     first = components(links)
     pairs = stash(open_pairs(postings, members, first, percent), "pairs")
+    discard(postings)
     more = stash(verified(docs, pairs, n, percent), "links")
+    discard(met)
+    discard(pairs)
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.limit(1).count() else first
     # keys follow the order of the ids, so a component's least key is that of its least id
     named = attached(members, stash(found.withColumnRenamed("node", "rep"), "components"), ["rep"], "left").select("key", F.coalesce("component", "rep").alias("component"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.scratch import stash, text_rows
+from parlance.llm.scratch import discard, stash, text_rows
 from parlance.llm.textnum import mix
 
 
@@ -99,7 +99,8 @@ def components(links: DataFrame) -> DataFrame:
         low = F.min("b").over(Window.partitionBy("a"))
         starred = large.withColumn("m", low)
         small = starred.select(F.col("b").alias("a"), F.col("m").alias("b")).union(starred.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = stash(small, "edges")
+        used, edges = edges, stash(small, "edges")
+        discard(used)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())

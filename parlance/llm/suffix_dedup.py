@@ -31,7 +31,7 @@ MOST = 50_000
 #: Contexts that are sorted together in one go.
 TOGETHER = 20_000
 #: Longest piece of a text handled at once; pieces overlap by a window less one byte.
-PIECE, PLACE_BITS = 1 << 22, 23
+PIECE, PLACE_BITS = 1 << 20, 23
 
 
 def _piece_anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:

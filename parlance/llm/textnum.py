@@ -41,49 +41,68 @@ def _fold(x: np.ndarray, high: np.ndarray) -> None:
 
 
 class Polynomial:
-    """Fingerprints of spans of equal length for one base modulo the prime; the powers grow with the longest slab seen."""
+    """Fingerprints of spans of equal length for one base modulo the prime.
+
+    A power is the product of one for the place in its stride and one for the stride, so that tables stay small however long a text is.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, int(PRIME))
-        self.up = self.down = np.ones(1, U64)
-
-    def _grow(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate((self.up, self.up * U64(pow(self.base, k, int(PRIME))) % PRIME))
-            self.down = np.concatenate((self.down, self.down * U64(pow(self.inverse, k, int(PRIME))) % PRIME))
+        self.up, self.down = self._powers(self.base, STRIDE), self._powers(self.inverse, STRIDE)
+        self.far = np.ones(1, U64)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, U64)
+        while len(out) < n:
+            out = np.concatenate((out, out * U64(pow(base, len(out), int(PRIME))) % PRIME))
+        return out[:n]
+
+    def _strides(self, n: int) -> np.ndarray:
+        """Inverse powers of the first places of ``n`` strides."""
+        if len(self.far) < n:
+            self.far = self._powers(pow(self.inverse, STRIDE, int(PRIME)), 2 * n)
+        return self.far
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Sums before each place, of values below 2**31; they are below 2**32, not always the least residue."""
         n = len(values)
-        self._grow(n + 1)
         out, high = np.zeros(n + 1, U64), np.empty(STRIDE, U64)
-        carry = U64(0)
+        carry, power, step = U64(0), U64(1), U64(pow(self.base, STRIDE, int(PRIME)))
         for lo in range(0, n, STRIDE):
             x = values[lo : lo + STRIDE].astype(U64)
             h = high[: len(x)]
-            x *= self.up[lo : lo + len(x)]
+            x *= self.up[: len(x)]
             _fold(x, h)
-            x[0] += carry
             at = out[lo + 1 : lo + 1 + len(x)]
             np.cumsum(x, out=at)
             _fold(at, h)
-            carry = at[-1]
+            at *= power
+            _fold(at, h)
+            at += carry
+            _fold(at, h)
+            carry, power = at[-1], power * step % PRIME
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, out: np.ndarray, shift: int) -> None:
-        """Adds the fingerprints, shifted to the left, to ``out``; ``start`` and ``end`` are places or slices of them."""
+        """Adds the fingerprints, shifted to the left, to ``out``; ``start`` and ``end`` are places, or slices of them from 0 and from some place on."""
         n, high = len(out), np.empty(STRIDE, U64)
+        far = self._strides(len(prefix) // STRIDE + 1)
         for lo in range(0, n, STRIDE):
             hi = min(n, lo + STRIDE)
+            h = high[: hi - lo]
             if isinstance(start, slice):
-                from_, to = slice(start.start + lo, start.start + hi), slice(end.start + lo, end.start + hi)
+                from_, to = slice(lo, hi), slice(end.start + lo, end.start + hi)
+                down = self.down[: hi - lo] * far[lo // STRIDE]
             else:
                 from_, to = start[lo:hi], end[lo:hi]
-            x, h = prefix[to] + U64(int(PRIME) << 2), high[: hi - lo]
+                down = self.down[from_ % STRIDE] * far[from_ // STRIDE]
+            _fold(down, h)
+            _fold(down, h)
+            x = prefix[to] + U64(int(PRIME) << 2)
             x -= prefix[from_]
             _fold(x, h)
-            x *= self.down[from_]
+            x *= down
             _fold(x, h)
             _fold(x, h)
             np.subtract(x, PRIME, out=x, where=x >= PRIME)
