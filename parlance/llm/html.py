@@ -1,12 +1,15 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are tags and the strings between them, each told apart by the path of tags above it. Over the pages of one host each
+Each page is parsed once, into a row of tokens: tags and the strings between them, each told apart by the path of tags above it. Over the pages of one host each
 token has an occurrence vector: how often it stands on each page. Tokens with the same vector form an equivalence class;
 large and frequent classes are the template that the host fills in. Vectors are compared by a sum of prints of
 (page, count), which Spark adds up on the map side first, so a host with a third of all pages is no heavier than its
 number of different tokens. A host may have many classes, each on some of its pages: layouts, notices, sections. All tokens of
 a class stand on the same pages, so their mean places give its order; tags and strings carry their path, so opening and closing
-tags of one element fall into one class and enclose what is nested in it. On each page every class that the page holds is
+tags of one element fall into one class and enclose what is nested in it.
+
+Classes are nested by their support: a token of a rarer class has to stand in the same gap of each more frequent class (between the same two
+of its tokens) on ``SURE_GAP`` of the pages that hold both, else it moves about freely and is no part of the template. On each page every class that the page holds is
 put in order by itself, and those of its tokens count that stand in it. What stands between template tokens are slots. Slots
 inside menus, footers, adverts and the like (by the tags and class names on their path) are dropped, strings that belong to
 the template are dropped, and what is left is the page's own text.
@@ -31,6 +34,12 @@ LEAST_PAGES, LEAST_TOKENS, LEAST_SUPPORT = 3, 2, 0.1
 #: A class may be any share of its pages' text if it stands on ``SURE_SUPPORT`` of a host of ``LEAST_DIFFERENT`` different pages;
 #: else ``MOST_SHARE`` of the text outside furniture, or a few near copies would take their text for a template.
 LEAST_DIFFERENT, SURE_SUPPORT, MOST_SHARE = 8, 0.5, 0.8
+#: Share of the pages with both on which a token has to stand in one gap of a more frequent class.
+SURE_GAP = 0.9
+#: What an event of a page is to its text: a string, one in furniture, a space, the border of a block, another tag.
+TEXT, ASIDE, SPACE, BORDER, TAG = range(5)
+#: Prints of paths and short strings that a worker remembers.
+REMEMBERED, LONGEST = 100_000, 60
 #: Templates up to this size in all are broadcast; beyond, pages and templates meet in a salted join.
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
@@ -63,6 +72,21 @@ def _print(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+_known: dict[tuple[int, str], int] = {}
+
+
+def _path_print(above: int, name: str) -> int:
+    """The print of a path with one name more; short ones are remembered."""
+    found = _known.get((above, name))
+    if found is None:
+        found = _print(str(above), name)
+        if len(name) <= LONGEST:
+            if len(_known) >= REMEMBERED:
+                _known.clear()
+            _known[above, name] = found
+    return found
+
+
 class Element:
     __slots__ = ("furniture", "main", "name", "path")
 
@@ -83,7 +107,7 @@ class Element:
                     classes |= each
                 if key != "id" or name not in HEADINGS and name != "section":
                     words |= set(re.split(r"[\s_-]+", value))
-        self.path = (above.path + "/" if above else "") + label
+        self.path = _path_print(above.path if above else 0, label)
         self.main = inside or name in ("article", "main") or "main" in whole or bool(whole & MAIN_WORDS)
         # names tell furniture: in the main element and on headings whole class names only, on sections outside whole ids too
         if inside or name in HEADINGS:
@@ -159,24 +183,40 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
     yield from pop_to(0)
 
 
+KINDS = {"open": 0x1F83D9ABFB41BD6B, "close": 0x5BE0CD19137E2179, "void": 0x3C6EF372FE94F82B}
+
+
 def _token(kind: str, element: Element | None, value: str) -> int | None:
     """The print of one event; a string is one token, white space made even, a blank one none."""
     if kind == "text":
         value = " ".join(value.split())
-        if not value:
-            return None
-    return _print(kind, element.path if element else "", value)
+        return _path_print(~element.path if element else -1, value) if value else None
+    return element.path ^ KINDS[kind]
+
+
+def parsed(page: str) -> tuple[list[int | None], bytes, list[str]]:
+    """Token and kind of each event of a page, and the strings outside furniture."""
+    tokens, kinds, texts = [], bytearray(), []
+    for kind, element, value in events(page):
+        tokens.append(_token(kind, element, value))
+        if kind == "text":
+            aside = element is not None and element.furniture
+            kinds.append(ASIDE if aside else TEXT)
+            if not aside:
+                texts.append(value)
+        else:
+            kinds.append(SPACE if value == "br" else BORDER if value in BLOCK or value in RAW or value in HIDDEN else TAG)
+    return tokens, bytes(kinds), texts
 
 
-def page_tokens(page: str) -> tuple[dict[int, tuple[int, int, int]], int]:
+def page_tokens(tokens: list[int | None], kinds: bytes, texts: list[str]) -> tuple[dict[int, tuple[int, int, int]], int]:
     """Each token of a page with its count, the place where it first stands and its characters of text outside furniture; all such characters."""
     counts: dict[int, tuple[int, int, int]] = {}
-    whole = 0
-    for place, (kind, element, value) in enumerate(events(page)):
-        token = _token(kind, element, value)
+    whole, strings_ = 0, iter(texts)
+    for place, (token, kind) in enumerate(zip(tokens, kinds, strict=True)):
+        own = len(next(strings_).strip()) if kind == TEXT else 0
         if token is not None:
             count, first, size = counts.get(token, (0, place, 0))
-            own = len(value.strip()) if kind == "text" and not (element and element.furniture) else 0
             counts[token] = (count + 1, first, size + own)
             whole += own
     return counts, whole
@@ -208,13 +248,12 @@ def template_tokens(tokens: list[int | None], template: dict[int, int]) -> set[i
     return {t for held in found.values() for t in in_order(held, template)}
 
 
-def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
-    """The strings of the page's own slots, as blocks with ``between`` between them; ``template`` maps tokens to class << 32 | rank."""
-    read = list(events(page))
-    named = [_token(*event) for event in read] if template else [None] * len(read)
-    fixed = template_tokens(named, template)
+def slots(tokens: list[int | None], kinds: bytes, texts: list[str], template: dict[int, int], between: str) -> str:
+    """The strings of a parsed page's own slots, as blocks with ``between`` between them."""
+    fixed = template_tokens(tokens, template) if template else ()
     blocks: list[str] = []
     parts: list[str] = []
+    strings_ = iter(texts)
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
@@ -222,31 +261,57 @@ def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
             blocks.append(text)
         parts.clear()
 
-    for (kind, element, value), token in zip(read, named, strict=True):
-        if kind == "text":
-            if element is not None and element.furniture or token in fixed:
-                continue
-            parts.append(value)
-        elif value == "br":
+    for token, kind in zip(tokens, kinds, strict=True):
+        if kind == TEXT:
+            value = next(strings_)
+            if token not in fixed:
+                parts.append(value)
+        elif kind == SPACE:
             parts.append(" ")
-        elif value in BLOCK or value in RAW or value in HIDDEN:
+        elif kind == BORDER and parts:
             flush()
     flush()
     return between.join(blocks)
 
 
+def main_text(page: str, template: dict[int, int], between: str = "\n") -> str:
+    """The text of one page; ``template`` maps tokens to class << 32 | rank."""
+    return slots(*parsed(page), template, between)
+
+
 def host(url: str = "url") -> str:
     return f"lower(regexp_extract(coalesce({url}, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
-def _marks(page: str) -> int:
-    """One bit in each quarter of 64, so that the bits of several pages tell how many differ."""
-    x = _print(page)
+def _marks(x: int) -> int:
+    """One bit in each quarter of 64 for a page's print, so that the bits of several pages tell how many differ."""
     return sum(1 << (16 * k + (x >> 4 * k & 15)) for k in range(4))
 
 
+def read(rows: DataFrame) -> DataFrame:
+    """``__id, __url, host, page, content`` (print of the html), ``tokens, kinds, texts`` of every row (__id, __url, html, host, page)."""
+    names = ["__id", "__url", "host", "page", "content", "tokens", "kinds", "texts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                pages = [p or "" for p in batch.column("html").to_pylist()]
+                each = [parsed(p) for p in pages]
+                columns = [pa.array([e[0] for e in each], pa.list_(pa.int64())), pa.array([e[1] for e in each], pa.binary()), pa.array([e[2] for e in each], pa.list_(pa.string()))]
+                yield pa.record_batch([*(batch.column(c) for c in names[:4]), pa.array([_print(p) for p in pages], pa.int64()), *columns], names=names)
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"__id {kind}, __url string, host string, page long, content long, tokens array<long>, kinds binary, texts array<string>")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """host, page, content and the parsed page of each row."""
+    return zip(*[batch.column(c).to_pylist() for c in ("host", "page", "content", "tokens", "kinds", "texts")], strict=True)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, tokens, classes``: tags and strings of the host's classes, each class in the mean order of its tokens on its pages.
+    """``host, tokens, classes`` of parsed pages: tags and strings of the host's classes, frequent classes first, each class in the mean order of its tokens on its pages.
 
     A class is kept if it stands on enough different pages of its host and on enough of those that have tokens, has enough
     tokens, and leaves its pages text of their own; else a host of a few copies would take their text for its template.
@@ -256,19 +321,21 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, list[int]] = {}  # by host and token; by host, no token and page
-            for h, number, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                tokens, whole = page_tokens(page or "")
-                marks = _marks(page or "")
+            for h, number, content, *page in _rows(batch):
+                tokens, whole = page_tokens(*page)
+                marks, vector = _marks(content), {}
                 for token, (count, first, own) in tokens.items():
+                    if count not in vector:
+                        vector[count] = _print(str(number), str(count))
                     got = sums.setdefault((h, token), [0, 0, 0, 0, 0, 0])
                     got[0] += 1
-                    got[1] = (got[1] + _print(str(number), str(count))) & (2**62 - 1)
+                    got[1] = (got[1] + vector[count]) & (2**62 - 1)
                     got[2] += first
                     got[3] += own
                     got[4] += whole
                     got[5] |= marks
                 if tokens:
-                    alike = sums.setdefault((h, None, _print(page)), [0, _print(page), 0, 0, 0, 0])
+                    alike = sums.setdefault((h, None, content), [0, content, 0, 0, 0, 0])
                     alike[0] += 1
             values = [pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(5)]
             marks = pa.array([v[5] - (v[5] >> 63 << 64) for v in sums.values()], pa.int64())
@@ -285,7 +352,7 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = frequent.groupBy("host", "vector", "pages", "around", "all", "different").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.bit_or("marks").alias("marks"))
     differ = F.greatest(*[F.bit_count(F.shiftrightunsigned("marks", 16 * k).bitwiseAND(F.lit(65535))) for k in range(4)])
     valid = classes.filter(f"n >= {LEAST_TOKENS}").filter(differ >= LEAST_PAGES).filter(f"different >= {LEAST_DIFFERENT} and pages >= {SURE_SUPPORT} * all or own <= {MOST_SHARE} * around").select("host", "vector")
-    ranked = F.array_sort(F.collect_list(F.struct("vector", "place", "token")))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("less"), "vector", "place", "token")))
     met = frequent.join(valid, ["host", "vector"]).groupBy("host").agg(ranked.alias("ranked"))
     return met.select("host", F.expr("transform(ranked, x -> x.token)").alias("tokens"), F.expr("transform(ranked, x -> x.vector)").alias("classes"))
 
@@ -296,6 +363,66 @@ def numbered(tokens: list[int] | None, classes: list[int] | None) -> dict[int, i
     return {t: number.setdefault(c, len(number)) << 32 | k for k, (t, c) in enumerate(zip(tokens or (), classes or (), strict=True))}
 
 
+def _with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Parsed pages with ``template_tokens`` and ``template_classes`` of their host, broadcast up to a checked size, else by a salted join."""
+    named = found.select("host", F.col("tokens").alias("template_tokens"), F.col("classes").alias("template_classes"))
+    size = found.agg(F.coalesce(F.sum(F.size("tokens") * 16 + F.length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(named), "host", "left")
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
+def _numbers(batch: pa.RecordBatch) -> Iterator[dict[int, int]]:
+    """The numbered template of each row's host."""
+    known: dict[str, dict[int, int]] = {}
+    for i, h in enumerate(batch.column("host").to_pylist()):
+        if h not in known:
+            known[h] = numbered(batch.column("template_tokens")[i].as_py(), batch.column("template_classes")[i].as_py())
+        yield known[h]
+
+
+def gaps(tokens: list[int | None], template: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """On one page: each token of a class, each more frequent class there, and how many of that class's tokens stand before."""
+    first: dict[int, int] = {}
+    for place, t in enumerate(tokens):
+        if t in template:
+            first.setdefault(t, place)
+    held: dict[int, list[int]] = {}
+    for t in first:
+        held.setdefault(template[t] >> 32, []).append(t)
+    above: list[tuple[int, list[int]]] = []
+    for number in sorted(held):
+        kept = [t for t in held[number] if t in in_order(held[number], template)]
+        for other, places in above:
+            for t in kept:
+                yield t, other, bisect_left(places, first[t])
+        above.append((number, [first[t] for t in kept]))
+
+
+def nested(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` without the tokens that don't keep to one gap of a more frequent class, and without classes too small then."""
+    names = ["host", "token", "other", "gap", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple, int] = {}
+            for h, tokens, template in zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), _numbers(batch), strict=True):
+                for place in gaps(tokens, template) if template else ():
+                    seen[h, *place] = seen.get((h, *place), 0) + 1
+            columns = [pa.array([k[i] for k in seen], pa.string() if i == 0 else pa.int64()) for i in range(4)]
+            yield pa.record_batch([*columns, pa.array(list(seen.values()), pa.int64())], names=names)
+
+    counts = _with_templates(pages.select("host", "page", "tokens"), found).mapInArrow(run, "host string, token long, other long, gap long, n long")
+    counts = counts.groupBy("host", "token", "other", "gap").agg(F.sum("n").alias("n"))
+    free = counts.groupBy("host", "token", "other").agg((F.max("n") < SURE_GAP * F.sum("n")).alias("free")).filter("free")
+    loose = stash(free.groupBy("host").agg(F.collect_set("token").alias("loose")), "loose")
+    pairs = F.expr("filter(arrays_zip(tokens, classes), x -> loose is null or not array_contains(loose, x.tokens))")
+    kept = found.join(loose, "host", "left").select("host", pairs.alias("p"))
+    large = F.expr(f"filter(p, x -> size(filter(p, y -> y.classes = x.classes)) >= {LEAST_TOKENS})")
+    return kept.select("host", large.alias("p")).select("host", F.col("p.tokens").alias("tokens"), F.col("p.classes").alias("classes"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", between: str = "\n") -> DataFrame:
     """``text`` and ``n_chars`` (code points) of every page, beside its id and url.
 
@@ -303,25 +430,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     each; other columns are not read.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").cast("string").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    rows = rows.withColumn("host", F.expr(host("__url")))
-    found = stash(templates(rows.select("host", F.xxhash64("__id", "__url", "html").alias("page"), "html")), "templates")
-    size = found.agg(F.coalesce(F.sum(F.size("tokens") * 16 + F.length("host")), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:
-        met = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("__id", "__url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = rows.withColumn("host", F.expr(host("__url"))).withColumn("page", F.xxhash64("__id", "__url", "html"))
+    known = stash(read(rows), "parsed")
+    found = stash(templates(known), "classes")
+    found = stash(nested(known, found), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, dict[int, int]] = {}
-            texts = []
-            for i, (h, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-                if h not in known:
-                    known[h] = numbered(batch.column("tokens")[i].as_py(), batch.column("classes")[i].as_py())
-                texts.append(main_text(page or "", known[h], between))
+            texts = [slots(*page, template, between) for (_, _, _, *page), template in zip(_rows(batch), _numbers(batch), strict=True)]
             yield pa.record_batch([batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
 
-    kind = rows.schema["__id"].dataType.simpleString()
-    out = met.select("__id", "__url", "html", "host", "tokens", "classes").mapInArrow(run, f"__id {kind}, __url string, text string, n_chars long")
+    kind = known.schema["__id"].dataType.simpleString()
+    out = _with_templates(known, found).mapInArrow(run, f"__id {kind}, __url string, text string, n_chars long")
     return out.withColumnRenamed("__id", id_col).withColumnRenamed("__url", url_col)

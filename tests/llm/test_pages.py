@@ -51,3 +51,26 @@ def test_text_that_has_to_stay():
     assert read(main) == "a\nb\nd" and read('<h2 id="market-share">a</h2><section id="related-work">b</section><section id=comments>c</section>') == "a\nb"
     assert read("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be") == "let x=1 be"
     assert read("<h1>a</h1><article><p>b</article><p>c") == "a\nb\nc"
+
+
+def test_tokens_that_move_about_are_no_template(spark):
+    """A line of every second page stands in one gap of the layout, or in another gap on each page."""
+    line = "<p>Heard in the street</p>"
+    body = "<html><body><div class=top>Welcome to our paper</div>{0}<div><i>own {3}</i></div>{1}<h4>More from us</h4>{2}<div>All rights reserved</div></body></html>"
+    at = lambda k, place: [line if k % 2 and i == place else "" for i in range(3)]
+    assert extracted(spark, [body.format(*at(k, 1), k) for k in range(12)]) == [f"own {k}" for k in range(12)]
+    assert extracted(spark, [body.format(*at(k, k // 2 % 3), k) for k in range(12)]) == [f"own {k}" if k % 2 == 0 else f"Heard in the street\nown {k}" if k // 2 % 3 == 0 else f"own {k}\nHeard in the street" for k in range(12)]
+
+
+def test_gaps_of_classes():
+    template = {1: 0, 2: 1, 3: 2, 7: 1 << 32, 8: 1 << 32 | 1}
+    assert sorted(html.gaps([1, 7, None, 8, 2, 3, 8], template)) == [(7, 0, 1), (8, 0, 1)]
+    assert sorted(html.gaps([7, 1, 2, 8, 3], template)) == [(7, 0, 0), (8, 0, 2)] and not list(html.gaps([None, 5], template))
+
+
+def test_hosts_around_eight_pages_and_repeated_pages(spark):
+    for n in (3, 7, 8):
+        assert extracted(spark, [LAYOUT.format(f"page {k}", "") for k in range(n)]) == [f"page {k} has its own story" for k in range(n)]
+    rows = [(k % 5, "http://a.example/", LAYOUT.format(f"page {k % 5}", ""), 1, "x") for k in range(10)] + [(None, "http://a.example/", None, 1, "x")]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, tokens int, host string")).collect()
+    assert sorted(r.text for r in out) == ["", *sorted(f"page {k % 5} has its own story" for k in range(10))]
