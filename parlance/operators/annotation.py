@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.dates import parsed_date
-from parlance.operators.keywords import actor_masked, annotation_match, keyword_pairs, with_header
+from parlance.operators.keywords import actor_masked, annotation_match, keyword_pairs, post_blocks, with_header
 from parlance.operators.reduce import annotation_columns
 from parlance.operators.timeseries import between_or_null, in_ranges
 
@@ -42,11 +42,12 @@ def bipartite(df: DataFrame, actor: str, label: str) -> tuple[DataFrame, DataFra
     return nodes, edges
 
 
-def prepared(df: DataFrame, keywords: list[str], pairs: list[tuple[str, str]] = (), start: str | None = None, end: str | None = None, ranges: list[tuple[str | None, str | None]] | None = None) -> DataFrame:
-    """Rows for annotators: columns, dates, range, keywords (the actor's own name doesn't count), header. An empty result keeps its columns."""
+def prepared(df: DataFrame, keywords: list[str], pairs: list[tuple[str, str]] = (), start: str | None = None, end: str | None = None, ranges: list[tuple[str | None, str | None]] | None = None, chats: bool = False) -> DataFrame:
+    """Rows for annotators: columns, dates, range, keywords (the actor's own name doesn't count, nor, in chats, what stands outside posts and comments), header. An empty result keeps its columns."""
     rows = annotation_columns(df).withColumn("date", parsed_date(F.col("publication_date")))
     rows = in_ranges(rows, "date", ranges) if ranges is not None else between_or_null(rows, "date", start, end, drop_null=bool(start or end))
-    found = annotation_match(rows.withColumn("__searched", actor_masked("text", "coalesce(source, '')")), keywords, "__searched").drop("__searched")
+    rows = rows.withColumn("__searched", post_blocks(F.col("text")) if chats else F.col("text"))
+    found = annotation_match(rows.withColumn("__searched", actor_masked("__searched", "coalesce(source, '')")), keywords, "__searched").drop("__searched")
     if pairs:
         found = found.withColumn("matched_keywords", keyword_pairs(F.col("matched_keywords"), list(pairs))).filter(F.size("matched_keywords") > 0)
     return found.withColumn("text", with_header(F.col("link"), F.col("source"), F.col("matched_keywords") if keywords else None, F.col("date"), F.col("text")))

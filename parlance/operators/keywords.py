@@ -81,8 +81,8 @@ def without_urls(text: Column) -> Column:
 
 
 def actor_masked(text: str, actor: str) -> Column:
-    """The actor's name, in any case, replaced by a space."""
-    return F.expr(f"regexp_replace({text}, concat('(?iU)\\\\Q', {actor}, '\\\\E'), ' ')")
+    """The actor's name, in any case, replaced by a space; without a name the text as it is."""
+    return F.expr(f"case when coalesce(trim({actor}), '') = '' then {text} else regexp_replace({text}, concat('(?iU)\\\\Q', trim({actor}), '\\\\E'), ' ') end")
 
 
 def keyword_pairs(words: Column, pairs: list[tuple[str, str]]) -> Column:

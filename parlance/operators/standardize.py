@@ -147,12 +147,15 @@ def _uncircled(parents: DataFrame, g: list[str]) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, where the session names one; else (tests) the plan is cut by ``checkpoint``."""
+    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; local sessions (tests) may leave it unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parlance-"))
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="parlance-"))
     return df.checkpoint()
 
 
@@ -172,7 +175,7 @@ def channel(df: DataFrame, path: str, to: str = "to") -> DataFrame:
 def mapped_actor(df: DataFrame, mapping: DataFrame, source: str = "source") -> DataFrame:
     """``actor`` by exact source; sources that the mapping doesn't know stay as they are."""
     small = mapping.select(F.col("source").alias("__source"), F.col("actor").alias("__actor"))
-    return df.join(F.broadcast(small), F.col(source) == F.col("__source"), "left").withColumn("actor", F.coalesce("__actor", source)).drop("__source", "__actor")
+    return df.join(small, F.col(source) == F.col("__source"), "left").withColumn("actor", F.coalesce("__actor", source)).drop("__source", "__actor")
 
 
 def entry_ids(df: DataFrame, country: str, order: list[str], actor: str = "actor", platform: str = "platform") -> DataFrame:
@@ -181,8 +184,20 @@ def entry_ids(df: DataFrame, country: str, order: list[str], actor: str = "actor
     n = F.length(bare)
     letters = F.upper(F.concat(F.substring(bare, 1, 1), F.expr("substring(__bare, cast(length(__bare) div 2 as int) + 1, 1)"), F.substring(bare, -1, 1)))
     code = F.concat_ws("-", F.lit(country), F.when(n > 0, letters).otherwise(F.lit("XXX")), F.upper(F.substring(F.col(platform), 1, 1)))
-    out = df.withColumn("__bare", bare).withColumn("__code", code)
-    return out.withColumn("entry_ID", F.concat_ws("-", "__code", F.row_number().over(Window.partitionBy("__code").orderBy(*order)).cast("string"))).drop("__bare", "__code")
+    out = running_number(df.withColumn("__bare", bare).withColumn("__code", code), "__code", order)
+    return out.withColumn("entry_ID", F.concat_ws("-", "__code", F.col("__number").cast("string"))).drop("__bare", "__code", "__number")
+
+
+def running_number(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``__number`` of each row among those of equal ``by``, in order; rows of a frequent value are spread over many tasks.
+
+    Rows are dealt by ranges of (by, order) and written, so that numbers inside a part and the counts of the parts before fit together.
+    """
+    parts = _written(df.repartitionByRange(F.col(by), *[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    counts = parts.groupBy("__part", by).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__part", by).orderBy(*order))
+    return parts.withColumn("__inside", inside).join(before, ["__part", by]).withColumn("__number", F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
 
 
 def unioned(parts: dict[str, DataFrame]) -> DataFrame:

@@ -124,7 +124,7 @@ def smoothed(series: DataFrame, by: list[str], value: str, sigma: float = 2.0, r
 def layers(series: DataFrame, actor: str, weight: str = "weight") -> DataFrame:
     """Lower and upper edge of each actor's layer around the middle line, heavy actors first; ``peak_y`` is the upper edge of all."""
     rank = series.groupBy(actor).agg(F.sum(weight).alias("__total")).select(actor, F.row_number().over(Window.orderBy(F.desc("__total"), actor)).alias("actor_rank"))
-    joined = series.join(F.broadcast(rank), actor)
+    joined = series.join(rank, actor)
     day = Window.partitionBy("date")
     total = F.sum(weight).over(day)
     below = F.coalesce(F.sum(weight).over(day.orderBy("actor_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

@@ -204,7 +204,8 @@ def own_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with c as (select o_orderpriority as actor, count(*) as w from orders group by all) select strftime(last_day(o_orderdate), '%Y-%m-%d') as date, count(*) as n, round(sum(1.0 / w), 6) as weighted from orders join c on actor = o_orderpriority group by all")
 def weighted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), F.count("*").over(Window.partitionBy("o_orderpriority")).alias("w"))
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderpriority")
+    rows = orders.join(orders.groupBy("o_orderpriority").agg(F.count("*").alias("w")), "o_orderpriority")
     out = timeseries.period_counts(rows, "day", [], START, END, weight="w").filter("n > 0")
     return text_dates(out.withColumn("weighted", F.round("weighted", 6)))
 
@@ -399,7 +400,12 @@ def map_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query()
+@query(
+    """with recursive near as (select x.vec_id as a, y.vec_id as b from embeddings x cross join embeddings y where list_distance(cast(x.embedding as double[]), cast(y.embedding as double[])) <= 0.9), core as (select a as id from near group by a having count(*) >= 5),
+    edges as (select a, b from near where a in (select id from core) and b in (select id from core)), reach as (select id as a, id as b from core union select r.a, e.b from reach r join edges e on r.b = e.a), labels as (select a as id, min(b) as label from reach group by a),
+    border as (select near.a as id, min(label) as label from near join labels on labels.id = near.b group by near.a), named as (select vec_id, coalesce(labels.label, border.label) as label from embeddings left join labels on labels.id = vec_id left join border on border.id = vec_id),
+    numbers as (select label, row_number() over (order by label) - 1 as cluster from named where label is not null group by label having count(*) >= 5) select vec_id, cast(coalesce(cluster, -1) as int) as cluster from named left join numbers using (label)"""
+)
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.density_clusters(table(spark, sf_dir, "embeddings"), "vec_id", epsilon=0.9)
 

@@ -115,3 +115,33 @@ def test_profiles_can_be_lazy_together(spark):
     one = profiling.json_types(spark.createDataFrame([('{"a": 1}',)], "j string"), "j")
     two = profiling.json_types(spark.createDataFrame([('{"b": "x"}',), ("[1]",), (None,)], "j string"), "j")
     assert [tuple(r) for r in one.union(two).collect()] == [("a", "int"), ("b", "str")]
+
+
+def test_rows_for_annotators_without_a_source(spark):
+    rows = [(None, "l1", "t", "2024-01-01", "see the end"), ("the", "l2", "t", "2024-01-01", "see the end"), ("x", "l3", "t", "2024-01-01", "Post_text: nothing --- see the end")]
+    df = spark.createDataFrame(rows, "source string, url string, article_title string, publication_date string, text string")
+    from parlance.operators import annotation
+
+    assert {r.link for r in annotation.prepared(df, ["the"]).collect()} == {"l1", "l3"}
+    assert {r.link for r in annotation.prepared(df, ["the"], chats=True).collect()} == {"l1"}
+
+
+def test_density_clusters_of_equal_and_missing_points(spark):
+    from parlance.operators import vectors
+
+    rows = [(k, [float(k % 3) * 5, 0.0]) for k in range(40)] + [(99, [50.0, 50.0]), (100, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    out = {r.id: r.cluster for r in vectors.density_clusters(df, "id", epsilon=1.0).collect()}
+    assert out == {k: k % 3 for k in range(40)} | {99: -1}
+    assert vectors.density_clusters(df.limit(0), "id").count() == 0
+    pairs = {(r.a, r.b) for r in vectors.near_pairs(df.filter("embedding is not null").select("id", df.embedding.alias("v")), 1.0).collect()}
+    assert pairs == {(a, b) for a in range(40) for b in range(40) if a % 3 == b % 3} | {(99, 99)}
+
+
+def test_running_numbers_over_many_parts(spark):
+    df = spark.range(5000).selectExpr("id", "case when id % 3 > 0 then 'hot' else concat('c', id % 50) end as code")
+    out = standardize.running_number(df, "code", ["id"]).collect()
+    seen: dict = {}
+    for r in sorted(out, key=lambda r: r.id):
+        seen[r.code] = seen.get(r.code, 0) + 1
+        assert r["__number"] == seen[r.code]
