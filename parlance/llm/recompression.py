@@ -1,8 +1,7 @@
 """Substring dedup of words by recompression.
 
-The first round names every maximal run of one word; each round names the pairs of a left and a right symbol (sides
-follow from the symbol's own name and the round). Runs of higher symbols stay unnamed: to know where a run ends takes
-its neighbours, and such symbols would need more words around them than a window has. A name is a print of what it stands for, the same in every task, so names are global
+Each round names every maximal run of one symbol, then the pairs of a left and a right symbol (sides follow from the
+symbol's own name and the round). A name is a print of what it stands for, the same in every task, so names are global
 without a dictionary passing through the cluster, and equal word sequences get equal symbols but for those near
 their ends. Beside its words a symbol carries its surroundings: the words that must be seen to know that
 it was formed. The words themselves are the symbols of level 0.
@@ -102,7 +101,7 @@ def levels(prints: np.ndarray, doc: np.ndarray, rounds: int) -> list[Symbols]:
     place = np.arange(n)
     out = [Symbols(prints, place, place + 1, place, place + 1, doc, np.ones(n, bool))]
     for k in range(rounds):
-        out.append(name_pairs(name_runs(out[-1], k) if k == 0 else out[-1], k))
+        out.append(name_pairs(name_runs(out[-1], k), k))
     return out
 
 
