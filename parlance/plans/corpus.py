@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions.columns import as_text, null_words
 from parlance.functions.dates import MONTHS, parsed_date, relative_date, writes_day_first
 from parlance.operators import annotation, chunks, keywords, profiling, reduce, sampling, standardize, terms, timeseries, vectors
-from parlance.plans.queries import DOCS, MATCH, SENT, STOP, STOP_WORDS, TOK, activity, annotated, docs, listed, matched, prefix_columns, query, split, table, text_dates, tokenised
+from parlance.plans.queries import DOCS, MATCH, PIECES, SENT, STOP, STOP_WORDS, TOK, activity, annotated, docs, listed, matched, prefix_columns, query, split, table, text_dates, tokenised
 from parlance.sources import files
 
 #: The first line of a text, and a body of letters and spaces only.
@@ -305,12 +305,7 @@ def titled_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id").join(reduced, "doc_id").select("doc_id", sampling.excerpt(F.col("text"), F.nullif("title", F.lit(""))).alias("excerpt"))
 
 
-@query(
-    """with recursive p as (select doc_id, 0 as k, '' as piece, text as rest from documents where text <> ''
-    union all select doc_id, k + cast(regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g') <> '' as int), regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g'), regexp_replace(substring(rest, e + 1), '^\\s+', '') from (select *, case when length(rest) <= 900 then length(rest)
-      when 900 - instr(reverse(left(rest, 900)), chr(10)) > 200 and contains(left(rest, 900), chr(10)) then 900 - instr(reverse(left(rest, 900)), chr(10)) when 900 - instr(reverse(left(rest, 900)), ' ') > 200 and contains(left(rest, 900), ' ') then 900 - instr(reverse(left(rest, 900)), ' ') else 900 end as e from p where rest <> ''))
-    select doc_id, cast(k as bigint) as piece_id, piece from p where piece <> ''"""
-)
+@query(PIECES.replace("{MOST}", "900"))
 def short_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.pieces(docs(spark, sf_dir), "doc_id", most=900)
 

@@ -340,7 +340,13 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.bigrams(tokenised(spark, sf_dir), ["doc_id"], ["lang"], STOP_WORDS)
 
 
-@query()
+PIECES = """with recursive p as (select doc_id, 0 as k, '' as piece, text as rest from documents where text <> ''
+    union all select doc_id, k + cast(regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g') <> '' as int), regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g'), regexp_replace(substring(rest, e + 1), '^\\s+', '') from (select *, case when length(rest) <= {MOST} then length(rest)
+      when {MOST} - instr(reverse(left(rest, {MOST})), chr(10)) > 200 and contains(left(rest, {MOST}), chr(10)) then {MOST} - instr(reverse(left(rest, {MOST})), chr(10)) when {MOST} - instr(reverse(left(rest, {MOST})), ' ') > 200 and contains(left(rest, {MOST}), ' ') then {MOST} - instr(reverse(left(rest, {MOST})), ' ') else {MOST} end as e from p where rest <> ''))
+    select doc_id, cast(k as bigint) as piece_id, piece from p where piece <> ''"""
+
+
+@query(PIECES.replace("{MOST}", "8000"))
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.pieces(docs(spark, sf_dir), "doc_id")
 
@@ -412,8 +418,10 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return vectors.projected(rows, vectors.centroids(rows, "label"))[0].select("vec_id", "umap_1", "umap_2")
+    """Chunks and, by the same model, the centroids of their actors."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("actor", F.col("label").cast("string"))
+    chunks_, actors = vectors.projected(rows, vectors.centroids(rows, "actor"))
+    return vectors.map_export(chunks_, actors, ["vec_id"])
 
 
 @query()
