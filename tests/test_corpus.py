@@ -36,7 +36,7 @@ def test_threads_against_brute_force(spark):
     posts += [(50, 60, "child before parent"), (60, None, "late parent")]
     replies = [(rng.randrange(1, 40), 1000 + k, f"r{k}") for k in range(30)]
     known = {m for m, _, _ in posts}
-    roots = [m for m, p, _ in posts if p not in known]
+    roots = [m for m, p, _ in posts if p not in known] + [50]  # written before its parent, so a thread of its own too
     out = standardize.threads(spark.createDataFrame(posts, "message_id long, parent_id long, text string"), spark.createDataFrame(replies, "parent_id long, reply_id long, text string")).collect()
     assert {r.root: r.thread_text for r in out} == {m: brute_thread(posts, replies, m) for m in roots}
     assert all((r.replies is None) == (r.thread_text.count("---") == 0) for r in out)
@@ -56,7 +56,7 @@ def test_web_rows(spark):
     row = standardize.web(df).first()
     assert row.asDict().keys() == set(standardize.WEB_COLUMNS)
     assert (row.article_title, row.article_text, row.publication_date, row.links_in_text, row.embedded_media_links) == ("Big\nnews", "Sub\n Text", None, ["u"], None)
-    assert row.article_categories == ["c", "t"] and row.other_items == {"references_text": ["ref"]} and row.scrape_date is None
+    assert row.article_categories == ["c", "t", "c"] and row.other_items == {"references_text": ["ref"]} and row.scrape_date is None
 
 
 def test_videos_need_their_columns(spark):
