@@ -9,7 +9,8 @@ that a recording which starts between two frames of a query finds equal frames a
 stated set of queries in blocks of bounded size, each sent to all tasks in turn, and every recording is looked up where
 it is read. Equal integers vote for the offset between the two, each run of one integer once. At each offset that has enough votes
 the bits are compared: the two align if in a stretch as long as half of the shorter one, of ``LEAST_COMPARED`` integers at
-least, no more than ``MOST_ERROR`` of them differ. Equal recordings align even if they are too short for that.
+least, no bit differs, or no more than ``MOST_ERROR`` of them do and a share of ``LEAST_CHANGED`` of the integers, in both, isn't that before it
+(steady sound looks much alike at all pitches). Equal recordings align even if they are too short for that.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ NOTE = 32
 SPAN = 8
 #: Integers that must be compared at least, share of the shorter recording that a stretch must have, share of its bits that may differ.
 LEAST_COMPARED, LEAST_SPAN, MOST_ERROR = 8, 0.5, 0.1
+#: Share of the integers of a stretch with errors that must differ from the one before.
+LEAST_CHANGED = 0.25
 #: Recordings of fewer integers are held against every place where so few may align at all.
 FEW = 4
-#: Votes that an offset needs (all, where a recording has fewer changes); what has fewer is missed.
+#: Votes that an offset needs (all, where a recording has fewer integers), of which a run gives as many as it is long; what has fewer is missed.
 LEAST_VOTES = 2
 #: Integers in a block of queries (32 MB with their places).
 BLOCK_ITEMS = 2 << 20
@@ -232,13 +235,22 @@ def changes(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
+def ends(at: np.ndarray, n: int) -> np.ndarray:
+    """The last place of each run that begins at ``at``."""
+    return np.append(at[1:], n) - 1 if len(at) else at
+
+
 def stretch(x: np.ndarray, y: np.ndarray, shift: int, least: int) -> tuple[int, float] | None:
-    """The best stretch of ``least`` integers of ``x`` against those of ``y`` that stand ``shift`` later: places compared and share of bits that differ."""
+    """The best stretch of ``least`` integers of ``x`` against those of ``y`` that stand ``shift`` later: places in common and share of bits that differ."""
     first, last = max(0, -shift), min(len(x), len(y) - shift)
     if last - first < least or least < 1:
         return None
-    wrong = np.concatenate(([0], np.cumsum(np.bitwise_count(x[first:last] ^ y[first + shift : last + shift]), dtype=np.int64)))
-    return last - first, int((wrong[least:] - wrong[:-least]).min()) / (32 * least)
+    here, there = x[first:last], y[first + shift : last + shift]
+    in_stretch = lambda values: (lambda c: c[least:] - c[:-least])(np.concatenate(([0], np.cumsum(values, dtype=np.int64))))
+    wrong = in_stretch(np.bitwise_count(here ^ there))
+    told = np.minimum(*(in_stretch(np.append(True, v[1:] != v[:-1])) for v in (here, there))) >= LEAST_CHANGED * least
+    valid = wrong[told | (wrong == 0)]
+    return (last - first, int(valid.min()) / (32 * least)) if len(valid) else None
 
 
 class Block:
@@ -252,25 +264,33 @@ class Block:
         self.items = [x if isinstance(x, list) else [x] for x in items]
         self.stride = len(self.items[0]) if items else 1
         self.whole = {key: q for q, key in enumerate(same) if key is not None}
-        parts = [(x[s], np.full(len(s), q), s * self.stride + r) for q, phases in enumerate(self.items) for r, x in enumerate(phases) for s in [changes(x)]]
-        value, query, hop = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-        self.needed = np.array([min(LEAST_VOTES, *(len(changes(x)) for x in phases), LEAST_VOTES) for phases in self.items], np.int64)
+        parts = [(x[s], np.full(len(s), q), s * self.stride + r, ends(s, len(x)) * self.stride + r) for q, phases in enumerate(self.items) for r, x in enumerate(phases) for s in [changes(x)]]
+        value, query, hop, last = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
+        self.needed = np.array([min(LEAST_VOTES, *map(len, phases), LEAST_VOTES) for phases in self.items], np.int64)
         order = np.argsort(value, kind="stable")
-        self.value, self.query, self.hop = value[order], query[order].astype(np.int64), hop[order]
+        self.value, self.query, self.hop, self.last = value[order], query[order].astype(np.int64), hop[order], last[order]
+        self.length = (self.last - self.hop) // self.stride + 1
 
     def _offsets(self, x: np.ndarray) -> dict[int, set[int]]:
         """For each query the offsets (hops) that have votes."""
         at = changes(x)
+        lengths = ends(at, len(x)) - at + 1
         low, high = np.searchsorted(self.value, x[at], "left"), np.searchsorted(self.value, x[at], "right")
         count = high - low
         total = int(count.sum())
         if not total:
             return {}
         hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-        code = (self.query[hit] << 32) + (self.hop[hit] - self.stride * np.repeat(at, count) + (1 << 31))
-        code, votes = np.unique(code, return_counts=True)
+        # two runs of one integer vote for the offset at which they begin together and for that at which they end together
+        first = self.hop[hit] - self.stride * np.repeat(at, count)
+        other = self.last[hit] - self.stride * np.repeat(ends(at, len(x)), count)
+        hit, offset = np.concatenate((hit, hit[other != first])), np.concatenate((first, other[other != first]))
+        code = (self.query[hit] << 32) + (offset + (1 << 31))
+        weight = np.minimum(np.minimum(self.length[hit], np.repeat(lengths, count)[np.concatenate((np.arange(total), np.flatnonzero(other != first)))]), LEAST_VOTES)
+        code, place = np.unique(code, return_inverse=True)
+        votes = np.bincount(place, weight)
         found: dict[int, set[int]] = {}
-        for c in code[votes >= np.minimum(self.needed[code >> 32], len(at))].tolist():
+        for c in code[votes >= np.minimum(self.needed[code >> 32], len(x))].tolist():
             found.setdefault(c >> 32, set()).add((c & 0xFFFFFFFF) - (1 << 31))
         return found
 
