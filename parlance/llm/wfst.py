@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with a weighted transducer in the tropical semiring.
 
-Three machines are compiled from a model file: the normaliser (space to ``▁``, one ``▁`` in front), the pieces (a
+Three machines are compiled from a model file: the normaliser (by the file's own rules: space to ``▁``, one ``▁`` in front), the pieces (a
 lexicon of strings with one arc per piece) and byte fallback (a character outside the lexicon to its UTF-8 bytes).
 Composed with a text they give a lattice whose states are a place and the piece that ends there. An arc weighs the
 negated score of its piece; one whose piece can't stand after the piece before it weighs infinity. For a byte-pair
@@ -8,7 +8,8 @@ model that is so when merging the two pieces' characters by rank does not give b
 the model's own encoding just if all its neighbours can stand together, so the path of finite weight is that
 encoding, and each place has one such piece (tests compare with the library on random texts).
 
-The lattice is cut where no piece can cross; shortest paths of the cut-out stretches are remembered by string.
+The lattice is cut where no piece can cross; shortest paths of the cut-out stretches are remembered by string, in memory of
+a fixed size.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from math import inf
 
 import numpy as np
@@ -26,52 +28,89 @@ from pyspark.sql import functions as F
 
 from parlance.llm.textnum import strings
 
-#: Stretches and pairs that a Python worker remembers before it starts afresh.
-REMEMBERED = 500_000
-#: Weight of a character that falls back to bytes, above any piece's.
-FALLBACK = 1e6
+#: Memory (bytes, about) that a Python worker gives to remembered stretches, and half as much to pairs of pieces; longer strings aren't remembered.
+REMEMBERED, LONGEST = 96 << 20, 48
+#: Between two pieces in a key: no text has it, as it is half a character.
+BORDER = "\ud800"
+#: What an entry takes beside its strings: its place in the dictionary and the heads of both objects.
+ENTRY = 200
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
+# Numbers of the fields of a model file that say how texts are normalised.
+TRAINER, NORMALISER, KIND, BPE, SUFFIX, CHARSMAP, PREFIX, EXTRA, ESCAPE = 2, 3, 3, 2, 24, 2, 3, 4, 5
+
+
+def fields(data: bytes) -> dict[int, int | bytes]:
+    """Number and last value of each field of a protocol buffer message."""
+    found: dict[int, int | bytes] = {}
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            found[tag >> 3] = varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            found[tag >> 3] = data[at : at + size]
+            at += size
+    return found
+
+
+class Normaliser:
+    """The first machine: a space to ``▁`` and one ``▁`` in front, as far as the model file asks for it.
+
+    Models that need another one (a map of characters, white space drawn together) or that aren't byte-pair models are refused.
+    """
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            model = fields(f.read())
+        trainer, rules = fields(model.get(TRAINER, b"")), fields(model.get(NORMALISER, b""))
+        if trainer.get(KIND, 1) != BPE:
+            raise ValueError("only byte-pair models have one path of finite weight")
+        if rules.get(CHARSMAP) or rules.get(EXTRA, 1) or not rules.get(ESCAPE, 1) or trainer.get(SUFFIX, 0):
+            raise ValueError("the model's normaliser maps more than spaces")
+        self.front = "▁" if rules.get(PREFIX, 1) else ""
+
+    def __call__(self, text: str) -> str:
+        return self.front + text.replace(" ", "▁") if text else ""
 
 
 class Remembered(dict):
-    """A dictionary of bounded size: when it is full it starts afresh, and what the one before it knows moves over when asked for."""
+    """A dictionary of ``make(key)`` that holds about ``most`` bytes; full, it starts afresh."""
 
-    def __init__(self, most: int = REMEMBERED):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
+        found = self.make(key)
+        if len(key) <= LONGEST:
+            if self.held >= self.most:
+                self.clear()
+                self.held = 0
+            self.held += ENTRY + 2 * len(key) + len(found)
+            self[key] = found
         return found
 
-    def make(self, key):
-        raise NotImplementedError
-
-
-class Paths(Remembered):
-    def __init__(self, machine: Transducer):
-        super().__init__()
-        self.make = machine.path
-
-
-class Parts(Remembered):
-    def __init__(self, machine: Transducer):
-        super().__init__()
-        self.make = machine.shortest
-
 
 class Transducer:
     """The compiled machines; ``paths`` maps a stretch to the ids of its shortest path, as int32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
 
+        self.normalise = Normaliser(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.id, self.weight, self.bytes_of, raw = {}, {}, {}, []
         for k in range(model.get_piece_size()):
@@ -91,78 +130,95 @@ class Transducer:
         if any(p[1] == "▁" != p[0] for p in self.inner):
             raise ValueError("a piece holds a space inside: stretches can't be cut before spaces")
         self.stretch = re.compile("▁*[^▁]+|▁+")
-        self.paths, self.parts = Paths(self), Parts(self)
-        self.stands: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The characters of a short string after merging by rank."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = min((self.weight.get(parts[i] + parts[i + 1], inf), i) for i in range(len(parts) - 1))
+        self.paths = Remembered(self.path, remembered)
+        self.stands: dict[str, bool] = {}
+        self.most_stands = remembered // (2 * ENTRY)
+
+    def kept_apart(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both by rank gives back the two: no merge goes over the border, and each becomes one."""
+        parts, border, weight = list(left + right), len(left), self.weight
+        costs = [weight.get(a + b, inf) for a, b in pairwise(parts)]
+        while costs:
+            best = min(costs)
             if best == inf:
                 break
+            at = costs.index(best)
+            if at == border - 1:
+                return False
+            border -= at < border
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del costs[at]
+            if at:
+                costs[at - 1] = weight.get(parts[at - 1] + parts[at], inf)
+            if at < len(costs):
+                costs[at] = weight.get(parts[at] + parts[at + 1], inf)
+        return border == 1 and len(parts) == 2
 
     def can_stand(self, left: str, right: str) -> bool:
         """Whether the arc of ``right`` after ``left`` has finite weight."""
         if left[-1] + right[0] not in self.inner:
             return True
-        known = self.stands.get((left, right))
+        both = left + BORDER + right
+        known = self.stands.get(both)
         if known is None:
-            if len(self.stands) > REMEMBERED:
+            if len(self.stands) >= self.most_stands:
                 self.stands.clear()
-            known = self.stands[left, right] = self.merged(left + right) == [left, right]
+            known = self.stands[both] = self.kept_apart(left, right)
         return known
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids of the shortest path over one stretch."""
-        n = len(text)
-        if text in self.id:  # one arc from start to end
-            return [self.id[text]]
-        cost, last = [0.0] + [inf] * n, [""] * (n + 1)
-        weight, prefixes, can_stand = self.weight, self.prefixes, self.can_stand
-        for start in range(n):
-            here, before = cost[start], last[start]
-            if here == inf:
-                continue
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                own = weight.get(piece)
-                if own is None and end == start + 1:
-                    own = FALLBACK
-                if own is not None and here + own < cost[end] and (not before or can_stand(before, piece)):
-                    cost[end], last[end] = here + own, piece
-                if piece not in prefixes:
-                    break
-        ids, at = [], n
-        while at:
-            piece = last[at]
-            if piece in self.id:
-                ids.append(self.id[piece])
+    def shortest(self, text: str) -> list[str]:
+        """Pieces of the shortest path over one stretch.
+
+        Up to each place leads one path of finite weight at most, so the search follows arcs of finite weight, long ones first, and remembers
+        places from which none goes on to the end: it looks at each arc once, and the path that it completes is the only one.
+        """
+        known, prefixes, can_stand, n = self.id, self.prefixes, self.can_stand, len(text)
+        if text in known:
+            return [text]
+        path: list[str] = []
+        dead: set[int] = set()
+        at, size = 0, 0
+        while at < n:
+            if not size:  # a new place: the longest arc from it
+                size = end = 1
+                while text[at : at + end] in prefixes and at + end < n:
+                    end += 1
+                    if text[at : at + end] in known:
+                        size = end
+            while size:
+                if at + size not in dead:
+                    piece = text[at : at + size]
+                    if not path or can_stand(path[-1], piece):
+                        break
+                size -= 1
+                while size > 1 and text[at : at + size] not in known:
+                    size -= 1
+            if size:
+                path.append(piece)
+                at, size = at + size, 0
             else:
-                ids += [self.bytes_of[b] for b in reversed(piece.encode("utf-8", "replace"))]
-            at -= len(piece)
-        return ids[::-1]
+                dead.add(at)
+                size = len(path.pop())
+                at -= size  # its end is dead now, so a shorter arc comes next
+        return path
 
     def path(self, text: str) -> bytes:
-        """Ids of a stretch between spaces, cut further where no piece holds the two characters together."""
-        ids, since, parts = [], 0, self.parts
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in self.inner:
-                ids += parts[text[since:i]]
-                since = i
+        """Ids of a stretch between spaces."""
+        ids: list[int] = []
+        for piece in self.shortest(text):
+            if piece in self.id:
+                ids.append(self.id[piece])
+            else:
+                ids += [self.bytes_of[b] for b in piece.encode("utf-8", "replace")]
         return np.array(ids, np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        return np.frombuffer(b"".join(map(self.paths.__getitem__, self.stretch.findall("▁" + text.replace(" ", "▁")))), np.int32)
+        return np.frombuffer(b"".join(map(self.paths.__getitem__, self.stretch.findall(self.normalise(text)))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.normalise.front and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
