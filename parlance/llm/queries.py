@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import audio, html, jaccard, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
+from parlance.llm import audio, html, jaccard, merkle, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,13 +58,36 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+LEAF = "sha256(" + " || ".join(FIELD.format(f"cast({c} as varchar)") for c in ("doc_id", "source", "lang", "{chars}", "text")) + ")"
+#: The checksum bit by bit, over the bytes of a number's digits.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+FOLD = "sha256(case when s.h is null then w.fold when w.j % 2 = 1 then s.h || w.fold else w.fold || s.h end)"
+
 ORACLE = {
+    "op11_merkle_manifest": f"""
+with recursive d as (select doc_id, lang, {LEAF.format(chars="n_chars")} as leaf, case when {CRC32} % 7 = 0 then {LEAF.format(chars="n_chars + 1")} end as forged from documents),
+leaves as (select *, row_number() over (partition by lang order by doc_id, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
+nodes as (select lang, 0 as lv, i as j, n, leaf as h from leaves
+  union all select lang, lv + 1, j // 2, (n + 1) // 2, sha256(string_agg(h, '' order by j)) from nodes where n > 1 group by lang, lv, j // 2, n),
+subs as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from nodes where n = 1),
+crown as (select 0 as lv, i as j, n, subroot as h from subs union all select lv + 1, j // 2, (n + 1) // 2, sha256(string_agg(h, '' order by j)) from crown where n > 1 group by lv, j // 2, n),
+up as (select doc_id, lang, leaf, 0 as lv, i as j, n, '' as proof, coalesce(forged, leaf) as fold from leaves
+  union all select w.doc_id, w.lang, w.leaf, w.lv + 1, w.j // 2, (w.n + 1) // 2, w.proof || coalesce(s.h, ''), {FOLD}
+  from up w left join nodes s on s.lang is not distinct from w.lang and s.lv = w.lv and s.j = xor(w.j, 1) where w.n > 1),
+over as (select u.doc_id, u.leaf, b.subroot, 0 as lv, b.i as j, b.n, u.proof, u.fold from up u join subs b on b.lang is not distinct from u.lang where u.n = 1
+  union all select w.doc_id, w.leaf, w.subroot, w.lv + 1, w.j // 2, (w.n + 1) // 2, w.proof || coalesce(s.h, ''), {FOLD} from over w left join crown s on s.lv = w.lv and s.j = xor(w.j, 1) where w.n > 1)
+select doc_id, leaf, subroot, (select h from crown where n = 1) as root, sha256(proof) as proof_sha256, fold as folded_root, fold = (select h from crown where n = 1) as verified from over where n = 1""",
     "op4_ngram_jaccard": f"""
 with recursive w as (select doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
 g as (select distinct doc_id, array_to_string(ws[p : p + 4], ' ') as s from w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) u(p) where len(ws) > 0),
