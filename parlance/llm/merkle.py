@@ -115,7 +115,7 @@ def leaf_rows(documents: DataFrame, id_col: str = "doc_id", group_col: str = "la
     return documents.select(tree.alias("tree"), number.alias("id"), leaf(chars).alias("leaf"), F.when(tampered, leaf(more)).alias("forged"))
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ``index`` among those of their ``tree`` and ``n``, the tree's number of rows; a large tree is spread over many tasks."""
     by = ["tree", *order]
     placed = stash(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.expr("shiftright(row, 33)")), "placed")
@@ -188,11 +188,11 @@ def manifest(documents: DataFrame, id_col: str = "doc_id", group_col: str = "lan
     Null ids come first, rows of equal ids stand in the order of their leaves; a null group is a tree of its own, an empty
     one another. Every row is a leaf, repeated rows too.
     """
-    rows = _numbered(leaf_rows(documents, id_col, group_col), ["id", "leaf"])
+    rows = numbered(leaf_rows(documents, id_col, group_col), ["id", "leaf"])
     rounds = _rounds(rows)
     discard(rows)
     tops = _tops(rounds).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("top").alias("leaf"))
-    named = _numbered(tops, ["name"])
+    named = numbered(tops, ["name"])
     crown = _rounds(named.withColumn("id", F.col("index")).withColumn("forged", F.lit(None).cast("binary")))
     last = crown[-1].filter(f"n <= {1 << BITS}").select("top").first()  # one row: the crown is one tree
     subroots = named.select(F.col("name").alias("tree"), F.col("leaf").alias("subroot"), "index")

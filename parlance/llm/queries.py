@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import audio, html, jaccard, merkle, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
+from parlance.llm import audio, divergence, html, jaccard, merkle, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -74,7 +78,25 @@ LEAF = "sha256(" + " || ".join(FIELD.format(f"cast({c} as varchar)") for c in ("
 CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
 FOLD = "sha256(case when s.h is null then w.fold when w.j % 2 = 1 then s.h || w.fold else w.fold || s.h end)"
 
+APART = "(({0} - {1}) * ({0} - {1})) // ({0} + {1})"
+SHARE = "1 + (1000000000::hugeint * ({n} + 2)) // ({of} + 2 * {v})"
+
 ORACLE = {
+    "op12_source_divergence": f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+o as (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n from o group by all),
+k as (select lang, term, count(*) as whole from o group by all having count(distinct r) >= 10),
+l as (select lang, count(*) as v, sum(whole) as total from k group by lang),
+g as (select distinct lang, source from d),
+s as (select g.lang, g.source, coalesce(sum(c.n), 0) as size from g left join (select c.* from c join k using (lang, term)) c using (lang, source) group by all),
+x as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, {SHARE.format(n="coalesce(c.n, 0)", of="s.size", v="l.v")} as p, {SHARE.format(n="k.whole", of="l.total", v="l.v")} as q
+  from s join l using (lang) join k using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum({APART.format("x.p", "y.p")}), 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source left join x y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all
+  union all select lang, source, 'term', term, {APART.format("p", "q")} from x where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as k from f)
+select lang, source, part, item, cast(value as bigint) as value, cast(k as integer) as rank from ranked where part = 'pair' or k <= 10""",
     "op11_merkle_manifest": f"""
 with recursive d as (select doc_id, lang, {LEAF.format(chars="n_chars")} as leaf, case when {CRC32} % 7 = 0 then {LEAF.format(chars="n_chars + 1")} end as forged from documents),
 leaves as (select *, row_number() over (partition by lang order by doc_id, leaf) - 1 as i, count(*) over (partition by lang) as n from d),
