@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import audio, divergence, html, jaccard, merkle, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
+from parlance.llm import audio, divergence, html, imatch, jaccard, merkle, mixing, quality, recompression, secrets, suffix_dedup, tokens, wfst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
