@@ -174,9 +174,9 @@ def apart(p: str, q: str) -> Column:
     return F.call_function("div", (F.col(p) - F.col(q)) * (F.col(p) - F.col(q)), F.col(p) + F.col(q))
 
 
-def _summed(group: pa.Table) -> pa.Table:
+def _summed(group: pa.Table, sources: int) -> pa.Table:
     """One pair of source blocks over one block of terms: ``i, j`` (i < j) and the sum of their terms' values."""
-    index, p = group["i"].to_numpy(), group["p"].to_numpy(zero_copy_only=False)
+    index, p, held = (group[c].fill_null(0).to_numpy() for c in ("i", "p", "absent"))
     base = group["term"].is_null().to_numpy(zero_copy_only=False)
     names, row = np.unique(index[base], return_inverse=True)
     own = group.filter(pa.array(~base))
@@ -184,11 +184,14 @@ def _summed(group: pa.Table) -> pa.Table:
     terms = len(term.dictionary) if len(own) else 0
     shares = np.zeros((len(names), terms), np.int64)
     if terms:
-        shares[row] = p[base].astype(np.int64)[:, None]
-        shares[np.searchsorted(names, index[~base]), term.indices.to_numpy(zero_copy_only=False)] = p[~base].astype(np.int64)
+        shares[row] = p[base][:, None]
+        shares[np.searchsorted(names, index[~base]), term.indices.to_numpy(zero_copy_only=False)] = p[~base]
     bi, bj = group["bi"][0].as_py(), group["bj"][0].as_py()
-    left = np.flatnonzero(names // SOURCES == bi)
-    right = np.flatnonzero(names // SOURCES == bj)
+    absent = int(held[base].max(initial=0)) - terms  # the block's terms that none of these sources has
+    alone = np.zeros(len(names), np.int64)
+    alone[row] = p[base]
+    left = np.flatnonzero(names // sources == bi)
+    right = np.flatnonzero(names // sources == bj)
     out_i, out_j, out_v = [], [], []
     for a in left:
         others = right[names[right] > names[a]] if bi == bj else right
@@ -199,31 +202,34 @@ def _summed(group: pa.Table) -> pa.Table:
         d //= np.maximum(shares[others] + shares[a], 1)
         out_i.append(np.full(len(others), names[a]))
         out_j.append(names[others])
-        out_v.append(d.sum(1))
+        rest = alone[others] - alone[a]
+        out_v.append(d.sum(1) + absent * (rest * rest // np.maximum(alone[others] + alone[a], 1)))
     whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j, out_v)]
     return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(whole[0]), pa.string()), "i": whole[0], "j": whole[1], "v": whole[2]})
 
 
-def pair_part(groups: DataFrame, hits: DataFrame) -> DataFrame:
+def pair_part(groups: DataFrame, hits: DataFrame, kept: DataFrame, sources: int = SOURCES, terms: int = TERMS) -> DataFrame:
     """``lang, source, item, value`` of each ordered pair of a language's sources.
 
     ``groups`` (lang, source, i, size, kept, p0) has the place of each source in its language, ``hits`` (lang, source, term, i, p) the
-    shares of the terms that occur; ``p0`` is the share of those that don't.
+    shares of the terms that occur, ``kept`` (lang, term, kept) all of them; ``p0`` is the share of those that don't.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("kept") / TERMS)).cast("int")
-    block = F.floor(F.col("i") / SOURCES)
-    last = F.floor((F.col("sources") - 1) / SOURCES)
-    base = groups.select("lang", "i", "sources", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("tb"))
-    own = hits.select("lang", "i", "sources", "term", "p", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("tb"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("kept") / terms)).cast("int")
+    block = F.floor(F.col("i") / sources)
+    last = F.floor((F.col("sources") - 1) / sources)
+    of = F.pmod(F.xxhash64("term"), blocks).cast("int").alias("tb")
+    held = kept.groupBy("lang", of).agg(F.count("*").alias("absent"))
+    base = groups.select("lang", "i", "sources", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("tb")).join(held, ["lang", "tb"], "left").fillna(0, ["absent"])
+    own = hits.select("lang", "i", "sources", "term", "p", of, F.lit(None).cast("long").alias("absent"))
     both = base.unionByName(own).withColumn("b", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    dealt = both.select("lang", "i", "term", "p", "tb", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"))
-    sums = dealt.groupBy("lang", "bi", "bj", "tb").applyInArrow(_summed, "lang string, i long, j long, v long").groupBy("lang", "i", "j").agg(F.sum("v").alias("value"))
+    dealt = both.select("lang", "i", "term", "p", "tb", "absent", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"))
+    sums = dealt.groupBy("lang", "bi", "bj", "tb").applyInArrow(lambda g: _summed(g, sources), "lang string, i long, j long, v long").groupBy("lang", "i", "j").agg(F.sum("v").alias("value"))
     ways = sums.select("lang", "value", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("w")).select("lang", "value", "w.i", "w.j")
     named = groups.select("lang", "i", "source")
     return ways.join(named, ["lang", "i"]).join(named.select("lang", F.col("i").alias("j"), F.col("source").alias("item")), ["lang", "j"]).select("lang", "source", "item", "value")
 
 
-def audit(documents: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, top: int = TOP, size: int = SLAB) -> DataFrame:
+def audit(documents: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST_DOCUMENTS, top: int = TOP, size: int = SLAB, block: tuple[int, int] = (SOURCES, TERMS)) -> DataFrame:
     """``lang, source, part, item, value, rank``: the pairs of each language's sources and the leading terms of each source.
 
     Null languages, sources and texts are empty ones. A group without terms has its pairs all the same; a language of one
@@ -243,6 +249,6 @@ def audit(documents: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     terms = hits.filter("p > q").select("lang", "source", F.col("term").alias("item"), apart("p", "q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     leading = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    pairs = pair_part(groups, hits).withColumn("rank", F.row_number().over(order))
+    pairs = pair_part(groups, hits, kept.join(langs.select("lang", "kept"), "lang"), *block).withColumn("rank", F.row_number().over(order))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*columns).unionByName(leading.withColumn("part", F.lit("term")).select(*columns))

@@ -130,39 +130,39 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 SEGMENT = "tree string, block long, n long, ids array<bigint>, forged array<binary>, log binary, top binary"
 
 
-def _segments(nodes: DataFrame) -> DataFrame:
+def _segments(nodes: DataFrame, bits: int) -> DataFrame:
     """One row per aligned builder: ``tree, index, n, id, leaf, forged`` -> its log."""
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("index")
         n, block = group["n"][0].as_py(), group["block"][0].as_py()
-        log = append_log(group["leaf"].to_pylist(), levels_of(n))
+        log = append_log(group["leaf"].to_pylist(), levels_of(n, bits))
         ids, forged = group["id"].to_pylist(), group["forged"].to_pylist()
         row = {"tree": group["tree"][0].as_py(), "block": block, "n": n, "ids": ids, "forged": forged, "log": log, "top": log[-DIGEST:]}
         return pa.Table.from_pylist([row], schema=shape)
 
     shape = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("forged", pa.list_(pa.binary())), ("log", pa.binary()), ("top", pa.binary())])
-    blocked = nodes.withColumn("block", F.expr(f"shiftright(index, {BITS})"))
+    blocked = nodes.withColumn("block", F.expr(f"shiftright(index, {bits})"))
     return blocked.groupBy("tree", "block").applyInArrow(build, SEGMENT)
 
 
-def levels_of(n: int) -> int:
+def levels_of(n: int, bits: int) -> int:
     """Levels that a builder adds in a round in which its tree has ``n`` nodes."""
-    return min(BITS, height(n))
+    return min(bits, height(n))
 
 
-def _rounds(leaves: DataFrame) -> list[DataFrame]:
-    """The segments of every round; trees of no more than ``2**BITS`` nodes end in theirs."""
-    out = [stash(_segments(leaves), "segments")]
-    while out[-1].filter(f"n > {1 << BITS}").limit(1).count():
-        tops = out[-1].filter(f"n > {1 << BITS}").select("tree", F.col("block").alias("index"), F.expr(f"shiftright(n + {(1 << BITS) - 1}, {BITS})").alias("n"), F.lit(None).cast("long").alias("id"), F.col("top").alias("leaf"), F.lit(None).cast("binary").alias("forged"))
-        out.append(stash(_segments(tops), "segments"))
+def _rounds(leaves: DataFrame, bits: int) -> list[DataFrame]:
+    """The segments of every round; trees of no more than ``2**bits`` nodes end in theirs."""
+    out = [stash(_segments(leaves, bits), "segments")]
+    while out[-1].filter(f"n > {1 << bits}").limit(1).count():
+        tops = out[-1].filter(f"n > {1 << bits}").select("tree", F.col("block").alias("index"), F.expr(f"shiftright(n + {(1 << bits) - 1}, {bits})").alias("n"), F.lit(None).cast("long").alias("id"), F.col("top").alias("leaf"), F.lit(None).cast("binary").alias("forged"))
+        out.append(stash(_segments(tops, bits), "segments"))
     return out
 
 
-def _tops(rounds: list[DataFrame]) -> DataFrame:
+def _tops(rounds: list[DataFrame], bits: int) -> DataFrame:
     """``tree, top``: the subroots."""
-    ended = [r.filter(f"n <= {1 << BITS}").select("tree", "top") for r in rounds]
+    ended = [r.filter(f"n <= {1 << bits}").select("tree", "top") for r in rounds]
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
@@ -180,61 +180,62 @@ class Manifest:
     crown: list[DataFrame]
     subroots: DataFrame
     root: str | None
+    bits: int
 
 
-def manifest(documents: DataFrame, id_col: str = "doc_id", group_col: str = "lang") -> Manifest:
+def manifest(documents: DataFrame, id_col: str = "doc_id", group_col: str = "lang", bits: int = BITS) -> Manifest:
     """Build the logs. ``documents`` has ``source, n_chars, text`` besides the named columns; others are ignored.
 
     Null ids come first, rows of equal ids stand in the order of their leaves; a null group is a tree of its own, an empty
     one another. Every row is a leaf, repeated rows too.
     """
     rows = numbered(leaf_rows(documents, id_col, group_col), ["id", "leaf"])
-    rounds = _rounds(rows)
+    rounds = _rounds(rows, bits)
     discard(rows)
-    tops = _tops(rounds).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("top").alias("leaf"))
+    tops = _tops(rounds, bits).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("top").alias("leaf"))
     named = numbered(tops, ["name"])
-    crown = _rounds(named.withColumn("id", F.col("index")).withColumn("forged", F.lit(None).cast("binary")))
-    last = crown[-1].filter(f"n <= {1 << BITS}").select("top").first()  # one row: the crown is one tree
+    crown = _rounds(named.withColumn("id", F.col("index")).withColumn("forged", F.lit(None).cast("binary")), bits)
+    last = crown[-1].filter(f"n <= {1 << bits}").select("top").first()  # one row: the crown is one tree
     subroots = named.select(F.col("name").alias("tree"), F.col("leaf").alias("subroot"), "index")
-    return Manifest(rounds, crown, subroots, bytes(last.top).hex() if last else None)
+    return Manifest(rounds, crown, subroots, bytes(last.top).hex() if last else None, bits)
 
 
 PATH = "tree string, index long, leaf binary, sides string, found binary"
 
 
-def _paths(segments: DataFrame) -> DataFrame:
+def _paths(segments: DataFrame, bits: int) -> DataFrame:
     """The steps from each leaf of a round's segments to the top of its tree; ``up_sides, up_found`` are those of the segments' tops."""
 
     def extract(group: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("tree", "index", "leaf", "sides", "found")}
         for row in group.to_pylist():
-            for leaf, path in _leaves(row):
-                for k, v in zip(out, (row["tree"], (row["block"] << BITS) + leaf, row["log"][(p := position(0, leaf, len(row["ids"])) * DIGEST) : p + DIGEST], *path), strict=True):
+            for leaf, path in _leaves(row, bits):
+                for k, v in zip(out, (row["tree"], (row["block"] << bits) + leaf, row["log"][(p := position(0, leaf, len(row["ids"])) * DIGEST) : p + DIGEST], *path), strict=True):
                     out[k].append(v)
         return pa.table(out, schema=pa.schema([("tree", pa.string()), ("index", pa.int64()), ("leaf", pa.binary()), ("sides", pa.string()), ("found", pa.binary())]))
 
     return segments.groupBy("tree", "block").applyInArrow(extract, PATH)
 
 
-def _leaves(row: dict) -> Iterator[tuple[int, tuple[str, bytes]]]:
-    leaves, levels = len(row["ids"]), levels_of(row["n"])
+def _leaves(row: dict, bits: int) -> Iterator[tuple[int, tuple[str, bytes]]]:
+    leaves, levels = len(row["ids"]), levels_of(row["n"], bits)
     for leaf in range(leaves):
         sides, found = siblings(row["log"], leaf, leaves, levels)
         yield leaf, (sides + (row["up_sides"] or ""), found + (row["up_found"] or b""))
 
 
-def _above(rounds: list[DataFrame], ends: DataFrame) -> DataFrame:
+def _above(rounds: list[DataFrame], ends: DataFrame, bits: int) -> DataFrame:
     """The first round's segments with ``up_sides, up_found`` of their tops; ``ends`` (tree, end_sides, end_found) has what follows a tree's own top."""
     above = None
     for segments in reversed(rounds):
-        last = segments.filter(f"n <= {1 << BITS}").join(ends, "tree", "left").withColumnsRenamed({"end_sides": "up_sides", "end_found": "up_found"})
+        last = segments.filter(f"n <= {1 << bits}").join(ends, "tree", "left").withColumnsRenamed({"end_sides": "up_sides", "end_found": "up_found"})
         joined_up = last
         if above is not None:
-            inner = segments.filter(f"n > {1 << BITS}").join(above.select("tree", F.col("index").alias("block"), F.col("sides").alias("up_sides"), F.col("found").alias("up_found")), ["tree", "block"])
+            inner = segments.filter(f"n > {1 << bits}").join(above.select("tree", F.col("index").alias("block"), F.col("sides").alias("up_sides"), F.col("found").alias("up_found")), ["tree", "block"])
             joined_up = last.unionByName(inner)
         if segments is rounds[0]:
             return joined_up
-        above = stash(_paths(joined_up), "paths")
+        above = stash(_paths(joined_up, bits), "paths")
     raise ValueError("no rounds")
 
 
@@ -245,16 +246,16 @@ def proofs(m: Manifest, id_col: str = "doc_id") -> DataFrame:
     number of characters stays as it is when tampered with, so such rows verify.
     """
     none = m.crown[0].select("tree", F.lit("").alias("end_sides"), F.lit(b"").alias("end_found")).limit(0)
-    crowned = _paths(_above(m.crown, none)).select("index", F.col("sides").alias("end_sides"), F.col("found").alias("end_found"))
+    crowned = _paths(_above(m.crown, none, m.bits), m.bits).select("index", F.col("sides").alias("end_sides"), F.col("found").alias("end_found"))
     ends = stash(m.subroots.join(crowned, "index").drop("index"), "ends")
-    segments = _above(m.rounds, ends.drop("subroot")).join(ends.select("tree", "subroot"), "tree")
-    root = m.root
+    segments = _above(m.rounds, ends.drop("subroot"), m.bits).join(ends.select("tree", "subroot"), "tree")
+    root, bits = m.root, m.bits
 
     def check(group: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in RESULT}
         for row in group.to_pylist():
             n, log = len(row["ids"]), row["log"]
-            for leaf, (sides, found) in _leaves(row):
+            for leaf, (sides, found) in _leaves(row, bits):
                 at = position(0, leaf, n) * DIGEST
                 node = log[at : at + DIGEST]
                 top = folded(row["forged"][leaf] or node, sides, found).hex()
@@ -271,17 +272,17 @@ RESULT = ("id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verif
 def log(m: Manifest) -> DataFrame:
     """``group, position, level, index, digest``: every node of every tree at its place in the whole tree's postorder log."""
     sizes = m.rounds[0].groupBy("tree").agg(F.first("n").alias("leaves"))
-    out = None
+    out, bits = None, m.bits
     for k, segments in enumerate(m.rounds):
 
         def spread(batches, k=k):
             for batch in batches:
                 for row in batch.to_pylist():
-                    n, levels, first = len(row["ids"]), levels_of(row["n"]), row["block"] << BITS
+                    n, levels, first = len(row["ids"]), levels_of(row["n"], bits), row["block"] << bits
                     nodes = [(level, index) for level in range(1 if k else 0, levels + 1) for index in range((n - 1 >> level) + 1)]
                     yield pa.RecordBatch.from_pylist(
                         [
-                            {"tree": row["tree"], "position": position(level + k * BITS, (first >> level) + index, row["leaves"]), "level": level + k * BITS, "index": (first >> level) + index, "digest": row["log"][(p := position(level, index, n) * DIGEST) : p + DIGEST].hex()}
+                            {"tree": row["tree"], "position": position(level + k * bits, (first >> level) + index, row["leaves"]), "level": level + k * bits, "index": (first >> level) + index, "digest": row["log"][(p := position(level, index, n) * DIGEST) : p + DIGEST].hex()}
                             for level, index in nodes
                         ],
                         schema=pa.schema([("tree", pa.string()), ("position", pa.int64()), ("level", pa.int32()), ("index", pa.int64()), ("digest", pa.string())]),
