@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that stand for a missing value.
+# Words that stand for a missing value, and for a missing author.
 FALSE_NULLS = ("none", "null", "nothing else")
+FALSE_AUTHORS = ("no author", "none", "null")
 
 
 def existing(df: DataFrame, names: list[str]) -> list[str]:

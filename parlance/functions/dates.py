@@ -62,7 +62,7 @@ def video_date(value: Column) -> Column:
 
 def relative_date(text: Column, scraped: Column, today: str = "idag", yesterday: str = "igår") -> Column:
     """Words for today and yesterday as the date of scraping or the day before, with the time of day that follows."""
-    lowered, day = F.lower(F.trim(text)), F.to_date(scraped)
+    lowered, day = F.lower(F.trim(text)), scraped.try_cast("date")
     tail = lambda word: F.trim(F.substring(F.trim(text), len(word) + 1, 1000))
     dated = lambda d, word: F.trim(F.concat_ws(" ", F.date_format(d, "yyyy-MM-dd"), F.nullif(tail(word), F.lit(""))))
     return F.when(lowered.startswith(today) & day.isNotNull(), dated(day, today)).when(lowered.startswith(yesterday) & day.isNotNull(), dated(F.date_sub(day, 1), yesterday)).otherwise(text)

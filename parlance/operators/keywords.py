@@ -85,14 +85,17 @@ def actor_masked(text: str, actor: str) -> Column:
     return F.expr(f"case when coalesce(trim({actor}), '') = '' then {text} else regexp_replace({text}, concat('(?iU)\\\\Q', trim({actor}), '\\\\E'), ' ') end")
 
 
-def keyword_pairs(words: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Words of incomplete pairs go; those of complete pairs stand at the end."""
-    out = words
-    for a, b in pairs:
-        both = F.array(F.lit(a), F.lit(b))
-        whole = F.array_contains(words, a) & F.array_contains(words, b)
-        out = F.when(whole, F.concat(F.array_except(out, both), both)).otherwise(F.array_except(out, both))
-    return out
+def keyword_pairs(words: Column, pairs: list[tuple[str, ...]]) -> Column:
+    """Words of incomplete pairs (of two words or more) go; those that a complete pair has too stand at the end, in the order of the pairs.
+
+    All pairs are looked at before any word goes, so a word of two pairs stays if one of them is complete.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    listed = lambda pair: F.array(*map(F.lit, pair))
+    whole = lambda pair: F.size(F.array_except(listed(pair), words)) == 0
+    of = lambda complete: F.concat(none, *[F.when(whole(p) == F.lit(complete), listed(p)).otherwise(none) for p in pairs])
+    left = F.array_except(words, of(False))
+    return F.concat(left, F.array_except(of(True), left))
 
 
 def post_blocks(text: Column) -> Column:

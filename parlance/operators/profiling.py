@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.columns import share
+from parlance.operators.standardize import running_number
 
 
 def type_label(variant: str) -> str:
@@ -109,10 +110,15 @@ def composition(df: DataFrame, by: str) -> DataFrame:
     return counts.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / total, 2))
 
 
-def sentinels(df: DataFrame, text: str, file: str, most: int = 13) -> DataFrame:
-    """Very short texts that occur in more than one file: candidates for words that stand for missing values."""
-    short = df.select(F.trim(text).alias("value"), F.col(file).alias("file")).filter(F.length("value").between(1, most)).distinct()
-    return short.groupBy("value").agg(F.count("*").alias("files")).filter("files > 1")
+def sentinels(df: DataFrame, texts: list[str], file: str, order: list[str], rows: int = 5000, most: int = 13) -> DataFrame:
+    """``value, chunks``: very short texts that occur in more than one chunk of ``rows`` rows of a file, candidates for words that stand for missing values.
+
+    A row's texts are joined as they are, null as nothing. Rows of a file are numbered by ``order``; a large file is spread over many tasks.
+    """
+    joined = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts])
+    numbered = running_number(df.select(joined.alias("value"), F.coalesce(F.col(file).cast("string"), F.lit("")).alias("file"), *order), "file", order)
+    short = numbered.filter(F.length("value").between(1, most)).select("value", "file", F.floor((F.col("__number") - 1) / rows).alias("chunk")).distinct()
+    return short.groupBy("value").agg(F.count("*").alias("chunks")).filter("chunks > 1")
 
 
 def latest(df: DataFrame, by: list[str], date: str) -> DataFrame:

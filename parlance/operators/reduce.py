@@ -14,15 +14,27 @@ CANDIDATES = {
     "title": ["article_title", "video_title", "post_title"],
     "text": ["article_text", "video_text", "thread_text", "message_text", "text"],
 }
-BLOCK = r"(?s)---.*?---\s*"
 
 
 def without_blocks(text: Column) -> Column:
-    """Bodies of a thread without its blocks of metadata; the text itself if nothing would be left."""
-    plain = F.regexp_replace(text, r"\\n", "\n")
-    bodies = F.array_join(F.regexp_extract_all(plain, F.lit(r"(?s)(?:Post_text|Comment_text):\s*(.*?)(?=\n(?:Post|Comment)_|\z)"), F.lit(1)), "\n")
-    stripped = F.trim(F.regexp_replace(plain, BLOCK, ""))
-    return F.when(F.length(F.trim(bodies)) > 0, F.trim(bodies)).when(F.length(stripped) > 0, stripped).otherwise(text)
+    """Bodies of a thread without its blocks of metadata; texts of neither form, and those of which nothing would be left, stay as they are.
+
+    In a chat what follows ``Post_text:`` (the first) and each ``Comment_text:`` up to the next line of ``---`` is a body, and an empty
+    line joins them. In a forum (``POST:`` or ``COMMENT:`` and ``---``) a block goes from two empty lines and ``---`` to the next
+    line of ``---``. Line breaks may be written as ``\\n``: then all are taken so.
+    """
+    clean = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    holds = lambda *marks: F.greatest(*[text.contains(m) for m in marks])
+
+    def cut(line: str) -> Column:
+        bodies = lambda mark: F.regexp_extract_all(text, F.lit(rf"(?s){mark}:(?U:\s)(.*?)(?={line}---)"), F.lit(1))
+        found = F.filter(F.transform(F.concat(F.slice(bodies("Post_text"), 1, 1), bodies("Comment_text")), clean), lambda x: x != "")
+        left = clean(F.regexp_replace(text, f"(?s)(?:{line}){{3}}---{line}.*?{line}---{line}", "\n"))
+        chat = F.when(F.size(found) > 0, F.array_join(found, "\n\n"))
+        forum = F.when(left != "", left)
+        return F.when(holds("Post_text:", "Comment_text:"), chat).when(holds("POST:", "COMMENT:") & text.contains("---"), forum)
+
+    return F.coalesce(F.when(text.contains(r"\n---"), cut(r"\\n")).otherwise(cut("\n")), text)
 
 
 def with_title(title: Column, text: Column) -> Column:

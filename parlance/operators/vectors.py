@@ -50,7 +50,7 @@ def near_pairs(points: DataFrame, epsilon: float) -> DataFrame:
     Every point lives in the cell of its nearest pivot and visits each cell that may hold a neighbour: by the triangle inequality its pivot is no
     further than the cell's radius and ``epsilon``. Cells are cut into blocks, so no task holds more than two blocks of points.
     """
-    from parlance.operators.standardize import _written
+    from parlance.sources.shared import written
 
     n = points.count()
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, math.isqrt(n)))).collect()  # PIVOTS rows at most
@@ -63,7 +63,7 @@ def near_pairs(points: DataFrame, epsilon: float) -> DataFrame:
                 apart = distances(rows_of(part.column("v")), pivots)
                 yield pa.record_batch([part.column("id"), part.column("v"), pa.array(apart.argmin(1)), pa.array(list(apart), pa.list_(pa.float64()))], names=["id", "v", "cell", "far"])
 
-    placed = _written(points.mapInArrow(place, "id long, v array<double>, cell long, far array<double>"))
+    placed = written(points.mapInArrow(place, "id long, v array<double>, cell long, far array<double>"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.col("far")[F.col("cell").cast("int")]).alias("radius")).collect()  # one row for each pivot
     reach = {r["cell"]: r["radius"] + epsilon * (1 + 1e-9) + 1e-12 for r in cells}
     visited = F.filter(F.transform("far", lambda d, i: F.struct(i.cast("long").alias("cell"), d.alias("d"))), lambda x: x["d"] <= F.coalesce(F.try_element_at(_doubles(reach), x["cell"]), F.lit(-1.0)))
@@ -108,20 +108,20 @@ def density_clusters(df: DataFrame, id_col: str, vector: str = "embedding", epsi
     Neighbours are exact (``near_pairs``). Core points that are neighbours are joined by passing the least label on, and border points follow
     their least core neighbour. Clusters are numbered in the order of their least core point.
     """
-    from parlance.operators.standardize import _written
+    from parlance.sources.shared import written
 
     points = df.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     if not points.limit(1).count():
         return points.select(F.col("id").alias(id_col), F.lit(-1).alias("cluster"))
-    near = _written(near_pairs(points, epsilon))
+    near = written(near_pairs(points, epsilon))
     core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    edges = _written(near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b"))
+    edges = written(near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b"))
     labels = core.withColumn("label", F.col("id"))
     while True:
         lower = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
         stepped = labels.join(lower, F.col("id") == F.col("a")).select("id", "label", "least")
         jumped = stepped.join(stepped.select(F.col("id").alias("least"), F.col("least").alias("next")), "least", "left").select("id", F.col("label").alias("was"), F.least("least", F.coalesce("next", "least")).alias("label"))
-        labels = _written(jumped)
+        labels = written(jumped)
         if not labels.filter("was <> label").limit(1).count():
             break
     reach = near.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("border"))

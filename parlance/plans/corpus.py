@@ -93,13 +93,13 @@ def video_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with r as (select doc_id, lang, source, text, case when doc_id % 2 = 0 then 'Heading' else trim({LINE}, ' ') end as sub from documents)
-    select doc_id, case when doc_id % 5 > 0 then source || ', ' || lang end as author, case when sub = '' then text when trim(text, ' ') = '' then sub when starts_with(ltrim(text, ' '), sub) then text else sub || chr(10) || text end as article_text,
+    select doc_id, case when doc_id % 5 = 0 then null when doc_id % 7 = 0 then null when doc_id % 11 = 0 then 'nothing else' else source || ', ' || lang end as author, case when sub = '' then text when trim(text, ' ') = '' then sub when starts_with(ltrim(text, ' '), sub) then text else sub || chr(10) || text end as article_text,
       lang || ',' || lang || ',' || source as categories, source as references_text from r"""
 )
 def web_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, raw = F.col("doc_id"), docs(spark, sf_dir)
     raw = raw.select(
-        "doc_id", "source", F.when(k % 5 == 0, F.array(F.lit("None"))).otherwise(F.array(F.concat(F.col("source"), F.lit(" ")), F.lit(" "), F.col("lang"))).alias("author"), F.col("text").alias("article_text"), F.when(k % 2 == 0, F.lit(" Heading ")).otherwise(first_line()).alias("article_sub_title"),
+        "doc_id", "source", F.when(k % 5 == 0, F.array(F.lit("None"))).when(k % 7 == 0, F.array(F.lit(" No author "))).when(k % 11 == 0, F.array(F.lit("nothing else"))).otherwise(F.array(F.concat(F.col("source"), F.lit(" ")), F.lit(" "), F.col("lang"))).alias("author"), F.col("text").alias("article_text"), F.when(k % 2 == 0, F.lit(" Heading ")).otherwise(first_line()).alias("article_sub_title"),
         F.array("lang").alias("categories"), F.array("lang", "source").alias("themes_text"), F.array(F.lit(" "), F.concat(F.lit(" "), F.col("source")), F.lit("")).alias("references_text"),
     )
     return standardize.web(raw, keep=("doc_id",)).select("doc_id", "author", "article_text", F.array_join("article_categories", ",").alias("categories"), F.array_join(F.col("other_items")["references_text"], ",").alias("references_text"))
@@ -109,20 +109,27 @@ FORUM_DATE = "case turn when 0 then '2024-05-02 10:00' when 1 then '2024-05-01 1
 
 
 @query(
-    f"""with b as (select conv_id, turn, role, {FORUM_DATE} as d, trim(regexp_replace(substring(coalesce(text, ''), 1, 60), '[^A-Za-z ]', '', 'g'), ' ') as body from conversations where conv_id % 3 > 0)
-    select conv_id, count(*) as n_blocks, arg_min(d, turn) as publication_date, arg_min(role, turn) as post_author, string_agg(body, chr(10) || '---' || chr(10) || chr(10) order by turn) as thread_text, string_agg(d, ',' order by turn) as dates from b group by conv_id
-    union all select conv_id, 0, null, null, any_value(role), null from conversations where conv_id % 3 = 0 and turn = 0 group by conv_id"""
+    f"""with b as (select conv_id, turn, role, {FORUM_DATE} as d, regexp_replace(coalesce(text, '') || case when turn % 3 = 1 then ' --- so' || chr(10) || '---' || chr(10) || 'and more' else '' end, '^\\s+|\\s+$', '', 'g') as body from conversations where conv_id % 3 > 0),
+    f as (select *, coalesce(min(turn) filter (body <> '') over (partition by conv_id), 0) as begins from b)
+    select conv_id, count(*) as n_blocks, arg_min(d, turn) as publication_date, arg_min(role, turn) || ' van Dyk' as post_author, coalesce(string_agg(body, chr(10) || '---' || chr(10) || chr(10) order by turn) filter (turn >= begins), '') as thread_text, string_agg(d, ',' order by turn) as dates,
+      string_agg(case when turn = 0 then 'POST' else 'COMMENT_' || turn end || ' p' || turn, ',' order by turn) as labels from f group by conv_id
+    union all select conv_id, 0, null, null, 'Idag skrev ' || any_value(role) || ' --- inget mer --- POST:', null, null from conversations where conv_id % 3 = 0 and turn = 0 group by conv_id"""
 )
 def forum_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads written as blocks; those of every third conversation don't parse."""
+    """Threads written as blocks, with whole texts and lines of dashes in them; those of every third conversation don't parse."""
     turn = F.col("turn")
     day = F.when(turn == 0, F.lit("Idag 10:00")).when(turn == 1, F.lit("IGÅR 11:30")).otherwise(F.concat(F.lit("2024-01-0"), (turn % 9 + 1).cast("string")))
-    block = F.concat(F.lit("--- "), F.when(turn == 0, F.lit("POST")).otherwise(F.lit("COMMENT")), F.lit(": "), "role", F.lit(" "), day, F.lit(" tag ---\n"), letters("text"), F.lit("\n"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.when(turn % 3 == 1, F.lit(" --- so\n---\nand more")).otherwise(F.lit("")))
+    kind = F.when(turn == 0, F.lit("POST")).otherwise(F.lit("COMMENT"))
+    block = F.concat(F.lit("---\n"), kind, F.lit(": \nAuthor: "), "role", F.lit(" van Dyk\nDate: "), day, F.lit(" \nTag: p"), turn.cast("string"), F.lit("\n---\n"), body, F.lit("\n\n\n"))
     raw = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", block.alias("block")).groupBy("conv_id")
     raw = raw.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda s: s["block"]), "").alias("blocks"), F.min_by("role", "turn").alias("role"))
-    raw = raw.select("conv_id", F.when(F.col("conv_id") % 3 > 0, F.col("blocks")).otherwise(F.col("role")).alias("thread_text"), F.lit("2024-05-02").alias("scrape_date"))
-    dates = F.when(F.col("replies").isNotNull(), F.array_join(F.transform("replies", lambda r: r["date"]), ","))
-    return standardize.forum(raw).select("conv_id", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_blocks"), "publication_date", "post_author", "thread_text", dates.alias("dates"))
+    other = F.concat(F.lit("Idag skrev "), "role", F.lit(" --- inget mer --- POST:"))
+    raw = raw.select("conv_id", F.when(F.col("conv_id") % 3 > 0, F.col("blocks")).otherwise(other).alias("thread_text"), F.lit("2024-05-02").alias("scrape_date"))
+    listed_ = lambda f: F.when(F.col("replies").isNotNull(), F.array_join(F.transform("replies", f), ","))
+    return standardize.forum(raw).select(
+        "conv_id", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_blocks"), "publication_date", "post_author", "thread_text", listed_(lambda r: r["date"]).alias("dates"), listed_(lambda r: F.concat_ws(" ", r["label"], r["tag"])).alias("labels")
+    )
 
 
 @query("with {DOCS} select doc_id, case doc_id % 4 when 0 then strftime(day, '%Y-%m-%d') || ' 08:15' when 1 then strftime(day - interval 1 day, '%Y-%m-%d') when 2 then '2024-01-01' end as date from docs")
@@ -165,13 +172,17 @@ def thread_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize.threads(turns, group=["conv_id"]).select("conv_id", "root", "thread_text")
 
 
-@query("with m as (select conv_id from conversations group by conv_id having count(*) = max(turn) + 1) select conv_id, turn as root, turn as n_below from conversations join m using (conv_id)")
+@query(
+    """with w as (select conv_id, max(turn) as last from conversations group by conv_id having count(*) = max(turn) + 1)
+    select conv_id, last as root, last as n_below, string_agg(coalesce(text, '') || case when turn = last then '' else ' ' end || chr(10) || '--- ' || chr(10) || chr(10) || chr(10), '' order by turn desc) as thread_text from conversations join w using (conv_id) where last > 0 group by conv_id, last
+    union all select conv_id, 0, 0, coalesce(text, '') from conversations join w using (conv_id) where last = 0"""
+)
 def late_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn replies to the next one, written later: each begins a thread of its own, which holds all turns before it."""
+    """Every turn replies to the next one, written later: all stand once, under the last."""
     rows = table(spark, sf_dir, "conversations")
     whole = rows.groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("n")).filter("n = last + 1").select("conv_id", "last")
     turns = rows.join(whole, "conv_id").select("conv_id", F.col("turn").alias("message_id"), F.when(F.col("turn") < F.col("last"), F.col("turn") + 1).alias("parent_id"), "text")
-    return standardize.threads(turns, group=["conv_id"]).select("conv_id", "root", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_below"))
+    return standardize.threads(turns, group=["conv_id"]).select("conv_id", "root", F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_below"), "thread_text")
 
 
 # reducing
@@ -190,11 +201,23 @@ def text_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", as_text(rows, "l").alias("list_text"), as_text(rows, "n_chars").alias("number_text"), null_words(F.concat(F.lit(" "), F.upper("source")), ("src1",)).alias("w")).select("doc_id", "list_text", "number_text", F.lower(F.trim("w")).alias("word"))
 
 
-@query(f"select doc_id, case when {LETTERS} = '' then case doc_id % 3 when 0 then '--- a: b ---' || chr(10) when 1 then 'Post_id: 3' || chr(10) || 'Post_text: ' || chr(10) || 'Comment_id: 4' else '' end else {LETTERS} end as body from documents where {LETTERS} <> ''")
+CLEAN = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+#: What a chat's text keeps of a body: all before the next line of dashes.
+TO_DASHES = CLEAN.format("split_part(text || chr(10) || '---', chr(10) || '---', 1)")
+
+
+@query(
+    f"""select doc_id, case doc_id % 4 when 0 then case when {TO_DASHES} = '' then 'answer -- ' || lang else {TO_DASHES} || chr(10) || chr(10) || 'answer -- ' || lang end
+      when 1 then {CLEAN.format("'POST: ' || lang || chr(10) || text || chr(10) || 'second ' || lang")} when 2 then case when {CLEAN.format("text")} = '' then lang else {CLEAN.format("text")} || chr(10) || chr(10) || lang end
+      else 'He said --- and this is all important --- then left. ' || text end as body from documents where text is not null"""
+)
 def thread_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = letters("text")
-    made = case(F.col("doc_id"), F.concat(F.lit("--- a: b ---\n"), body), F.concat(F.lit("Post_id: 3\\nPost_text: "), body, F.lit("\nComment_id: 4")), body)
-    return docs(spark, sf_dir).filter(body != "").select("doc_id", F.trim(reduce.without_blocks(made)).alias("body"))
+    """Whole texts as chats, as forum threads, as chats with written line breaks, and as plain articles with dashes."""
+    chat = F.concat(F.lit("Post_id: 3\nPost_text: "), "text", F.lit("\n---\nComment_id: 4\nComment_text: answer -- "), "lang", F.lit(" \n---\n"))
+    forum = F.concat(F.lit("POST: "), "lang", F.lit("\n\n\n---\nPOST:\nAuthor: a b\nDate: x\n---\n"), "text", F.lit("\n\n\n---\nCOMMENT:\nAuthor: c\n---\nsecond "), "lang")
+    written_out = F.concat(F.lit("Post_text: "), "text", F.lit("\\n---\\nComment_text: "), "lang", F.lit("\\n---\\n"))
+    plain = F.concat(F.lit("He said --- and this is all important --- then left. "), "text")
+    return docs(spark, sf_dir).filter("text is not null").select("doc_id", reduce.without_blocks(case(F.col("doc_id"), chat, forum, written_out, plain)).alias("body"))
 
 
 @query(f"with {{DOCS}} select doc_id, source, 'doc/' || doc_id as link, nullif(trim({LINE}, ' '), '') as title, strftime(day, '%Y-%m-%d') as publication_date, array_to_string([nullif(trim({LINE}, ' '), ''), case when doc_id % 2 = 0 then lang end, nullif(trim(text, ' '), '')], chr(10) || chr(10)) as text from docs")
@@ -258,10 +281,9 @@ def actor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", keywords.actor_masked("text", "actor").alias("masked"))
 
 
-@query(f"select doc_id, case when doc_id % 2 = 0 then ': ' || {LETTERS} || chr(10) || chr(10) || ' x' else {LETTERS} end as searched from documents")
+@query("select doc_id, case when doc_id % 2 = 0 then ': ' || split_part(text || chr(10) || '---', '---', 1) || chr(10) || ' x' else text end as searched from documents")
 def chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = letters("text")
-    made = case(F.col("doc_id"), F.concat(F.lit("Post_id: 1 Post_text: "), body, F.lit("\n--- other ---\nComment_text x---")), body)
+    made = case(F.col("doc_id"), F.concat(F.lit("Post_id: 1 Post_text: "), "text", F.lit("\n--- other ---\nComment_text x---")), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", keywords.post_blocks(made).alias("searched"))
 
 

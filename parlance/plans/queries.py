@@ -501,9 +501,10 @@ def pair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.first_seen_pairs(docs(spark, sf_dir), ["source", "lang"], "doc_id")
 
 
-@query("select value, count(*) as files from (select distinct trim(text, ' ') as value, source as file from documents where length(trim(text, ' ')) between 1 and 13) group by value having count(*) > 1")
+@query("with r as (select concat(text, lang) as value, source as file, (row_number() over (partition by source order by doc_id) - 1) // 25 as chunk from documents) select value, count(*) as chunks from (select distinct value, file, chunk from r where length(value) between 1 and 13) group by value having count(*) > 1")
 def sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.sentinels(docs(spark, sf_dir), "text", "source")
+    """Chunks of 25 rows, as a source of the small tables has few."""
+    return profiling.sentinels(docs(spark, sf_dir), ["text", "lang"], "source", ["doc_id"], rows=25)
 
 
 @query(
@@ -647,10 +648,19 @@ def annotation_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(keywords.annotation_match(docs(spark, sf_dir).select("doc_id", "text"), ["und", "the"]).drop("text"))
 
 
-@query("with m as (select doc_id, regexp_matches(text, '(?i)\\sthe(\\s|\\.|,)') as a, regexp_matches(text, '(?i)\\sund(\\s|\\.|,)') as b, regexp_matches(text, '(?i)\\sle(\\s|\\.|,)') as c from documents) select doc_id, array_to_string(list_concat(case when c then ['le'] else [] end, case when a and b then ['the', 'und'] else [] end), ',') as pairs from m where a or b or c")
+#: Words of two pairs and of one of three; the first pair and the triple share a word.
+PAIRS = [("the", "und"), ("the", "le", "der"), ("la", "le")]
+
+
+@query(
+    """with w as (select doc_id, list_sort(list_filter(['der', 'la', 'le', 'the', 'und', 'que'], lambda k: regexp_matches(text, '(?i)\\s' || k || '(\\s|\\.|,)'))) as ws from documents where text is not null),
+    p as (select doc_id, ws, list_filter([['the', 'und'], ['the', 'le', 'der'], ['la', 'le']], lambda p: list_has_all(ws, p)) as whole, list_filter([['the', 'und'], ['the', 'le', 'der'], ['la', 'le']], lambda p: not list_has_all(ws, p)) as part from w where len(ws) > 0),
+    l as (select doc_id, ws, list_filter(ws, lambda x: not list_contains(flatten(part), x)) as stays, flatten(whole) as back from p)
+    select doc_id, array_to_string(list_concat(stays, list_filter(['the', 'und', 'le', 'der', 'la'], lambda x: list_contains(back, x) and not list_contains(stays, x))), ',') as pairs from l"""
+)
 def paired_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keywords.annotation_match(docs(spark, sf_dir).select("doc_id", "text"), ["und", "the", "le"])
-    return found.select("doc_id", F.array_join(keywords.keyword_pairs(F.col("matched_keywords"), [("the", "und")]), ",").alias("pairs"))
+    found = keywords.annotation_match(docs(spark, sf_dir).select("doc_id", "text"), ["und", "the", "le", "der", "la", "que"])
+    return found.select("doc_id", F.array_join(keywords.keyword_pairs(F.col("matched_keywords"), PAIRS), ",").alias("pairs"))
 
 
 @query("select doc_id, coalesce(d.lang, '') as lang, x.name as super_label from documents d left join (values ('en', 'Germanic'), ('de', 'Germanic'), ('fr', 'Romance')) x(l, name) on d.lang = x.l")

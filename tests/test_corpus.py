@@ -36,16 +36,55 @@ def test_threads_against_brute_force(spark):
     posts += [(50, 60, "child before parent"), (60, None, "late parent")]
     replies = [(rng.randrange(1, 40), 1000 + k, f"r{k}") for k in range(30)]
     known = {m for m, _, _ in posts}
-    roots = [m for m, p, _ in posts if p not in known] + [50]  # written before its parent, so a thread of its own too
+    roots = [m for m, p, _ in posts if p not in known]
     out = standardize.threads(spark.createDataFrame(posts, "message_id long, parent_id long, text string"), spark.createDataFrame(replies, "parent_id long, reply_id long, text string")).collect()
     assert {r.root: r.thread_text for r in out} == {m: brute_thread(posts, replies, m) for m in roots}
     assert all((r.replies is None) == (r.thread_text.count("---") == 0) for r in out)
+    assert sum(1 + len(r.replies or []) for r in out) == len(posts) + len(replies)
+
+
+def test_forests_of_random_parents(spark):
+    """Parents before and after their children, in three channels; replies that repeat, and those to nobody."""
+    rng = random.Random(8)
+    posts, replies = [], []
+    for channel in "abc":
+        order = list(range(60))
+        rng.shuffle(order)
+        posts += [(channel, m, order[rng.randrange(k)] if k and rng.random() < 0.9 else None, f"{channel}{m}") for k, m in enumerate(order)]
+        replies += [(channel, rng.randrange(70), 100 + k // 2, f"r{channel}{k // 2}") for k in range(30)]
+    df = spark.createDataFrame(posts, "channel string, message_id long, parent_id long, text string")
+    out = standardize.threads(df, spark.createDataFrame(replies, "channel string, parent_id long, reply_id long, text string"), ["channel"]).collect()
+    for channel in "abc":
+        own, below = [p[1:] for p in posts if p[0] == channel], [r[1:] for r in replies if r[0] == channel]
+        known = {m for m, _, _ in own}
+        assert {r.root: r.thread_text for r in out if r.channel == channel} == {m: brute_thread(own, [r for r in below if r[0] in known], m) for m, p, _ in own if p is None}
+
+
+def test_chains_of_five_thousand_posts(spark):
+    for child in (1, -1):  # every post is written after, before its parent
+        posts = [(k * child, (k - 1) * child if k else None, f"t{k}") for k in range(5000)]
+        row = standardize.threads(spark.createDataFrame(posts, "message_id long, parent_id long, text string")).collect()
+        assert len(row) == 1 and row[0].root == 0 and [r.text for r in row[0].replies] == [f"t{k}" for k in range(1, 5000)]
+
+
+def test_places_of_a_wide_tree_hold_no_paths(spark):
+    nodes = spark.range(2000).select(F.col("id").alias("message_id"))
+    parents = nodes.filter("message_id > 0").select("message_id", F.expr("(message_id - 1) div 40").alias("parent_id"))
+    places = standardize.preorder(parents, nodes, [])
+    assert [kind for _, kind in places.dtypes] == ["bigint"] * 3
+    got = [r.message_id for r in places.orderBy(F.desc("left")).collect()]
+
+    def below(m):
+        return [m, *[x for c in range(40 * m + 1, min(40 * m + 41, 2000)) for x in below(c)]]
+
+    assert got == below(0)
 
 
-def test_deep_thread(spark):
-    posts = [(k, k - 1 if k else None, "x") for k in range(120)]
-    row = standardize.threads(spark.createDataFrame(posts, "message_id long, parent_id long, text string")).first()
-    assert row.root == 0 and len(row.replies) == 119
+def test_repeated_and_nameless_posts(spark):
+    rows = [(1, None, "b"), (1, None, "a"), (2, 1, "x"), (2, 1, "x"), (None, 1, "lost"), (3, None, None)]
+    out = {r.root: r.thread_text for r in standardize.threads(spark.createDataFrame(rows, "message_id long, parent_id long, text string")).collect()}
+    assert out == {1: "a\n--- \n\n\nx \n--- \n\n\n", 3: ""}
+    assert standardize.threads(spark.createDataFrame([], "message_id long, parent_id long, text string")).count() == 0
 
 
 def test_web_rows(spark):
@@ -65,24 +104,57 @@ def test_videos_need_their_columns(spark):
 
 
 def test_forum_blocks(spark):
-    text = "--- POST: Ann 2024-01-02 tag --- first body\n--- COMMENT: Bo Idag 10:00 --- second\nline"
-    rows = standardize.forum(spark.createDataFrame([(text, "2024-05-01", None), ("no blocks", "2024-05-01", "x")], "thread_text string, scrape_date string, publication_date string")).collect()
-    assert [(r.label, r.author, r.text) for r in rows[0].replies] == [("POST", "Ann", "first body"), ("COMMENT_1", "Bo", "second\nline")]
-    assert rows[0].publication_date == "2024-01-02" and rows[0].post_author == "Ann" and rows[0].replies[1].date == "2024-05-01 10:00"
-    assert rows[1].replies is None and rows[1].thread_text == "no blocks" and rows[1].publication_date == "x"
+    text = "\n---\nPOST: \nAuthor: Ann van Dyk\nDate: 2024-01-02\nTag: p1\n---\nfirst --- body\n---\nstill it\n\n\n---\nCOMMENT:\nAuthor: Bo\nDate:  Idag 10:00\nTag: \n---\n second\nline\n \n\n---\nPOST:\nAuthor:\nDate: x\nTag: t\n---\nthird"
+    plain = "He wrote --- POST: x --- and left"
+    rows = spark.createDataFrame([(1, text, "2024-05-01", None), (2, plain, "2024-05-01", "Idag"), (3, text, "no day", "Igår"), (4, None, None, None)], "k int, thread_text string, scrape_date string, publication_date string")
+    out = standardize.forum(rows).orderBy("k").collect()
+    assert [(r.label, r.author, r.date, r.tag, r.text) for r in out[0].replies] == [("POST", "Ann van Dyk", "2024-01-02", "p1", "first --- body\n---\nstill it"), ("COMMENT_1", "Bo", "2024-05-01 10:00", "", "second\nline"), ("POST", "", "x", "t", "third")]
+    assert out[0].thread_text == "first --- body\n---\nstill it\n---\n\nsecond\nline\n---\n\nthird"
+    assert (out[0].publication_date, out[0].post_author) == ("2024-01-02", "Ann van Dyk")
+    assert (out[1].replies, out[1].thread_text, out[1].publication_date, out[1].post_author) == (None, plain, "Idag", None)
+    assert (out[2].publication_date, out[2].replies[1].date) == ("Igår", "Idag 10:00") and out[3].replies is None
+
+
+def test_bodies_of_threads(spark):
+    known = {
+        "Post_id: 1\nPost_text: one\ntwo \n---\nComment_id: 2\nComment_text:\tthree\n---\nComment_text: \n---\nComment_text: no end": "one\ntwo\n\nthree",
+        "Post_text: a\n---\nPost_text: b\n---": "a",
+        "Post_text: never ends": "Post_text: never ends",
+        "POST: head\n\n\n---\nCOMMENT:\nAuthor: a b\n---\nbody\n\n\n---\nx\n---\nmore": "POST: head\nbody\nmore",
+        "\n\n\n---\nPOST: x\n---\n": "\n\n\n---\nPOST: x\n---\n",
+        r"Post_text: one\n---\nComment_text: two\n---": "one\n\ntwo",
+        "He said --- and this is all important --- then left.": "He said --- and this is all important --- then left.",
+        "COMMENT: --- a --- b": "COMMENT: --- a --- b",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(known)], "k int, t string")
+    assert [r.x for r in df.select("k", reduce.without_blocks(F.col("t")).alias("x")).orderBy("k").collect()] == list(known.values())
+
+
+def test_author_words(spark):
+    df = spark.createDataFrame([(k, a) for k, a in enumerate([[" No Author "], ["none"], ["NULL"], ["nothing else"], ["Ann ", "", "Bo"], []])], "k int, author array<string>")
+    out = standardize.web(df, keep=("k",)).orderBy("k").collect()
+    assert [r.author or None for r in out] == [None, None, None, "nothing else", "Ann, Bo", None]
+
+
+def test_sentinels_count_chunks(spark):
+    rows = [(k, "f1", "no text" if k in (1, 6) else f"a long text number {k}", None) for k in range(9)]
+    rows += [(20, "f1", "once", None), (21, "f1", "once", None), (30, "f2", " no text", None), (31, "f2", "no", " text"), (32, None, "no text", "")]
+    df = spark.createDataFrame(rows, "n int, file string, a string, b string")
+    found = lambda **k: {(r.value, r.chunks) for r in profiling.sentinels(df, ["a", "b"], "file", ["n"], **k).collect()}
+    assert found(rows=5) == {("no text", 4), ("once", 2)} and found() == {("no text", 3)} and found(rows=1, most=4) == {("once", 2)}
 
 
 def test_entry_ids(spark):
-    df = spark.createDataFrame([(1, "A b.c", "Website"), (2, "abc", "Website"), (3, "!", "YouTube")], "n int, actor string, platform string")
-    assert [r.entry_ID for r in standardize.entry_ids(df, "DK", ["n"]).orderBy("n").collect()] == ["DK-ABC-W-1", "DK-ABC-W-2", "DK-XXX-Y-1"]
+    df = spark.createDataFrame([(1, "A b.c", "Website"), (2, "abc", "Website"), (3, "!", "YouTube"), (4, None, "YouTube"), (5, "abc", None)], "n int, actor string, platform string")
+    assert [r.entry_ID for r in standardize.entry_ids(df, "DK", ["n"]).orderBy("n").collect()] == ["DK-ABC-W-1", "DK-ABC-W-2", "DK-XXX-Y-1", "DK-UNKNOWN-Y-1", "DK-ABC-UNKNOWN-1"]
 
 
 def test_reduced(spark):
     df = spark.createDataFrame([("1", "a", "Website", "T", "x"), ("2", "a", "Website", None, "y"), ("3", "a", "Flashback", "T", "z"), ("4", "a", "Website", None, "nan"), ("5", "a", None, "only", "")], "entry_ID string, actor string, platform string, article_title string, article_text string")
     out = reduce.reduced(df).orderBy("entry_ID").collect()
     assert [(r.entry_ID, r.text) for r in out] == [("1", "T\n\nx"), ("2", "y"), ("5", "only")] and list(out[0].asDict()) == reduce.REDUCED
-    row = spark.createDataFrame([("--- meta ---\nbody",), ("--- all ---",)], "t string").select(reduce.without_blocks(F.col("t")).alias("x")).collect()
-    assert [r.x for r in row] == ["body", "--- all ---"]
 
 
 def test_annotation(spark):

@@ -17,7 +17,7 @@ def threads_of(spark, rows):
 
 
 def reference(rows):
-    """Posts in rising order; one that no thread before it holds begins a thread of all that is below it. The least of a circle has no parent."""
+    """Each post without a known parent with all that is below it. The least of a circle has no parent."""
     parent = {m: p for m, p, _ in rows if p != m and p in {r[0] for r in rows}}
     for m in sorted(parent):
         seen, at = [m], parent.get(m)
@@ -27,12 +27,7 @@ def reference(rows):
         if at is not None:
             parent.pop(min(seen[seen.index(at) :]), None)
     below = lambda m: [x for c in sorted(k for k, p in parent.items() if p == m) for x in [c, *below(c)]]
-    out, seen = {}, set()
-    for m in sorted(r[0] for r in rows):
-        if m not in seen:
-            out[m] = below(m)
-            seen |= {m, *out[m]}
-    return out
+    return {r[0]: below(r[0]) for r in rows if r[0] not in parent}
 
 
 def test_threads_end_on_circles(spark):
@@ -49,9 +44,10 @@ def test_threads_end_on_circles(spark):
 
 def test_forum_rows_in_new_form_keep_their_replies(spark):
     kind = "array<struct<label:string,author:string,date:string,tag:string,text:string>>"
-    rows = [("2024-05-02", "own text", [("POST", "ann", "2024-01-01", "", "own text")], None, "Idag 09:00"), ("2024-05-02", "--- POST: bob Igår 10:00 t ---\nhello", None, " ", None), ("2024-05-02", "plain", [], None, None)]
+    rows = [("2024-05-02", "own text", [("POST", "ann", "Igår", "", "own text")], None, "Idag 09:00"), ("2024-05-02", "---\nPOST:\nAuthor: bob\nDate: Igår 10:00\nTag: t\n---\nhello", None, " ", None), ("2024-05-02", "plain", [], None, None)]
     out = standardize.forum(spark.createDataFrame(rows, f"scrape_date string, thread_text string, replies {kind}, post_author string, publication_date string")).collect()
-    assert [(r.thread_text, len(r.replies or []), r.post_author, r.publication_date) for r in out] == [("own text", 1, "ann", "2024-05-02 09:00"), ("hello", 1, "bob", "2024-05-01 10:00"), ("plain", 0, None, None)]
+    assert [(r.thread_text, len(r.replies or []), r.post_author, r.publication_date) for r in out] == [("own text", 1, None, "2024-05-02 09:00"), ("hello", 1, "bob", "2024-05-01 10:00"), ("plain", 0, None, None)]
+    assert out[0].replies[0].date == "2024-05-01"
 
 
 def test_dates(spark):

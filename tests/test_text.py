@@ -54,8 +54,10 @@ def test_index_keeps_order_of_discovery(spark):
 
 def test_pairs_and_annotation(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a", "c"],)], "w array<string>")
-    out = [r.x for r in df.select(keywords.keyword_pairs(F.col("w"), [("a", "b")]).alias("x")).collect()]
-    assert out == [["c", "a", "b"], ["c"]]
+    of = lambda *pairs: [r.x for r in df.select(keywords.keyword_pairs(F.col("w"), list(pairs)).alias("x")).collect()]
+    assert of(("a", "b")) == [["a", "b", "c"], ["c"]]
+    assert of(("a", "b"), ("a", "d")) == [["b", "c", "a"], ["c"]] and of(("a", "d"), ("c", "b", "a")) == [["b", "c", "a"], []]
+    assert of(("a", "c", "b"), ("x", "y")) == [["a", "b", "c"], []] and of() == [["a", "b", "c"], ["a", "c"]]
     found = keywords.annotation_match(spark.createDataFrame([("a thing here.",), ("thing",)], "text string"), ["thing"]).collect()
     assert [r.matched_keywords for r in found] == [["thing"]]
 
