@@ -6,7 +6,13 @@ characters. ``(?iU)`` makes case, ``\\w`` and ``\\b`` follow Unicode.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import unicodedata
+import zlib
+from dataclasses import dataclass, field
+from functools import cache
 
 #: What may follow a keyword: the end of a word, or white space, a dot, a comma or the end of the text.
 END = r"(?:\b|(?=\s|\.|,|$))"
@@ -49,3 +55,131 @@ def valid_patterns(spark, keywords: list[str], edges: str = "sentence") -> tuple
 
 def sql_quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# An index of patterns: each keyword is found by one piece of itself, so that a text is compared only with the keywords
+# that share a piece with it, however many there are.
+
+#: Characters of a piece at the start or end of a word, and inside one.
+EDGE, INSIDE = 4, 3
+#: Bytes that an index may have: it goes with every task.
+MOST_BYTES = 32 << 20
+#: Keywords up to which one alternation of all patterns is the cheaper guard.
+FEW = 16
+
+
+@cache
+def _case() -> tuple[str, str]:
+    """Characters that differ from the lower case of their upper case, and these: what ``(?iU)`` compares."""
+    one = lambda x, c: x if len(x) == 1 else c
+    pairs = []
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        up = one(c.upper(), c)
+        low = up.lower()[0]  # one character has a mark behind its lower case
+        if low != c and not 0xD800 <= k < 0xE000:
+            pairs.append((c, low))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: str) -> str:
+    """SQL for a text in the case that patterns compare by, character by character."""
+    return f"translate({text}, {sql_quote(_case()[0])}, {sql_quote(_case()[1])})"
+
+
+def fold(text: str) -> str:
+    return text.translate(str.maketrans(*_case()))
+
+
+def _certain(c: str) -> bool:
+    """Whether ``\\w`` surely holds the character."""
+    return c == "_" or unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd")
+
+
+def _outside(c: str) -> bool:
+    """Whether ``\\w`` surely doesn't hold it: a word ends here."""
+    return c.isspace() or c in "!\"#$%&'()+,-./:;<=>?@[]^`{|}~" or c == "\\"
+
+
+def anchor(keyword: str, edges: str = "sentence") -> tuple[str, str] | None:
+    """(kind, piece) that every match of a keyword holds: ``e`` a whole word, ``p4`` the first 4 characters of one, ``s4`` the last, ``i3`` any; null if it has no letters."""
+    word = fold(keyword.strip())
+    left, right = word.startswith("*"), word.endswith("*") and len(word) > 1
+    core = word[1 if left else 0 : -1 if right else None]
+    found: list[tuple[int, int, str, str]] = []
+    for m in re.finditer(r"[^*]+" if edges != "space" else r"(?s).+", core):
+        start = m.start()
+        part = m.group()
+        k = 0
+        while k < len(part):
+            if not _certain(part[k]):
+                k += 1
+                continue
+            end = k
+            while end < len(part) and _certain(part[end]):
+                end += 1
+            at = start + k
+            before = core[at - 1] if at else None
+            after = core[start + end] if start + end < len(core) else None
+            opens = _outside(before) or (before == "*" and edges == "space") if before is not None else not left
+            closes = _outside(after) or (after == "*" and edges == "space") if after is not None else not right
+            piece = part[k:end]
+            if opens and closes:
+                found.append((3, len(piece), "e", piece))
+            elif opens:
+                found.append((2, len(piece), f"p{min(EDGE, len(piece))}", piece[:EDGE]))
+            elif closes:
+                found.append((2, len(piece), f"s{min(EDGE, len(piece))}", piece[-EDGE:]))
+            else:
+                found.append((1, len(piece), f"i{min(INSIDE, len(piece))}", piece[:INSIDE]))
+            k = end
+    if not found:
+        return None
+    _, _, kind, piece = max(found, key=lambda x: (min(x[1], EDGE), x[0], x[1]))
+    return kind, piece
+
+
+@dataclass
+class PatternIndex:
+    """Keywords in buckets by the checksum of their pieces, as SQL literals; ``always`` are those without a piece."""
+
+    keywords: list[str]
+    edges: str = "sentence"
+    kinds: list[str] = field(default_factory=list)
+    always: list[int] = field(default_factory=list)
+    buckets: list[list[dict]] = field(default_factory=list)
+
+    def __post_init__(self):
+        anchors = [anchor(k, self.edges) for k in self.keywords]
+        self.always = [n for n, a in enumerate(anchors) if a is None]
+        keys = [(a[0] + a[1], n) for n, a in enumerate(anchors) if a is not None]
+        self.kinds = sorted({a[0] for a in anchors if a is not None})
+        size = 1
+        while size < 2 * len(keys):
+            size *= 2
+        self.buckets = [[] for _ in range(size)]
+        for key, n in keys:
+            self.buckets[zlib.crc32(key.encode()) % size].append({"key": key, "n": n})
+        if (held := len(self._json())) > MOST_BYTES:
+            raise ValueError(f"the index of {len(self.keywords)} patterns takes {held} bytes, more than {MOST_BYTES}: split the dictionary")
+
+    def _json(self) -> str:
+        return json.dumps(self.buckets) + json.dumps(self._patterns())
+
+    def _patterns(self) -> list[dict]:
+        return [{"k": k, "p": wildcard_regex(k, self.edges)} for k in self.keywords]
+
+    def candidates(self, folded_text: str) -> str:
+        """SQL for the keywords ``k`` with their patterns ``p``, in order, that share a piece with a text in ``folded`` case."""
+        scan = {"e": r"(?U)(?<!\w)\w+", "p": r"(?U)(?<!\w)\w{N}", "s": r"(?U)\w{N}(?!\w)", "i": r"(?U)(?=(\w{N}))"}
+        parts = []
+        for kind in self.kinds:
+            pattern = scan[kind[0]].replace("N", kind[1:])
+            parts.append(f"transform(regexp_extract_all({folded_text}, {sql_quote(pattern)}, {int(kind[0] == 'i')}), x -> concat('{kind}', x))")
+        numbers = f"array({', '.join(map(str, self.always))})" if self.always else "cast(array() as array<int>)"
+        if parts:
+            table = f"from_json({sql_quote(json.dumps(self.buckets))}, 'array<array<struct<key:string,n:int>>>')"
+            bucket = f"{table}[cast(crc32(cast(x as binary)) % {len(self.buckets)} as int)]"
+            numbers = f"concat({numbers}, flatten(transform(array_distinct(concat({', '.join(parts)})), x -> transform(filter({bucket}, e -> e.key = x), e -> e.n))))"
+        patterns = f"from_json({sql_quote(json.dumps(self._patterns()))}, 'array<struct<k:string,p:string>>')"
+        return f"transform(array_sort(array_distinct({numbers})), n -> {patterns}[n])"

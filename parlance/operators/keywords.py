@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.patterns import sql_quote, wildcard_regex
+from parlance.functions import patterns
+from parlance.functions.patterns import PatternIndex, sql_quote, wildcard_regex
 
 
 def sentences(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -25,18 +26,29 @@ def usable(df: DataFrame, date_col: str, text_col: str = "sentence") -> DataFram
 
 
 def _found(keywords: list[str], false_positives: list[str], text_col: str) -> str:
-    """SQL for the keywords that are hit, with their hits."""
-    fp = ", ".join(sql_quote(w.strip().lower()) for w in false_positives if w.strip())
-    stays = f"not array_contains(array({fp}), lower(trim(x)))" if fp else "true"
-    structs = ", ".join(f"named_struct('k', {sql_quote(k)}, 'h', filter({hits(text_col, k)}, x -> {stays}))" for k in keywords)
-    guard = sql_quote("|".join(f"(?:{wildcard_regex(k)})" for k in keywords)) if keywords else None
+    """SQL for the keywords that are hit, with their hits. A few have one alternation as a guard; of more only those that share a piece with the text are run."""
     empty = "cast(array() as array<struct<k:string,h:array<string>>>)"
-    return f"case when {text_col} rlike {guard} then filter(array({structs}), s -> size(s.h) > 0) else {empty} end" if keywords else empty
+    if not keywords:
+        return empty
+    fp = ", ".join(sql_quote(w.strip().lower()) for w in false_positives if w.strip())
+    stays = f"lower(trim(x)) not in ({fp})" if fp else "true"
+    if len(keywords) <= patterns.FEW:
+        structs = ", ".join(f"named_struct('k', {sql_quote(k)}, 'h', filter({hits(text_col, k)}, x -> {stays}))" for k in keywords)
+        guard = sql_quote("|".join(f"(?:{wildcard_regex(k)})" for k in keywords))
+        return f"case when {text_col} rlike {guard} then filter(array({structs}), s -> size(s.h) > 0) else {empty} end"
+    index = PatternIndex(keywords)
+    run = f"transform({index.candidates(FOLDED)}, p -> named_struct('k', p.k, 'h', filter(regexp_extract_all({text_col}, p.p, 0), x -> {stays})))"
+    return f"coalesce(filter({run}, s -> size(s.h) > 0), {empty})"
+
+
+#: Column of the text in the case that patterns compare by, while an index needs it.
+FOLDED = "__folded"
 
 
-def _named(df: DataFrame, found: str) -> DataFrame:
+def _named(df: DataFrame, found: str, text_col: str) -> DataFrame:
     ordered = lambda c: F.transform(F.array_sort(F.transform(c, lambda w: F.struct(F.lower(w).alias("l"), w.alias("w")))), lambda s: s["w"])
-    out = df.withColumn("__found", F.expr(found))
+    out = df.withColumn(FOLDED, F.expr(patterns.folded(text_col))) if FOLDED in found else df
+    out = out.withColumn("__found", F.expr(found))
     names = ordered(F.array_distinct(F.expr("transform(__found, s -> s.k)")))
     return out.select(*df.columns, F.when(F.size("__found") > 0, names).alias("matched_keywords"), ordered(F.array_distinct(F.flatten(F.expr("transform(__found, s -> s.h)")))).alias("matched_words"), (F.size("__found") > 0).cast("int").alias("matched"))
 
@@ -44,16 +56,16 @@ def _named(df: DataFrame, found: str) -> DataFrame:
 def match(df: DataFrame, keywords: list[str], false_positives: list[str] = (), text_col: str = "sentence") -> DataFrame:
     """``matched_keywords`` (null if none), ``matched_words`` and ``matched`` for one dictionary.
 
-    A hit that is a false positive does not count. A cheap alternation of all patterns guards the extraction, so that
-    sentences without any hit are scanned once.
+    A hit that is a false positive does not count. A few keywords are guarded by a cheap alternation of all their patterns; a
+    large dictionary goes along as an index of pieces, so that the time of a sentence hardly grows with it.
     """
-    return _named(df, _found(keywords, false_positives, text_col))
+    return _named(df, _found(keywords, false_positives, text_col), text_col)
 
 
 def match_routed(df: DataFrame, dictionaries: dict[str, tuple[list[str], list[str]]], route: Column, text_col: str = "sentence") -> DataFrame:
     """Each row is matched by the dictionary that ``route`` names, in one pass; rows of unknown routes match nothing."""
     cases = " ".join(f"when {sql_quote(name)} then {_found(keywords, wrong, text_col)}" for name, (keywords, wrong) in dictionaries.items())
-    return _named(df.withColumn("__route", route), f"case __route {cases} else {_found([], [], text_col)} end").drop("__route")
+    return _named(df.withColumn("__route", route), f"case __route {cases} else {_found([], [], text_col)} end", text_col).drop("__route")
 
 
 def index(matched: DataFrame, id_col: str, first: list[str] = (), count: str | None = None) -> DataFrame:
@@ -108,8 +120,14 @@ def annotation_match(df: DataFrame, keywords: list[str], text_col: str = "text")
     """Keywords found between spaces, sorted; rows without any go if there are keywords at all."""
     if not keywords:
         return df.withColumn("matched_keywords", F.expr("cast(array() as array<string>)"))
-    structs = ", ".join(f"named_struct('l', lower({sql_quote(k)}), 'k', {sql_quote(k)}, 'hit', {text_col} rlike {sql_quote(wildcard_regex(k, 'space'))})" for k in keywords)
-    return df.withColumn("matched_keywords", F.expr(f"transform(array_sort(filter(array({structs}), s -> s.hit)), s -> s.k)")).filter(F.size("matched_keywords") > 0)
+    if len(keywords) <= patterns.FEW:
+        structs = ", ".join(f"named_struct('l', lower({sql_quote(k)}), 'k', {sql_quote(k)}, 'hit', {text_col} rlike {sql_quote(wildcard_regex(k, 'space'))})" for k in keywords)
+        rows, found = df, f"filter(array({structs}), s -> s.hit)"
+    else:
+        rows = df.withColumn(FOLDED, F.expr(patterns.folded(text_col)))
+        index = PatternIndex(keywords, "space")
+        found = f"transform(filter({index.candidates(FOLDED)}, p -> {text_col} rlike p.p), p -> named_struct('l', lower(p.k), 'k', p.k))"
+    return rows.withColumn("matched_keywords", F.expr(f"transform(array_sort({found}), s -> s.k)")).filter(F.size("matched_keywords") > 0).drop(FOLDED)
 
 
 def with_header(link: Column, actor: Column, keywords: Column | None, date: Column, text: Column) -> Column:
