@@ -239,7 +239,7 @@ def audit(documents: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     counts = stash(term_counts(texts, size), "term-counts")
     kept = stash(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole")).filter(F.col("docs") >= least).drop("docs"), "kept-terms")
     found = stash(counts.drop("docs").join(kept, ["lang", "term"]), "found-terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("whole").alias("lang_size"))
+    langs = stash(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("whole").alias("lang_size")), "langs")
     sizes = found.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     names = numbered(texts.select(F.col("lang").alias("tree"), "source").distinct(), ["source"]).select(F.col("tree").alias("lang"), "source", F.col("index").alias("i"), F.col("n").alias("sources"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
@@ -249,6 +249,6 @@ def audit(documents: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     terms = hits.filter("p > q").select("lang", "source", F.col("term").alias("item"), apart("p", "q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     leading = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    pairs = pair_part(groups, hits, kept.join(langs.select("lang", "kept"), "lang"), *block).withColumn("rank", F.row_number().over(order))
+    pairs = pair_part(groups, hits, attached(kept, langs.select("lang", "kept"), ["lang"]), *block).withColumn("rank", F.row_number().over(order))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*columns).unionByName(leading.withColumn("part", F.lit("term")).select(*columns))
