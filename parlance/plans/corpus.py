@@ -287,6 +287,27 @@ def chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", keywords.post_blocks(made).alias("searched"))
 
 
+#: The dictionary of the most frequent words: short ones whole, seven letters by their end, longer ones by their start.
+FREQUENT = 2000
+
+
+@query(
+    """with {DOCS}, {SENT}, f as (select w from (select unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from documents) group by w order by count(*) desc, w limit 2000),
+    d as (select distinct case when length(w) >= 8 then left(w, 5) || '*' when length(w) = 7 then '*' || right(w, 5) else w end as k from f),
+    t as (select doc_id, sentence_id, unnest(regexp_extract_all(sentence, '[\\p{L}\\p{N}_]+')) as w from sent),
+    h as (select doc_id, sentence_id, k, w from t join d on d.k = lower(w) union all select doc_id, sentence_id, k, w from t join d on d.k = left(lower(w), 5) || '*' union all select doc_id, sentence_id, k, w from t join d on d.k = '*' || right(lower(w), 5) where length(w) >= 5),
+    a as (select doc_id, sentence_id, array_to_string(list_sort(list(distinct k)), ',') as matched_keywords, array_to_string(list_transform(list_sort(list(distinct {'l': lower(w), 'w': w})), lambda z: z.w), ',') as matched_words from h group by all)
+    select s.doc_id, cast(s.sentence_id as bigint) as sentence_id, matched_keywords, coalesce(matched_words, '') as matched_words, cast(matched_keywords is not null as int) as matched from sent s left join a using (doc_id, sentence_id)"""
+)
+def keyword_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences matched by a dictionary of two thousand patterns, made of the most frequent words of the texts."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).groupBy("w").count()
+    top = [r.w for r in words.orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
+    made = sorted({w[:5] + "*" if len(w) >= 8 else "*" + w[-5:] if len(w) == 7 else w for w in top})
+    found = keywords.match(split(spark, sf_dir).select("doc_id", "sentence_id", "sentence"), made)
+    return listed(found.select("doc_id", F.col("sentence_id").cast("long").alias("sentence_id"), "matched_keywords", "matched_words", "matched"))
+
+
 # periods
 
 
