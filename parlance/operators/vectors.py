@@ -12,6 +12,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.density import density_clusters
+
+__all__ = ["density_clusters"]
+
 
 def text_vectors(df: DataFrame, text_col: str = "chunk", size: int = 256) -> DataFrame:
     """Normalised TF-IDF vectors of hashed words; another embedder can take this place."""
@@ -40,97 +44,6 @@ def projected(chunks: DataFrame, others: DataFrame, vector: str = "embedding", o
     return place(chunks, vector), place(others, other_vector)
 
 
-#: Most pivots that split the space, and rows of a block of points that are compared with another.
-PIVOTS, BLOCK_ROWS = 256, 1000
-
-
-def near_pairs(points: DataFrame, epsilon: float) -> DataFrame:
-    """``a, b`` of all rows (id, v) at most ``epsilon`` apart, in both orders and each with itself.
-
-    Every point lives in the cell of its nearest pivot and visits each cell that may hold a neighbour: by the triangle inequality its pivot is no
-    further than the cell's radius and ``epsilon``. Cells are cut into blocks, so no task holds more than two blocks of points.
-    """
-    from parlance.sources.shared import written
-
-    n = points.count()
-    chosen = points.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, math.isqrt(n)))).collect()  # PIVOTS rows at most
-    pivots = np.array([r["v"] for r in chosen], np.float64)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(lo, BLOCK_ROWS)
-                apart = distances(rows_of(part.column("v")), pivots)
-                yield pa.record_batch([part.column("id"), part.column("v"), pa.array(apart.argmin(1)), pa.array(list(apart), pa.list_(pa.float64()))], names=["id", "v", "cell", "far"])
-
-    placed = written(points.mapInArrow(place, "id long, v array<double>, cell long, far array<double>"))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.col("far")[F.col("cell").cast("int")]).alias("radius")).collect()  # one row for each pivot
-    reach = {r["cell"]: r["radius"] + epsilon * (1 + 1e-9) + 1e-12 for r in cells}
-    visited = F.filter(F.transform("far", lambda d, i: F.struct(i.cast("long").alias("cell"), d.alias("d"))), lambda x: x["d"] <= F.coalesce(F.try_element_at(_doubles(reach), x["cell"]), F.lit(-1.0)))
-    visitors = placed.select(F.explode(visited).alias("x"), "id", "v").select("x.cell", F.col("id").alias("id"), F.col("v").alias("v"))
-    counts = visitors.groupBy("cell").agg(F.count("*").alias("n_visitors")).join(placed.groupBy("cell").agg(F.count("*").alias("n_home")), "cell")
-    blocks = counts.select("cell", *[(F.floor(F.col(c) / BLOCK_ROWS) + 1).cast("int").alias(name) for c, name in (("n_home", "i_all"), ("n_visitors", "j_all"))])
-    own = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
-    others = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    home = placed.select("cell", "id", "v").join(F.broadcast(blocks), "cell").select("cell", own("i_all").alias("i"), others("j_all").alias("j"), "id", "v")
-    guests = visitors.join(F.broadcast(blocks), "cell").select("cell", others("i_all").alias("i"), own("j_all").alias("j"), F.col("id").alias("guest"), F.col("v").alias("w"))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        x, y = rows_of(left.column("v").combine_chunks()), rows_of(right.column("w").combine_chunks())
-        i, j = np.nonzero(distances(x, y) <= epsilon)
-        return pa.table({"a": left.column("id").to_numpy()[i], "b": right.column("guest").to_numpy()[j]})
-
-    return home.groupBy("cell", "i", "j").cogroup(guests.groupBy("cell", "i", "j")).applyInArrow(compare, "a long, b long")
-
-
-def _doubles(values: dict[int, float]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
-def rows_of(vectors: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()])
-
-
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All distances, some rows of ``x`` at a time."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, (1 << 22) // max(1, y.size))
-    for lo in range(0, len(x), step):
-        out[lo : lo + step] = np.sqrt(((x[lo : lo + step, None, :] - y[None, :, :]) ** 2).sum(2))
-    return out
-
-
-def density_clusters(df: DataFrame, id_col: str, vector: str = "embedding", epsilon: float = 0.5, min_samples: int = 5, min_cluster_size: int = 5) -> DataFrame:
-    """Clusters of points that are dense at ``epsilon``; noise is -1, rows without a vector or id are left out.
-
-    Neighbours are exact (``near_pairs``). Core points that are neighbours are joined by passing the least label on, and border points follow
-    their least core neighbour. Clusters are numbered in the order of their least core point.
-    """
-    from parlance.sources.shared import written
-
-    points = df.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    if not points.limit(1).count():
-        return points.select(F.col("id").alias(id_col), F.lit(-1).alias("cluster"))
-    near = written(near_pairs(points, epsilon))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    edges = written(near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b"))
-    labels = core.withColumn("label", F.col("id"))
-    while True:
-        lower = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        stepped = labels.join(lower, F.col("id") == F.col("a")).select("id", "label", "least")
-        jumped = stepped.join(stepped.select(F.col("id").alias("least"), F.col("least").alias("next")), "least", "left").select("id", F.col("label").alias("was"), F.least("least", F.coalesce("next", "least")).alias("label"))
-        labels = written(jumped)
-        if not labels.filter("was <> label").limit(1).count():
-            break
-    reach = near.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("border"))
-    named = points.select("id").join(labels.select("id", "label"), "id", "left").join(reach.withColumnRenamed("a", "id"), "id", "left").withColumn("label", F.coalesce("label", "border"))
-    sizes = named.filter("label is not null").groupBy("label").count().filter(F.col("count") >= min_cluster_size)
-    numbers = sizes.withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)
-    return named.join(numbers.select("label", "cluster"), "label", "left").select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-
-
 def region_counts(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Points inside each closed rectangle; empty and inverted regions are reported, incomplete ones go."""
     whole = regions.dropna(subset=["x_lower", "x_upper", "y_lower", "y_upper"])

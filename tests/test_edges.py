@@ -130,8 +130,6 @@ def test_density_clusters_of_equal_and_missing_points(spark):
     out = {r.id: r.cluster for r in vectors.density_clusters(df, "id", epsilon=1.0).collect()}
     assert out == {k: k % 3 for k in range(40)} | {99: -1}
     assert vectors.density_clusters(df.limit(0), "id").count() == 0
-    pairs = {(r.a, r.b) for r in vectors.near_pairs(df.filter("embedding is not null").select("id", df.embedding.alias("v")), 1.0).collect()}
-    assert pairs == {(a, b) for a in range(40) for b in range(40) if a % 3 == b % 3} | {(99, 99)}
 
 
 def test_running_numbers_over_many_parts(spark):
