@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.intervals import inside_days
+
 
 def isolation_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) -> np.ndarray:
     """Scores of an isolation forest (higher: easier to cut off)."""
@@ -106,7 +108,7 @@ def ranked(peaks: DataFrame, most: int = 15, more_than: int = 5) -> DataFrame:
 def attached(series: DataFrame, peaks: DataFrame) -> DataFrame:
     """``peak_id`` and ``is_peak`` on every actor period."""
     small = peaks.select("date", "peak_id")
-    return series.join(F.broadcast(small), "date", "left").withColumn("is_peak", F.col("peak_id").isNotNull())
+    return series.join(small, "date", "left").withColumn("is_peak", F.col("peak_id").isNotNull())
 
 
 def peak_list(peaks: DataFrame) -> DataFrame:
@@ -134,8 +136,8 @@ def approved(sheet: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFra
 
 
 def peak_text_counts(indexed: DataFrame, peaks: DataFrame, date: str = "publication_date") -> DataFrame:
-    """Texts inside each peak's days; peaks are few, so they are broadcast."""
-    met = indexed.join(F.broadcast(peaks.select("peak_id", "from_date", "to_date")), F.col(date).between(F.col("from_date"), F.col("to_date")))
+    """Texts inside each peak's days."""
+    met = inside_days(indexed.select(date), date, peaks.select("peak_id", "from_date", "to_date"))
     return met.groupBy("peak_id").agg(F.count("*").alias("n_texts"))
 
 

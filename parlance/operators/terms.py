@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.intervals import inside_days
+
 TOKEN = r"(?U)[\\p{L}\\p{M}\\p{N}\'-]+"
 
 
@@ -80,7 +82,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str = "text", most: int = 8000,
 
 
 def peak_texts(indexed: DataFrame, texts: DataFrame, peaks: DataFrame, id_col: str, date: str, lang: str, english: str = "en") -> DataFrame:
-    """Texts of each peak with ``route``: English or the country's own set; blank texts go. Peaks are few and broadcast."""
-    inside = indexed.select(id_col, date).join(F.broadcast(peaks.select("peak_id", "from_date", "to_date")), F.col(date).between(F.col("from_date"), F.col("to_date"))).select("peak_id", id_col)
+    """Texts of each peak with ``route``: English or the country's own set; blank texts go."""
+    inside = inside_days(indexed.select(id_col, date), date, peaks.select("peak_id", "from_date", "to_date")).select("peak_id", id_col)
     met = inside.join(texts.select(id_col, lang, "text"), id_col).filter(F.length(F.trim("text")) > 0)
     return met.select("peak_id", id_col, F.when(F.col(lang) == english, "english").otherwise("default").alias("route"), "text")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.operators.intervals import merged
+
 #: How a period starts and how far the next one is.
 PERIODS = {"D": ("day", "interval 1 day"), "W": ("week", "interval 7 days"), "2W": ("week", "interval 14 days"), "ME": ("month", "interval 1 month"), "2ME": ("month", "interval 2 months"), "QE": ("quarter", "interval 3 months"), "YE": ("year", "interval 1 year")}
 
@@ -28,10 +30,9 @@ def between_or_null(df: DataFrame, date: str, start: str | None, end: str | None
 
 
 def in_ranges(df: DataFrame, date: str, ranges: list[tuple[str | None, str | None]]) -> DataFrame:
-    """Rows inside any of the inclusive ranges; ends may be open, ranges that end before they start are skipped."""
-    valid = [(a, b) for a, b in ranges if not (a and b and a > b)]
+    """Rows inside any of the inclusive ranges; ends may be open, ranges that end before they start are skipped. Ranges that meet are one filter, which the scan can use."""
     kept = F.lit(False)
-    for a, b in valid:
+    for a, b in merged(ranges):
         one = F.col(date).isNotNull()
         if a:
             one &= F.col(date) >= F.lit(a).cast("date")
@@ -45,12 +46,11 @@ def without_source(df: DataFrame, source: str | Column, part: str) -> DataFrame:
     return df.filter(~F.coalesce(F.lower(source).contains(part.lower()), F.lit(False)))
 
 
-def calendar(spark, start: str, end: str, period: str) -> DataFrame:
-    """``date`` = last day of every period that starts between the days, periods anchored at the calendar's start."""
+def days_of(start: str, end: str, period: str) -> Column:
+    """The last days of the periods that start between the days, periods anchored at the calendar's start."""
     unit, step = PERIODS[period]
     first = f"date_trunc('{unit}', date'{start}')"
-    out = spark.sql(f"select explode(sequence(cast({first} as date), date'{end}', {step})) as lo")
-    return out.select("lo", F.expr(f"date_sub(cast(lo + {step} as date), 1)").alias("date"))
+    return F.expr(f"transform(sequence(cast({first} as date), date'{end}', {step}), lo -> date_sub(cast(lo + {step} as date), 1))")
 
 
 def period_end(date: str, start: str, period: str) -> Column:
@@ -67,11 +67,10 @@ def period_end(date: str, start: str, period: str) -> Column:
 
 def period_counts(df: DataFrame, date: str, by: list[str], start: str, end: str, period: str = "ME", weight: str | None = None) -> DataFrame:
     """Rows per period and group over the whole calendar, zero where there are none; with ``weight`` also the sum of 1 / weight."""
-    days = calendar(df.sparkSession, start, end, period).select("date")
+    days = F.explode(days_of(start, end, period)).alias("date")
     counts = df.filter(F.col(date).isNotNull()).groupBy(*by, period_end(date, start, period).alias("date"))
     counts = counts.agg(F.count("*").alias("n"), *([F.sum(1 / F.col(weight)).alias("weighted")] if weight else []))
-    groups = df.select(*by).distinct() if by else None
-    grid = groups.crossJoin(F.broadcast(days)) if by else days  # a calendar is as long as its years, whatever the data
+    grid = (df.select(*by).distinct() if by else df.sparkSession.range(1)).select(*by, days)
     joined = grid.join(counts, [*by, "date"], "left")
     return joined.select(*by, "date", F.coalesce("n", F.lit(0)).alias("n"), *([F.coalesce("weighted", F.lit(0.0)).alias("weighted")] if weight else []))
 

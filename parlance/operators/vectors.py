@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.density import density_clusters
+from parlance.operators.intervals import inside_boxes
 
 __all__ = ["density_clusters"]
 
@@ -45,11 +46,12 @@ def projected(chunks: DataFrame, others: DataFrame, vector: str = "embedding", o
 
 
 def region_counts(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Points inside each closed rectangle; empty and inverted regions are reported, incomplete ones go."""
-    whole = regions.dropna(subset=["x_lower", "x_upper", "y_lower", "y_upper"])
-    met = whole.join(points, (F.col("x").between(F.col("x_lower"), F.col("x_upper"))) & (F.col("y").between(F.col("y_lower"), F.col("y_upper"))), "left")
-    out = met.groupBy(*whole.columns).agg(F.count("x").alias("n_points"))
-    return out.withColumn("status", F.when((F.col("x_lower") > F.col("x_upper")) | (F.col("y_lower") > F.col("y_upper")), "invalid").when(F.col("n_points") == 0, "empty").otherwise("ok"))
+    """Points inside each closed rectangle; empty and inverted regions are reported, incomplete ones go, equal ones are one."""
+    whole = regions.dropna(subset=["x_lower", "x_upper", "y_lower", "y_upper"]).distinct()
+    columns = whole.columns
+    held = inside_boxes(points.select("x", "y"), whole).groupBy(*columns).agg(F.count("*").alias("n_points"))
+    every = whole.withColumn("n_points", F.lit(0).cast("long")).unionByName(held).groupBy(*columns).agg(F.max("n_points").alias("n_points"))
+    return every.withColumn("status", F.when((F.col("x_lower") > F.col("x_upper")) | (F.col("y_lower") > F.col("y_upper")), "invalid").when(F.col("n_points") == 0, "empty").otherwise("ok"))
 
 
 def merged_actors(points: DataFrame, names: DataFrame, excluded: list[str] = ()) -> DataFrame:
