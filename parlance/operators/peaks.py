@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,25 +64,54 @@ def with_floor(scored: DataFrame, by: list[str], k: float) -> DataFrame:
     return scored.withColumn("is_anomaly", F.col("is_anomaly") & (F.col("score") >= floor))
 
 
-def prominent(series: DataFrame, by: list[str], value: str = "share", least: float = 0.005) -> DataFrame:
-    """Local maxima whose prominence is ``least`` or more; the middle of a flat top stands for it.
+def prominences(values: list[float | None]) -> list[tuple[int, float]]:
+    """(place, prominence) of each local maximum, the middle of a flat top; nulls are passed over but end no slope.
 
-    Each maximum meets the periods of its own series only: the lowest value on the way to the nearest higher one, on either side.
+    On either side the lowest value on the way to the nearest higher one counts. One pass from each end keeps a stack of falling
+    values with the lowest value since the one below, so that a value is pushed and taken off once.
     """
-    w = Window.partitionBy(*by).orderBy("date")
-    numbered = series.select(*by, "date", F.col(value).alias("v"), F.row_number().over(w).alias("i"))
-    run = numbered.withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    flats = run.groupBy(*by, "run").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.first("v").alias("v"))
-    r = Window.partitionBy(*by).orderBy("run")
-    tops = flats.withColumn("up", F.lag("v").over(r) < F.col("v")).withColumn("down", F.lead("v").over(r) < F.col("v")).filter("up and down")
-    tops = tops.select(*by, F.floor((F.col("lo") + F.col("hi")) / 2).cast("int").alias("top"), F.col("v").alias("top_v"))
-    met = tops.join(numbered.select(*by, "i", "v"), by)
-    higher = met.groupBy(*by, "top", "top_v").agg(F.max(F.when((F.col("v") > F.col("top_v")) & (F.col("i") < F.col("top")), F.col("i"))).alias("left"), F.min(F.when((F.col("v") > F.col("top_v")) & (F.col("i") > F.col("top")), F.col("i"))).alias("right"))
-    valleys = higher.join(numbered.select(*by, "i", "v"), by).groupBy(*by, "top", "top_v").agg(
-        F.min(F.when((F.col("i") <= F.col("top")) & (F.col("i") > F.coalesce("left", F.lit(0))), F.col("v"))).alias("a"), F.min(F.when((F.col("i") >= F.col("top")) & (F.col("i") < F.coalesce("right", F.lit(2**31 - 1))), F.col("v"))).alias("b")
-    )
-    found = valleys.withColumn("prominence", F.col("top_v") - F.greatest("a", "b")).filter(F.col("prominence") >= least)
-    return found.join(numbered.select(*by, F.col("i").alias("top"), "date"), [*by, "top"]).select(*by, "date", F.col("top_v").alias(value), "prominence")
+
+    def lows(places: range) -> dict[int, float]:
+        stack: list[tuple[float, float]] = []
+        out = {}
+        for i in places:
+            v = values[i]
+            if v is None:
+                continue
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            stack.append((v, low))
+            out[i] = low
+        return out
+
+    n = len(values)
+    left, right = lows(range(n)), lows(range(n - 1, -1, -1))
+    out, lo = [], 0
+    while lo < n:
+        hi = lo
+        while hi + 1 < n and values[hi + 1] == values[lo]:
+            hi += 1
+        around = values[lo - 1] if lo else None, values[hi + 1] if hi + 1 < n else None
+        if values[lo] is not None and None not in around and max(around) < values[lo]:
+            top = (lo + hi) // 2
+            out.append((top, values[top] - max(left[top], right[top])))
+        lo = hi + 1
+    return out
+
+
+def prominent(series: DataFrame, by: list[str], value: str = "share", least: float = 0.005) -> DataFrame:
+    """Local maxima whose prominence is ``least`` or more; the middle of a flat top stands for it. A series is as long as its calendar and is gone through twice."""
+    kinds = dict(series.dtypes)
+
+    def found(table: pa.Table) -> pa.Table:
+        table = table.sort_by("date")
+        tops = [(k, p) for k, p in prominences([None if v is None or v != v else v for v in table[value].to_pylist()]) if p >= least]
+        kept = table.take(pa.array([k for k, _ in tops], pa.int64()))
+        return kept.append_column("prominence", pa.array([p for _, p in tops], pa.float64()))
+
+    rows = series.select(*by, "date", F.col(value).cast("double").alias(value))
+    return rows.groupBy(*by).applyInArrow(found, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, "date"]), f"`{value}` double", "prominence double"]))
 
 
 def collapsed(flagged: DataFrame, totals: DataFrame, actor: str = "actor") -> DataFrame:

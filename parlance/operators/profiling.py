@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.columns import share
 from parlance.operators.standardize import running_number
+from parlance.operators.top import top_rows
 
 
 def type_label(variant: str) -> str:
@@ -42,15 +43,14 @@ def mismatch_context(rows: DataFrame, cap: int = 10) -> DataFrame:
     pair = F.concat_ws("/", "platform", "actor")
     for name, c in (("platforms", F.col("platform")), ("actors", F.col("actor")), ("pairs", pair)):
         each = rows.select("key", "type", c.alias("x")).filter("x is not null").distinct()
-        rank = F.row_number().over(Window.partitionBy("key", "type").orderBy("x"))
-        some = each.withColumn("__r", rank).filter(F.col("__r") <= cap).groupBy("key", "type").agg(F.sort_array(F.collect_list("x")).alias(name))
+        some = top_rows(each, ["key", "type"], [("x", False)], cap).groupBy("key", "type").agg(F.sort_array(F.collect_list("x")).alias(name))
         out = out.join(some, ["key", "type"], "left")
     return out
 
 
 def examples(rows: DataFrame, by: list[str], order: str, n: int = 2) -> DataFrame:
     """The first ``n`` rows of each group."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("__r") <= n).drop("__r")
+    return top_rows(rows, by, [(order, False)], n)
 
 
 def key_sets(df: DataFrame, json: str) -> DataFrame:
@@ -71,11 +71,15 @@ def row_hash(df: DataFrame, without: list[str]) -> Column:
 
 
 def duplicate_rows(df: DataFrame, id_col: str, without: list[str] | None = None) -> DataFrame:
-    """Rows equal but for the id: ``group_size``, the first id and each later one."""
-    w = Window.partitionBy("hash")
-    out = df.select(F.col(id_col), row_hash(df, [id_col, *(without or [])]).alias("hash"))
-    out = out.withColumn("group_size", F.count("*").over(w)).withColumn("first_id", F.min(id_col).over(w)).withColumn("occurrence", F.row_number().over(w.orderBy(id_col)))
-    return out.filter("group_size > 1")
+    """Rows equal but for the id: ``group_size``, the first id and the row's number in the order of ids.
+
+    Sizes and first ids are aggregated before anything is dealt by hash; only rows that are not alone are then numbered, and a
+    group of any size is spread over many tasks.
+    """
+    keyed = df.select(F.col(id_col), row_hash(df, [id_col, *(without or [])]).alias("hash"))
+    repeated = keyed.groupBy("hash").agg(F.count("*").alias("group_size"), F.min(id_col).alias("first_id")).filter("group_size > 1")
+    numbered = running_number(keyed.join(repeated, "hash"), "hash", [id_col])
+    return numbered.select(id_col, "hash", "group_size", "first_id", F.col("__number").cast("int").alias("occurrence"))
 
 
 def key_problems(df: DataFrame, key: str) -> DataFrame:
@@ -171,7 +175,7 @@ def in_days(df: DataFrame, date: str, start: str, end: str, source: str, dropped
 def date_examples(df: DataFrame, by: list[str], raw: str, parsed: str, n: int = 5) -> DataFrame:
     """The first different raw dates of each group with what became of them."""
     pairs = df.select(*by, raw, parsed).distinct()
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(raw, parsed))).filter(F.col("rank") <= n)
+    return top_rows(pairs, by, [(raw, False), (parsed, False)], n, "rank")
 
 
 def date_audit(df: DataFrame, raw: str, date: Column, start: str, end: str) -> DataFrame:

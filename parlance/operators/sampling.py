@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.top import top_rows
+
 
 def seeded(seed: int, *columns: str) -> Column:
     """A hash that orders rows the same way everywhere."""
@@ -17,8 +19,8 @@ def round_robin(df: DataFrame, n: int, pair: list[str], id_col: str, seed: int =
     for c in pair:
         named = named.withColumn(f"__{c}", F.coalesce(F.col(c), F.lit(f"UNKNOWN_{c.upper()}")))
     keys = [f"__{c}" for c in pair]
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(seeded(seed, id_col), id_col))
-    return named.withColumn("__turn", turn).orderBy("__turn", seeded(seed, *keys), *keys).limit(n).drop("__turn", *keys)
+    turns = top_rows(named.withColumn("__seeded", seeded(seed, id_col)), keys, [("__seeded", False), (id_col, False)], n, "__turn")
+    return turns.orderBy("__turn", seeded(seed, *keys), *keys).limit(n).drop("__turn", "__seeded", *keys)
 
 
 def simple(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.intervals import inside_days
+from parlance.operators.top import top_rows
 
 TOKEN = r"(?U)[\\p{L}\\p{M}\\p{N}\'-]+"
 
@@ -31,15 +32,12 @@ def excluded_counts(tokenised: DataFrame, by: list[str], excluded: list[str]) ->
 
 def top_terms(counts: DataFrame, by: list[str], n: int) -> DataFrame:
     """The ``n`` most frequent of each group, ties by term."""
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "term"))).filter(F.col("rank") <= n)
+    return top_rows(counts, by, [("n", True), ("term", False)], n, "rank")
 
 
 def top_by_language(counts: DataFrame, by: list[str], lang: str, n: int) -> DataFrame:
     """Top terms per language, added up over languages, and the top of the sums."""
-    summed = top_terms(counts, [*by, lang], n).groupBy(*by, "term").agg(F.sum("n").alias("n"))
-    if by:
-        return top_terms(summed, by, n)
-    return top_terms(summed.withColumn("__all", F.lit(1)), ["__all"], n).drop("__all")
+    return top_terms(top_terms(counts, [*by, lang], n).groupBy(*by, "term").agg(F.sum("n").alias("n")), by, n)
 
 
 def repeated_terms(counts: DataFrame) -> DataFrame:
