@@ -2,58 +2,79 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.intervals import inside_days
+from parlance.sources.shared import written
 
 
-def isolation_scores(x: np.ndarray, trees: int, seed: int, sample: int = 256) -> np.ndarray:
-    """Scores of an isolation forest (higher: easier to cut off)."""
-    rng = np.random.default_rng(seed)
-    n, sub = len(x), min(sample, len(x))
-    harmonic = lambda m: 2 * (np.log(m - 1) + np.euler_gamma) - 2 * (m - 1) / m if m > 2 else float(m == 2)
-    depth = np.zeros(n)
-    for _ in range(trees):
-        chosen = rng.choice(n, sub, replace=False)
-        stack = [(chosen, np.arange(n), 0)]
-        while stack:
-            inside, going, level = stack.pop()
-            low, high = (x[inside].min(0), x[inside].max(0)) if len(inside) else (x[0], x[0])
-            wide = np.flatnonzero(high > low)
-            if not len(going):
-                continue
-            if len(inside) <= 1 or level >= np.ceil(np.log2(max(sub, 2))) or not len(wide):
-                depth[going] += level + harmonic(len(inside))
-                continue
-            f = rng.choice(wide)
-            cut = rng.uniform(low[f], high[f])
-            a, b = x[inside, f] < cut, x[going, f] < cut
-            stack += [(inside[a], going[b], level + 1), (inside[~a], going[~b], level + 1)]
-    return 2.0 ** (-depth / trees / max(harmonic(sub), 1e-9))
+#: Features of a period that the forest cuts by, and rows that a tree is grown on.
+FEATURES, SAMPLE = ("n", "rolling_mean", "rolling_std", "day_of_year"), 256
 
 
-def isolation_anomalies(features: DataFrame, by: list[str], trees: int = 200, contamination: float | None = 0.3, seed: int = 42) -> DataFrame:
-    """``score`` and ``is_anomaly`` per series (a few hundred periods each; series are spread over the cluster).
+def drawn(*parts: Column | str) -> Column:
+    """A number from 0 to below 1 by the hash of its parts, the same in every engine."""
+    text = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
-    An anomaly is among the highest scores of its series and above its baseline. Without ``contamination`` 15 periods of
-    a series count, at most half of them.
-    """
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date", ignore_index=True)
-        x = group[["n", "rolling_mean", "rolling_std", "day_of_year"]].astype(float).fillna(0).to_numpy()
-        scores = isolation_scores(x, trees, seed)
-        part = contamination if contamination is not None else min(0.5, 15 / max(len(x), 1))
-        line = np.quantile(scores, 1 - part)
-        up = (group["n"] > group["baseline"].astype(float)).to_numpy()
-        return group.assign(score=scores, is_anomaly=(scores >= line) & up)
 
-    cols = features.select(*by, "date", "n", "rolling_mean", "rolling_std", "baseline", "day_of_year")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema)
-    return cols.groupBy(*by).applyInPandas(score, f"{fields}, score double, is_anomaly boolean")
+def path_length(m: Column) -> Column:
+    """Mean length of a failed search among ``m`` values: what a leaf of so many rows adds to its depth."""
+    m = m.cast("double")
+    return F.when(m > 2, 2 * (F.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m).when(m == 2, 1.0).otherwise(0.0)
+
+
+def isolation_scores(rows: DataFrame, trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
+    """``series, date, score`` of an isolation forest for each series (higher: easier to cut off); ``rows`` has (series, date, x), x an array of features.
+
+    Nothing is drawn but by hashes of the seed, the series, the tree and the node, so that runs and engines agree. All trees of all
+    series grow together, a level at a time: a node's rows choose one of the features that differ among its sample and a cut between
+    its least and greatest value there. A tree has no more levels than the logarithm of its sample.
+    """
+    of_tree = Window.partitionBy("series", "tree")
+    # few bytes, much work: a fixed number of parts, which aren't joined again for being small
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grown = rows.select("series", "date", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).repartition(parts, "series", "tree")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "series", F.col("tree").cast("string"), F.col("date").cast("string")))
+    grown = grown.withColumn("size", F.least(F.lit(sample), F.count("*").over(of_tree))).withColumn("chosen", F.row_number().over(of_tree.orderBy(order, "date")) <= F.col("size"))
+    grown = grown.withColumn("levels", F.length(F.bin(F.greatest(F.col("size"), F.lit(2)) - 1))).withColumn("node", F.lit(1).cast("long")).withColumn("depth", F.lit(None).cast("double"))
+    in_node = Window.partitionBy("series", "tree", "node")
+    features = range(len(FEATURES))
+    for level in range((sample - 1).bit_length() + 1):
+        inside = lambda k: F.when(F.col("chosen"), F.col("x")[k])
+        bounds = {f"{name}{k}": f(inside(k)).over(in_node) for name, f in (("low", F.min), ("high", F.max)) for k in features}
+        grown = grown.withColumns({"m": F.count(F.when(F.col("chosen"), 1)).over(in_node), **bounds})
+        grown = grown.withColumns({name: F.array(*[f"{name}{k}" for k in features]) for name in ("low", "high")})
+        grown = grown.withColumn("wide", F.filter(F.array(*map(F.lit, features)), lambda k: F.col("high")[k] > F.col("low")[k]))
+        ends = (F.col("m") <= 1) | (F.col("levels") <= level) | (F.size("wide") == 0)
+        grown = grown.withColumn("depth", F.coalesce("depth", F.when(ends, F.lit(float(level)) + path_length(F.col("m")))))
+        own = (F.lit(str(seed)), F.col("series"), F.col("tree"), F.col("node"))
+        grown = grown.withColumn("by", F.get("wide", F.floor(drawn(*own, "feature") * F.size("wide")).cast("int"))).withColumn("cut", F.get("low", F.col("by")) + drawn(*own, "cut") * (F.get("high", F.col("by")) - F.get("low", F.col("by"))))
+        grown = grown.withColumn("node", F.when(F.col("depth").isNull(), 2 * F.col("node") + (F.get("x", F.col("by")) >= F.col("cut")).cast("int")).otherwise(F.col("node")))
+        grown = grown.select("series", "date", "x", "tree", "size", "chosen", "levels", "node", "depth")
+    mean = F.avg("depth") / F.greatest(path_length(F.max("size")), F.lit(1e-9))
+    return grown.groupBy("series", "date").agg(F.round(F.pow(F.lit(2.0), -mean), 9).alias("score"))
+
+
+def isolation_anomalies(features: DataFrame, by: list[str], trees: int = 200, contamination: float | None = 0.3, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
+    """``score`` and ``is_anomaly`` of each period of each series.
+
+    An anomaly scores above the quantile that leaves ``contamination`` of its series, and its number is above its baseline (null: it is not).
+    Without ``contamination`` 15 periods of a series count, at most half of them.
+    """
+    cols = features.select(*by, "date", *FEATURES[:3], "baseline", FEATURES[3])
+    named = written(cols.withColumn("series", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])), "features")
+    x = F.array(*[F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 9) for c in FEATURES])
+    scored = named.join(isolation_scores(named.select("series", "date", x.alias("x")), trees, seed, sample), ["series", "date"])
+    w = Window.partitionBy("series")
+    part = F.lit(contamination) if contamination is not None else F.least(F.lit(0.5), F.lit(15.0) / F.count("*").over(w))
+    # the quantile stands between two ranked scores
+    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy("score", "date")) - 1).withColumn("at", (F.count("*").over(w) - 1) * (1 - part))
+    score_at = lambda place: F.max(F.when(F.col("rank") == place, F.col("score"))).over(w)
+    lined = ranked.withColumn("below", score_at(F.floor("at"))).withColumn("above", score_at(F.ceil("at"))).withColumn("line", F.col("below") + (F.col("above") - F.col("below")) * (F.col("at") - F.floor("at")))
+    return lined.select(*cols.columns, "score", ((F.round("score", 9) > F.round("line", 9)) & F.coalesce(F.col("n") > F.col("baseline"), F.lit(False))).alias("is_anomaly"))
 
 
 def with_floor(scored: DataFrame, by: list[str], k: float) -> DataFrame:
@@ -61,7 +82,7 @@ def with_floor(scored: DataFrame, by: list[str], k: float) -> DataFrame:
     w = Window.partitionBy(*by)
     first = F.when(F.col("is_anomaly"), F.col("score"))
     floor = F.percentile(first, F.lit(0.75)).over(w) - F.lit(k) * F.stddev_pop(first).over(w)
-    return scored.withColumn("is_anomaly", F.col("is_anomaly") & (F.col("score") >= floor))
+    return scored.withColumn("is_anomaly", F.col("is_anomaly") & F.coalesce(F.round("score", 9) >= F.round(floor, 9), F.lit(False)))
 
 
 def prominences(values: list[float | None]) -> list[tuple[int, float]]:

@@ -263,8 +263,39 @@ def prominence_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dates(out.select("actor", "date", F.round("share", 6).alias("share"), F.round("prominence", 6).alias("prominence")))
 
 
-@query()
+def _forest(trees: int = 200, seed: int = 42, levels: int = 8) -> str:
+    """CTEs of the isolation forest over ``feats`` (actor, date, n, baseline, x), a level after another; ``scored`` is the last."""
+    hashed = lambda what: f"list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substring(md5('{seed}|' || actor || '|' || tree || '|' || node || '|{what}'), i, 1)) - 1) * 16 ** (8 - i))) / 4294967296.0"
+    c = "case when {0} > 2 then 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / cast({0} as double) when {0} = 2 then 1.0 else 0.0 end"
+    out = [
+        f"t as (select actor, date, x, tree, least(256, count(*) over (partition by actor, tree)) as size, row_number() over (partition by actor, tree order by md5('{seed}|' || actor || '|' || tree || '|' || strftime(date, '%Y-%m-%d')), date) as place from feats, unnest(range({trees})) u(tree))",
+        "l0 as (select actor, date, x, tree, size, place <= size as chosen, cast(ceil(log2(greatest(size, 2))) as int) as levels, cast(1 as bigint) as node, cast(null as double) as depth from t)",
+    ]
+    for k in range(levels + 1):
+        low, high = (", ".join(f"{f}(x[{i}]) filter (chosen) over w" for i in range(1, 5)) for f in ("min", "max"))
+        out += [
+            f"a{k} as (select *, count(*) filter (chosen) over w as m, [{low}] as low, [{high}] as high from l{k} window w as (partition by actor, tree, node))",
+            f"b{k} as (select *, list_filter([1, 2, 3, 4], lambda i: high[i] > low[i]) as wide from a{k})",
+            f"c{k} as (select * exclude (depth), coalesce(depth, case when m <= 1 or levels <= {k} or len(wide) = 0 then {k} + {c.format('m')} end) as depth, wide[cast(floor({hashed('feature')} * len(wide)) as int) + 1] as f, {hashed('cut')} as u from b{k})",
+            f"l{k + 1} as (select actor, date, x, tree, size, chosen, levels, case when depth is null then 2 * node + cast(x[f] >= low[f] + u * (high[f] - low[f]) as int) else node end as node, depth from c{k})",
+        ]
+    out.append(f"scores as (select actor, date, round(pow(2.0, -(avg(depth) / greatest({c.format('max(size)')}, 1e-9))), 9) as score from l{levels + 1} group by actor, date)")
+    out.append("ranked as (select f.*, score, row_number() over (partition by actor order by score, date) - 1 as r, (count(*) over (partition by actor) - 1) * (1 - 0.3) as spot from feats f join scores using (actor, date))")
+    out.append("lined as (select *, max(score) filter (r = floor(spot)) over w as below, max(score) filter (r = ceil(spot)) over w as above from ranked window w as (partition by actor))")
+    out.append("scored as (select actor, date, n, baseline, score, round(score, 9) > round(below + (above - below) * (spot - floor(spot)), 9) and coalesce(n > baseline, false) as is_anomaly from lined)")
+    return ", ".join(out)
+
+
+FILLED = "coalesce(first_value(raw_mean ignore nulls) over (partition by actor order by date rows between current row and unbounded following), last_value(raw_mean ignore nulls) over (partition by actor order by date rows between unbounded preceding and current row))"
+FOREST = f"{{ACT}}, {ROLL}, filled as (select *, {FILLED} as filled from based), feats as (select actor, date, n, baseline, [cast(n as double), coalesce(round(filled, 9), 0), round(rolling_std, 9), cast(dayofyear(date) as double)] as x from filled), {_forest()}"
+
+
+@query(f"with {FOREST} select actor, strftime(date, '%Y-%m-%d') as date, n, round(score, 6) as score, is_anomaly from scored")
 def isolation_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_dates(_scored(spark, sf_dir).select("actor", "date", "n", F.round("score", 6).alias("score"), "is_anomaly"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.isolation_anomalies(timeseries.rolling_features(activity(spark, sf_dir), ["actor"]), ["actor"])
 
 
@@ -704,6 +735,6 @@ def merged_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+@query(f"with {FOREST}, fl as (select *, quantile_cont(score, 0.75) filter (is_anomaly) over (partition by actor) - 1.5 * stddev_pop(score) filter (is_anomaly) over (partition by actor) as least from scored) select actor, strftime(date, '%Y-%m-%d') as date, round(score, 6) as score, is_anomaly and coalesce(round(score, 9) >= round(least, 9), false) as is_anomaly from fl")
 def isolation_with_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peaks.with_floor(isolation_peaks(spark, sf_dir), ["actor"], 1.5)
+    return text_dates(peaks.with_floor(_scored(spark, sf_dir), ["actor"], 1.5).select("actor", "date", F.round("score", 6).alias("score"), "is_anomaly"))

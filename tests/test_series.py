@@ -52,10 +52,17 @@ def test_prominence_of_flat_tops(spark):
     assert out == {4: 2.0, 7: 1.0, 9: 5.0}
 
 
-def test_isolation_flags_the_spike():
-    x = np.ones((80, 2)) + np.random.default_rng(1).normal(0, 0.05, (80, 2))
-    x[40] = 9
-    assert peaks.isolation_scores(x, 100, 7).argmax() == 40
+def test_isolation_scores_the_spike_highest(spark):
+    draw = np.random.default_rng(1)
+    rows = [(s, dt.date(2000, 1, 1) + dt.timedelta(days=k), [9.0 if k == 40 else float(v) for v in draw.normal(1, 0.05, 4)]) for s in ("a", "b") for k in range(80)]
+    rows += [("one", dt.date(2000, 1, 1), [1.0] * 4)] + [("flat", dt.date(2000, 1, k + 1), [2.0] * 4) for k in range(9)]
+    df = spark.createDataFrame(rows, "series string, date date, x array<double>").repartition(5)
+    out = {(r.series, r.date): r.score for r in peaks.isolation_scores(df, 60, 7).collect()}
+    for s in ("a", "b"):
+        assert max((v, d) for (t, d), v in out.items() if t == s)[1] == dt.date(2000, 2, 10)
+    assert {v for (s, _), v in out.items() if s == "flat"} == {0.5} and all(0 < v <= 1 for v in out.values()) and len(out) == len(rows)
+    assert {(r.series, r.date): r.score for r in peaks.isolation_scores(df.repartition(2), 60, 7).collect()} == out
+    assert {(r.series, r.date): r.score for r in peaks.isolation_scores(df, 60, 8).collect()} != out
 
 
 def test_isolation_on_series(spark):
