@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators.density import density_clusters
 from parlance.operators.intervals import inside_boxes
@@ -18,12 +18,53 @@ from parlance.operators.intervals import inside_boxes
 __all__ = ["density_clusters"]
 
 
+def hashed(word: str, size: int) -> tuple[int, int]:
+    """Place and sign of a word, by the digits of its MD5."""
+    digits = hashlib.md5(word.encode()).hexdigest()
+    return int(digits[:7], 16) % size, 1 if int(digits[7], 16) % 2 == 0 else -1
+
+
+#: Words whose places a task remembers.
+KNOWN = 1 << 20
+
+
+def _places(size: int):
+    known = lru_cache(KNOWN)(lambda w: hashed(w, size))
+    return lambda words: [known(w) for w in words if w is not None]
+
+
 def text_vectors(df: DataFrame, text_col: str = "chunk", size: int = 256) -> DataFrame:
-    """Normalised TF-IDF vectors of hashed words; another embedder can take this place."""
-    words = RegexTokenizer(inputCol=text_col, outputCol="__words", pattern=r"\W+").transform(df.fillna("", [text_col]))
-    tf = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=size).transform(words)
-    idf = IDF(inputCol="__tf", outputCol="__idf").fit(tf).transform(tf)
-    return Normalizer(inputCol="__idf", outputCol="vector").transform(idf).drop("__words", "__tf", "__idf").withColumn("embedding", vector_to_array("vector")).drop("vector")
+    """Rows with ``embedding``: signed counts of hashed words times the logarithm of their places' rarity, at length 1; another embedder can take this place.
+
+    Words share ``size`` places, so the number of texts that use a place is a table of fixed size, however many words there are. A
+    text without words (null too) has a vector of zeros.
+    """
+    worded = df.withColumn("__words", F.expr(f"regexp_extract_all(lower(coalesce({text_col}, '')), '[\\\\p{{L}}\\\\p{{N}}_]+', 0)"))
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, texts, held = _places(size), 0, np.zeros(size, np.int64)
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                held[list({b for b, _ in places(words)})] += 1
+            texts += batch.num_rows
+        yield pa.record_batch([pa.array([*range(size), size]), pa.array([*held.tolist(), texts])], names=["place", "texts"])
+
+    counts = {r["place"]: r["texts"] for r in worded.select("__words").mapInArrow(used, "place long, texts long").groupBy("place").agg(F.sum("texts").alias("texts")).collect()}  # size + 1 rows
+    rarity = np.log((counts.get(size, 0) + 1) / (np.array([counts.get(b, 0) for b in range(size)]) + 1))
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _places(size)
+        for batch in batches:
+            out = np.zeros((batch.num_rows, size))
+            for k, words in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for b, sign in places(words):
+                    out[k, b] += sign
+            out *= rarity
+            length = np.sqrt((out**2).sum(1, keepdims=True))
+            out /= np.where(length > 0, length, 1)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(list(out), pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "embedding"])
+
+    return worded.mapInArrow(embed, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 def norm(v: Column) -> Column:
@@ -37,11 +78,54 @@ def centroids(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     return out.withColumn("centroid", F.when(norm(F.col("centroid")) > 0, F.expr("transform(centroid, x -> x / __n)".replace("__n", "sqrt(aggregate(centroid, 0D, (a, y) -> a + y * y))"))).otherwise(F.col("centroid")))
 
 
+#: Steps of the orthogonal iteration.
+STEPS = 100
+
+
+def covariance(df: DataFrame, vector: str) -> np.ndarray:
+    """Of the positions of all vectors. Every task adds up products of its own rows; what is collected has a row for each position, whatever the number of vectors."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([np.append(np.asarray(v, np.float64), 1.0) for v in batch.column(0).to_pylist()])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.record_batch([pa.array(range(len(total))), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+
+    def added(group: pa.Table) -> pa.Table:
+        return pa.table({"i": group["i"][:1], "row": pa.array([np.sum(group["row"].to_pylist(), axis=0)], pa.list_(pa.float64()))})
+
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(products, "i long, row array<double>")
+    found = rows.groupBy("i").applyInArrow(added, "i long, row array<double>").orderBy("i").collect()
+    if not found:
+        return np.zeros((0, 0))
+    total = np.array([r["row"] for r in found])
+    n, mean = total[-1, -1], total[-1, :-1] / total[-1, -1]
+    return total[:-1, :-1] / n - np.outer(mean, mean)
+
+
+def components(matrix: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """The two leading directions of a symmetric matrix by orthogonal iteration from fixed vectors, so that their signs are fixed too."""
+    d = len(matrix)
+    a = 1.0 / np.arange(1, d + 1)
+    b = a * np.where(np.arange(d) % 2 == 0, 1.0, -1.0)
+    unit = lambda v: v / max(np.sqrt(v @ v), 1e-300)
+    for _ in range(steps):
+        a, b = unit(matrix @ a), matrix @ b
+        b = unit(b - (a @ b) * a)
+    return np.stack([a, b])
+
+
 def projected(chunks: DataFrame, others: DataFrame, vector: str = "embedding", other_vector: str = "centroid") -> tuple[DataFrame, DataFrame]:
-    """Two coordinates of chunks and, by the same model, of other vectors: principal components of the chunks."""
-    as_vector = lambda df, c: df.withColumn("__v", array_to_vector(F.col(c).cast("array<double>")))
-    model = PCA(k=2, inputCol="__v", outputCol="__xy").fit(as_vector(chunks, vector))
-    place = lambda df, c: model.transform(as_vector(df, c)).withColumn("__xy", vector_to_array("__xy")).withColumns({"umap_1": F.col("__xy")[0], "umap_2": F.col("__xy")[1]}).drop("__v", "__xy")
+    """Two coordinates of chunks and, by the same model, of other vectors: principal components of the chunks. Null vectors have none."""
+    directions = components(covariance(chunks, vector))
+
+    def place(df: DataFrame, c: str) -> DataFrame:
+        along = lambda d: F.aggregate(F.zip_with(F.col(c).cast("array<double>"), F.array(*[F.lit(float(x)) for x in d]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return df.withColumns({"umap_1": along(directions[0]), "umap_2": along(directions[1])})
+
     return place(chunks, vector), place(others, other_vector)
 
 

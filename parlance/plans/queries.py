@@ -447,17 +447,33 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.density_clusters(table(spark, sf_dir, "embeddings"), "vec_id", epsilon=0.9)
 
 
-@query()
+@query(
+    """with recursive e as (select vec_id, cast(label as varchar) as actor, cast(embedding as double[]) as v from embeddings), u as (select vec_id, unnest(v) as x, unnest(range(len(v))) as i from e),
+    m as (select i, avg(x) as mean from u group by i), g as (select p.i, q.i as j, avg(p.x * q.x) as s from u p join u q using (vec_id) group by p.i, q.i),
+    rows as (select g.i, list(s - a.mean * b.mean order by j) as r from g join m a on a.i = g.i join m b on b.i = g.j group by g.i), mat as (select list(r order by i) as a, count(*) as d from rows),
+    it as (select 0 as k, list_transform(range(d), lambda i: cast(1.0 as double) / (i + 1)) as v, list_transform(range(d), lambda i: cast(case when i % 2 = 0 then 1.0 else -1.0 end as double) / (i + 1)) as w from mat
+      union all select k + 1, v, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) from (select k, v, list_transform(list_zip(w, v), lambda z: z[1] - list_dot_product(v, w) * z[2]) as w
+        from (select k, list_transform(y, lambda x: x / sqrt(list_dot_product(y, y))) as v, w from (select k, list_transform(mat.a, lambda r: list_dot_product(r, v)) as y, list_transform(mat.a, lambda r: list_dot_product(r, w)) as w from it, mat where k < 100)))),
+    d as (select v, w from it where k = 100), c as (select actor, list(x order by i) as v from (select actor, i, avg(x) as x from e join u using (vec_id) group by actor, i) group by actor), n as (select actor, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from c)
+    select 'chunk' as kind, vec_id, actor, round(list_dot_product(e.v, d.v), 4) as umap_1, round(list_dot_product(e.v, d.w), 4) as umap_2 from e, d union all select 'actor', null, actor, round(list_dot_product(n.v, d.v), 4), round(list_dot_product(n.v, d.w), 4) from n, d"""
+)
 def pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and, by the same model, the centroids of their actors."""
     rows = table(spark, sf_dir, "embeddings").withColumn("actor", F.col("label").cast("string"))
     chunks_, actors = vectors.projected(rows, vectors.centroids(rows, "actor"))
-    return vectors.map_export(chunks_, actors, ["vec_id"])
+    return vectors.map_export(chunks_, actors, ["vec_id"]).withColumns({c: F.round(c, 4) for c in ("umap_1", "umap_2")})
 
 
-@query()
+@query(
+    """with w as (select doc_id, md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))) as h from documents),
+    t as (select doc_id, cast(list_sum(list_transform(range(1, 8), lambda i: (instr('0123456789abcdef', substring(h, i, 1)) - 1) * 16 ** (7 - i))) as bigint) % 64 as place, sum(case when (instr('0123456789abcdef', substring(h, 8, 1)) - 1) % 2 = 0 then 1 else -1 end) as n from w group by all),
+    r as (select place, ln(((select count(*) from documents) + 1) / (count(*) + 1)) as rarity from t group by place), x as (select doc_id, place, n * rarity as v from t join r using (place))
+    select doc_id, place, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) + 0.0 as value from x where v <> 0"""
+)
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.text_vectors(docs(spark, sf_dir).select("doc_id", "text"), "text", 64)
+    """The places of each text's vector that are not zero."""
+    out = vectors.text_vectors(docs(spark, sf_dir).select("doc_id", "text"), "text", 64)
+    return out.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0").select("doc_id", F.col("place").cast("long").alias("place"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query(
