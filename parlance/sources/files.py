@@ -24,9 +24,27 @@ def count_valid(spark: SparkSession, path: str) -> int:
 
 
 def read_chat(spark: SparkSession, posts: str, replies: str | None, post_schema: T.StructType | str, reply_schema: T.StructType | str) -> tuple[DataFrame, DataFrame | None]:
-    """Posts and, if there are any, replies from files separated by semicolons; lines that don't parse go."""
-    read = lambda path, schema: spark.read.schema(schema).csv(path, sep=";", header=True, multiLine=True, mode="DROPMALFORMED", escape='"')
-    return read(posts, post_schema), read(replies, reply_schema) if replies else None
+    """Posts and replies from files separated by semicolons; no replies if their file isn't named or isn't there.
+
+    Lines with more fields than the header are bad and go, fields that a shorter line lacks are null, and so are empty ones. Quoted
+    fields may hold semicolons, doubled quotes and line breaks.
+    """
+
+    def read(path: str, schema: T.StructType | str) -> DataFrame:
+        named = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        whole = T.StructType([*named.fields, T.StructField("__odd", T.StringType())])
+        rows = spark.read.schema(whole).csv(path, sep=";", header=True, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__odd", escape='"', emptyValue="")
+        fields = F.regexp_count(F.regexp_replace("__odd", r'"(?:[^"]|"")*"', ""), F.lit(";")) + 1
+        blank = lambda f: F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if f.dataType == T.StringType() else F.col(f"`{f.name}`")
+        return rows.filter(F.col("__odd").isNull() | (fields <= len(named.fields))).select(*map(blank, named.fields))
+
+    return read(posts, post_schema), read(replies, reply_schema) if replies and there(spark, replies) else None
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or any that its pattern names, exists."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(place))
 
 
 def platform_of(path: Column) -> Column:
@@ -133,6 +151,19 @@ def write(df: DataFrame, path: str, kind: str = "json", by: list[str] = (), repl
     (writer.partitionBy(*by) if by else writer).format(kind).save(path)
 
 
+def write_objects(df: DataFrame, path: str, by: list[str], value: str, replace: bool = True) -> None:
+    """One file for each group of ``by``, which holds its JSON object ``value``."""
+    rows = df.select(*by, F.col(value).alias("value")).repartition(*by)
+    rows.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path)
+
+
+def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects that ``write_objects`` wrote, as rows ``key, value`` beside their groups."""
+    rows = spark.read.text(path, wholetext=True)
+    groups = [c for c in rows.columns if c != "value"]
+    return rows.select(*groups, F.explode(F.from_json("value", f"map<string,{schema}>")).alias("key", "value"))
+
+
 def dump_by_month(df: DataFrame, path: str, actor: str, date: str, text: str) -> None:
     """Texts under actor, year and month, without a date under ``no_date``; names made safe for folders."""
     safe = F.regexp_replace(F.coalesce(F.col(actor), F.lit("unknown")), r"[^\p{L}\p{N}_-]+", "_")
