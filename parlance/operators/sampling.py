@@ -28,9 +28,10 @@ def simple(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
 
 
 def excerpt(text: Column, title: Column | None = None, length: int = 300) -> Column:
-    """The start of a text, without its title in front, white space made even; null as an empty string."""
-    body = F.coalesce(text, F.lit(""))
+    """The start of a text, white space made even; null as an empty string. A title in front goes, with the colons, dashes, spaces and line breaks behind it."""
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    body = clean(text)
     if title is not None:
-        body = F.when(title.isNotNull() & body.startswith(title), F.substring(body, F.length(title) + 1, F.length(body))).otherwise(body)
-    body = F.regexp_replace(body, r"^[\n :\-]+", "")
-    return F.substring(F.trim(F.regexp_replace(body, r"\s+", " ")), 1, length)
+        head = clean(title)
+        body = F.when((head != "") & body.startswith(head), F.regexp_replace(F.substring(body, F.length(head) + 1, F.length(body)), r"^[\n :\-]+", "")).otherwise(body)
+    return F.substring(F.trim(F.regexp_replace(body, r"(?U)\s+", " ")), 1, length)

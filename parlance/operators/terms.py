@@ -52,31 +52,21 @@ def bigrams(tokenised: DataFrame, sentence: list[str], by: list[str], stop_words
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str = "text", most: int = 8000, least: int = 200) -> DataFrame:
-    """Pieces of at most ``most`` characters, cut at the last line break, else the last space, that is far enough in."""
-
-    def cut(batches):
-        for pdf in batches:
-            rows = []
-            for id_, text in zip(pdf[id_col], pdf[text_col], strict=True):
-                text, at, k = text or "", 0, 0
-                while at < len(text):
-                    end = len(text)
-                    if end - at > most:
-                        cuts = text.rfind("\n", at, at + most) - at, text.rfind(" ", at, at + most) - at
-                        end = at + next((c for c in cuts if c > least), most)
-                    piece = text[at:end].strip()
-                    if piece:
-                        k += 1
-                        rows.append((id_, k, piece))
-                    at = end
-                    while at < len(text) and text[at].isspace():  # the next piece begins with a word
-                        at += 1
-            import pandas as pd
-
-            yield pd.DataFrame(rows, columns=[id_col, "piece_id", "piece"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, piece_id long, piece string")
+    """``piece_id, piece``: a trimmed text in pieces of at most ``most`` characters, each trimmed, blank ones left out.
+
+    A piece ends at its last line break, or at its last space if it has no line break at all; where that is not more than
+    ``least`` characters in, and where there is none, it is cut hard.
+    """
+    clean = lambda c: f"regexp_replace({c}, '(?U)^\\\\s+|\\\\s+$', '')"
+    window = f"substring(__whole, a.at + 1, {most})"
+    back = lambda mark: f"locate({mark}, reverse({window}))"
+    place = f"case when {back(repr(chr(10)))} > 0 then {most} - {back(repr(chr(10)))} else {most} - {back(repr(' '))} end"
+    found = f"contains({window}, ' ') or contains({window}, {chr(39)}\\n{chr(39)})"
+    step = f"case when a.at + {most} >= n then n when ({found}) and {place} > {least} then a.at + {place} else a.at + {most} end"
+    ends = f"aggregate(sequence(1, n div {least + 1} + 1), named_struct('at', 0, 'ends', cast(array() as array<int>)), (a, k) -> case when a.at >= n then a else named_struct('at', {step}, 'ends', concat(a.ends, array({step}))) end, a -> a.ends)"
+    rows = df.select(id_col, F.expr(clean(f"coalesce({text_col}, '')")).alias("__whole")).withColumn("n", F.length("__whole")).withColumn("ends", F.expr(ends))
+    cut = f"filter(transform(ends, (e, i) -> {clean('substring(__whole, if(i = 0, 0, get(ends, i - 1)) + 1, e - if(i = 0, 0, get(ends, i - 1)))')}), x -> x <> '')"
+    return rows.select(id_col, F.posexplode(F.expr(cut)).alias("k", "piece")).select(id_col, (F.col("k") + 1).cast("long").alias("piece_id"), "piece")
 
 
 def peak_texts(indexed: DataFrame, texts: DataFrame, peaks: DataFrame, id_col: str, date: str, lang: str, english: str = "en") -> DataFrame:

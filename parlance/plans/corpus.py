@@ -342,10 +342,13 @@ def actors_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 # samples and terms
 
 
-@query(f"select doc_id, substring(trim(regexp_replace(case when {LINE} <> '' and starts_with(text, {LINE}) then regexp_replace(substring(text, length({LINE}) + 1), '^[\\n :\\-]+', '') else regexp_replace(text, '^[\\n :\\-]+', '') end, '\\s+', ' ', 'g'), ' '), 1, 300) as excerpt from documents")
+@query(
+    f"""with r as (select doc_id, {CLEAN.format("coalesce(text, '')")} as body, {CLEAN.format(LINE)} as head from documents)
+    select doc_id, substring(trim(regexp_replace(case when head <> '' and starts_with(body, head) then regexp_replace(substring(body, length(head) + 1), '^[\\n :\\-]+', '') else body end, '\\s+', ' ', 'g'), ' '), 1, 300) as excerpt from r"""
+)
 def titled_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reduced = docs(spark, sf_dir).select("doc_id", first_line().alias("title"), "text")
-    return docs(spark, sf_dir).select("doc_id").join(reduced, "doc_id").select("doc_id", sampling.excerpt(F.col("text"), F.nullif("title", F.lit(""))).alias("excerpt"))
+    return docs(spark, sf_dir).select("doc_id").join(reduced, "doc_id").select("doc_id", sampling.excerpt(F.col("text"), F.col("title")).alias("excerpt"))
 
 
 @query(PIECES.replace("{MOST}", "900"))

@@ -347,7 +347,7 @@ def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.simple(docs(spark, sf_dir).select("doc_id"), 50, "doc_id")
 
 
-@query("select doc_id, substring(trim(regexp_replace(regexp_replace(coalesce(text, ''), '^[\\n :\\-]+', ''), '\\s+', ' ', 'g')), 1, 300) as excerpt from documents")
+@query("select doc_id, substring(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 300) as excerpt from documents")
 def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", sampling.excerpt(F.col("text")).alias("excerpt"))
 
@@ -371,9 +371,10 @@ def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.bigrams(tokenised(spark, sf_dir), ["doc_id"], ["lang"], STOP_WORDS)
 
 
-PIECES = """with recursive p as (select doc_id, 0 as k, '' as piece, text as rest from documents where text <> ''
-    union all select doc_id, k + cast(regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g') <> '' as int), regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g'), regexp_replace(substring(rest, e + 1), '^\\s+', '') from (select *, case when length(rest) <= {MOST} then length(rest)
-      when {MOST} - instr(reverse(left(rest, {MOST})), chr(10)) > 200 and contains(left(rest, {MOST}), chr(10)) then {MOST} - instr(reverse(left(rest, {MOST})), chr(10)) when {MOST} - instr(reverse(left(rest, {MOST})), ' ') > 200 and contains(left(rest, {MOST}), ' ') then {MOST} - instr(reverse(left(rest, {MOST})), ' ') else {MOST} end as e from p where rest <> ''))
+PIECES = """with recursive p as (select doc_id, 0 as k, '' as piece, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as rest from documents
+    union all select doc_id, k + cast(regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g') <> '' as int), regexp_replace(left(rest, e), '^\\s+|\\s+$', '', 'g'), substring(rest, e + 1) from (select *, case when length(rest) <= {MOST} then length(rest)
+      when contains(left(rest, {MOST}), chr(10)) then case when {MOST} - instr(reverse(left(rest, {MOST})), chr(10)) > 200 then {MOST} - instr(reverse(left(rest, {MOST})), chr(10)) else {MOST} end
+      when contains(left(rest, {MOST}), ' ') and {MOST} - instr(reverse(left(rest, {MOST})), ' ') > 200 then {MOST} - instr(reverse(left(rest, {MOST})), ' ') else {MOST} end as e from p where rest <> ''))
     select doc_id, cast(k as bigint) as piece_id, piece from p where piece <> ''"""
 
 

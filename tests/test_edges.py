@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from parlance.functions.dates import parsed_date, writes_day_first
-from parlance.operators import chunks, keywords, profiling, standardize, terms
+from parlance.operators import chunks, keywords, profiling, sampling, standardize, terms
 from parlance.sources import files
 
 
@@ -107,6 +108,40 @@ def test_pieces_of_a_long_text(spark):
     assert "".join(r.piece for r in out if r.id == 1).replace(" ", "").replace("\n", "") == "word" * 200_000 and [len(r.piece) for r in out if r.id == 2] == [8000, 8000, 4001]
 
 
+def cut(text, most, least):
+    text, start, out = (text or "").strip(), 0, []
+    while start < len(text):
+        end = min(start + most, len(text))
+        if end < len(text):
+            place = text.rfind("\n", start, end)
+            if place == -1:
+                place = text.rfind(" ", start, end)
+            if place > start + least:
+                end = place
+        if text[start:end].strip():
+            out.append(text[start:end].strip())
+        start = end
+    return out
+
+
+def test_pieces_of_all_kinds(spark):
+    draw = random.Random(1)
+    rows = [(k, "".join(draw.choice(["word", " ", " ", "\n" if k % 3 else " ", "x" * draw.randrange(40)]) for _ in range(draw.randrange(300)))) for k in range(60)]
+    rows += [(100, None), (101, "   "), (102, "a" * 100), (103, "\n" + "b" * 250), (104, ("c" * 19 + "\n") + "d " * 200), (105, " é漢" * 300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for most, least in ((100, 20), (50, 0), (37, 36)):
+        found = {}
+        for r in terms.pieces(df, "id", most=most, least=least).orderBy("id", "piece_id").collect():
+            found.setdefault(r.id, []).append((r.piece_id, r.piece))
+        assert found == {k: list(enumerate(cut(t, most, least), 1)) for k, t in rows if cut(t, most, least)}
+
+
+def test_excerpts(spark):
+    rows = [(": - text", None), ("Title: - the  text", " Title "), ("Title only", "Title only"), (" - x", ""), (None, "t"), ("other", "Title"), ("a" * 400, "b")]
+    df = spark.createDataFrame(rows, "text string, title string")
+    assert [r.x for r in df.select(sampling.excerpt(F.col("text"), F.col("title")).alias("x")).collect()] == [": - text", "the text", "", "- x", "", "other", "a" * 300]
+
+
 def test_profiles_can_be_lazy_together(spark):
     one = profiling.json_types(spark.createDataFrame([('{"a": 1}',)], "j string"), "j")
     two = profiling.json_types(spark.createDataFrame([('{"b": "x"}',), ("[1]",), (None,)], "j string"), "j")
