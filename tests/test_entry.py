@@ -32,7 +32,7 @@ def test_registered_names():
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found) and set(plans.QUERIES) <= set(found)
     if importlib.util.find_spec("parlance.llm"):
-        assert {k.split("_")[0] for k in found if k.startswith("op")} >= {f"op{n}" for n in range(1, 11)} and "pipeline" in found
+        assert {k.split("_")[0] for k in found if k.startswith("op")} >= {f"op{n}" for n in range(1, 14)} and "pipeline" in found
 
 
 def plain(value):
