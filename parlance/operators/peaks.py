@@ -14,12 +14,6 @@ from parlance.sources.shared import written
 FEATURES, SAMPLE = ("n", "rolling_mean", "rolling_std", "day_of_year"), 256
 
 
-def drawn(*parts: Column | str) -> Column:
-    """A number from 0 to below 1 by the hash of its parts, the same in every engine."""
-    text = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
 def path_length(m: Column) -> Column:
     """Mean length of a failed search among ``m`` values: what a leaf of so many rows adds to its depth."""
     m = m.cast("double")
@@ -40,20 +34,17 @@ def isolation_scores(rows: DataFrame, trees: int = 200, seed: int = 42, sample:
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "series", F.col("tree").cast("string"), F.col("date").cast("string")))
     grown = grown.withColumn("size", F.least(F.lit(sample), F.count("*").over(of_tree))).withColumn("chosen", F.row_number().over(of_tree.orderBy(order, "date")) <= F.col("size"))
     grown = grown.withColumn("levels", F.length(F.bin(F.greatest(F.col("size"), F.lit(2)) - 1))).withColumn("node", F.lit(1).cast("long")).withColumn("depth", F.lit(None).cast("double"))
-    in_node = Window.partitionBy("series", "tree", "node")
     features = range(len(FEATURES))
+    inside = lambda f, k: f"{f}(if(chosen, x[{k}], null)) over (partition by series, tree, node)"
+    hashed = lambda what: f"cast(conv(substring(md5(concat_ws('|', '{seed}', series, tree, node, '{what}')), 1, 8), 16, 10) as double) / 4294967296D"
+    lows, highs = (f"array({', '.join(inside(f, k) for k in features)})" for f in ("min", "max"))
+    leaf = "case when m > 2 then 2 * (ln(m - 1D) + 0.5772156649015329D) - 2 * (m - 1D) / m when m = 2 then 1D else 0D end"  # as path_length
     for level in range((sample - 1).bit_length() + 1):
-        inside = lambda k: F.when(F.col("chosen"), F.col("x")[k])
-        bounds = {f"{name}{k}": f(inside(k)).over(in_node) for name, f in (("low", F.min), ("high", F.max)) for k in features}
-        grown = grown.withColumns({"m": F.count(F.when(F.col("chosen"), 1)).over(in_node), **bounds})
-        grown = grown.withColumns({name: F.array(*[f"{name}{k}" for k in features]) for name in ("low", "high")})
-        grown = grown.withColumn("wide", F.filter(F.array(*map(F.lit, features)), lambda k: F.col("high")[k] > F.col("low")[k]))
-        ends = (F.col("m") <= 1) | (F.col("levels") <= level) | (F.size("wide") == 0)
-        grown = grown.withColumn("depth", F.coalesce("depth", F.when(ends, F.lit(float(level)) + path_length(F.col("m")))))
-        own = (F.lit(str(seed)), F.col("series"), F.col("tree"), F.col("node"))
-        grown = grown.withColumn("by", F.get("wide", F.floor(drawn(*own, "feature") * F.size("wide")).cast("int"))).withColumn("cut", F.get("low", F.col("by")) + drawn(*own, "cut") * (F.get("high", F.col("by")) - F.get("low", F.col("by"))))
-        grown = grown.withColumn("node", F.when(F.col("depth").isNull(), 2 * F.col("node") + (F.get("x", F.col("by")) >= F.col("cut")).cast("int")).otherwise(F.col("node")))
-        grown = grown.select("series", "date", "x", "tree", "size", "chosen", "levels", "node", "depth")
+        grown = grown.selectExpr("*", "count(if(chosen, 1, null)) over (partition by series, tree, node) as m", f"{lows} as low", f"{highs} as high")
+        grown = grown.selectExpr(
+            "series", "date", "x", "tree", "size", "chosen", "levels", f"filter(array({', '.join(map(str, features))}), k -> high[k] > low[k]) as wide", f"coalesce(depth, case when m <= 1 or levels <= {level} or size(wide) = 0 then {level}D + {leaf} end) as now",
+            f"get(wide, cast(floor({hashed('feature')} * size(wide)) as int)) as by", f"get(low, by) + {hashed('cut')} * (get(high, by) - get(low, by)) as cut", "if(now is null, 2 * node + cast(get(x, by) >= cut as int), node) as node", "now as depth",
+        ).drop("wide", "now", "by", "cut")
     mean = F.avg("depth") / F.greatest(path_length(F.max("size")), F.lit(1e-9))
     return grown.groupBy("series", "date").agg(F.round(F.pow(F.lit(2.0), -mean), 9).alias("score"))
 
