@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.columns import FALSE_AUTHORS, as_list, existing, filled_list, meaningful, null_words
 from parlance.functions.dates import relative_date, video_date
-from parlance.sources.shared import dropped, written
+from parlance.sources.shared import counted, dropped, written
 
 WEB_COLUMNS = ["scrape_date", "source", "article_link", "article_title", "publication_date", "author", "article_text", "article_categories", "links_in_text", "embedded_media_links", "image_links", "other_items"]
 VIDEO_COLUMNS = ["scrape_date", "video_title", "source", "publication_date", "video_link", "video_id", "video_text"]
@@ -120,12 +120,13 @@ def preorder(parents: DataFrame, nodes: DataFrame, g: list[str]) -> DataFrame:
     down_arc = F.struct(up(False).alias("up"), F.coalesce("first", node).alias("to"), F.col("first").isNull().alias("to_up"), F.lit(1).cast("long").alias("left"), F.lit(None).cast("long").alias("root"))
     over = F.coalesce("next", "parent_id")
     up_arc = F.struct(up(True).alias("up"), over.alias("to"), F.when(over.isNotNull(), F.col("next").isNull()).alias("to_up"), F.lit(0).cast("long").alias("left"), F.when(over.isNull(), node).alias("root"))
-    arcs = written(tour.select(*g, "message_id", F.explode(F.array(down_arc, up_arc)).alias("arc")).select(*g, "message_id", "arc.*"), "arcs")
-    while arcs.filter(F.col("to").isNotNull()).limit(1).count():
+    arcs, going = counted(tour.select(*g, "message_id", F.explode(F.array(down_arc, up_arc)).alias("arc")).select(*g, "message_id", "arc.*"), F.col("to").isNotNull(), "arcs")
+    while going:
         target = arcs.select(*g, F.col("message_id").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("far"), F.col("to_up").alias("far_up"), F.col("left").alias("more"), F.col("root").alias("top"))
         jumped = arcs.filter(F.col("to").isNotNull()).join(target, [*g, "to", "to_up"])
         jumped = jumped.select(*g, "message_id", "up", F.col("far").alias("to"), F.col("far_up").alias("to_up"), (F.col("left") + F.col("more")).alias("left"), F.col("top").alias("root"))
-        used, arcs = arcs, written(arcs.filter(F.col("to").isNull()).unionByName(jumped), "arcs")
+        used = arcs
+        arcs, going = counted(arcs.filter(F.col("to").isNull()).unionByName(jumped), F.col("to").isNotNull(), "arcs")
         dropped(used)
     return arcs.filter(~F.col("up")).select(*g, "message_id", "root", "left")
 

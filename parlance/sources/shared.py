@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -29,6 +30,13 @@ def written(df: DataFrame, name: str = "round") -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, which: Column, name: str = "round") -> tuple[DataFrame, int]:
+    """``written``, and how many of its rows fulfil a condition, counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.when(which, 1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that nothing reads any more."""
     for df in tables:
