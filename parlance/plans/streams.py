@@ -33,7 +33,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for part in (k % 2 == 0, (k % 2 == 1) | (k % 20 == 0)):
         raw.filter(part).drop("doc_id").write.mode("append").json(f"{place}/landing")
-        ingest.ingest_once(spark, f"{place}/landing", schema, corpus, f"{place}/corpus", f"{place}/checkpoint").awaitTermination()
+        ingest.ingest_once(spark, f"{place}/landing", schema, corpus, f"{place}/corpus", f"{place}/checkpoint", parts=spark.sparkContext.defaultParallelism).awaitTermination()
     out = Ledger(spark, f"{place}/corpus").read("entry_ID string, sentence_id long, matched_keywords string, matched_words string")
     return out.select(F.substring("entry_ID", 2, 20).cast("long").alias("doc_id"), "sentence_id", "matched_keywords", "matched_words")
 
@@ -54,5 +54,5 @@ def stream_period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (~second, second):
         events.filter(part).write.mode("append").parquet(f"{place}/landing")
         rows = spark.readStream.schema(events.schema).parquet(f"{place}/landing")
-        periods.follow(rows, "ts", "event_type", f"{place}/counts", f"{place}/checkpoint").awaitTermination()
+        periods.follow(rows, "ts", "event_type", f"{place}/counts", f"{place}/checkpoint", parts=spark.sparkContext.defaultParallelism).awaitTermination()
     return periods.counts(spark, f"{place}/counts").withColumn("start", F.date_format("start", "yyyy-MM-dd"))

@@ -9,10 +9,26 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str | int | None) -> Iterator[None]:
+    """Settings (``.`` as ``__``, null: as they are) while a stream starts: it keeps those with which it does."""
+    names = {k.replace("__", "."): v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, target: str):
         self.spark, self.target = spark, target.rstrip("/")

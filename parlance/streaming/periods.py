@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from parlance.streaming.ledger import Ledger
+from parlance.streaming.ledger import Ledger, settings
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTS = "actor string, start timestamp, n long, revision int, kind string"
@@ -80,18 +80,13 @@ def changes(rows: DataFrame, time: str, actor: str, unit: str = "DAY", late_days
     return found.select("actor", F.timestamp_micros("start_us").alias("start"), "n", "revision", "kind")
 
 
-def follow(rows: DataFrame, time: str, actor: str, target: str, checkpoint: str, unit: str = "DAY", late_days: int = 7) -> StreamingQuery:
-    """Count what has landed and end; started again, go on from there. Changes are written once each."""
+def follow(rows: DataFrame, time: str, actor: str, target: str, checkpoint: str, unit: str = "DAY", late_days: int = 7, parts: int | None = None) -> StreamingQuery:
+    """Count what has landed and end; started again, go on from there. Changes are written once each. ``parts`` of state are fixed by the first start (null: as the session shuffles)."""
     spark = rows.sparkSession
     ledger = Ledger(spark, target)
-    name, before = "spark.sql.streaming.stateStore.providerClass", None
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)  # map state needs it; the query keeps the setting with which it starts
-    try:
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS, spark__sql__shuffle__partitions=parts):  # map state needs that store
         writer = changes(rows, time, actor, unit, late_days).writeStream.outputMode("update").foreachBatch(lambda batch, k: ledger.write(batch, k))
         return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def counts(spark: SparkSession, target: str) -> DataFrame:
