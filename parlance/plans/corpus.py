@@ -395,16 +395,18 @@ def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with {DOCS}, {SENT}, {MATCH}, m as (select *, cast(len(ks) > 0 as int) as hit, max(sentence_id) over (partition by doc_id) as last from matched), a as (select doc_id, sentence_id as anc, source, day, last from m where hit = 1),
     cand as (select a.*, r, a.anc + case when r = 0 then 0 when r % 2 = 1 then (r + 1) // 2 else -(r // 2) end as i from a, unnest(range(0, 2 * a.last + 1)) u(r)),
-    j as (select c.*, m.sentence_id, m.hit, m.ks, coalesce(sum(length(m.sentence)) over (partition by c.doc_id, c.anc order by c.r rows between unbounded preceding and 1 preceding), 0) as before from cand c join m on m.doc_id = c.doc_id and m.sentence_id = c.i),
+    j as (select c.*, m.sentence_id, m.hit, m.ks, m.ws, coalesce(sum(length(m.sentence)) over (partition by c.doc_id, c.anc order by c.r rows between unbounded preceding and 1 preceding), 0) as before from cand c join m on m.doc_id = c.doc_id and m.sentence_id = c.i),
     g as (select doc_id, anc, any_value(source) as source, any_value(day) as day, list(sentence_id order by sentence_id) filter (hit = 1) as members from j where before < 250 group by doc_id, anc),
     o as (select * from g qualify row_number() over (partition by doc_id, members order by anc) = 1),
     w as (select doc_id, anc, kw, min(sentence_id * 10 + p) as f from (select j.doc_id, j.anc, j.sentence_id, unnest(ks) as kw, unnest(range(len(ks))) as p from j where before < 250 and hit = 1) group by all),
-    k as (select doc_id, anc, string_agg(kw, ', ' order by f) as kws from w group by all)
-    select doc_id, cast(row_number() over (partition by doc_id order by anc) as int) as chunk_id, source, strftime(day, '%Y-%m-%d') as day, kws as matched_keywords from o join k using (doc_id, anc)"""
+    k as (select doc_id, anc, string_agg(kw, ', ' order by f) as kws from w group by all),
+    v as (select doc_id, anc, wd, min(sentence_id * 10000 + p) as f from (select j.doc_id, j.anc, j.sentence_id, unnest(string_split(ws, ',')) as wd, unnest(range(len(string_split(ws, ',')))) as p from j where before < 250 and hit = 1) group by all),
+    u as (select doc_id, anc, string_agg(wd, ', ' order by f) as wds from v group by all)
+    select doc_id, cast(row_number() over (partition by doc_id order by anc) as int) as chunk_id, source, strftime(day, '%Y-%m-%d') as day, kws as matched_keywords, wds as matched_words from o join k using (doc_id, anc) join u using (doc_id, anc)"""
 )
 def chunk_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.context_chunks(matched(spark, sf_dir), "doc_id", carry=["source", "day"])
-    return text_dates(out.select("doc_id", "chunk_id", "source", "day", "matched_keywords"))
+    return text_dates(out.select("doc_id", "chunk_id", "source", "day", "matched_keywords", "matched_words"))
 
 
 @query("with {DOCS} select vec_id from embeddings join docs on vec_id = doc_id where day between date '2015-06-01' and date '2016-12-31'")
