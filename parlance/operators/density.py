@@ -2,16 +2,18 @@
 
 Equal vectors are one point with a weight. A grid whose cells are no wider than ``epsilon`` across tells dense cells: all points
 of one that holds ``min_samples`` are core and in one cluster, whatever stands around them, and nobody counts their neighbours.
-Other points count theirs block by block. Clusters are joined group by group, where a group is a dense cell or a single core
-point: two groups whose first points are near are linked at once, and only undecided ones look at more points, until the first
-near pair. A pair of blocks hands on no more links than it has groups.
+Other points count theirs block by block: a matrix product in single precision tells pairs that are surely nearer or farther than
+``epsilon``, the few between are measured. A block holds whole cells of near points as far as it can, and a pair of blocks meets only
+if a point of one may have neighbours in the other. Clusters are joined group by group, where a group is a dense cell or a single core
+point: two groups whose first points are near are linked at once, and only points of groups that are still apart are compared.
+A pair of blocks hands on no more links than it has groups.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,17 @@ from pyspark.sql import functions as F
 
 from parlance.sources.shared import dropped, written
 
-#: Most pivots that split the space, and rows of a block of points that are compared with another.
-PIVOTS, BLOCK_ROWS = 256, 1000
+#: Most pivots that split the space, and rows and numbers of a block of points that is compared with another.
+PIVOTS, BLOCK_ROWS, BLOCK_VALUES = 256, 1 << 15, 1 << 21
+#: Blocks that there are at least if each has ``LEAST_ROWS`` rows, so that a few cores have work.
+LEAST_BLOCKS, LEAST_ROWS = 8, 1000
+#: Rows and columns of a matrix of pairs that is looked at at once, and pairs that are measured at once.
+TILE_ROWS, TILE_COLUMNS, MEASURED = 1024, 4096, 1 << 15
 
 
 def rows_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()])
+    flat = (vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors).flatten()
+    return np.asarray(flat, np.float64).reshape(len(vectors), len(flat) // max(1, len(vectors)))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -37,6 +44,37 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def near(x: np.ndarray, y: np.ndarray, epsilon: float, skip: Callable[[slice, slice], bool] | None = None) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Slices of ``x`` and ``y`` with the matrix of their pairs that are ``epsilon`` apart at most, where there may be any; those that ``skip`` names are not looked at.
+
+    A product of rows (-2x, x.x, 1) and (y, 1, y.y), taken from one middle and in units of epsilon, is the squared distance up to a known error.
+    """
+    if not len(x) or not len(y):
+        return
+    with np.errstate(all="ignore"):  # what overflows is not a number and is measured
+        middle, unit, slack = x.mean(0), epsilon if epsilon > 0 else 1.0, (x.shape[1] + 16) * 2.0**-22
+        u, v = (x - middle) / unit, (y - middle) / unit
+        p, q = (u * u).sum(1), (v * v).sum(1)
+        a = np.concatenate((-2 * u, (1 - slack) * p[:, None], np.ones((len(u), 1))), 1).astype(np.float32)
+        b = np.concatenate((v, np.ones((len(v), 1)), (1 - slack) * q[:, None]), 1).astype(np.float32)
+        most = np.float32(1 if epsilon > 0 else 0)
+        for lo in range(0, len(x), TILE_ROWS):
+            for to in range(0, len(y), TILE_COLUMNS):
+                i, j = slice(lo, min(lo + TILE_ROWS, len(x))), slice(to, min(to + TILE_COLUMNS, len(y)))
+                if skip is not None and skip(i, j):
+                    continue
+                least = a[i] @ b[j].T
+                far = least > most
+                if far.all():
+                    continue
+                found = least <= most - 2 * slack * (p[i].max() + q[j].max())
+                m, n = np.nonzero(~(far | found))
+                for k in range(0, len(m), MEASURED):
+                    r, c = m[k : k + MEASURED], n[k : k + MEASURED]
+                    found[r, c] = np.sqrt(((x[lo + r] - y[to + c]) ** 2).sum(1)) <= epsilon
+                yield i, j, found
+
+
 def _keyed(points: DataFrame, epsilon: float) -> DataFrame:
     """``id, v, key, grid``: a digest of the vector and of its cell of the grid, null where a number is not finite."""
 
@@ -61,41 +99,51 @@ class _Space:
         chosen = points.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, math.isqrt(n)))).select("v").collect()  # PIVOTS rows at most
         self.pivots = np.array([r["v"] for r in chosen], np.float64)
         far = self._mapped(points, lambda apart: [pa.array(apart.argmin(1)), pa.array(apart.min(1))], "cell long, far double")
-        self.reach = np.full(len(self.pivots), -1.0)
-        for r in far.groupBy("cell").agg(F.max("far").alias("radius")).collect():  # one row for each pivot
-            self.reach[r["cell"]] = r["radius"] + epsilon * (1 + 1e-9) + 1e-12
+        self.reach, held = np.full(len(self.pivots), -1.0), np.zeros(len(self.pivots), np.int64)
+        for r in far.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect():  # one row for each pivot
+            self.reach[r["cell"]], held[r["cell"]] = r["radius"] + epsilon * (1 + 1e-9) + 1e-12, r["n"]
+        rows = max(1, min(BLOCK_ROWS, max(LEAST_ROWS, n // LEAST_BLOCKS), BLOCK_VALUES // max(1, self.pivots.shape[1])))
+        # cells in the order of their distance from the first pivot fill blocks; a cell of more rows has blocks of its own
+        self.first, self.parts, block, filled = np.zeros(len(held), np.int64), np.maximum(1, -(-held // rows)), 0, 0
+        for c in np.argsort(distances(self.pivots, self.pivots[:1])[:, 0], kind="stable"):
+            if filled and filled + held[c] > rows:
+                block, filled = block + 1, 0
+            self.first[c] = block
+            block, filled = (block + self.parts[c], 0) if self.parts[c] > 1 else (block, filled + held[c])
 
     def _mapped(self, points: DataFrame, f, more: str) -> DataFrame:
         pivots, names = self.pivots, [x.split()[0] for x in more.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                    part = batch.slice(lo, BLOCK_ROWS)
+                for lo in range(0, batch.num_rows, TILE_ROWS):
+                    part = batch.slice(lo, TILE_ROWS)
                     yield pa.record_batch([*part.columns, *f(distances(rows_of(part.column("v")), pivots))], names=[*part.schema.names, *names])
 
         return points.mapInArrow(run, ", ".join([*[f"{c} {kind}" for c, kind in points.dtypes], more]))
 
-    def home(self, points: DataFrame) -> DataFrame:
-        return self._mapped(points, lambda apart: [pa.array(apart.argmin(1))], "cell long")
-
-    def guests(self, points: DataFrame) -> DataFrame:
-        reach = self.reach
-        visits = self._mapped(points, lambda apart: [pa.array([np.flatnonzero(row <= reach) for row in apart], pa.list_(pa.int64()))], "visited array<bigint>")
-        return visits.withColumn("cell", F.explode("visited")).drop("visited")
-
-    def compared(self, home: DataFrame, guests: DataFrame, compare, schema: str) -> DataFrame:
-        """``compare`` of each block of ``home`` points with each block of ``guests`` of their cell."""
-        home, guests = self.home(home), self.guests(guests)
-        counts = home.groupBy("cell").agg(F.count("*").alias("n")).join(guests.groupBy("cell").agg(F.count("*").alias("m")), "cell")
-        blocks = counts.select("cell", *[(F.floor(F.col(c) / BLOCK_ROWS) + 1).cast("int").alias(name) for c, name in (("n", "i_all"), ("m", "j_all"))])
-        own = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
-        others = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-        blocks = F.broadcast(blocks)  # a row for each pivot
-        left = home.join(blocks, "cell").withColumn("i", own("i_all")).withColumn("j", others("j_all")).drop("i_all", "j_all")
-        right = guests.join(blocks, "cell").withColumn("i", others("i_all")).withColumn("j", own("j_all")).drop("i_all", "j_all")
+    def placed(self, points: DataFrame) -> DataFrame:
+        """With the ``block`` of each point and the blocks ``visited`` that may hold its neighbours."""
+        reach, first, parts = self.reach, self.first, self.parts
+
+        def visits(apart: np.ndarray) -> list[pa.Array]:
+            cells = [np.flatnonzero(row <= reach) for row in apart]
+            return [pa.array(apart.argmin(1)), pa.array([np.unique(np.concatenate([first[c][parts[c] == 1], *[first[k] + np.arange(parts[k]) for k in c[parts[c] > 1]]])) for c in cells], pa.list_(pa.int64()))]
+
+        numbers = lambda x: F.array(*[F.lit(int(k)) for k in x])
+        at = F.col("cell").cast("int")
+        own = F.get(numbers(first), at) + F.pmod(F.xxhash64("id"), F.get(numbers(parts), at))
+        return self._mapped(points, visits, "cell long, visited array<bigint>").withColumn("block", own.cast("long")).drop("cell")
+
+    @staticmethod
+    def compared(home: DataFrame, guests: DataFrame, compare, schema: str) -> DataFrame:
+        """``compare`` of each block of ``home`` points with each block of ``guests``, both as ``placed``, that has a visitor there."""
+        right = guests.withColumn("i", F.explode("visited")).withColumn("j", F.col("block")).drop("visited", "block")
+        met = right.groupBy("i").agg(F.collect_set("j").alias("met")).withColumnRenamed("i", "of")  # a row for each block
+        left = home.join(met, F.col("block") == F.col("of")).withColumnRenamed("of", "i").withColumn("j", F.explode("met")).drop("visited", "block", "met")
+        left = left.select(*[F.col(c).alias(c) for c in left.columns])  # both sides may be of one table
         empty = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in schema.split(", ")]).empty_table()
-        return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInArrow(lambda a, b: compare(a, b) if a.num_rows and b.num_rows else empty, schema)
+        return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(lambda a, b: compare(a, b) if a.num_rows and b.num_rows else empty, schema)
 
 
 def _joined(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -118,30 +166,29 @@ def _linked(home: pa.Table, guests: pa.Table, epsilon: float) -> pa.Table:
     is_core = guests["core"].is_valid().to_numpy(zero_copy_only=False)
     theirs = guests["core"].fill_null(0).to_numpy()[is_core]
     groups = np.unique(np.concatenate((own, theirs)))
-    out: list[tuple[str, int, int]] = []
+    label = np.arange(len(groups))
     if is_core.any():
-        (g, gi, gn), (h, hi, hn) = (np.unique(c, return_index=True, return_inverse=True) for c in (own, theirs))
-        z = y[is_core]
-        apart = distances(x[gi], z[hi])
-        a, b = np.searchsorted(groups, g), np.searchsorted(groups, h)
-        i, j = np.nonzero(apart <= epsilon)
-        links = [a[i]], [b[j]]
-        several = (np.bincount(gn) > 1)[:, None].astype(int) + (np.bincount(hn) > 1)[None, :]  # a dense cell is at most epsilon across
-        label = _joined(len(groups), *map(np.concatenate, links))
-        for k, m in zip(*np.nonzero((apart > epsilon) & (apart <= epsilon * (1 + several) * (1 + 1e-9)) & (several > 0)), strict=True):
-            if label[a[k]] == label[b[m]]:
-                continue
-            left, right = x[gn == k], z[hn == m]
-            if any((distances(left[lo : lo + 50], right) <= epsilon).any() for lo in range(0, len(left), 50)):
-                links[0].append(a[k : k + 1])
-                links[1].append(b[m : m + 1])
-                label = _joined(len(groups), *map(np.concatenate, links))
-        out += [("link", int(groups[k]), int(groups[label[k]])) for k in np.flatnonzero(label != np.arange(len(groups)))]
-    ids = guests["id"].to_numpy()
-    for k in np.flatnonzero(~is_core):
-        near = np.unique(own[distances(x, y[k : k + 1])[:, 0] <= epsilon])
-        out += [("border", int(ids[k]), int(c)) for c in near]
-    return pa.table({"kind": pa.array([r[0] for r in out], pa.string()), "a": pa.array([r[1] for r in out], pa.int64()), "b": pa.array([r[2] for r in out], pa.int64())})
+        z, several = y[is_core], lambda c: np.bincount(c, minlength=len(groups))[c] > 1
+        a, b = np.searchsorted(groups, own), np.searchsorted(groups, theirs)
+        firsts = lambda c: np.sort(np.unique(c, return_index=True)[1])
+        everything = np.arange(len(a)), np.arange(len(b))
+        # first points of all groups, then what groups of several points have besides
+        for r, c in ((firsts(a), firsts(b)), (everything[0][several(a)], everything[1]), (everything[0][~several(a)], everything[1][several(b)])):
+            r, c = r[np.argsort(label[a[r]], kind="stable")], c[np.argsort(label[b[c]], kind="stable")]
+
+            def together(i: slice, j: slice, r=r, c=c) -> bool:
+                mine, other = label[a[r[i]]], label[b[c[j]]]
+                return bool((mine == mine[0]).all() and (other == mine[0]).all())
+
+            for i, j, found in near(x[r], z[c], epsilon, together):
+                m, n = np.nonzero(found & (label[a[r[i]]][:, None] != label[b[c[j]]][None, :]))
+                if len(m):
+                    label = _joined(len(groups), np.concatenate((np.arange(len(groups)), a[r[i]][m])), np.concatenate((label, b[c[j]][n])))
+    moved = np.flatnonzero(label != np.arange(len(groups)))
+    ids, outside = guests["id"].to_numpy()[~is_core], y[~is_core]
+    border = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *[np.stack((ids[j][n], own[i][m]), 1) for i, j, found in near(x, outside, epsilon) for m, n in [np.nonzero(found)]]]), axis=0)
+    kinds = ["link"] * len(moved) + ["border"] * len(border)
+    return pa.table({"kind": pa.array(kinds, pa.string()), "a": pa.array(np.concatenate((groups[moved], border[:, 0])), pa.int64()), "b": pa.array(np.concatenate((groups[label[moved]], border[:, 1])), pa.int64())})
 
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,14 +220,19 @@ def density_clusters(df: DataFrame, id_col: str, vector: str = "embedding", epsi
     cells = single.groupBy("grid").agg(F.sum("w").alias("held"), F.min("id").alias("first"))
     placed = written(single.join(cells, "grid").select("id", "v", "w", F.when(F.col("held") >= min_samples, F.col("first")).alias("dense")), "placed")
     space = _Space(placed, epsilon)
+    placed = written(space.placed(placed), "placed")
 
     def count(home: pa.Table, guests: pa.Table) -> pa.Table:
-        near = distances(rows_of(home["v"]), rows_of(guests["v"])) <= epsilon
-        return pa.table({"id": guests["id"].to_numpy(), "n": home["w"].to_numpy() @ near})
-
-    neighbours = space.compared(placed.select("id", "v", "w"), placed.filter("dense is null").select("id", "v"), count, "id long, n long")
+        weight, n = home["w"].to_numpy(), np.zeros(guests.num_rows, np.int64)
+        for i, j, found in near(rows_of(home["v"]), rows_of(guests["v"]), epsilon):
+            r, c = np.nonzero(found)
+            np.add.at(n[j], c, weight[i][r])
+        return pa.table({"id": guests["id"].to_numpy()[n > 0], "n": n[n > 0]})
+
+    ways = ["visited", "block"]
+    neighbours = space.compared(placed.select("id", "v", "w", *ways), placed.filter("dense is null").select("id", "v", *ways), count, "id long, n long")
     enough = neighbours.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("id", F.lit(True).alias("enough"))
-    cored = written(placed.join(enough, "id", "left").select("id", "v", F.coalesce("dense", F.when(F.col("enough"), F.col("id"))).alias("core")), "cored")
+    cored = written(placed.join(enough, "id", "left").select("id", "v", F.coalesce("dense", F.when(F.col("enough"), F.col("id"))).alias("core"), *ways), "cored")
     met = written(space.compared(cored.filter("core is not null"), cored, lambda a, b: _linked(a, b, epsilon), "kind string, a long, b long"), "met")
     labels = _components(cored.filter("core is not null").select(F.col("core").alias("id")).distinct(), met.filter("kind = 'link'"))
     border = met.filter("kind = 'border'").join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("border"))

@@ -79,3 +79,22 @@ def test_a_hundred_thousand_equal_vectors(spark):
     assert {r.cluster: r["count"] for r in out} == {0: 100_000, 1: 400} and time.perf_counter() - began < 90
     crowd = density._keyed(df, 0.5).groupBy("key").count()
     assert crowd.count() == 98  # what is compared, written and joined has a row for each different vector
+
+
+@pytest.mark.parametrize(("shift", "scale", "epsilon"), [(0.0, 1.0, 0.9), (1e6, 1.0, 0.9), (0.0, 1e-30, 0.9e-30), (0.0, 1e25, 0.9e25), (0.0, 1.0, 0.0)])
+def test_pairs_by_products_are_those_by_distance(shift, scale, epsilon):
+    draw = np.random.default_rng(5)
+    x = draw.normal(0, 0.12, (1500, 32)) * scale + shift
+    y = np.concatenate((x[:700] + draw.normal(0, 0.05, (700, 32)) * scale, x[700:900], np.full((1, 32), 1e12), x[:1] + np.eye(32)[:1] * epsilon))
+    found = np.zeros((len(x), len(y)), bool)
+    for i, j, pairs in density.near(x, y, epsilon):
+        found[i, j] = pairs
+    assert found.any() and (found == (density.distances(x, y) <= epsilon)).all()
+
+
+def test_points_without_bounds_visit_few_blocks(spark):
+    """Unit vectors of many dimensions: no pivot rules a cell out, and yet a point is handed on once for each block, not for each cell."""
+    v = np.random.default_rng(6).normal(size=(3000, 64))
+    points = spark.createDataFrame([(k, (x / np.linalg.norm(x)).tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    most = density._Space(points, 0.9).placed(points).selectExpr("max(size(visited))").first()[0]
+    assert 1 < most <= 4
