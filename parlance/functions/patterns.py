@@ -87,8 +87,13 @@ def folded(text: str) -> str:
     return f"translate({text}, {sql_quote(_case()[0])}, {sql_quote(_case()[1])})"
 
 
+@cache
+def _folds() -> dict[int, int]:
+    return str.maketrans(*_case())
+
+
 def fold(text: str) -> str:
-    return text.translate(str.maketrans(*_case()))
+    return text.translate(_folds())
 
 
 def _certain(c: str) -> bool:
@@ -139,6 +144,42 @@ def anchor(keyword: str, edges: str = "sentence") -> tuple[str, str] | None:
     return kind, piece
 
 
+def plain(keyword: str) -> tuple[str, str] | None:
+    """(kind, letters) of a keyword that is one word: whole (``e``), the start (``p``) or the end (``s``) of one. Its matches are the words that it fits, so no pattern need run."""
+    word = keyword.strip()
+    left, right = word.startswith("*"), word.endswith("*") and len(word) > 1
+    core = word[1 if left else 0 : -1 if right else None]
+    if not core or (left and right) or not all(map(_certain, core + fold(core))):
+        return None
+    return "s" if left else "p" if right else "e", fold(core)
+
+
+def word_hits(keywords: list[str], text: str, folded_text: str) -> str:
+    """SQL for structs of a ``plain`` keyword ``k`` and one word ``h`` that it matches; a word looks for keywords by a piece of itself."""
+    found: dict[str, list[dict]] = {}
+    for k in keywords:
+        kind, core = plain(k)
+        found.setdefault(kind if kind == "e" else f"{kind}{min(EDGE, len(core))}", []).append({"c": core, "k": k})
+    parts, held = [], 0
+    for kind, entries in sorted(found.items()):
+        n = int(kind[1:] or 0)
+        cut = (lambda x: x[:n]) if kind[0] == "p" else (lambda x: x[-n:]) if kind[0] == "s" else (lambda x: x)  # noqa: B023
+        size = 1 << (2 * len(entries)).bit_length()
+        buckets: list[list[dict]] = [[] for _ in range(size)]
+        for e in entries:
+            buckets[zlib.crc32(cut(e["c"]).encode()) % size].append(e)
+        held += len(table := json.dumps(buckets))
+        piece = {"e": "w.f", "p": f"left(w.f, {n})", "s": f"right(w.f, {n})"}[kind[0]]
+        fits = {"e": "w.f = e.c", "p": "startswith(w.f, e.c)", "s": "endswith(w.f, e.c)"}[kind[0]]
+        bucket = f"from_json({sql_quote(table)}, 'array<array<struct<c:string,k:string>>>')[cast(crc32(cast({piece} as binary)) % {size} as int)]"
+        parts.append(f"transform(filter({bucket}, e -> {fits}), e -> named_struct('k', e.k, 'h', array(w.o)))")
+    if held > MOST_BYTES:
+        raise ValueError(f"the index of {len(keywords)} words takes {held} bytes, more than {MOST_BYTES}: split the dictionary")
+    words = lambda x: f"regexp_extract_all({x}, {sql_quote(r'(?U)\w+')}, 0)"
+    both = f"zip_with({words(text)}, {words(folded_text)}, (o, f) -> named_struct('o', o, 'f', f))"
+    return f"flatten(transform({both}, w -> concat({', '.join(parts)})))"
+
+
 @dataclass
 class PatternIndex:
     """Keywords in buckets by the checksum of their pieces, as SQL literals; ``always`` are those without a piece."""

@@ -26,7 +26,7 @@ def usable(df: DataFrame, date_col: str, text_col: str = "sentence") -> DataFram
 
 
 def _found(keywords: list[str], false_positives: list[str], text_col: str) -> str:
-    """SQL for the keywords that are hit, with their hits. A few have one alternation as a guard; of more only those that share a piece with the text are run."""
+    """SQL for the keywords that are hit, with their hits. A few have one alternation as a guard; of more those of one word are looked up by the words of the text, of the others only those that share a piece with it are run."""
     empty = "cast(array() as array<struct<k:string,h:array<string>>>)"
     if not keywords:
         return empty
@@ -36,8 +36,12 @@ def _found(keywords: list[str], false_positives: list[str], text_col: str) -> st
         structs = ", ".join(f"named_struct('k', {sql_quote(k)}, 'h', filter({hits(text_col, k)}, x -> {stays}))" for k in keywords)
         guard = sql_quote("|".join(f"(?:{wildcard_regex(k)})" for k in keywords))
         return f"case when {text_col} rlike {guard} then filter(array({structs}), s -> size(s.h) > 0) else {empty} end"
-    index = PatternIndex(keywords)
-    run = f"transform({index.candidates(FOLDED)}, p -> named_struct('k', p.k, 'h', filter(regexp_extract_all({text_col}, p.p, 0), x -> {stays})))"
+    whole = [k for k in keywords if patterns.plain(k)]
+    others = [k for k in keywords if not patterns.plain(k)]
+    runs = [f"transform({patterns.word_hits(whole, text_col, FOLDED)}, s -> named_struct('k', s.k, 'h', filter(s.h, x -> {stays})))"] if whole else []
+    if others:
+        runs.append(f"transform({PatternIndex(others).candidates(FOLDED)}, p -> named_struct('k', p.k, 'h', filter(regexp_extract_all({text_col}, p.p, 0), x -> {stays})))")
+    run = f"concat({', '.join(runs)})"
     return f"coalesce(filter({run}, s -> size(s.h) > 0), {empty})"
 
 

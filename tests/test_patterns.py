@@ -95,3 +95,12 @@ def test_time_hardly_grows_with_the_dictionary(spark):
     took(20)
     assert took(4000) < 4 * took(40) + 1
     df.unpersist()
+
+
+def test_keywords_of_one_word_need_no_pattern(spark):
+    """All words of a dictionary but those of several words, inner stars or both stars are looked up; letters that fold stay letters."""
+    assert [patterns.plain(k) for k in ("Ab", "ab*", "*aB", " x ", "*ab*", "a*b", "a b", "a-b", "*", "")] == [("e", "ab"), ("p", "ab"), ("s", "ab"), ("e", "x"), None, None, None, None, None, None]
+    assert "rlike" not in (found := keywords._found([f"word{k}" for k in range(40)], [], "t")) and "(?iU)" not in found
+    upper, lower = patterns._case()
+    row = spark.createDataFrame([(upper, lower)], "a string, b string").selectExpr(r"regexp_extract_all(a, '(?U)\\w', 0) as a", r"regexp_extract_all(b, '(?U)\\w', 0) as b").first()
+    assert len(row.a) > 1000 and [patterns.fold(c) for c in row.a] == row.b
