@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,24 @@ def hashed(word: str, size: int) -> tuple[int, int]:
     return int(digits[:7], 16) % size, 1 if int(digits[7], 16) % 2 == 0 else -1
 
 
-#: Words whose places a task remembers.
-KNOWN = 1 << 20
+#: Words that a task looks at together, unless one text has more.
+TOGETHER = 1 << 16
 
 
-def _places(size: int):
-    known = lru_cache(KNOWN)(lambda w: hashed(w, size))
-    return lambda words: [known(w) for w in words if w is not None]
+def _placed(column: pa.ListArray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last row of each part of lists of words, then of each of its words the row in the part, the place and the sign.
+
+    Only the different words of a part become Python strings, and nothing is kept for the next one, so memory has a bound.
+    """
+    ends, lo = column.value_lengths().to_numpy().cumsum(), 0
+    while lo < len(column):
+        held = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, held + TOGETHER, "right")))
+        part = column.slice(lo, hi - lo)
+        coded = part.flatten().dictionary_encode()
+        places = np.array([hashed(w, size) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)[coded.indices.to_numpy()]
+        yield lo, hi, np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy()), places[:, 0], places[:, 1]
+        lo = hi
 
 
 def text_vectors(df: DataFrame, text_col: str = "chunk", size: int = 256) -> DataFrame:
@@ -42,10 +52,10 @@ def text_vectors(df: DataFrame, text_col: str = "chunk", size: int = 256) -> Dat
     worded = df.withColumn("__words", F.expr(f"regexp_extract_all(lower(coalesce({text_col}, '')), '[\\\\p{{L}}\\\\p{{N}}_]+', 0)"))
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, texts, held = _places(size), 0, np.zeros(size, np.int64)
+        texts, held = 0, np.zeros(size, np.int64)
         for batch in batches:
-            for words in batch.column(0).to_pylist():
-                held[list({b for b, _ in places(words)})] += 1
+            for _, _, row, place, _ in _placed(batch.column(0), size):
+                held += np.bincount(np.unique(row * size + place) % size, minlength=size)
             texts += batch.num_rows
         yield pa.record_batch([pa.array([*range(size), size]), pa.array([*held.tolist(), texts])], names=["place", "texts"])
 
@@ -53,16 +63,13 @@ def text_vectors(df: DataFrame, text_col: str = "chunk", size: int = 256) -> Dat
     rarity = np.log((counts.get(size, 0) + 1) / (np.array([counts.get(b, 0) for b in range(size)]) + 1))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _places(size)
         for batch in batches:
-            out = np.zeros((batch.num_rows, size))
-            for k, words in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for b, sign in places(words):
-                    out[k, b] += sign
-            out *= rarity
-            length = np.sqrt((out**2).sum(1, keepdims=True))
-            out /= np.where(length > 0, length, 1)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(list(out), pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "embedding"])
+            for lo, hi, row, place, sign in _placed(batch.column(batch.num_columns - 1), size):
+                out = np.bincount(row * size + place, weights=sign, minlength=(hi - lo) * size).reshape(hi - lo, size) * rarity
+                length = np.sqrt((out**2).sum(1, keepdims=True))
+                out /= np.where(length > 0, length, 1)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * size, pa.int32()), pa.array(out.ravel()))
+                yield pa.record_batch([*batch.slice(lo, hi - lo).columns[:-1], vectors], names=[*batch.schema.names[:-1], "embedding"])
 
     return worded.mapInArrow(embed, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parlance.operators import vectors
@@ -48,3 +49,12 @@ def test_projection_is_that_of_the_leading_directions(spark):
     assert got == {r.id: (r.umap_1, r.umap_2) for r in others.collect()}
     empty, _ = vectors.projected(df.filter(F.lit(False)), df.withColumnRenamed("embedding", "centroid"))
     assert empty.count() == 0
+
+
+def test_words_are_looked_at_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(vectors, "TOGETHER", 3)
+    rows = [["a", "b"], [], ["c"], ["d", "a", "e", "f"], [], ["b"]]
+    parts = list(vectors._placed(pa.array(rows, pa.list_(pa.string())), 16))
+    assert [(lo, hi) for lo, hi, *_ in parts] == [(0, 3), (3, 4), (4, 6)]
+    got = [(lo + r, p, s) for lo, _, row, place, sign in parts for r, p, s in zip(row, place, sign, strict=True)]
+    assert got == [(k, *vectors.hashed(w, 16)) for k, words in enumerate(rows) for w in words]
