@@ -27,7 +27,7 @@ PIVOTS, BLOCK_ROWS, BLOCK_VALUES = 256, 1 << 15, 1 << 21
 #: Blocks that there are at least if each has ``LEAST_ROWS`` rows, so that a few cores have work.
 LEAST_BLOCKS, LEAST_ROWS = 8, 1000
 #: Rows and columns of a matrix of pairs that is looked at at once, and pairs that are measured at once.
-TILE_ROWS, TILE_COLUMNS, MEASURED = 1024, 4096, 1 << 15
+TILE_ROWS, TILE_COLUMNS, MEASURED = 512, 512, 1 << 15
 
 
 def rows_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -44,8 +44,8 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def near(x: np.ndarray, y: np.ndarray, epsilon: float, skip: Callable[[slice, slice], bool] | None = None) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Slices of ``x`` and ``y`` with the matrix of their pairs that are ``epsilon`` apart at most, where there may be any; those that ``skip`` names are not looked at.
+def near(x: np.ndarray, y: np.ndarray, epsilon: float, skip: Callable[[slice, slice], bool] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the rows of ``x`` and ``y`` that are ``epsilon`` apart at most, tile by tile; tiles that ``skip`` names are not looked at.
 
     A product of rows (-2x, x.x, 1) and (y, 1, y.y), taken from one middle and in units of epsilon, is the squared distance up to a known error.
     """
@@ -64,15 +64,15 @@ def near(x: np.ndarray, y: np.ndarray, epsilon: float, skip: Callable[[slice, sl
                 if skip is not None and skip(i, j):
                     continue
                 least = a[i] @ b[j].T
-                far = least > most
-                if far.all():
+                m, n = np.nonzero(~(least > most))
+                if not len(m):
                     continue
-                found = least <= most - 2 * slack * (p[i].max() + q[j].max())
-                m, n = np.nonzero(~(far | found))
-                for k in range(0, len(m), MEASURED):
-                    r, c = m[k : k + MEASURED], n[k : k + MEASURED]
-                    found[r, c] = np.sqrt(((x[lo + r] - y[to + c]) ** 2).sum(1)) <= epsilon
-                yield i, j, found
+                found = least[m, n] <= most - 2 * slack * (p[i].max() + q[j].max())
+                m, n, unsure = m + lo, n + to, np.flatnonzero(~found)
+                for k in range(0, len(unsure), MEASURED):
+                    part = unsure[k : k + MEASURED]
+                    found[part] = np.sqrt(((x[m[part]] - y[n[part]]) ** 2).sum(1)) <= epsilon
+                yield m[found], n[found]
 
 
 def _keyed(points: DataFrame, epsilon: float) -> DataFrame:
@@ -180,13 +180,13 @@ def _linked(home: pa.Table, guests: pa.Table, epsilon: float) -> pa.Table:
                 mine, other = label[a[r[i]]], label[b[c[j]]]
                 return bool((mine == mine[0]).all() and (other == mine[0]).all())
 
-            for i, j, found in near(x[r], z[c], epsilon, together):
-                m, n = np.nonzero(found & (label[a[r[i]]][:, None] != label[b[c[j]]][None, :]))
-                if len(m):
-                    label = _joined(len(groups), np.concatenate((np.arange(len(groups)), a[r[i]][m])), np.concatenate((label, b[c[j]][n])))
+            for m, n in near(x[r], z[c], epsilon, together):
+                mine, other = a[r[m]], b[c[n]]
+                if (label[mine] != label[other]).any():
+                    label = _joined(len(groups), np.concatenate((np.arange(len(groups)), mine)), np.concatenate((label, other)))
     moved = np.flatnonzero(label != np.arange(len(groups)))
     ids, outside = guests["id"].to_numpy()[~is_core], y[~is_core]
-    border = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *[np.stack((ids[j][n], own[i][m]), 1) for i, j, found in near(x, outside, epsilon) for m, n in [np.nonzero(found)]]]), axis=0)
+    border = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *[np.stack((ids[n], own[m]), 1) for m, n in near(x, outside, epsilon)]]), axis=0)
     kinds = ["link"] * len(moved) + ["border"] * len(border)
     return pa.table({"kind": pa.array(kinds, pa.string()), "a": pa.array(np.concatenate((groups[moved], border[:, 0])), pa.int64()), "b": pa.array(np.concatenate((groups[label[moved]], border[:, 1])), pa.int64())})
 
@@ -224,9 +224,8 @@ def density_clusters(df: DataFrame, id_col: str, vector: str = "embedding", epsi
 
     def count(home: pa.Table, guests: pa.Table) -> pa.Table:
         weight, n = home["w"].to_numpy(), np.zeros(guests.num_rows, np.int64)
-        for i, j, found in near(rows_of(home["v"]), rows_of(guests["v"]), epsilon):
-            r, c = np.nonzero(found)
-            np.add.at(n[j], c, weight[i][r])
+        for i, j in near(rows_of(home["v"]), rows_of(guests["v"]), epsilon):
+            np.add.at(n, j, weight[i])
         return pa.table({"id": guests["id"].to_numpy()[n > 0], "n": n[n > 0]})
 
     ways = ["visited", "block"]
