@@ -111,8 +111,10 @@ def margins(weights: np.ndarray, n: int, parts: tuple[np.ndarray, np.ndarray, np
 
 def _logistic(owner: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 2.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression with balanced classes, by Adam."""
-    n, used = len(y), np.unique(at)
-    at = np.searchsorted(used, at)
+    n, used = len(y), np.flatnonzero(np.bincount(at, minlength=WEIGHTS))
+    place = np.zeros(WEIGHTS, np.int32)
+    place[used] = np.arange(len(used))
+    at = place[at]
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -152,18 +154,18 @@ def fit_rows(texts: pa.Array, y: np.ndarray) -> np.ndarray | None:
         for o, a in ((parts[0], parts[1]), (parts[2], parts[3])):
             key, count = np.unique(o * WEIGHTS + a, return_counts=True)
             o2 = key // WEIGHTS
-            owner.append(o2 + lo)
-            at.append(key % WEIGHTS)
+            owner.append((o2 + lo).astype(np.int32))
+            at.append((key % WEIGHTS).astype(np.int32))
             value.append(count / np.maximum(np.bincount(o, minlength=hi - lo), 1)[o2])
     if not owner:
         return None
-    owner, at, value = map(np.concatenate, (owner, at, value))
+    owner, at, value = np.concatenate(owner), np.concatenate(at), np.concatenate(value)
     held = np.arange(len(y)) % 5 == 0
     if min(((y == c) & h).sum() for c in (0, 1) for h in (held, ~held)) == 0:
         held = np.zeros(len(y), bool)
     if min((y == c).sum() for c in (0, 1)) == 0:
         return None
-    number = np.cumsum(~held) - 1
+    number = (np.cumsum(~held) - 1).astype(np.int32)
     fitted = ~held[owner]
     w, b = _logistic(number[owner[fitted]], at[fitted], value[fitted], y[~held])
     z = np.bincount(owner, weights=w[at] * value, minlength=len(y)) + b
@@ -207,13 +209,12 @@ def score(documents: DataFrame, model: np.ndarray | None, id_col: str = "doc_id"
     Null or empty texts have no words and fail the base rules. Repeated rows are judged each for itself, whatever
     their ids. ``carry`` names columns of ``documents`` to return as well; other columns are not read.
     """
-    inner = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry or [])]
+    own = [c == text_col and dict(documents.dtypes)[c] == "string" for c in carry or []]  # the text is sent once
+    inner = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry or []) if not own[i]]
     rows = documents.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("__text"), *inner)
     sent = documents.sparkSession.sparkContext.broadcast(model) if model is not None else None
-    kept_fields = ", ".join(f"carry_{i} {rows.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(inner)))
-    schema = f"`{id_col}` long, {BASE_SCHEMA}, base_failed boolean, kept boolean, p_good double" + (f", {kept_fields}" if inner else "")
-
-    more = len(inner)
+    kept_fields = ", ".join(f"carry_{i} {'string' if own[i] else rows.schema[f'carry_{i}'].dataType.simpleString()}" for i in range(len(own)))
+    schema = f"`{id_col}` long, {BASE_SCHEMA}, base_failed boolean, kept boolean, p_good double" + (f", {kept_fields}" if own else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value.astype(np.float64) if sent is not None else None
@@ -234,8 +235,8 @@ def score(documents: DataFrame, model: np.ndarray | None, id_col: str = "doc_id"
             kept = ~failed if good is None else ~failed & (good >= keep_at)
             columns = [batch.column(id_col), *map(pa.array, five), pa.array(failed), pa.array(kept), pa.array(good) if good is not None else pa.nulls(batch.num_rows, pa.float64())]
             names = [id_col, *(f.split()[0] for f in BASE_SCHEMA.split(", ")), "base_failed", "kept", "p_good"]
-            for i in range(more):
-                columns.append(batch.column(f"carry_{i}"))
+            for i, same in enumerate(own):
+                columns.append(batch.column("__text" if same else f"carry_{i}"))
                 names.append(f"carry_{i}")
             yield pa.record_batch(columns, names=names)
 
