@@ -16,6 +16,7 @@ least, no bit differs, or no more than ``MOST_ERROR`` of them do and a share of
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import struct
 from collections.abc import Iterator
@@ -46,6 +47,8 @@ FEW = 4
 LEAST_VOTES = 2
 #: Integers in a block of queries (32 MB with their places).
 BLOCK_ITEMS = 2 << 20
+#: Integers of recordings, pairs of equal runs, and places of two recordings that are worked on together; places in a block.
+ITEMS, HITS, PLACES, PART = 1 << 20, 1 << 18, 1 << 17, 4
 #: Steps of a pitch class between nothing and all of a frame's sound, so that sums are exact whatever stands before.
 STEPS = 1 << 14
 #: Frames, and samples of recordings, that are worked on together; recordings in a batch.
@@ -230,27 +233,60 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str = "audio", is_que
     return rows.mapInArrow(run, "id long, items binary, same binary, hops array<binary>")
 
 
-def changes(x: np.ndarray) -> np.ndarray:
-    """Places whose integer differs from the one before."""
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+def edges(parts: list[np.ndarray]) -> np.ndarray:
+    """Where each part begins among all, and where the last ends."""
+    return np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
 
 
-def ends(at: np.ndarray, n: int) -> np.ndarray:
-    """The last place of each run that begins at ``at``."""
-    return np.append(at[1:], n) - 1 if len(at) else at
+def groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and end of consecutive entries whose sizes sum up to ``most`` at most, or of one."""
+    so_far, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(so_far, (so_far[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
-def stretch(x: np.ndarray, y: np.ndarray, shift: int, least: int) -> tuple[int, float] | None:
-    """The best stretch of ``least`` integers of ``x`` against those of ``y`` that stand ``shift`` later: places in common and share of bits that differ."""
-    first, last = max(0, -shift), min(len(x), len(y) - shift)
-    if last - first < least or least < 1:
-        return None
-    here, there = x[first:last], y[first + shift : last + shift]
-    in_stretch = lambda values: (lambda c: c[least:] - c[:-least])(np.concatenate(([0], np.cumsum(values, dtype=np.int64))))
-    wrong = in_stretch(np.bitwise_count(here ^ there))
-    told = np.minimum(*(in_stretch(np.append(True, v[1:] != v[:-1])) for v in (here, there))) >= LEAST_CHANGED * least
-    valid = wrong[told | (wrong == 0)]
-    return (last - first, int(valid.min()) / (32 * least)) if len(valid) else None
+def within(begin: np.ndarray, count: np.ndarray, step: int = 1) -> np.ndarray:
+    """The ``count`` numbers from each of ``begin`` on, one after the other."""
+    out = np.arange(0, step * int(count.sum()), step)
+    out += np.repeat(begin - step * (np.cumsum(count) - count), count)
+    return out
+
+
+def sums(values: np.ndarray) -> np.ndarray:
+    """The sum of all values before each place, and of all."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def paired(x: np.ndarray) -> np.ndarray:
+    """Each integer and the next one in one number."""
+    return x[:-1].astype(np.uint64) | x[1:].astype(np.uint64) << np.uint64(32)
+
+
+def runs(x: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, place in it and length of each run of one integer; ``x`` are all parts, which begin and end at ``edge``."""
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    new[edge[:-1][edge[:-1] < len(x)]] = True
+    at = np.flatnonzero(new)
+    part = np.searchsorted(edge, at, "right") - 1
+    return part, at - edge[part], np.diff(np.append(at, len(x)))
+
+
+def tally(votes: np.ndarray) -> np.ndarray:
+    """One vote of each code (votes are ``code * LEAST_VOTES + weight - 1``), its weight the sum, ``LEAST_VOTES`` at most."""
+    votes.sort()
+    code = votes // LEAST_VOTES
+    first = changed(code)
+    weight = np.add.reduceat(votes - code * LEAST_VOTES + 1, first) if len(first) else first
+    return code[first] * LEAST_VOTES + np.minimum(weight, LEAST_VOTES) - 1
+
+
+def changed(x: np.ndarray) -> np.ndarray:
+    """Places whose value differs from the one before."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
 
 
 class Block:
@@ -264,54 +300,152 @@ class Block:
         self.items = [x if isinstance(x, list) else [x] for x in items]
         self.stride = len(self.items[0]) if items else 1
         self.whole = {key: q for q, key in enumerate(same) if key is not None}
-        parts = [(x[s], np.full(len(s), q), s * self.stride + r, ends(s, len(x)) * self.stride + r) for q, phases in enumerate(self.items) for r, x in enumerate(phases) for s in [changes(x)]]
-        value, query, hop, last = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
-        self.needed = np.array([min(LEAST_VOTES, *map(len, phases), LEAST_VOTES) for phases in self.items], np.int64)
-        order = np.argsort(value, kind="stable")
-        self.value, self.query, self.hop, self.last = value[order], query[order].astype(np.int64), hop[order], last[order]
-        self.length = (self.last - self.hop) // self.stride + 1
-
-    def _offsets(self, x: np.ndarray) -> dict[int, set[int]]:
-        """For each query the offsets (hops) that have votes."""
-        at = changes(x)
-        lengths = ends(at, len(x)) - at + 1
-        low, high = np.searchsorted(self.value, x[at], "left"), np.searchsorted(self.value, x[at], "right")
-        count = high - low
-        total = int(count.sum())
-        if not total:
-            return {}
-        hit = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-        # two runs of one integer vote for the offset at which they begin together and for that at which they end together
-        first = self.hop[hit] - self.stride * np.repeat(at, count)
-        other = self.last[hit] - self.stride * np.repeat(ends(at, len(x)), count)
-        hit, offset = np.concatenate((hit, hit[other != first])), np.concatenate((first, other[other != first]))
-        code = (self.query[hit] << 32) + (offset + (1 << 31))
-        weight = np.minimum(np.minimum(self.length[hit], np.repeat(lengths, count)[np.concatenate((np.arange(total), np.flatnonzero(other != first)))]), LEAST_VOTES)
-        code, place = np.unique(code, return_inverse=True)
-        votes = np.bincount(place, weight)
-        found: dict[int, set[int]] = {}
-        for c in code[votes >= np.minimum(self.needed[code >> 32], len(x))].tolist():
-            found.setdefault(c >> 32, set()).add((c & 0xFFFFFFFF) - (1 << 31))
-        return found
+        phases = [x for own in self.items for x in own]
+        self.edge, self.flat = edges(phases), np.concatenate([np.zeros(0, np.uint32), *phases])
+        lengths = np.diff(self.edge).reshape(-1, self.stride)
+        self.needed, self.paired = lengths.min(1, initial=LEAST_VOTES), paired(self.flat)
+        part, place, long = runs(self.flat, self.edge)
+        value = self.flat[self.edge[part] + place]
+        order = np.lexsort((part // self.stride, value))
+        self.query, self.hop, self.long = part[order] // self.stride, (place * self.stride + part % self.stride)[order], long[order]
+        self.value, first = np.unique(value[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.known = np.zeros(1 << 24, bool)  # spares most integers the search
+        self.known[self._slot(self.value)] = True
+
+    @staticmethod
+    def _slot(value: np.ndarray) -> np.ndarray:
+        return (value * np.uint32(0x9E3779B1)) >> np.uint32(8)
+
+    def _equal(self, x: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Recording, place and length of each run that queries have too; the first of theirs with this integer, and their number."""
+        own, place, long = runs(x, edge)
+        value = x[edge[own] + place]
+        maybe = np.flatnonzero(self.known[self._slot(value)])
+        slot = np.searchsorted(self.value, value[maybe])
+        same = self.value[np.minimum(slot, len(self.value) - 1)] == value[maybe]
+        kept, slot = maybe[same], slot[same]
+        return own[kept], place[kept], long[kept], self.first[slot], self.first[slot + 1] - self.first[slot]
+
+    def _some(self, own: np.ndarray, place: np.ndarray, long: np.ndarray, low: np.ndarray, count: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same, of queries from ``lo`` up to ``hi``, in parts of ``HITS`` pairs of runs; more only for one recording with one query."""
+        if int(count.sum()) <= HITS or hi - lo == 1:
+            yield own, place, long, low, count
+        elif own[0] != own[-1]:
+            begin = changed(own)
+            for a, b in groups(np.add.reduceat(count, begin), HITS):
+                of = slice(begin[a], begin[b] if b < len(begin) else None)
+                yield from self._some(own[of], place[of], long[of], low[of], count[of], lo, hi)
+        else:  # one recording: the halves of the queries
+            half = (lo + hi) // 2
+            fewer = np.array([np.searchsorted(self.query[a : a + n], half) for a, n in zip(low.tolist(), count.tolist(), strict=True)], np.int64)
+            for first, n, a, b in ((low, fewer, lo, half), (low + fewer, count - fewer, half, hi)):
+                kept = n > 0
+                if kept.any():
+                    yield from self._some(own[kept], place[kept], long[kept], first[kept], n[kept], a, b)
+
+    def _offsets(self, x: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Recordings, queries and offsets (hops) that have votes enough."""
+        size = np.diff(edge)
+        before = self.stride * int(size.max(initial=0))
+        width = before + int(self.hop.max(initial=0)) + 1
+        spot = (self.query * width + self.hop) * LEAST_VOTES
+        for own, place, long, low, count in self._some(*self._equal(x, edge), 0, len(self.ids)):
+            tallies = []
+            base = ((own - own[:1]) * (len(self.ids) * width) + before - self.stride * place) * LEAST_VOTES
+            for a, b in groups(count, HITS):
+                n = count[a:b]
+                hit = within(low[a:b], n)
+                vote = np.repeat(base[a:b], n) + spot[hit]
+                # two runs of one integer vote for the offset at which they begin together and for that at which they end together
+                here, there = np.repeat(long[a:b], n), self.long[hit]
+                more = np.flatnonzero((here > 1) | (there > 1))
+                vote[more] += np.minimum(np.minimum(here[more], there[more]), LEAST_VOTES) - 1
+                other = more[here[more] != there[more]]
+                tallies.append(tally(np.concatenate((vote, vote[other] + (there[other] - here[other]) * (self.stride * LEAST_VOTES)))))
+            if not tallies:
+                continue
+            votes = tally(np.concatenate(tallies)) if len(tallies) > 1 else tallies[0]
+            code = votes // LEAST_VOTES
+            which = code // width
+            of = which // len(self.ids)
+            query, offset = which - of * len(self.ids), code - which * width - before
+            enough = np.flatnonzero(votes - code * LEAST_VOTES + 1 >= np.minimum(self.needed[query], size[of + own[0]]))
+            yield of[enough] + own[0], query[enough], offset[enough]
+
+    def _few(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All offsets of recordings and queries of so few integers that none may be equal."""
+        found = [(i, q, self.stride * k + r) for i, n in enumerate(np.diff(edge).tolist()) for q, p in enumerate(self.items) if min(n, len(p[0])) < FEW for r, y in enumerate(p) for k in range(-n, len(y))]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+    def _aligned(self, x: np.ndarray, edge: np.ndarray, own: np.ndarray, query: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of these align, the places in common, and the share of bits that differ in the best stretch."""
+        shift, phase = offset // self.stride, query * self.stride + offset % self.stride
+        size, other = np.diff(edge)[own], np.diff(self.edge)[phase]
+        first = np.maximum(0, -shift)
+        n, least = np.minimum(size, other - shift) - first, np.maximum(self.least, np.ceil(LEAST_SPAN * np.minimum(size, other)).astype(np.int64))
+        x_at, y_at = edge[own] + first, self.edge[phase] + first + shift
+
+        def stretches(n: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of entries of ``n`` places: where each stretch of ``span`` begins, how long it is, and which is the first of its entry."""
+            many = n - span + 1
+            return within(np.cumsum(n) - n, many), np.repeat(span, many), np.cumsum(many) - many
+
+        # a stretch holds so many whole blocks, wherever it begins: no more bits differ in the best of them than in all of it
+        rest = np.flatnonzero((n >= least) & (least > 0))
+        whole = (least[rest] - PART + 1) // PART
+        short, rest, whole = rest[whole < 1], rest[whole >= 1], whole[whole >= 1]
+        x_paired, maybe = paired(x), [short]
+        for a, b in groups(n[rest] // PART, PLACES):
+            k, span = rest[a:b], whole[a:b]
+            blocks = n[k] // PART
+            here, there = within(x_at[k], blocks, PART), within(y_at[k], blocks, PART)
+            so_far = sums(sum(np.bitwise_count(x_paired[here + i] ^ self.paired[there + i]) for i in range(0, PART, 2)))
+            at, long, begin = stretches(blocks, span)
+            maybe.append(k[np.minimum.reduceat(so_far[at + long] - so_far[at], begin) / (32 * least[k]) <= self.most_error])
+        rest = np.sort(np.concatenate(maybe))
+        found, errors = [rest[:0]], [np.zeros(0)]
+        for a, b in groups(n[rest], PLACES):
+            k = rest[a:b]
+            at, long, begin = stretches(n[k], least[k])
+            values = x[within(x_at[k], n[k])], self.flat[within(y_at[k], n[k])]
+            so_far = sums(np.bitwise_count(values[0] ^ values[1]))
+            wrong, told = so_far[at + long] - so_far[at], np.ones(len(at), bool)
+            for v in values:
+                new = np.append(True, v[1:] != v[:-1])
+                new[np.cumsum(n[k]) - n[k]] = True
+                so_far = sums(new)
+                told &= so_far[at + long] - so_far[at] >= LEAST_CHANGED * long
+            error = np.minimum.reduceat(np.where(told | (wrong == 0), wrong / (32 * long), np.inf), begin)
+            close = np.flatnonzero(error <= self.most_error)
+            found.append(k[close])
+            errors.append(error[close])
+        found = np.concatenate(found)
+        return found, n[found], np.concatenate(errors)
+
+    def all_matches(self, owns: list[int | None], items: list[np.ndarray], same: list[bytes | None]) -> list[list[tuple[int, int, int, float]]]:
+        """For each recording: query id, offset (hop in the query less hop here), integers compared, share of bits that differ in the best stretch."""
+        edge, x = edges(items), np.concatenate([np.zeros(0, np.uint32), *items])
+        equal = [self.whole.get(key) for key in same]
+        equal = [-1 if q is None or self.ids[q] == own else q for q, own in zip(equal, owns, strict=True)]
+        best: list[dict[int, tuple[int, int, int, float]]] = [{} if q < 0 else {q: (int(self.ids[q]), 0, len(items[i]), 0.0)} for i, q in enumerate(equal)]
+        done, named = np.array(equal, np.int64), np.array([own is not None for own in owns], bool)
+        names = np.array([own or 0 for own in owns], np.int64)
+        near: set[tuple[int, int, int, int, float]] = set()
+        if len(self.flat):
+            for own, query, offset in itertools.chain(self._offsets(x, edge), [self._few(edge)] if self.least < FEW else []):
+                other = np.flatnonzero((query != done[own]) & ~(named[own] & (self.ids[query] == names[own])))
+                own, query, offset = own[other], query[other], offset[other]
+                found, n, error = self._aligned(x, edge, own, query, offset)
+                near.update(zip(own[found].tolist(), query[found].tolist(), offset[found].tolist(), n.tolist(), error.tolist(), strict=True))
+        for i, q, shift, n, error in sorted(near):
+            if q not in best[i] or (best[i][q][3], -best[i][q][2]) > (round(error, 6), -n):
+                best[i][q] = (int(self.ids[q]), shift, n, round(error, 6))
+        return [list(found.values()) for found in best]
 
     def matches(self, own: int, x: np.ndarray, same: bytes | None = None) -> list[tuple[int, int, int, float]]:
-        """Query id, offset (hop in the query less hop here), integers compared, share of bits that differ in the best stretch."""
-        equal = self.whole.get(same)
-        best: dict[int, tuple[int, int, int, float]] = {} if equal is None or self.ids[equal] == own else {equal: (int(self.ids[equal]), 0, len(x), 0.0)}
-        offsets = self._offsets(x)
-        if self.least < FEW:  # so few integers that none may be equal: all offsets
-            few = [q for q, p in enumerate(self.items) if min(len(x), len(p[0])) < FEW]
-            offsets |= {q: {self.stride * k + r for r, y in enumerate(self.items[q]) for k in range(-len(x), len(y))} for q in few}
-        done = frozenset(best)
-        for q, shifts in offsets.items():
-            if q in done or self.ids[q] == own:
-                continue
-            for shift in sorted(shifts):
-                y = self.items[q][shift % self.stride]
-                got = stretch(x, y, shift // self.stride, max(self.least, math.ceil(LEAST_SPAN * min(len(x), len(y)))))
-                if got and got[1] <= self.most_error and (q not in best or (best[q][3], -best[q][2]) > (round(got[1], 6), -got[0])):
-                    best[q] = (int(self.ids[q]), shift, got[0], round(got[1], 6))
-        return list(best.values())
+        """The matches of one recording."""
+        return self.all_matches([own], [x], [same])[0]
 
 
 def _whole(items: np.ndarray, samples: np.ndarray) -> bytes | None:
@@ -343,11 +477,10 @@ def align(prints: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
             ids, raw, same = sent.value
             block = Block(ids, [[np.frombuffer(x, "<u4") for x in phases] for phases in raw], same, LEAST_COMPARED)
             for batch in batches:
-                rows, got = [], []
-                for i, (own, items, equal) in enumerate(zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("same").to_pylist(), strict=True)):
-                    here = block.matches(own, np.frombuffer(items.as_buffer() or b"", "<u4"), equal)
-                    rows += [i] * len(here)
-                    got += here
+                owns, same_here = batch.column("id").to_pylist(), batch.column("same").to_pylist()
+                items = [np.frombuffer(x.as_buffer() or b"", "<u4") for x in batch.column("items")]
+                found = [here for a, b in groups(np.array([len(x) for x in items]), ITEMS) for here in block.all_matches(owns[a:b], items[a:b], same_here[a:b])]
+                rows, got = [i for i, here in enumerate(found) for _ in here], [m for here in found for m in here]
                 if got:
                     columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
                     yield pa.record_batch([batch.column("row").take(pa.array(rows)), *columns], names=["row", *[f.split()[0] for f in FOUND.split(", ")]])
