@@ -48,7 +48,7 @@ LEAST_VOTES = 2
 #: Integers in a block of queries (32 MB with their places).
 BLOCK_ITEMS = 2 << 20
 #: Integers of recordings, pairs of equal runs, and places of two recordings that are worked on together; places in a block.
-ITEMS, HITS, PLACES, PART = 1 << 20, 1 << 18, 1 << 17, 4
+ITEMS, HITS, PLACES, PART = 1 << 17, 1 << 18, 1 << 17, 4
 #: Steps of a pitch class between nothing and all of a frame's sound, so that sums are exact whatever stands before.
 STEPS = 1 << 14
 #: Frames, and samples of recordings, that are worked on together; recordings in a batch.
@@ -271,7 +271,7 @@ def runs(x: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     new = np.append(True, x[1:] != x[:-1])[: len(x)]
     new[edge[:-1][edge[:-1] < len(x)]] = True
     at = np.flatnonzero(new)
-    part = np.searchsorted(edge, at, "right") - 1
+    part = np.repeat(np.arange(len(edge) - 1), np.diff(edge))[at]
     return part, at - edge[part], np.diff(np.append(at, len(x)))
 
 
@@ -307,7 +307,7 @@ class Block:
         part, place, long = runs(self.flat, self.edge)
         value = self.flat[self.edge[part] + place]
         order = np.lexsort((part // self.stride, value))
-        self.query, self.hop, self.long = part[order] // self.stride, (place * self.stride + part % self.stride)[order], long[order]
+        self.query, self.hop, self.long = (c[order].astype(np.int32) for c in (part // self.stride, place * self.stride + part % self.stride, long))
         self.value, first = np.unique(value[order], return_index=True)
         self.first = np.append(first, len(order))
         self.known = np.zeros(1 << 24, bool)  # spares most integers the search
@@ -349,7 +349,7 @@ class Block:
         size = np.diff(edge)
         before = self.stride * int(size.max(initial=0))
         width = before + int(self.hop.max(initial=0)) + 1
-        spot = (self.query * width + self.hop) * LEAST_VOTES
+        spot = (self.query.astype(np.int64) * width + self.hop) * LEAST_VOTES
         for own, place, long, low, count in self._some(*self._equal(x, edge), 0, len(self.ids)):
             tallies = []
             base = ((own - own[:1]) * (len(self.ids) * width) + before - self.stride * place) * LEAST_VOTES
